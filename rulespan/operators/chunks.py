@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -45,12 +46,15 @@ def enabled(sources: DataFrame) -> DataFrame:
     return sources.where(F.coalesce("enabled", F.lit(True)))
 
 
-def chunk_fixed(df: DataFrame, text: str, size: int = CODE_PROFILE.size, overlap: int = CODE_PROFILE.overlap) -> DataFrame:
+def chunk_fixed(
+    df: DataFrame, text: str, size: Column | int = CODE_PROFILE.size, overlap: Column | int = CODE_PROFILE.overlap
+) -> DataFrame:
     """Chunks at a fixed stride, whatever the text looks like; together they cover all of it."""
-    stride = size - overlap
-    count = F.ceil(F.greatest(F.char_length(text) - overlap, F.lit(1)) / stride).cast("int")
-    numbered = df.where(F.char_length(text) > 0).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), count - 1)))
-    return numbered.withColumn("chunk", F.substr(text, F.col("chunk_no") * stride + 1, F.lit(size)))
+    size, overlap = (x if isinstance(x, Column) else F.lit(x) for x in (size, overlap))
+    length, stride = F.char_length(text), size - overlap
+    count = F.ceil(F.greatest(length - overlap, F.lit(1)) / stride).cast("int")
+    numbered = df.where(length > 0).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), count - 1)))
+    return numbered.withColumn("chunk", F.substr(text, F.col("chunk_no") * stride + 1, size))
 
 
 def _pieces(text: str, separator: str) -> list[str]:
@@ -95,7 +99,7 @@ def split_text(text: str, profile: Profile, level: int = 0) -> Iterator[str]:
     yield from _packed(short, profile.size, profile.overlap)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _split_column(text: pd.Series, profile: pd.Series) -> pd.Series:
     return pd.Series(
         [

@@ -24,6 +24,8 @@ from rulespan.operators.metrics import finish, group_counts, metrics_of
 from rulespan.operators.skew import find_hot, join_groups
 
 Tables = DataFrame | Mapping[str, DataFrame]
+#: Tasks over which the states of one group are spread in the first folding step.
+SALTS = 64
 
 
 def custom_rule(
@@ -73,7 +75,8 @@ def pandas_group_rule(
     ``summarise`` turns some rows of one group into a state of fixed size (fields as in the DDL string
     ``state``); ``combine`` turns several states (a frame with those fields) into one; ``judge`` decides
     from the state of the full group. States are made before the shuffle, one per group and Arrow batch,
-    and folded in two steps, so a hot group arrives as a bounded number of states.
+    and folded batch by batch in two steps (by key and salt, then by key), so neither the memory nor the
+    work of a task grows with a hot group.
     """
     key = as_list(key)
     fields = T._parse_datatype_string(state) if isinstance(state, str) else state
@@ -95,23 +98,38 @@ def pandas_group_rule(
                 out.append((*tuple_of(group), *[found[n] for n in names], len(part)))
             yield pd.DataFrame(out, columns=[*key, *names, "_n"])
 
-    def fold(group: tuple, states: pd.DataFrame) -> pd.DataFrame:
-        merged = combine(states[names])
-        row = (*group[: len(key)], *[merged[n] for n in names], states["_n"].sum())
-        return pd.DataFrame([row], columns=[*key, *names, "_n"])
-
-    def decide(group: tuple, states: pd.DataFrame) -> pd.DataFrame:
-        merged = combine(states[names])
-        return pd.DataFrame([(*group, bool(judge(merged)), states["_n"].sum())], columns=[*key, "_holds", "_n"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Batches are sorted by key: only the last group of a batch can go on in the next one.
+        open_group = None
+        for batch in batches:
+            if batch.empty:
+                continue
+            if open_group is not None:
+                batch = pd.concat([open_group, batch[open_group.columns]], ignore_index=True)
+            out = []
+            for group, part in batch.groupby(by, sort=False):
+                merged = combine(part[names]) if len(part) > 1 else part.iloc[0]
+                out.append((*tuple_of(group), *[merged[n] for n in names], part["_n"].sum()))
+            folded = pd.DataFrame(out, columns=[*key, *names, "_n"])
+            open_group = folded.iloc[[-1]]
+            if len(folded) > 1:
+                yield folded.iloc[:-1]
+        if open_group is not None:
+            yield open_group
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for folded in fold(batches):
+            holds = [bool(judge(state)) for state in folded[names].to_dict("records")]
+            yield folded[[*key, "_n"]].assign(_holds=holds)
 
     states = rows.select(*needed).mapInPandas(partial, state_schema)
-    # The first fold is by key and a salt, the second by key: no task combines all states of a hot key.
-    salted = states.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-    folded = salted.groupBy(*key, "_salt").applyInPandas(fold, state_schema)
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    salted = states.withColumn("_salt", salt).repartition(*key, "_salt").sortWithinPartitions(*key)
+    folded = salted.drop("_salt").mapInPandas(fold, state_schema)
     verdict_schema = T.StructType(
-        [*key_fields, T.StructField("_holds", T.BooleanType()), T.StructField("_n", T.LongType())]
+        [*key_fields, T.StructField("_n", T.LongType()), T.StructField("_holds", T.BooleanType())]
     )
-    verdicts_of = folded.groupBy(*key).applyInPandas(decide, verdict_schema)
+    verdicts_of = folded.repartition(*key).sortWithinPartitions(*key).mapInPandas(decide, verdict_schema)
     holds = F.col("_holds")
     groups = verdicts_of.select(
         *key,
