@@ -24,8 +24,6 @@ from rulespan.operators.metrics import finish, group_counts, metrics_of
 from rulespan.operators.skew import find_hot, join_groups
 
 Tables = DataFrame | Mapping[str, DataFrame]
-#: Tasks over which the states of one group are spread in the first folding step.
-SALTS = 64
 
 
 def custom_rule(
@@ -74,9 +72,8 @@ def pandas_group_rule(
 
     ``summarise`` turns some rows of one group into a state of fixed size (fields as in the DDL string
     ``state``); ``combine`` turns several states (a frame with those fields) into one; ``judge`` decides
-    from the state of the full group. States are made before the shuffle, one per group and Arrow batch,
-    and folded batch by batch in two steps (by key and salt, then by key), so neither the memory nor the
-    work of a task grows with a hot group.
+    from the state of the full group. Rows are shuffled by key and streamed in key order, batch by batch.
+    A hot group is first dealt over several tasks, whose states meet in a second step.
     """
     key = as_list(key)
     fields = T._parse_datatype_string(state) if isinstance(state, str) else state
@@ -90,7 +87,7 @@ def pandas_group_rule(
     def tuple_of(group) -> tuple:
         return group if isinstance(group, tuple) else (group,)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for group, part in batch.groupby(by, sort=False):
@@ -98,38 +95,48 @@ def pandas_group_rule(
                 out.append((*tuple_of(group), *[found[n] for n in names], len(part)))
             yield pd.DataFrame(out, columns=[*key, *names, "_n"])
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Batches are sorted by key: only the last group of a batch can go on in the next one.
-        open_group = None
-        for batch in batches:
-            if batch.empty:
+    def merged(states: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One state per group, from frames in key order: only the last group of a frame can go on."""
+        pending = None
+        for frame in states:
+            if frame.empty:
                 continue
-            if open_group is not None:
-                batch = pd.concat([open_group, batch[open_group.columns]], ignore_index=True)
-            out = []
-            for group, part in batch.groupby(by, sort=False):
-                merged = combine(part[names]) if len(part) > 1 else part.iloc[0]
-                out.append((*tuple_of(group), *[merged[n] for n in names], part["_n"].sum()))
-            folded = pd.DataFrame(out, columns=[*key, *names, "_n"])
-            open_group = folded.iloc[[-1]]
-            if len(folded) > 1:
-                yield folded.iloc[:-1]
-        if open_group is not None:
-            yield open_group
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for folded in fold(batches):
-            holds = [bool(judge(state)) for state in folded[names].to_dict("records")]
-            yield folded[[*key, "_n"]].assign(_holds=holds)
-
-    states = rows.select(*needed).mapInPandas(partial, state_schema)
-    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
-    salted = states.withColumn("_salt", salt).repartition(*key, "_salt").sortWithinPartitions(*key)
-    folded = salted.drop("_salt").mapInPandas(fold, state_schema)
+            frame = frame[[*key, *names, "_n"]]
+            if pending is not None:
+                frame = pd.concat([pending, frame], ignore_index=True)
+            if frame.duplicated(key).any():
+                out = []
+                for group, part in frame.groupby(by, sort=False):
+                    one = combine(part[names]) if len(part) > 1 else part.iloc[0]
+                    out.append((*tuple_of(group), *[one[n] for n in names], part["_n"].sum()))
+                frame = pd.DataFrame(out, columns=frame.columns)
+            pending = frame.iloc[[-1]]
+            if len(frame) > 1:
+                yield frame.iloc[:-1]
+        if pending is not None:
+            yield pending
+
+    def judged(states: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in merged(states):
+            holds = [bool(judge(state)) for state in frame[names].to_dict("records")]
+            yield frame[[*key, "_n"]].assign(_holds=holds)
+
+    total = df.count()
+    hot = find_hot(rows, key, total)
     verdict_schema = T.StructType(
         [*key_fields, T.StructField("_n", T.LongType()), T.StructField("_holds", T.BooleanType())]
     )
-    verdicts_of = folded.repartition(*key).sortWithinPartitions(*key).mapInPandas(decide, verdict_schema)
+    # Python work is heavier than its bytes suggest, so the number of tasks is set and not coalesced.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if hot is None:
+        ordered = rows.select(*needed).repartition(tasks, *key).sortWithinPartitions(*key)
+        verdicts_of = ordered.mapInPandas(lambda batches: judged(summaries(batches)), verdict_schema)
+    else:
+        salt = F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_parts")), F.lit(0))
+        salted = rows.join(hot.hinted(), key, "left").select(*needed, salt.alias("_salt"))
+        ordered = salted.repartition(tasks, *key, "_salt").sortWithinPartitions(*key).drop("_salt")
+        states = ordered.mapInPandas(lambda batches: merged(summaries(batches)), state_schema)
+        verdicts_of = states.repartition(tasks, *key).sortWithinPartitions(*key).mapInPandas(judged, verdict_schema)
     holds = F.col("_holds")
     groups = verdicts_of.select(
         *key,
@@ -141,12 +148,11 @@ def pandas_group_rule(
         holds.alias("sat"),
         (~holds).alias("viol"),
     )
-    total = df.count()
     metrics = finish(group_counts(groups).withColumn("total_rows", F.lit(total)), rule_id, "group")
 
     def find(verdicts: Sequence[str]) -> DataFrame:
         wanted = groups.where(F.col("verdict").isin(*verdicts)).select(*key, "verdict")
-        joined = join_groups(rows, wanted, key, find_hot(rows, key, total), F.col("_row"))
+        joined = join_groups(rows, wanted, key, hot, F.col("_row"))
         return participant_rows(
             joined, rule_id, verdict=F.col("verdict"), row=F.col("_row"),
             group_key=key_column(key), rep_id=F.lit("0"), role=F.lit("group"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from rulespan.functions.prep import FLOATS
 from rulespan.model import as_list
-from rulespan.operators.quantiles import exact_quantiles
+from rulespan.operators.quantiles import quantiles_of_counts
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 #: Seed of samples unless another is asked for.
@@ -38,26 +39,39 @@ def head_samples(tables: Mapping[str, DataFrame], orders: Mapping[str, str | Seq
         head_sample(df, orders[name], n).select(F.lit(name).alias("table_name"), F.to_json(F.struct("*")).alias("record"))
         for name, df in tables.items()
     ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _comparable(df: DataFrame, name: str) -> Column:
-    """A value as text such that equal values have equal text: NaN is missing, -0.0 is 0.0."""
-    col = F.col(name)
-    if isinstance(df.schema[name].dataType, FLOATS):
-        col = F.when(~F.isnan(col), col + F.lit(0.0))
-    if isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(col)
-    return col.cast("string")
+def _plain(df: DataFrame, name: str) -> Column:
+    """A value that can be grouped by: NaN is missing, nested values are taken as JSON."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, FLOATS):
+        return F.when(~F.isnan(name), F.col(name))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(name)
+    return F.col(name)
 
 
-def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column_name, value, n) over all the columns in one scan; a frequent value is folded map-side."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _comparable(df, c).alias("value")) for c in cols])
-    return df.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, cols: Sequence[str], kind: str = "string", one_pass: bool = False) -> DataFrame:
+    """(column_name, value, n) over the columns; a frequent value is folded map-side.
+
+    Every column is grouped on its own, in its own type: a stored table is then read once in all, column
+    by column. ``one_pass`` reads ``df`` once row by row instead, for inputs that are dear to compute.
+    """
+    if one_pass:
+        cells = [F.struct(F.lit(c).alias("column_name"), _text(_plain(df, c), df, c).cast(kind).alias("value")) for c in cols]
+        return df.select(F.inline(F.array(*cells))).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    parts = [
+        df.groupBy(_plain(df, c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit(c).alias("column_name"), F.col("value").cast(kind).alias("value"), "n")
+        for c in cols
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _text(col: Column, df: DataFrame, name: str) -> Column:
+    # -0.0 and 0.0 are one value but two texts.
+    return col + F.lit(0.0) if isinstance(df.schema[name].dataType, FLOATS) else col
 
 
 def _types(df: DataFrame, cols: Sequence[str]) -> Column:
@@ -65,24 +79,25 @@ def _types(df: DataFrame, cols: Sequence[str]) -> Column:
     return F.element_at(F.create_map(*pairs), F.col("column_name"))
 
 
-def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, approx: bool = False, one_pass: bool = False) -> DataFrame:
     """Per column: type and number of distinct values, a missing value counting as one."""
     cols = df.columns
     if approx:
         stats = [
             F.struct(
                 F.lit(c).alias("column_name"),
-                (F.approx_count_distinct(_comparable(df, c)) + F.max(_comparable(df, c).isNull().cast("long"))).alias("distinct_values"),
+                (F.approx_count_distinct(_plain(df, c)) + F.max(_plain(df, c).isNull().cast("long"))).alias("distinct_values"),
             )
             for c in cols
         ]
         counted = df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
     else:
-        counted = value_counts(df, cols).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
+        seen = value_counts(df, cols, one_pass=one_pass)
+        counted = seen.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
     return counted.select("column_name", _types(df, cols).alias("data_type"), "distinct_values")
 
 
-def describe_all(df: DataFrame) -> DataFrame:
+def describe_all(df: DataFrame, one_pass: bool = False) -> DataFrame:
     """One row per column: count; unique, top and freq of non-numeric columns; mean, std, min, quartiles
     and max of numeric ones. The top value with the smallest text wins a tie."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -90,34 +105,35 @@ def describe_all(df: DataFrame) -> DataFrame:
     moments = []
     for c in df.columns:
         if c in numeric:
-            value = F.col(c).cast("double")
-            value = F.when(~F.isnan(value), value)
+            value = _plain(df, c).cast("double")
             stats = [F.count(value), F.avg(value), F.stddev_samp(value), F.min(value), F.max(value)]
         else:
             stats = [F.count(c)] + [F.lit(None).cast("double")] * 4
         names = ["count", "mean", "std", "min", "max"]
         moments.append(F.struct(F.lit(c).alias("column_name"), *[s.alias(n) for s, n in zip(stats, names)]))
-    base = df.agg(F.array(*moments).alias("m")).select(F.inline("m"))
+    described = df.agg(F.array(*moments).alias("m")).select(F.inline("m"))
+    words = {"unique": "bigint", "top": "string", "freq": "bigint"}
     if other:
-        seen = value_counts(df, other).where(F.col("value").isNotNull())
-        tops = seen.groupBy("column_name").agg(
-            F.count(F.lit(1)).alias("unique"),
-            F.min_by("value", F.struct(-F.col("n"), "value")).alias("top"),
-            F.max("n").alias("freq"),
+        tops = (
+            value_counts(df, other, one_pass=one_pass).where(F.col("value").isNotNull())
+            .groupBy("column_name")
+            .agg(
+                F.count(F.lit(1)).alias("unique"),
+                F.min_by("value", F.struct(-F.col("n"), "value")).alias("top"),
+                F.max("n").alias("freq"),
+            )
         )
-        base = base.join(tops, "column_name", "left")
+        described = described.join(tops, "column_name", "left")
     else:
-        base = base.selectExpr("*", "cast(null as bigint) as unique", "cast(null as string) as top", "cast(null as bigint) as freq")
+        described = described.withColumns({c: F.lit(None).cast(t) for c, t in words.items()})
     if numeric:
-        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in numeric])
-        values = df.select(F.inline(cells)).na.drop()
-        quartiles = exact_quantiles(values, ["column_name"], "value", QUARTILES, df.count() * len(numeric))
-        base = base.join(quartiles.drop("n"), "column_name", "left")
+        counts = value_counts(df, numeric, "double", one_pass).where(F.col("value").isNotNull())
+        counts = counts.withColumnsRenamed({"value": "_v", "n": "_n"})
+        quartiles = quantiles_of_counts(counts, ["column_name"], QUARTILES, df.count() * len(numeric))
+        described = described.join(quartiles.drop("n"), "column_name", "left")
     else:
-        base = base.withColumns({q: F.lit(None).cast("double") for q in QUARTILES})
-    return base.select(
-        "column_name", "count", "unique", "top", "freq", "mean", "std", "min", *QUARTILES, "max"
-    )
+        described = described.withColumns({q: F.lit(None).cast("double") for q in QUARTILES})
+    return described.select("column_name", "count", *words, "mean", "std", "min", *QUARTILES, "max")
 
 
 def dataset_summary(df: DataFrame, n: int, row_id: str | Sequence[str], seed: int = SEED) -> DataFrame:

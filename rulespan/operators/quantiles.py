@@ -11,17 +11,25 @@ from rulespan.operators.skew import find_hot, join_groups, running, stored_if_la
 
 
 def exact_quantiles(
-    df: DataFrame, key: Sequence[str], value: str, probabilities: dict[str, float], upper: int | None = None
+    df: DataFrame, key: Sequence[str], value: str, probabilities: dict[str, float], upper: int
 ) -> DataFrame:
     """One row per key with linearly interpolated quantiles of ``value`` and the count ``n``.
 
-    Values are folded to (value, count) first; a running count then tells which value sits at a wanted
-    rank. The result is exact, as ``percentile`` would give, but a group may exceed one task's memory.
-    ``df`` has no missing key or value.
+    The result is exact, as ``percentile`` would give, but a group may exceed one task's memory. ``df`` has
+    no missing key or value, and ``upper`` is at least its number of rows.
     """
-    key = list(key)
-    upper = df.count() if upper is None else upper
     counts = df.groupBy(*key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return quantiles_of_counts(counts, key, probabilities, upper)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, key: Sequence[str], probabilities: dict[str, float], upper: int
+) -> DataFrame:
+    """The same from values already folded to (key, ``_v``, ``_n``).
+
+    A running count over the distinct values tells which value sits at a wanted rank.
+    """
+    key = list(key)
     counts = stored_if_large(counts, upper)
     hot = find_hot(counts, key, upper)
     placed = running(counts, key, ["_v"], {"_before": ("sum", "_n")}, hot)

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from rulespan.session import BROADCAST_ROWS, checkpointed, hot_group_rows
 
 
+#: Partitions of one range exchange. Beyond it slices grow instead, and their sort spills.
+MAX_SLICES = 20_000
+
+
 @dataclass(frozen=True)
 class HotGroups:
     """Keys above the size limit with the number of parts each is split into.
@@ -135,7 +139,7 @@ def _running_slices(df, key, order, aggs, descending, parts) -> DataFrame:
     # A range exchange on (key, order) cuts even a single key into ordered slices of about equal size.
     # The slice number must not change between the two uses below, so the sliced rows are written first.
     sliced = checkpointed(
-        df.repartitionByRange(2 * parts, *key, *order).withColumn("_slice", F.spark_partition_id())
+        df.repartitionByRange(min(2 * parts, MAX_SLICES), *key, *order).withColumn("_slice", F.spark_partition_id())
     )
     rank = F.struct(*order)
     edge = {"previous": lambda c: F.max_by(c, rank), "next": lambda c: F.min_by(c, rank), **AGGREGATES}
