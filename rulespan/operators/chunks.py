@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rulespan.operators.skew import find_hot, join_groups
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -116,13 +118,14 @@ def chunk_separators(df: DataFrame, text: str, profile: Column | str = "code") -
     return df.select("*", F.posexplode(_split_column(F.col(text), name)).alias("chunk_no", "chunk"))
 
 
-def tag_source(chunks: DataFrame, sources: DataFrame, on: str = "source") -> DataFrame:
-    """Chunks with the type and description of their source; chunks of unknown sources are left out.
+def tag_source(df: DataFrame, sources: DataFrame, on: str = "source") -> DataFrame:
+    """Documents, or chunks of them, with the type and description of their source.
 
-    ``sources`` has one row per source; a few sources may own most chunks, so it is Spark's measured
-    sizes that decide between a broadcast and a skew-aware join.
+    ``sources`` has one row per source; rows of unknown sources are left out. Tag before cutting: there are
+    fewer documents than chunks.
     """
-    return chunks.join(sources.select(on, "source_type", "description"), on)
+    known = sources.select(on, "source_type", "description")
+    return join_groups(df, known, [on], find_hot(df, [on]), F.struct(*[c for c in df.columns if c != on]))
 
 
 def source_counts(chunks: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:

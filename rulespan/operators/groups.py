@@ -39,24 +39,31 @@ def scoped(
 ) -> DataFrame:
     """Only the columns the rule needs, with ``_ok`` for rows in scope and ``_row`` for the row identity.
 
-    Rows out of scope get NULL keys. They then fall into one group that map-side aggregation folds to a
-    row per task, which counts all rows in the same pass instead of in a second scan.
+    Rows out of scope get NULL for all else. They then fall into one group, the one without a key, that
+    map-side aggregation folds to a row per task; so all rows are counted in the same pass instead of in a
+    second scan.
     """
     ok = in_scope(df, relevant, body)
     return df.select(
         ok.alias("_ok"),
         row_id_column(row_id).alias("_row"),
         *[F.when(ok, F.col(c)).alias(c) for c in key],
-        *[expr.alias(name) for name, expr in keep.items()],
+        *[F.when(ok, expr).alias(name) for name, expr in keep.items()],
     )
 
 
-def judged_groups(per_key: DataFrame, verdict: Column, rows: Column) -> DataFrame:
+def judgeable(key: Sequence[str]) -> Column:
+    """False for the group of the rows out of scope. Grouping by the key alone, and not by ``_ok`` as well,
+    lets the join back to the rows reuse the partitioning of the groups."""
+    return F.col(key[0]).isNotNull()
+
+
+def judged_groups(per_key: DataFrame, key: Sequence[str], verdict: Column, rows: Column) -> DataFrame:
     """Add the columns ``group_counts`` sums, for rules that give a whole group one verdict.
 
     ``verdict`` is NULL for groups the rule does not apply to; ``rows`` is the number of rows with a role.
     """
-    judged = per_key.withColumn("verdict", F.when(F.col("_ok"), verdict))
+    judged = per_key.withColumn("verdict", F.when(judgeable(key), verdict))
     sat = F.coalesce(F.col("verdict") == SATISFACTION, F.lit(False))
     viol = F.coalesce(F.col("verdict") == VIOLATION, F.lit(False))
     return judged.select(
@@ -103,8 +110,8 @@ def unique_key(
     """No two rows share the key. Groups of one satisfy (``unique_record``), larger ones are ``duplicates``."""
     key = as_list(key)
     rows = scoped(df, key, key, body, row_id, {})
-    per_key = rows.groupBy(*key, "_ok").agg(F.count(F.lit(1)).alias("all_rows"))
-    groups = judged_groups(per_key, verdict_of(F.col("all_rows") == 1), F.col("all_rows"))
+    per_key = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("all_rows"))
+    groups = judged_groups(per_key, key, verdict_of(F.col("all_rows") == 1), F.col("all_rows"))
 
     def find(verdicts: Sequence[str]) -> DataFrame:
         joined = rows_with_verdict(df, rows, groups, key, verdicts)
@@ -135,12 +142,11 @@ def functional_dependency(
     """
     key, rhs = as_list(within) + as_list(lhs), as_list(rhs)
     rows = scoped(df, key, key + rhs, body, row_id, {c: F.col(c) for c in rhs if c not in key})
-    pairs = rows.withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in rhs})
-    pairs = pairs.groupBy(*key, *[c for c in rhs if c not in key], "_ok").agg(F.count(F.lit(1)).alias("_n"))
-    per_key = pairs.groupBy(*key, "_ok").agg(
+    pairs = rows.groupBy(*key, *[c for c in rhs if c not in key]).agg(F.count(F.lit(1)).alias("_n"))
+    per_key = pairs.groupBy(*key).agg(
         F.sum("_n").alias("all_rows"), F.count(F.lit(1)).alias("distinct_values")
     )
-    groups = judged_groups(per_key, verdict_of(F.col("distinct_values") == 1), F.col("all_rows"))
+    groups = judged_groups(per_key, key, verdict_of(F.col("distinct_values") == 1), F.col("all_rows"))
 
     def find(verdicts: Sequence[str]) -> DataFrame:
         joined = rows_with_verdict(df, rows, groups, key, verdicts)
@@ -172,15 +178,15 @@ def sum_to_total(
     key = as_list(key)
     role = F.when(as_column(part), F.lit("sum")).when(as_column(total), F.lit("compare"))
     rows = scoped(df, key, [*key, value], body, row_id, {"_value": F.col(value).cast(EXACT), "_role": role})
-    is_part, is_total = F.col("_ok") & (F.col("_role") == "sum"), F.col("_ok") & (F.col("_role") == "compare")
-    per_key = rows.groupBy(*key, "_ok").agg(
+    is_part, is_total = F.col("_role") == "sum", F.col("_role") == "compare"
+    per_key = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("all_rows"),
         F.sum(F.when(is_part, F.col("_value"))).alias("sum_value"),
         F.sum(F.when(is_total, F.col("_value"))).alias("total_value"),
         F.count_if(is_part | is_total).alias("role_rows"),
     )
     holds = compare(F.col("sum_value"), op, F.col("total_value"), tol)
-    groups = judged_groups(per_key, verdict_of(holds), F.col("role_rows"))
+    groups = judged_groups(per_key, key, verdict_of(holds), F.col("role_rows"))
 
     def find(verdicts: Sequence[str]) -> DataFrame:
         joined = rows_with_verdict(df, rows.where(F.col("_role").isNotNull()), groups, key, verdicts)
@@ -217,9 +223,9 @@ def sum_to_threshold(
     rows = scoped(df, key, relevant, body, row_id, {"_value": F.col(value).cast(EXACT), "_rep": rep})
     limit = F.lit(str(threshold)).cast(EXACT)
     reps = (
-        rows.groupBy(*key, "_ok", F.when(F.col("_ok"), F.col("_rep")).alias("_rep"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("_ok"), F.col("_value"))).alias("sum_value"))
-        .withColumn("verdict", F.when(F.col("_ok"), verdict_of(compare(F.col("sum_value"), op, limit, tol))))
+        rows.groupBy(*key, "_rep")
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_value").alias("sum_value"))
+        .withColumn("verdict", F.when(judgeable(key), verdict_of(compare(F.col("sum_value"), op, limit, tol))))
     )
     groups = mixed_groups(reps, key, F.col("_n"))
 
@@ -241,7 +247,7 @@ def sum_to_threshold(
 def mixed_groups(reps: DataFrame, key: Sequence[str], rows: Column) -> DataFrame:
     """Per-group table from representations with a verdict each, whose rows do not overlap."""
     sat, viol = F.col("verdict") == SATISFACTION, F.col("verdict") == VIOLATION
-    return reps.groupBy(*key, "_ok").agg(
+    return reps.groupBy(*key).agg(
         F.sum(rows).alias("all_rows"),
         F.coalesce(F.sum(F.when(sat, rows)), F.lit(0)).alias("sat_rows"),
         F.coalesce(F.sum(F.when(viol, rows)), F.lit(0)).alias("viol_rows"),
@@ -282,10 +288,10 @@ def aggregate_constraint(
     key = as_list(key)
     keep = {"_value": F.col(value)} if value else {}
     rows = scoped(df, key, key + as_list(value), body, row_id, keep)
-    result = GROUP_AGGREGATES[agg](F.when(F.col("_ok"), F.col("_value")) if value else None)
-    per_key = rows.groupBy(*key, "_ok").agg(F.count(F.lit(1)).alias("all_rows"), result.alias("agg_value"))
+    result = GROUP_AGGREGATES[agg](F.col("_value") if value else None)
+    per_key = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("all_rows"), result.alias("agg_value"))
     holds = F.expr(predicate) if isinstance(predicate, str) else predicate(F.col("agg_value"))
-    groups = judged_groups(per_key, verdict_of(F.coalesce(holds, F.lit(False))), F.col("all_rows"))
+    groups = judged_groups(per_key, key, verdict_of(F.coalesce(holds, F.lit(False))), F.col("all_rows"))
 
     def find(verdicts: Sequence[str]) -> DataFrame:
         joined = rows_with_verdict(df, rows, groups, key, verdicts)

@@ -107,36 +107,36 @@ def metrics_of(participants: DataFrame, total_rows: int | DataFrame, rule_id: st
     return finish(both.withColumn("total_rows", total), rule_id, rule_class)
 
 
-def _dealt(df: DataFrame, by: Sequence[str], page_rows: int, spread: Sequence[str]) -> DataFrame:
+def _dealt(df: DataFrame, by: Sequence[str], page_rows: int, spread: Sequence[str], upper: int | None) -> DataFrame:
     """Deal the rows of each group over pages of about ``page_rows`` rows by a hash of ``spread``."""
     # The key holds nulls (row rules have no group), which do not meet in a join; their JSON text does.
     keyed = df.withColumn("_part", F.to_json(F.struct(*by)))
     pages = keyed.groupBy("_part").agg(F.ceil(F.count(F.lit(1)) / page_rows).alias("_pages"))
     spread_hash = F.xxhash64(*spread)
     return (
-        join_groups(keyed, pages, ["_part"], find_hot(keyed, ["_part"]), F.struct(*spread))
+        join_groups(keyed, pages, ["_part"], find_hot(keyed, ["_part"], upper), F.struct(*spread))
         .withColumn("page", F.pmod(spread_hash, F.col("_pages")).cast("int"))
         .drop("_part", "_pages")
     )
 
 
-def nest(participants: DataFrame, page_rows: int = 1000) -> DataFrame:
+def nest(participants: DataFrame, page_rows: int = 1000, upper: int | None = None) -> DataFrame:
     """The nested reading: per group and verdict, an array of (rep_id, role, role_key, rows).
 
     No row is left out and no array grows with the group: a role with more than ``page_rows`` rows becomes
     several entries, a group with more than ``page_rows`` entries several pages. Ordinary groups have the
-    one page 0.
+    one page 0. ``upper`` is a bound on the participants, if one is known.
     """
     group = ["rule_id", "verdict", "group_key"]
     role = group + ["rep_id", "role", "role_key"]
     entries = (
-        _dealt(participants, role, page_rows, ["row_id"])
+        _dealt(participants, role, page_rows, ["row_id"], upper)
         .groupBy(*role, "page")
         .agg(F.sort_array(F.collect_list("row_id")).alias("rows"))
         .drop("page")
     )
     return (
-        _dealt(entries, group, page_rows, ["rep_id", "role", "role_key", "rows"])
+        _dealt(entries, group, page_rows, ["rep_id", "role", "role_key", "rows"], upper)
         .groupBy(*group, "page")
         .agg(F.sort_array(F.collect_list(F.struct("rep_id", "role", "role_key", "rows"))).alias("representations"))
     )

@@ -36,13 +36,10 @@ def monotonic(
     """
     key = as_list(key)
     rows = scoped(df, key, [*key, rank, value], body, row_id, {"_rank": F.col(rank), "_value": F.col(value)})
-    values = (
-        rows.withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in ("_rank", "_value")})
-        .groupBy(*key, "_rank", "_value", "_ok")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
     upper = df.count()
-    values = stored_if_large(values.where("_ok").drop("_ok"), upper)
+    values = stored_if_large(
+        rows.where("_ok").groupBy(*key, "_rank", "_value").agg(F.count(F.lit(1)).alias("_n")), upper
+    )
     ranks = stored_if_large(
         values.groupBy(*key, "_rank").agg(F.min("_value").alias("_lo"), F.max("_value").alias("_hi")), upper
     )

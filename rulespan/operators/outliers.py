@@ -56,7 +56,7 @@ def outlier(
     # Judge distinct values with their counts: a hot group reaches the join already folded.
     folded = judged_rows.groupBy(*key, "_value").agg(F.count(F.lit(1)).alias("_n"))
     judged = join_groups(folded, fences, key, find_hot(folded, key, upper), F.col("_value"))
-    reps = judged.withColumns({"verdict": verdict_of(~outside), "_ok": F.lit(True)})
+    reps = judged.withColumn("verdict", verdict_of(~outside))
     groups = mixed_groups(reps, key, F.col("_n"))
     counts = group_counts(groups, group_verdict).withColumn("total_rows", F.lit(upper))
     metrics = finish(counts, rule_id, "group")

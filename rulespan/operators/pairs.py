@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulespan.model import SATISFACTION, VIOLATION, RuleResult, as_list, key_column, participant_rows
-from rulespan.operators.groups import scoped
+from rulespan.operators.groups import judgeable, scoped
 from rulespan.operators.metrics import GROUP_COUNT_TYPE, finish
 from rulespan.operators.skew import find_hot, join_groups
 
@@ -40,19 +40,15 @@ def pair_rule(
     match, agree = as_list(match), as_list(agree)
     rows = scoped(df, match, match + agree, body, row_id, {c: F.col(c) for c in agree if c not in match})
     extra = [c for c in agree if c not in match]
-    blocks = (
-        rows.withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in extra})
-        .groupBy(*match, *extra, "_ok")
-        .agg(F.count(F.lit(1)).alias("_block"))
-    )
+    blocks = rows.groupBy(*match, *extra).agg(F.count(F.lit(1)).alias("_block"))
     outside, inside = F.col("_group") > F.col("_block"), F.col("_block") > 1
-    sizes = blocks.groupBy(*match, "_ok").agg(
+    sizes = blocks.groupBy(*match).agg(
         F.sum("_block").alias("_group"),
         F.sum(_pairs(F.col("_block"))).alias("_same"),
         F.sum(F.when(F.col("_block") > 1, F.col("_block"))).alias("_paired"),
         F.count(F.lit(1)).alias("_blocks"),
     )
-    ok = F.col("_ok")
+    ok = judgeable(match)
     counts = sizes.agg(
         F.sum("_group").alias("total_rows"),
         F.sum(F.when(ok & (F.col("_group") > 1), F.col("_group"))).alias("applicable_rows"),
@@ -67,7 +63,7 @@ def pair_rule(
     def find(verdicts: Sequence[str]) -> DataFrame:
         upper = df.count()
         paired = sizes.where(ok & (F.col("_group") > 1)).select(*match, "_group")
-        sized = blocks.where(ok).drop("_ok")
+        sized = blocks.where(ok)
         sized = join_groups(sized, paired, match, find_hot(sized, match, upper), F.struct(*agree))
         sides = F.array_compact(
             F.array(
@@ -76,7 +72,7 @@ def pair_rule(
             )
         )
         sized = sized.withColumn("_sides", sides).where(F.size("_sides") > 0).select(*match, *extra, "_sides")
-        in_rule = rows.where(ok).drop("_ok")
+        in_rule = rows.where("_ok").drop("_ok")
         key = match + extra
         joined = join_groups(in_rule, sized, key, find_hot(in_rule, key, upper), F.col("_row"))
         return participant_rows(

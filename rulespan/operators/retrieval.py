@@ -68,17 +68,16 @@ def top_k(
         corpus = corpus.where(F.col(source).isin(*sources))
     items = corpus.select(F.col(item_id).cast("long").alias("item_id"), F.col(vector).alias("v")).na.drop()
     wanted = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("v")).na.drop()
-    asked = wanted.count()
-    if asked <= max_queries:
-        hits = _against_all(wanted, items, k, skip_self)
+    few = wanted.limit(max_queries + 1).toPandas()
+    if len(few) <= max_queries:
+        hits = _against_all(few, items, k, skip_self)
     else:
-        hits = _by_blocks(wanted, items, k, skip_self, asked, items.count())
+        hits = _by_blocks(wanted, items, k, skip_self)
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
-def _against_all(queries: DataFrame, items: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    asked = queries.toPandas()  # at most max_queries rows, counted by the caller
+def _against_all(asked: pd.DataFrame, items: DataFrame, k: int, skip_self: bool) -> DataFrame:
     if asked.empty:
         return items.sparkSession.createDataFrame([], HITS)
     shared = items.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), _unit(asked["v"])))
@@ -97,9 +96,9 @@ def _against_all(queries: DataFrame, items: DataFrame, k: int, skip_self: bool)
     return items.mapInPandas(score, HITS)
 
 
-def _by_blocks(queries: DataFrame, items: DataFrame, k: int, skip_self: bool, asked: int, held: int) -> DataFrame:
+def _by_blocks(queries: DataFrame, items: DataFrame, k: int, skip_self: bool) -> DataFrame:
     """Cut both sides into blocks by a hash of the id and let every pair of blocks meet in one task."""
-    query_blocks, item_blocks = -(-asked // BLOCK_ROWS), max(1, -(-held // BLOCK_ROWS))
+    query_blocks, item_blocks = (max(1, -(-side.count() // BLOCK_ROWS)) for side in (queries, items))
 
     def block(col: str, n: int) -> Column:
         return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")

@@ -62,9 +62,9 @@ def references(
         row_id_column(row_id).alias("_row"), *[F.when(scope, c).alias(n) for n, c in left.items()]
     ).withColumn("_ok", _all_present(names))
     known = secondary.select(*[c.alias(n) for n, c in right.items()]).where(_all_present(names)).distinct()
-    used = rows.groupBy(*names, "_ok").agg(F.count(F.lit(1)).alias("_n"))
+    used = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     looked_up = used.join(known.withColumn("_known", F.lit(True)), names, "left").withColumn(
-        "verdict", F.when(F.col("_ok"), F.when(F.col("_known"), F.lit(SATISFACTION)).otherwise(F.lit(VIOLATION)))
+        "verdict", F.when(_all_present(names), F.when(F.col("_known"), F.lit(SATISFACTION)).otherwise(F.lit(VIOLATION)))
     )
 
     def rows_where(test: Column) -> Column:

@@ -37,7 +37,7 @@ def _(t: Tables) -> DataFrame:
     SELECT verdict, group_key, string_agg(role_key || ':' || ids, ';' ORDER BY role_key) AS representation
     FROM r GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
-    nested = metrics.nest(part_fd(t).participants())
+    nested = metrics.nest(part_fd(t).participants(), upper=t.part.count())
     entry = F.transform(
         "representations",
         lambda r: F.concat(key_text(r["role_key"]), F.lit(":"), F.array_join(r["rows"].cast("array<string>"), ",")),
@@ -47,7 +47,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("participants", f"SELECT verdict, row_id FROM ({FD_ROWS})")
 def _(t: Tables) -> DataFrame:
-    return metrics.participant_ids(metrics.nest(part_fd(t).participants())).select("verdict", "row_id")
+    return metrics.participant_ids(metrics.nest(part_fd(t).participants(), upper=t.part.count())).select("verdict", "row_id")
 
 
 def wide_fd(t: Tables):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -83,15 +83,22 @@ def register(tables: Mapping[str, DataFrame]) -> None:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Number the rows of a file without a key, in file order, starting at 0.
+    """Number the rows of files without a key, in reading order, starting at 0.
 
-    Parquet files carry a row position; other formats are numbered once in reading order. Write the result
-    before using it in several plans.
+    ``df`` is a plain read, whose partitions are the same in every plan: rows are counted per partition
+    first, and a row's number is the rows of the partitions before it plus its place in its own. Write the
+    result before using it in several plans.
     """
     if name in df.columns:
         raise ValueError(f"the table already has a column {name}")
-    numbered = df.rdd.zipWithIndex().map(lambda pair: (pair[1], *pair[0]))
-    return df.sparkSession.createDataFrame(numbered, T.StructType([T.StructField(name, T.LongType()), *df.schema.fields]))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = df.withColumns({"_partition": F.spark_partition_id(), "_place": place})
+    counts = placed.groupBy("_partition").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per input partition.
+    offsets = counts.select("_partition", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = placed.join(offsets, "_partition").withColumn(name, F.col("_offset") + F.col("_place"))
+    return numbered.select(name, *df.columns)
 
 
 def with_file_position(df: DataFrame, name: str = "row_id") -> DataFrame:
