@@ -26,9 +26,13 @@ def present(df: DataFrame, cols: Sequence[str]) -> Column:
 
 
 def in_scope(df: DataFrame, cols: Sequence[str], body: Column | str | None) -> Column:
-    """True for rows a rule looks at: no relevant column missing, and the body (if any) holds."""
+    """True for rows a rule looks at: no relevant column missing, and the body (if any) holds.
+
+    Where the body is unknown this is NULL, which every use takes as false; wrapping it would keep it from
+    being pushed into the scan.
+    """
     scope = present(df, cols)
-    return scope if body is None else scope & F.coalesce(as_column(body), F.lit(False))
+    return scope if body is None else scope & as_column(body)
 
 
 def exclude_nulls(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -102,9 +102,9 @@ def metrics_of(participants: DataFrame, total_rows: int | DataFrame, rule_id: st
         .agg(F.count_if(sat & F.col("unit").isNotNull()).alias("sat_groups"),
              F.count_if(viol & F.col("unit").isNotNull()).alias("viol_groups"))
     )
-    # Both sides are one-row aggregates; the constant key keeps this an ordinary equi-join.
-    both = rows.withColumn("_one", F.lit(1)).join(F.broadcast(units.withColumn("_one", F.lit(1))), "_one")
-    return finish(both.withColumn("total_rows", total), rule_id, rule_class)
+    # Two one-row aggregates and a count: the second and third come in as scalar subqueries.
+    counted = rows.withColumn("_units", units.select(F.struct("sat_groups", "viol_groups")).scalar())
+    return finish(counted.select("*", "_units.*").withColumn("total_rows", total), rule_id, rule_class)
 
 
 def _dealt(df: DataFrame, by: Sequence[str], page_rows: int, spread: Sequence[str], upper: int | None) -> DataFrame:

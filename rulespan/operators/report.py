@@ -42,14 +42,25 @@ def compare_results(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
 def compare_metrics(actual: DataFrame, expected: DataFrame, tol: float = METRIC_TOLERANCE) -> DataFrame:
     """Support and confidence against expected values, reported and not part of ``success``."""
-    want = expected.select(
-        "rule_id", F.col("support").alias("expected_support"), F.col("confidence").alias("expected_confidence")
+    wanted = {"support": "expected_support", "confidence": "expected_confidence"}
+    both = beside(actual.select("rule_id", *wanted), expected.select("rule_id", *wanted).withColumnsRenamed(wanted))
+    return both.withColumns(
+        {f"{c}_matches": F.abs(F.col(c) - F.col(e)) <= tol for c, e in wanted.items()}
     )
-    return actual.select("rule_id", "support", "confidence").join(want, "rule_id").select(
-        "*",
-        (F.abs(F.col("support") - F.col("expected_support")) <= tol).alias("support_matches"),
-        (F.abs(F.col("confidence") - F.col("expected_confidence")) <= tol).alias("confidence_matches"),
+
+
+def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row per rule id with the columns of both tables, for rules that have a row in each.
+
+    A union folded by rule id: the rule id of a metrics table is a constant, and a join on a constant would
+    be planned as a nested loop.
+    """
+    sides = (
+        left.withColumn("_l", F.lit(True)).unionByName(right.withColumn("_r", F.lit(True)), allowMissingColumns=True)
     )
+    columns = [c for c in (*left.columns, *right.columns) if c != "rule_id"]
+    folded = sides.groupBy("rule_id").agg(*[F.max(c).alias(c) for c in columns], F.bool_or("_l").alias("_l"), F.bool_or("_r").alias("_r"))
+    return folded.where("_l and _r").drop("_l", "_r")
 
 
 def pass_rate(cases: DataFrame, by: Sequence[str] = (), threshold: float = PASS_THRESHOLD) -> DataFrame:

@@ -19,6 +19,7 @@ from rulespan.model import (
     row_id_column,
 )
 from rulespan.operators.metrics import finish
+from rulespan.operators.report import beside
 from rulespan.operators.skew import find_hot, join_groups
 
 UNMATCHED = ("exclude", "judge")
@@ -217,6 +218,6 @@ def injected_found(participants: DataFrame, injected: DataFrame) -> DataFrame:
 
 def violation_rate_check(metrics: DataFrame, expected: DataFrame, tol: float = 1e-6) -> DataFrame:
     """Observed against expected violation rate per rule; ``expected`` has rule_id, expected_rate."""
-    return metrics.select("rule_id", "violation_rate").join(expected, "rule_id").withColumn(
+    return beside(metrics.select("rule_id", "violation_rate"), expected.select("rule_id", "expected_rate")).withColumn(
         "rate_matches", F.abs(F.col("violation_rate") - F.col("expected_rate")) < F.lit(tol)
     )
