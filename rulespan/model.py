@@ -66,30 +66,40 @@ def row_id_column(row_id: str | Sequence[str]) -> Column:
     return F.col(names[0]) if len(names) == 1 else F.struct(*names)
 
 
-def key_column(cols: Sequence[str]) -> Column:
+def quoted(name: str) -> str:
+    """A column name in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(value: str) -> str:
+    """A string constant in SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def key_sql(cols: Sequence[str]) -> str:
     """``[(col, val), ...]``: group keys and role keys always carry the column name."""
-    return F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val")) for c in cols])
+    pairs = [f"named_struct('col', {literal(c)}, 'val', cast({quoted(c)} as string))" for c in cols]
+    return f"array({', '.join(pairs)})"
 
 
 def participant_rows(
     df: DataFrame,
-    rule_id: str | Column,
+    rule_id: str,
     *,
-    verdict: Column,
-    row: Column,
-    group_key: Column | None = None,
-    rep_id: Column | None = None,
-    role: Column | None = None,
-    role_key: Column | None = None,
+    verdict: str = "verdict",
+    row: str = "_row",
+    group_key: str = "null",
+    rep_id: str = "null",
+    role: str = "null",
+    role_key: str = "null",
 ) -> DataFrame:
-    """Project ``df`` to the participant layout."""
-    no_key = F.lit(None).cast(KEY_TYPE)
-    return df.select(
-        (rule_id if isinstance(rule_id, Column) else F.lit(rule_id)).alias("rule_id"),
-        verdict.alias("verdict"),
-        (no_key if group_key is None else group_key).alias("group_key"),
-        (F.lit(None).cast("string") if rep_id is None else rep_id.cast("string")).alias("rep_id"),
-        (F.lit(None).cast("string") if role is None else role).alias("role"),
-        (no_key if role_key is None else role_key).alias("role_key"),
-        row.alias("row_id"),
+    """Project ``df`` to the participant layout; every argument is SQL over the columns of ``df``."""
+    return df.selectExpr(
+        f"{rule_id} as rule_id",
+        f"{verdict} as verdict",
+        f"cast({group_key} as {KEY_TYPE}) as group_key",
+        f"cast({rep_id} as string) as rep_id",
+        f"cast({role} as string) as role",
+        f"cast({role_key} as {KEY_TYPE}) as role_key",
+        f"{row} as row_id",
     )

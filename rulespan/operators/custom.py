@@ -11,12 +11,12 @@ from pyspark.sql import types as T
 
 from rulespan.functions.prep import exclude_nulls
 from rulespan.model import (
-    PARTICIPANT_COLUMNS,
     SATISFACTION,
     VIOLATION,
     RuleResult,
     as_list,
-    key_column,
+    key_sql,
+    literal,
     participant_rows,
     row_id_column,
 )
@@ -43,14 +43,9 @@ def custom_rule(
     lacking = {"verdict", "row_id"} - set(found.columns)
     if lacking:
         raise ValueError(f"a custom rule must return the columns verdict and row_id; missing {sorted(lacking)}")
-    blank = participant_rows(found, rule_id, verdict=F.col("verdict"), row=F.col("row_id"))
-    full = found.select(
-        F.lit(rule_id).alias("rule_id"),
-        *[
-            F.col(c) if c in found.columns else F.lit(None).cast(blank.schema[c].dataType).alias(c)
-            for c in PARTICIPANT_COLUMNS[1:]
-        ],
-    )
+    given = {"verdict": "verdict", "row": "row_id"}
+    given |= {c: c for c in ("group_key", "rep_id", "role", "role_key") if c in found.columns}
+    full = participant_rows(found, literal(rule_id), **given)
     base = tables if isinstance(tables, DataFrame) else tables[primary]
     metrics = metrics_of(full, base, rule_id, rule_class)
     return RuleResult(rule_id, rule_class, metrics, lambda verdicts: full.where(F.col("verdict").isin(*verdicts)))
@@ -154,8 +149,7 @@ def pandas_group_rule(
         wanted = groups.where(F.col("verdict").isin(*verdicts)).select(*key, "verdict")
         joined = join_groups(rows, wanted, key, hot, F.col("_row"))
         return participant_rows(
-            joined, rule_id, verdict=F.col("verdict"), row=F.col("_row"),
-            group_key=key_column(key), rep_id=F.lit("0"), role=F.lit("group"),
+            joined, literal(rule_id), group_key=key_sql(key), rep_id="0", role="'group'"
         )
 
     return RuleResult(rule_id, "group", metrics, find, groups)

@@ -18,8 +18,10 @@ from rulespan.model import (
     RuleResult,
     as_column,
     as_list,
-    key_column,
+    key_sql,
+    literal,
     participant_rows,
+    quoted,
     row_id_column,
 )
 from rulespan.operators.metrics import finish, group_counts
@@ -52,32 +54,31 @@ def scoped(
     )
 
 
-def judgeable(key: Sequence[str]) -> Column:
-    """False for the group of the rows out of scope. Grouping by the key alone, and not by ``_ok`` as well,
-    lets the join back to the rows reuse the partitioning of the groups."""
-    return F.col(key[0]).isNotNull()
+def judgeable(key: Sequence[str]) -> str:
+    """SQL that is false for the group of the rows out of scope. Grouping by the key alone, and not by ``_ok``
+    as well, lets the join back to the rows reuse the partitioning of the groups."""
+    return f"{quoted(key[0])} is not null"
 
 
-def judged_groups(per_key: DataFrame, key: Sequence[str], verdict: Column, rows: Column) -> DataFrame:
+def judged_groups(per_key: DataFrame, key: Sequence[str], holds: Column | str, rows: str) -> DataFrame:
     """Add the columns ``group_counts`` sums, for rules that give a whole group one verdict.
 
-    ``verdict`` is NULL for groups the rule does not apply to; ``rows`` is the number of rows with a role.
+    ``holds`` is NULL for groups the rule does not apply to; ``rows`` is the number of rows with a role.
     """
-    judged = per_key.withColumn("verdict", F.when(judgeable(key), verdict))
-    sat = F.coalesce(F.col("verdict") == SATISFACTION, F.lit(False))
-    viol = F.coalesce(F.col("verdict") == VIOLATION, F.lit(False))
-    return judged.select(
+    judged = per_key.withColumn("_holds", as_column(holds)).withColumn("_holds", F.expr(f"if({judgeable(key)}, _holds, null)"))
+    return judged.selectExpr(
         "*",
-        sat.alias("sat"),
-        viol.alias("viol"),
-        F.when(sat | viol, rows).otherwise(F.lit(0)).alias("involved_rows"),
-        F.when(sat, rows).otherwise(F.lit(0)).alias("sat_rows"),
-        F.when(viol, rows).otherwise(F.lit(0)).alias("viol_rows"),
+        f"{VERDICT_SQL} as verdict",
+        "coalesce(_holds, false) as sat",
+        "coalesce(not _holds, false) as viol",
+        f"if(_holds is null, 0, {rows}) as involved_rows",
+        f"if(_holds, {rows}, 0) as sat_rows",
+        f"if(not _holds, {rows}, 0) as viol_rows",
     )
 
 
-def verdict_of(holds: Column) -> Column:
-    return F.when(holds, F.lit(SATISFACTION)).when(~holds, F.lit(VIOLATION))
+#: The verdict as text, from the flag ``_holds``.
+VERDICT_SQL = f"case when _holds then '{SATISFACTION}' when not _holds then '{VIOLATION}' end"
 
 
 def rows_with_verdict(
@@ -111,14 +112,13 @@ def unique_key(
     key = as_list(key)
     rows = scoped(df, key, key, body, row_id, {})
     per_key = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("all_rows"))
-    groups = judged_groups(per_key, key, verdict_of(F.col("all_rows") == 1), F.col("all_rows"))
+    groups = judged_groups(per_key, key, "all_rows = 1", "all_rows")
 
     def find(verdicts: Sequence[str]) -> DataFrame:
         joined = rows_with_verdict(df, rows, groups, key, verdicts)
-        role = F.when(F.col("verdict") == SATISFACTION, F.lit("unique_record")).otherwise(F.lit("duplicates"))
+        role = f"if(verdict = '{SATISFACTION}', 'unique_record', 'duplicates')"
         return participant_rows(
-            joined, rule_id, verdict=F.col("verdict"), row=F.col("_row"),
-            group_key=key_column(key), rep_id=F.lit("0"), role=role,
+            joined, literal(rule_id), group_key=key_sql(key), rep_id="0", role=role
         )
 
     return _result(rule_id, groups, find)
@@ -146,13 +146,12 @@ def functional_dependency(
     per_key = pairs.groupBy(*key).agg(
         F.sum("_n").alias("all_rows"), F.count(F.lit(1)).alias("distinct_values")
     )
-    groups = judged_groups(per_key, key, verdict_of(F.col("distinct_values") == 1), F.col("all_rows"))
+    groups = judged_groups(per_key, key, "distinct_values = 1", "all_rows")
 
     def find(verdicts: Sequence[str]) -> DataFrame:
         joined = rows_with_verdict(df, rows, groups, key, verdicts)
         return participant_rows(
-            joined, rule_id, verdict=F.col("verdict"), row=F.col("_row"),
-            group_key=key_column(key), rep_id=F.lit("0"), role_key=key_column(rhs),
+            joined, literal(rule_id), group_key=key_sql(key), rep_id="0", role_key=key_sql(rhs)
         )
 
     return _result(rule_id, groups, find)
@@ -186,13 +185,12 @@ def sum_to_total(
         F.count_if(is_part | is_total).alias("role_rows"),
     )
     holds = compare(F.col("sum_value"), op, F.col("total_value"), tol)
-    groups = judged_groups(per_key, key, verdict_of(holds), F.col("role_rows"))
+    groups = judged_groups(per_key, key, holds, "role_rows")
 
     def find(verdicts: Sequence[str]) -> DataFrame:
         joined = rows_with_verdict(df, rows.where(F.col("_role").isNotNull()), groups, key, verdicts)
         return participant_rows(
-            joined, rule_id, verdict=F.col("verdict"), row=F.col("_row"),
-            group_key=key_column(key), rep_id=F.lit("0"), role=F.col("_role"),
+            joined, literal(rule_id), group_key=key_sql(key), rep_id="0", role="_role"
         )
 
     return _result(rule_id, groups, find)
@@ -225,9 +223,10 @@ def sum_to_threshold(
     reps = (
         rows.groupBy(*key, "_rep")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("_value").alias("sum_value"))
-        .withColumn("verdict", F.when(judgeable(key), verdict_of(compare(F.col("sum_value"), op, limit, tol))))
+        .withColumn("_holds", compare(F.col("sum_value"), op, limit, tol))
+        .withColumn("verdict", F.expr(f"if({judgeable(key)}, {VERDICT_SQL}, null)"))
     )
-    groups = mixed_groups(reps, key, F.col("_n"))
+    groups = mixed_groups(reps, key)
 
     def find(verdicts: Sequence[str]) -> DataFrame:
         on = key + ["_rep_key"]
@@ -237,26 +236,25 @@ def sum_to_threshold(
             df, rows.withColumn("_rep_key", text), reps.withColumn("_rep_key", text), on, verdicts
         )
         return participant_rows(
-            joined, rule_id, verdict=F.col("verdict"), row=F.col("_row"),
-            group_key=key_column(key), rep_id=F.coalesce(F.col("_rep").cast("string"), F.lit("0")), role=F.lit("sum"),
+            joined, literal(rule_id), group_key=key_sql(key), rep_id="coalesce(cast(_rep as string), '0')", role="'sum'"
         )
 
     return _result(rule_id, groups, find, group_verdict)
 
 
-def mixed_groups(reps: DataFrame, key: Sequence[str], rows: Column) -> DataFrame:
-    """Per-group table from representations with a verdict each, whose rows do not overlap."""
-    sat, viol = F.col("verdict") == SATISFACTION, F.col("verdict") == VIOLATION
-    return reps.groupBy(*key).agg(
-        F.sum(rows).alias("all_rows"),
-        F.coalesce(F.sum(F.when(sat, rows)), F.lit(0)).alias("sat_rows"),
-        F.coalesce(F.sum(F.when(viol, rows)), F.lit(0)).alias("viol_rows"),
-        F.coalesce(F.sum(F.when(F.col("verdict").isNotNull(), rows)), F.lit(0)).alias("involved_rows"),
-        F.coalesce(F.bool_or(sat), F.lit(False)).alias("sat"),
-        F.coalesce(F.bool_or(viol), F.lit(False)).alias("viol"),
-        F.count_if(sat).alias("sat_reps"),
-        F.count_if(viol).alias("viol_reps"),
-    )
+def mixed_groups(reps: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Per-group table from representations of ``_n`` rows with a verdict each, whose rows do not overlap."""
+    sat, viol = f"verdict = '{SATISFACTION}'", f"verdict = '{VIOLATION}'"
+    columns = {
+        "all_rows": "sum(_n)",
+        "sat_rows": f"coalesce(sum(_n) filter (where {sat}), 0)",
+        "viol_rows": f"coalesce(sum(_n) filter (where {viol}), 0)",
+        "involved_rows": "coalesce(sum(_n) filter (where verdict is not null), 0)",
+        "sat_reps": f"count_if({sat})",
+        "viol_reps": f"count_if({viol})",
+    }
+    folded = reps.groupBy(*key).agg(*[F.expr(f"{sql} as {name}") for name, sql in columns.items()])
+    return folded.selectExpr("*", "sat_reps > 0 as sat", "viol_reps > 0 as viol")
 
 
 GROUP_AGGREGATES = {
@@ -291,13 +289,12 @@ def aggregate_constraint(
     result = GROUP_AGGREGATES[agg](F.col("_value") if value else None)
     per_key = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("all_rows"), result.alias("agg_value"))
     holds = F.expr(predicate) if isinstance(predicate, str) else predicate(F.col("agg_value"))
-    groups = judged_groups(per_key, key, verdict_of(F.coalesce(holds, F.lit(False))), F.col("all_rows"))
+    groups = judged_groups(per_key, key, F.coalesce(holds, F.lit(False)), "all_rows")
 
     def find(verdicts: Sequence[str]) -> DataFrame:
         joined = rows_with_verdict(df, rows, groups, key, verdicts)
         return participant_rows(
-            joined, rule_id, verdict=F.col("verdict"), row=F.col("_row"),
-            group_key=key_column(key), rep_id=F.lit("0"), role=F.lit("group"),
+            joined, literal(rule_id), group_key=key_sql(key), rep_id="0", role="'group'"
         )
 
     return _result(rule_id, groups, find)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.model import METRIC_COLUMNS, SATISFACTION, VIOLATION
+from rulespan.model import METRIC_COLUMNS, SATISFACTION, VIOLATION, literal
 from rulespan.operators.skew import find_hot, join_groups
 
 COUNT_TYPE = "bigint"
@@ -18,48 +18,51 @@ SUPPORT_MODES = ("applicable", "satisfied")
 GROUP_VERDICTS = ("each", "any_violation")
 
 
-def ratio(part: Column, whole: Column, empty: float) -> Column:
-    return F.when(whole == 0, F.lit(empty)).otherwise(part.cast("double") / whole.cast("double"))
+def ratio(part: str, whole: str, empty: float) -> str:
+    """SQL for a share, ``empty`` where there is nothing to share."""
+    return f"if({whole} = 0, {empty}D, cast({part} as double) / cast({whole} as double))"
 
 
-def finish(counts: DataFrame, rule_id: str | Column, rule_class: str, support_mode: str = "applicable") -> DataFrame:
+def finish(counts: DataFrame, rule_id: str | None, rule_class: str, support_mode: str = "applicable") -> DataFrame:
     """Add the ratios to the table of counts, which has one row per rule.
 
     support    = rows the rule looked at / all rows (nulls excluded from the first, not from the second);
                  with ``support_mode="satisfied"``, rows that satisfy it / all rows
     confidence = satisfied / (satisfied + violated), over rows for row rules and over group keys or pairs
                  otherwise; 1.0 when nothing was applicable
+
+    Without ``rule_id`` the counts carry one. The text form of the expressions is on purpose: it is one call
+    into the JVM instead of some hundred, and a catalogue has many rules.
     """
     if support_mode not in SUPPORT_MODES:
         raise ValueError(f"support_mode must be one of {SUPPORT_MODES}")
-    counted = counts.select(
-        (rule_id if isinstance(rule_id, Column) else F.lit(rule_id)).alias("rule_id"),
-        *[F.coalesce(c, F.lit(0)).cast(COUNT_TYPE).alias(c) for c in METRIC_COLUMNS[2:6]],
-        *[F.coalesce(c, F.lit(0)).cast(GROUP_COUNT_TYPE).alias(c) for c in METRIC_COLUMNS[6:8]],
+    counted = counts.selectExpr(
+        "rule_id" if rule_id is None else f"{literal(rule_id)} as rule_id",
+        f"{literal(rule_class)} as rule_class",
+        *[f"cast(coalesce({c}, 0) as {COUNT_TYPE}) as {c}" for c in METRIC_COLUMNS[2:6]],
+        *[f"cast(coalesce({c}, 0) as {GROUP_COUNT_TYPE}) as {c}" for c in METRIC_COLUMNS[6:8]],
     )
     sat, viol = ("sat_rows", "viol_rows") if rule_class == "row" else ("sat_groups", "viol_groups")
     supported = "applicable_rows" if support_mode == "applicable" else "sat_rows"
-    return counted.select(
-        "rule_id",
-        F.lit(rule_class).alias("rule_class"),
-        *METRIC_COLUMNS[2:8],
-        ratio(F.col(supported), F.col("total_rows"), 0.0).alias("support"),
-        ratio(F.col(sat), F.col(sat) + F.col(viol), 1.0).alias("confidence"),
-        ratio(F.col("viol_rows"), F.col("viol_rows") + F.col("sat_rows"), 0.0).alias("violation_rate"),
+    return counted.selectExpr(
+        "*",
+        f"{ratio(supported, 'total_rows', 0.0)} as support",
+        f"{ratio(sat, f'({sat} + {viol})', 1.0)} as confidence",
+        f"{ratio('viol_rows', '(viol_rows + sat_rows)', 0.0)} as violation_rate",
     )
 
 
-def row_counts(scope: Column, head: Column) -> list[Column]:
-    """The count columns of a row rule, to be evaluated in one aggregate over all rows."""
-    holds = F.coalesce(head, F.lit(False))
-    return [
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(scope).alias("applicable_rows"),
-        F.count_if(scope & holds).alias("sat_rows"),
-        F.count_if(scope & ~holds).alias("viol_rows"),
-        F.lit(None).cast(GROUP_COUNT_TYPE).alias("sat_groups"),
-        F.lit(None).cast(GROUP_COUNT_TYPE).alias("viol_groups"),
-    ]
+def row_counts(df: DataFrame, scope: Column, head: Column) -> DataFrame:
+    """The counts of a row rule, in one aggregate over all rows."""
+    judged = df.select(scope.alias("_scope"), head.alias("_head"))
+    return judged.selectExpr(
+        "count(1) as total_rows",
+        "count_if(_scope) as applicable_rows",
+        "count_if(_scope and _head) as sat_rows",
+        "count_if(_scope and not coalesce(_head, false)) as viol_rows",
+        "0 as sat_groups",
+        "0 as viol_groups",
+    )
 
 
 def group_counts(groups: DataFrame, group_verdict: str = "each") -> DataFrame:
@@ -71,14 +74,14 @@ def group_counts(groups: DataFrame, group_verdict: str = "each") -> DataFrame:
     """
     if group_verdict not in GROUP_VERDICTS:
         raise ValueError(f"group_verdict must be one of {GROUP_VERDICTS}")
-    sat = F.col("sat") if group_verdict == "each" else F.col("sat") & ~F.col("viol")
-    return groups.agg(
-        F.sum("all_rows").alias("total_rows"),
-        F.sum("involved_rows").alias("applicable_rows"),
-        F.sum("sat_rows").alias("sat_rows"),
-        F.sum("viol_rows").alias("viol_rows"),
-        F.count_if(sat).alias("sat_groups"),
-        F.count_if("viol").alias("viol_groups"),
+    sat = "sat" if group_verdict == "each" else "sat and not viol"
+    return groups.selectExpr(
+        "sum(all_rows) as total_rows",
+        "sum(involved_rows) as applicable_rows",
+        "sum(sat_rows) as sat_rows",
+        "sum(viol_rows) as viol_rows",
+        f"count_if({sat}) as sat_groups",
+        "count_if(viol) as viol_groups",
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.model import SATISFACTION, VIOLATION, RuleResult, as_list, key_column, participant_rows
+from rulespan.model import SATISFACTION, VIOLATION, RuleResult, as_list, key_sql, literal, participant_rows
 from rulespan.operators.groups import scoped
 from rulespan.operators.metrics import finish, group_counts
 from rulespan.operators.skew import find_hot, join_groups, running, stored_if_large
@@ -88,8 +88,7 @@ def monotonic(
         )
         cases = with_bounds(rows.where("_ok").drop("_ok"), "_row").withColumn("_case", F.explode(case))
         return participant_rows(
-            cases, rule_id, verdict=F.col("_case.verdict"), row=F.col("_row"),
-            group_key=key_column(key), role=F.col("_case.role"),
+            cases, literal(rule_id), verdict="_case.verdict", group_key=key_sql(key), role="_case.role"
         )
 
     return RuleResult(rule_id, "group", metrics, find, groups.where("sat or viol"))
@@ -152,8 +151,8 @@ def sequence_rule(
             ),
         )
         return participant_rows(
-            members.where(F.col("_verdict").isin(*verdicts)), rule_id, verdict=F.col("_verdict"),
-            row=F.col("_member"), rep_id=F.col("_pair").cast("string"), role=F.col("_role"),
+            members.where(F.col("_verdict").isin(*verdicts)), literal(rule_id), verdict="_verdict",
+            row="_member", rep_id="_pair", role="_role",
         )
 
     return RuleResult(rule_id, "pair", metrics, find)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.model import RuleResult, as_list, key_column, participant_rows
-from rulespan.operators.groups import mixed_groups, scoped, verdict_of
+from rulespan.model import RuleResult, as_list, key_sql, literal, participant_rows
+from rulespan.operators.groups import VERDICT_SQL, mixed_groups, scoped
 from rulespan.operators.metrics import finish, group_counts
 from rulespan.operators.quantiles import exact_quantiles
 from rulespan.operators.skew import find_hot, join_groups
@@ -56,19 +56,17 @@ def outlier(
     # Judge distinct values with their counts: a hot group reaches the join already folded.
     folded = judged_rows.groupBy(*key, "_value").agg(F.count(F.lit(1)).alias("_n"))
     judged = join_groups(folded, fences, key, find_hot(folded, key, upper), F.col("_value"))
-    reps = judged.withColumn("verdict", verdict_of(~outside))
-    groups = mixed_groups(reps, key, F.col("_n"))
+    reps = judged.withColumn("_holds", ~outside).selectExpr("*", f"{VERDICT_SQL} as verdict")
+    groups = mixed_groups(reps, key)
     counts = group_counts(groups, group_verdict).withColumn("total_rows", F.lit(upper))
     metrics = finish(counts, rule_id, "group")
 
     def find(verdicts: Sequence[str]) -> DataFrame:
         joined = join_groups(judged_rows, fences, key, find_hot(judged_rows, key, upper), F.col("_row"))
-        verdict = verdict_of(~outside)
-        role = F.when(outside, F.lit("outliers")).otherwise(F.lit("inliers"))
-        found = participant_rows(
-            joined, rule_id, verdict=verdict, row=F.col("_row"),
-            group_key=key_column(key), rep_id=F.lit("0"), role=role,
+        placed = joined.withColumn("_holds", ~outside).selectExpr("*", f"{VERDICT_SQL} as verdict")
+        return participant_rows(
+            placed.where(F.col("verdict").isin(*verdicts)), literal(rule_id),
+            group_key=key_sql(key), rep_id="0", role="if(_holds, 'inliers', 'outliers')",
         )
-        return found.where(F.col("verdict").isin(*verdicts))
 
     return RuleResult(rule_id, "group", metrics, find, groups)

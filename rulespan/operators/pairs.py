@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.model import SATISFACTION, VIOLATION, RuleResult, as_list, key_column, participant_rows
+from rulespan.model import SATISFACTION, VIOLATION, RuleResult, as_list, key_sql, literal, participant_rows
 from rulespan.operators.groups import judgeable, scoped
 from rulespan.operators.metrics import GROUP_COUNT_TYPE, finish
 from rulespan.operators.skew import find_hot, join_groups
@@ -48,7 +48,7 @@ def pair_rule(
         F.sum(F.when(F.col("_block") > 1, F.col("_block"))).alias("_paired"),
         F.count(F.lit(1)).alias("_blocks"),
     )
-    ok = judgeable(match)
+    ok = F.expr(judgeable(match))
     counts = sizes.agg(
         F.sum("_group").alias("total_rows"),
         F.sum(F.when(ok & (F.col("_group") > 1), F.col("_group"))).alias("applicable_rows"),
@@ -76,8 +76,8 @@ def pair_rule(
         key = match + extra
         joined = join_groups(in_rule, sized, key, find_hot(in_rule, key, upper), F.col("_row"))
         return participant_rows(
-            joined.withColumn("_side", F.explode("_sides")), rule_id, verdict=F.col("_side"), row=F.col("_row"),
-            group_key=key_column(match), role=F.lit("block"), role_key=key_column(agree),
+            joined.withColumn("_side", F.explode("_sides")), literal(rule_id), verdict="_side",
+            group_key=key_sql(match), role="'block'", role_key=key_sql(agree),
         )
 
     return RuleResult(rule_id, "pair", metrics, find)

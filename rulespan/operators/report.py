@@ -68,8 +68,7 @@ def pass_rate(cases: DataFrame, by: Sequence[str] = (), threshold: float = PASS_
     rated = cases.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_cases"), F.count_if(F.coalesce("success", F.lit(False))).alias("passed_cases")
     )
-    rate = ratio(F.col("passed_cases"), F.col("total_cases"), 0.0)
-    return rated.withColumn("pass_rate", rate).withColumn("passed", F.col("pass_rate") >= F.lit(threshold))
+    return rated.withColumn("pass_rate", F.expr(ratio("passed_cases", "total_cases", 0.0))).withColumn("passed", F.col("pass_rate") >= F.lit(threshold))
 
 
 # The outcomes a run log may hold.

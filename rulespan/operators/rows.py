@@ -15,10 +15,11 @@ from rulespan.model import (
     RuleResult,
     as_column,
     as_list,
+    literal,
     participant_rows,
     row_id_column,
 )
-from rulespan.operators.metrics import COUNT_TYPE, GROUP_COUNT_TYPE, finish, row_counts
+from rulespan.operators.metrics import finish, row_counts
 
 
 @dataclass(frozen=True)
@@ -49,11 +50,11 @@ def row_rule(
 ) -> RuleResult:
     rule = RowRule(rule_id, head, body, as_list(cols))
     scope = in_scope(df, rule.cols, body)
-    metrics = finish(df.agg(*row_counts(scope, as_column(head))), rule_id, "row", support_mode)
+    metrics = finish(row_counts(df, scope, as_column(head)), rule_id, "row", support_mode)
 
     def find(verdicts: Sequence[str]) -> DataFrame:
-        judged = participant_rows(df.where(scope), rule_id, verdict=rule.verdict(), row=row_id_column(row_id))
-        return judged.where(F.col("verdict").isin(*verdicts))
+        judged = df.where(scope).select(rule.verdict().alias("verdict"), row_id_column(row_id).alias("_row"))
+        return participant_rows(judged, literal(rule_id)).where(F.col("verdict").isin(*verdicts))
 
     return RuleResult(rule_id, "row", metrics, find)
 
@@ -96,24 +97,20 @@ def evaluate_row_rules(
     scopes = {r.rule_id: in_scope(df, r.cols, r.body) for r in rules}
     if len(scopes) != len(rules):
         raise ValueError("rule ids must be distinct")
-    counters = []
-    for rule in rules:
-        holds = F.coalesce(as_column(rule.head), F.lit(False))
+    flags, counters = [], []
+    for i, rule in enumerate(rules):
+        flags += [scopes[rule.rule_id].alias(f"_scope{i}"), as_column(rule.head).alias(f"_head{i}")]
         counters.append(
-            F.struct(
-                F.count(F.lit(1)).alias("total_rows"),
-                F.count_if(scopes[rule.rule_id]).alias("applicable_rows"),
-                F.count_if(scopes[rule.rule_id] & holds).alias("sat_rows"),
-                F.lit(rule.rule_id).alias("rule_id"),
-            )
+            f"named_struct('rule_id', {literal(rule.rule_id)}, 'total_rows', count(1), "
+            f"'applicable_rows', count_if(_scope{i}), 'sat_rows', count_if(_scope{i} and _head{i}))"
         )
     counted = (
-        df.agg(F.array(*counters).alias("r"))
-        .select(F.inline("r"))
-        .withColumn("viol_rows", (F.col("applicable_rows") - F.col("sat_rows")).cast(COUNT_TYPE))
-        .withColumns({c: F.lit(0).cast(GROUP_COUNT_TYPE) for c in ("sat_groups", "viol_groups")})
+        df.select(*flags)
+        .selectExpr(f"array({', '.join(counters)}) as r")
+        .selectExpr("inline(r)")
+        .selectExpr("*", "applicable_rows - sat_rows as viol_rows", "0 as sat_groups", "0 as viol_groups")
     )
-    metrics = finish(counted, F.col("rule_id"), "row", support_mode)
+    metrics = finish(counted, None, "row", support_mode)
     verdicts = F.array(
         *[
             F.when(scopes[r.rule_id], F.struct(F.lit(r.rule_id).alias("rule_id"), r.verdict().alias("verdict")))
@@ -121,5 +118,5 @@ def evaluate_row_rules(
         ]
     )
     exploded = df.select(row_id_column(row_id).alias("_row"), F.explode(F.array_compact(verdicts)).alias("v"))
-    participants = participant_rows(exploded, F.col("v.rule_id"), verdict=F.col("v.verdict"), row=F.col("_row"))
+    participants = participant_rows(exploded, "v.rule_id", verdict="v.verdict")
     return SharedScan(metrics, participants)

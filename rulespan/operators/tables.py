@@ -15,6 +15,7 @@ from rulespan.model import (
     RuleResult,
     as_column,
     as_list,
+    literal,
     participant_rows,
     row_id_column,
 )
@@ -84,7 +85,7 @@ def references(
         judged = rows.where("_ok").drop("_ok")
         wanted = looked_up.where(F.col("verdict").isin(*verdicts)).select(*names, "verdict")
         joined = join_groups(judged, wanted, names, find_hot(judged, names, primary.count()), F.col("_row"))
-        return participant_rows(joined, rule_id, verdict=F.col("verdict"), row=F.col("_row"))
+        return participant_rows(joined, literal(rule_id))
 
     return RuleResult(rule_id, "row", finish(counts, rule_id, "row"), find)
 
@@ -138,9 +139,8 @@ def cross_table_rule(
     ).withColumn("total_rows", F.lit(upper))
 
     def find(verdicts: Sequence[str]) -> DataFrame:
-        verdict = F.when(F.col("_holds"), F.lit(SATISFACTION)).otherwise(F.lit(VIOLATION))
-        found = participant_rows(judged, rule_id, verdict=verdict, row=F.col("_row"))
-        return found.where(F.col("verdict").isin(*verdicts))
+        verdict = f"if(_holds, '{SATISFACTION}', '{VIOLATION}')"
+        return participant_rows(judged, literal(rule_id), verdict=verdict).where(F.col("verdict").isin(*verdicts))
 
     return RuleResult(rule_id, "row", finish(counts, rule_id, "row"), find)
 

@@ -42,11 +42,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
 def metrics_out(metrics: DataFrame | RuleResult) -> DataFrame:
     """Metrics with plain types and rounded ratios."""
     metrics = metrics.metrics if isinstance(metrics, RuleResult) else metrics
-    return metrics.select(
+    return metrics.selectExpr(
         "rule_id", "total_rows", "applicable_rows", "sat_rows", "viol_rows",
-        F.col("sat_groups").cast("bigint").alias("sat_groups"),
-        F.col("viol_groups").cast("bigint").alias("viol_groups"),
-        *[F.round(c, 9).alias(c) for c in ("support", "confidence", "violation_rate")],
+        "cast(sat_groups as bigint) as sat_groups", "cast(viol_groups as bigint) as viol_groups",
+        *[f"round({c}, 9) as {c}" for c in ("support", "confidence", "violation_rate")],
     )
 
 
