@@ -127,3 +127,13 @@ def header_fields(text: Column) -> dict[str, Column]:
             stripped(F.replace(F.get(tags, F.size(tags) - 1), F.lit(f"# {TAGS_MARK}"), F.lit(""))), F.lit("")
         ),
     }
+
+
+def result_row_ids(col: Column) -> Column:
+    """The distinct row ids in a stored result: all numbers that are values in the JSON text.
+
+    Keys, strings, booleans and nulls are no ids; fractions are cut off.
+    """
+    bare = F.regexp_replace(col, r'"(?:[^"\\]|\\.)*"', '""')
+    numbers = F.regexp_extract_all(bare, F.lit(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"), F.lit(0))
+    return F.array_distinct(F.transform(numbers, lambda n: F.coalesce(n.try_cast("bigint"), n.try_cast("double").try_cast("bigint"))))

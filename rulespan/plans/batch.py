@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespan.functions.prep import matches, present
-from rulespan.model import RuleResult, as_list
+from rulespan.model import RuleResult, as_list, row_id_column
 from rulespan.operators import groups, order, outliers, pairs, rows, tables
 from rulespan.operators.report import STATUS
 from rulespan.sources.results import no_nan
@@ -154,3 +154,72 @@ def _run_portion(portion: list[RuleSpec], tables_by_name: Mapping[str, DataFrame
         return [(portion[0].rule_id, STATUS["error"], time.monotonic() - started, str(error)[:1000], False, None)]
     seconds = (time.monotonic() - started) / len(portion)
     return [(spec.rule_id, STATUS["ok"], seconds, None, False, None) for spec in portion]
+
+
+MULTI_LOG_SCHEMA = LOG_SCHEMA + ", violation_rate double, expected_rate double, rate_matches boolean"
+
+
+@dataclass(frozen=True)
+class InjectionTest:
+    """A rule with records to append before it runs, and the violation rate its tables should show."""
+
+    spec: RuleSpec
+    instructions: Sequence[Mapping] = ()
+    expected_rate: float | None = None
+
+
+def injection_tests(catalogue: DataFrame) -> list[InjectionTest]:
+    """The executable rules of a two-table catalogue (see ``sources.catalogue.load_multi_table_rules``)."""
+    tests = []
+    for r in catalogue.where(F.col("check").isNotNull()).toLocalIterator():
+        spec = RuleSpec.from_json(r.rule_id, r.table1, r.check, r.table2)
+        tests.append(InjectionTest(spec, json.loads(r.violation_data_generator or "[]"), r.violation_rate))
+    return tests
+
+
+def run_injection_tests(
+    spark: SparkSession, tests: Sequence[InjectionTest], tables_by_name: Mapping[str, DataFrame], tol: float = 1e-6
+) -> DataFrame:
+    """Append each rule's records, evaluate it, and log whether they were found and the rate is as expected.
+
+    The log is what ``report.run_summary`` sums up. Each rule brings one row of metrics and one of hits back.
+    """
+    return spark.createDataFrame([_run_injection_test(spark, t, tables_by_name, tol) for t in tests], MULTI_LOG_SCHEMA)
+
+
+def _run_injection_test(spark: SparkSession, test: InjectionTest, tables_by_name: Mapping[str, DataFrame], tol: float) -> tuple:
+    spec, expected = test.spec, test.expected_rate
+    injected = bool(test.instructions)
+
+    def entry(status: str, seconds=None, error=None, found=None, rate=None) -> tuple:
+        # Nothing expected and nothing observed agree as well.
+        matches = rate is None and expected is None
+        if rate is not None and expected is not None:
+            matches = abs(rate - expected) < tol
+        return (spec.rule_id, STATUS[status], seconds, error, injected, found, rate, expected, matches)
+
+    if not spec.kind or not spec.table or not spec.table2:
+        return entry("missing_info")
+    if spec.table not in tables_by_name or spec.table2 not in tables_by_name:
+        return entry("load_failed")
+    started = time.monotonic()
+    try:
+        own = {name: tables_by_name[name] for name in (spec.table, spec.table2)}
+        changed, _ = tables.inject(spark, own, test.instructions)
+        result = evaluate(spec, changed)
+        rate = result.metrics.first().violation_rate
+        found = _any_found(spark, spec, test.instructions, own[spec.table], result) if injected else None
+    except Exception as error:
+        return entry("error", time.monotonic() - started, str(error)[:1000])
+    return entry("ok", time.monotonic() - started, found=found, rate=rate)
+
+
+def _any_found(spark, spec: RuleSpec, instructions: Sequence[Mapping], primary: DataFrame, result: RuleResult) -> bool:
+    """Whether a record appended to the primary table is among the violations; records are known by their key."""
+    key = as_list(spec.row_id)
+    records = [i["record_to_add"] for i in instructions if i.get("table_to_modify") == spec.table and i.get("record_to_add")]
+    ids = [tuple(r[c] for c in key) for r in records if all(r.get(c) is not None for c in key)]
+    if not ids:
+        return False
+    wanted = spark.createDataFrame(ids, primary.select(*key).schema).select(row_id_column(key).alias("row_id"))
+    return tables.injected_found(result.violations(), wanted).first().any_found

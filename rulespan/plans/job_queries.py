@@ -605,3 +605,14 @@ def _(t: Tables) -> DataFrame:
     WHERE EXISTS (SELECT 1 FROM documents o WHERE o.text = d.text AND o.source <> d.source)""")
 def _(t: Tables) -> DataFrame:
     return copies(t).participants([VIOLATION]).agg(F.count(F.lit(1)).alias("rows_in_violating_pairs"))
+
+
+@query("result_row_ids", """
+    SELECT event_id, array_to_string(list_sort(list_distinct([event_id, event_id + 1, user_id,
+      regexp_extract(props, '[0-9]+')::BIGINT])), ',') AS ids FROM events""")
+def _(t: Tables) -> DataFrame:
+    stored = F.format_string(
+        '{"%s 17": [{"sum": [%d, %d.9], "ok": true}, {"compare": %d, "note": "row 5 \\"6\\""}, null], "more": %s}',
+        F.col("event_type"), F.col("event_id"), F.col("event_id") + 1, F.col("user_id"), F.col("props"))
+    ids = F.sort_array(text.result_row_ids(stored)).cast("array<string>")
+    return t.events.select("event_id", F.array_join(ids, ",").alias("ids"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulespan.operators import groups
-from rulespan.operators.report import STATUS
+from rulespan.operators.report import STATUS, run_summary
 from rulespan.plans import batch
 from rulespan.sources import catalogue, corpus, results, tables
 
@@ -107,6 +107,38 @@ def test_multi_table_rules(spark, tmp_path):
     assert [len(json.loads(r.violation_data_generator)) for r in rows] == [1, 2]
 
 
+def test_injected_records_are_found(spark, tmp_path):
+    check = json.dumps({"kind": "references", "row_id": "id", "params": {"fk": "k", "pk": "k2"}})
+    def rule(**more):
+        return {"rule_definition": "d", "table1": "a", "table2": "b", "check": check, **more}
+    bad = {"table_to_modify": "a", "record_to_add": {"_id": 9, "id": 9, "k": 99}}
+    good = {"table_to_modify": "a", "record_to_add": {"_id": 8, "id": 8, "k": 1}}
+    path = tmp_path / "multi.json"
+    path.write_text(json.dumps([
+        rule(violation_rate=0.25, violation_data_generator=bad), rule(violation_rate=0.0, violation_data_generator=[good]),
+        rule(violation_rate=0.5), {**rule(violation_rate=0.0), "table2": "zzz"}, {**rule(), "table2": None},
+        {**rule(violation_rate=0.0), "check": json.dumps({"kind": "odd", "row_id": "id"})},
+    ]))
+    base = {
+        "a": spark.createDataFrame([(0, 1), (1, 2), (2, 1)], "id int, k int"),
+        "b": spark.createDataFrame([(1,), (2,)], "k2 int"),
+    }
+    tests = batch.injection_tests(catalogue.load_multi_table_rules(spark, str(path)))
+    log = batch.run_injection_tests(spark, tests, base)
+    got = [(r.status, r.injected, r.injected_found, r.violation_rate, r.rate_matches) for r in log.orderBy("rule_id").collect()]
+    assert got == [
+        (STATUS["ok"], True, True, 0.25, True),
+        (STATUS["ok"], True, False, 0.0, True),
+        (STATUS["ok"], False, None, 0.0, False),
+        (STATUS["load_failed"], False, None, None, False),
+        (STATUS["missing_info"], False, None, None, True),
+        (STATUS["error"], False, None, None, False),
+    ]
+    summary = run_summary(log).first()
+    assert (summary.total_rules, summary.injected_rules, summary.injected_found_percent) == (6, 2, 50.0)
+    assert (summary.ok_rules, summary.skipped_rules, summary.failed_rules) == (3, 2, 1)
+
+
 def test_results_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(0, "a", 1), (1, "a", 2), (2, "b", 1)], "id int, k string, v int")
     result = groups.functional_dependency(df, "k", "v", row_id="id", rule_id="r1")
