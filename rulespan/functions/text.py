@@ -35,9 +35,13 @@ def page_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+#: Whitespace cut off at both ends of a text.
+BLANKS = " \t\n\r\x0b\x0c"
+
+
 def stripped(col: Column) -> Column:
     """Without whitespace at both ends, line breaks included."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def _group(col: Column, pattern: str) -> Column:
@@ -113,7 +117,7 @@ METRICS_MARK = "Metrics:"
 
 def header_fields(text: Column) -> dict[str, Column]:
     """Description and tags from the comment lines among the first five lines; the last of each kind counts."""
-    lines = F.filter(F.slice(F.split(text, "\n"), 1, HEADER_LINES), lambda line: line.startswith("# "))
+    lines = F.filter(F.slice(F.split(text, "\n", HEADER_LINES + 1), 1, HEADER_LINES), lambda line: line.startswith("# "))
     tags = F.filter(lines, lambda line: F.contains(line, F.lit(TAGS_MARK)))
     notes = F.filter(
         lines, lambda line: ~F.contains(line, F.lit(TAGS_MARK)) & ~F.contains(line, F.lit(METRICS_MARK))
@@ -134,6 +138,7 @@ def result_row_ids(col: Column) -> Column:
 
     Keys, strings, booleans and nulls are no ids; fractions are cut off.
     """
-    bare = F.regexp_replace(col, r'"(?:[^"\\]|\\.)*"', '""')
+    # Escapes go first, so that a string ends at the next quote and a plain character class matches it.
+    bare = F.regexp_replace(F.regexp_replace(col, r"\\.", ""), r'"[^"]*"', '""')
     numbers = F.regexp_extract_all(bare, F.lit(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"), F.lit(0))
     return F.array_distinct(F.transform(numbers, lambda n: F.coalesce(n.try_cast("bigint"), n.try_cast("double").try_cast("bigint"))))

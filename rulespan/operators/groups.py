@@ -7,11 +7,12 @@ Participants join the verdicts back to the rows; that join is salted for hot key
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.functions.prep import compare, in_scope
+from rulespan.functions.prep import compare, in_scope, present
 from rulespan.model import (
     SATISFACTION,
     VIOLATION,
@@ -298,3 +299,50 @@ def aggregate_constraint(
         )
 
     return _result(rule_id, groups, find)
+
+
+@dataclass(frozen=True)
+class GroupRule:
+    """A condition on an aggregate of every group: SQL over ``agg_value``. A unique key is ``count``, ``= 1``."""
+
+    rule_id: str
+    agg: str
+    predicate: str
+    value: str | None = None
+    body: str | None = None
+
+
+def evaluate_group_rules(df: DataFrame, key: str | Sequence[str], rules: Sequence[GroupRule]) -> DataFrame:
+    """Metrics of many rules on one key, from one scan and one shuffle of the per-group aggregates.
+
+    Every rule keeps its own scope: rows outside it count for the others.
+    """
+    key = as_list(key)
+    if len({r.rule_id for r in rules}) != len(rules):
+        raise ValueError("rule ids must be distinct")
+    keyed = present(df, key)
+    flags, folded, results = [], [F.count(F.lit(1)).alias("all_rows")], []
+    for i, rule in enumerate(rules):
+        if rule.agg not in GROUP_AGGREGATES or (rule.value is None and rule.agg != "count"):
+            raise ValueError(f"rule {rule.rule_id}: aggregate {rule.agg!r} is unknown or lacks a value column")
+        ok = in_scope(df, key + as_list(rule.value), rule.body)
+        flags.append(ok.alias(f"_ok{i}"))
+        if rule.value:
+            flags.append(F.when(ok, F.col(rule.value)).alias(f"_v{i}"))
+        folded.append(F.expr(f"count_if(_ok{i}) as _n{i}"))
+        folded.append(
+            GROUP_AGGREGATES[rule.agg](F.col(f"_v{i}")).alias(f"_a{i}") if rule.value else F.expr(f"count_if(_ok{i}) as _a{i}")
+        )
+        holds = f"coalesce(transform(array(_a{i}), agg_value -> ({rule.predicate}))[0], false)"
+        sat, viol = f"_n{i} > 0 and {holds}", f"_n{i} > 0 and not {holds}"
+        counts = {
+            "total_rows": "sum(all_rows)", "applicable_rows": f"sum(_n{i})",
+            "sat_rows": f"sum(if({sat}, _n{i}, 0))", "viol_rows": f"sum(if({viol}, _n{i}, 0))",
+            "sat_groups": f"count_if({sat})", "viol_groups": f"count_if({viol})",
+        }
+        fields = ", ".join(f"'{name}', {sql}" for name, sql in counts.items())
+        results.append(f"named_struct('rule_id', {literal(rule.rule_id)}, {fields})")
+    rows = df.select(*[F.when(keyed, F.col(c)).alias(c) for c in key], *flags)
+    per_key = rows.groupBy(*key).agg(*folded)
+    counted = per_key.selectExpr(f"array({', '.join(results)}) as r").selectExpr("inline(r)")
+    return finish(counted, None, "group")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulespan.model import VIOLATION
+from rulespan.model import SATISFACTION, VIOLATION, RuleResult, as_list, key_sql, quoted
 from rulespan.operators.metrics import ratio, verdict_rows
 
 #: Support and confidence may differ by this much and still count as reported equal.
@@ -143,35 +143,76 @@ def drill_down_rows(participants: DataFrame, df: DataFrame, row_id: str, rows: i
 
 
 def drill_down(
-    participants: DataFrame, df: DataFrame, row_id: str, groups: int = 10, per_role: int = 5
+    rule: Callable[[DataFrame], RuleResult],
+    df: DataFrame,
+    key: str | Sequence[str],
+    row_id: str,
+    groups: int = 10,
+    per_role: int = 5,
 ) -> DataFrame:
-    """For group rules: the first groups per rule and verdict, ``per_role`` rows of each role, and how many more.
+    """For group rules: the first groups of each verdict, ``per_role`` rows of each role, and how many more.
 
-    The window keeps ``per_role`` rows per role on each task before anything is shuffled, so a hot group
-    sends no more than that; the totals come from a plain aggregate.
+    Groups are picked from the per-group table. Since a group is judged by its own rows, the rule is then
+    run again on the rows of the picked groups alone, which a broadcast of at most ``2 * groups`` keys finds
+    without a shuffle of the table.
     """
+    key = as_list(key)
+    per_group = rule(df).groups
+    if per_group is None:
+        raise ValueError("the rule has no groups; use drill_down_rows")
+    sides = per_group.selectExpr(
+        *[quoted(c) for c in key],
+        f"to_json({key_sql(key)}) as _group",
+        f"explode(filter(array(if(sat, '{SATISFACTION}', null), if(viol, '{VIOLATION}', null)), v -> v is not null)) as verdict",
+    )
+    picked = _first_groups(sides, ["verdict"], groups)
+    # At most 2 * groups rows, fetched once so that the groups are not computed again for every use.
+    local = df.sparkSession.createDataFrame(picked.collect(), picked.schema)
+    few = df.join(F.broadcast(local.select(*key).distinct()), key, "left_semi")
+    keyed = _with_role(rule(few).participants())
+    return _drilled(keyed.join(F.broadcast(local.drop(*key)), ["verdict", "_group"]), few, row_id, per_role)
+
+
+def drill_down_stored(
+    participants: DataFrame, df: DataFrame, row_id: str, groups: int = 10, per_role: int = 5
+) -> DataFrame:
+    """The same from stored participants of one or several group rules."""
     side = ["rule_id", "verdict"]
-    key = F.to_json("group_key")
-    keyed = participants.withColumns({"_group": key, "_role": F.coalesce(F.col("role"), F.to_json("role_key"))})
-    listed = keyed.select(*side, "_group").distinct()
-    rank = Window.partitionBy(*side).orderBy("_group")
-    shown = listed.withColumn("group_no", F.row_number().over(rank)).where(F.col("group_no") <= groups)
-    totals = listed.groupBy(*side).agg((F.count(F.lit(1)) - groups).alias("_more"))
-    more_groups = F.greatest(F.col("_more"), F.lit(0)).alias("more_groups")
+    keyed = _with_role(participants)
+    picked = _first_groups(keyed.select(*side, "_group").distinct(), side, groups)
     # A handful of groups per rule and verdict, whatever the size of the table.
-    chosen = F.broadcast(shown.join(totals, side).select(*side, "_group", "group_no", more_groups))
-    kept = keyed.join(chosen, side + ["_group"])
-    part = [*side, "_group", "group_no", "more_groups", "rep_id", "_role"]
-    sampled = _sample(kept.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in ("rep_id", "_role") else F.col(c) for c in part], "row_id"), part, per_role, df, row_id)
-    return sampled.withColumnsRenamed({"_group": "group_key", "_role": "role"})
+    return _drilled(keyed.join(F.broadcast(picked), side + ["_group"]), df, row_id, per_role)
+
+
+def _with_role(participants: DataFrame) -> DataFrame:
+    return participants.selectExpr(
+        "rule_id", "verdict", "to_json(group_key) as _group", "coalesce(rep_id, '') as rep_id",
+        "coalesce(role, to_json(role_key), '') as role", "row_id",
+    )
+
+
+def _first_groups(listed: DataFrame, side: Sequence[str], groups: int) -> DataFrame:
+    """The first groups of each side with their number and how many there are beyond them."""
+    rank = Window.partitionBy(*side).orderBy("_group")
+    first = listed.withColumn("group_no", F.row_number().over(rank)).where(F.col("group_no") <= groups)
+    totals = listed.groupBy(*side).agg(F.greatest(F.count(F.lit(1)) - groups, F.lit(0)).alias("more_groups"))
+    return first.join(totals, list(side))
+
+
+def _drilled(kept: DataFrame, df: DataFrame, row_id: str, per_role: int) -> DataFrame:
+    part = ["rule_id", "verdict", "_group", "group_no", "more_groups", "rep_id", "role"]
+    sampled = _sample(kept.select(*part, "row_id"), part, per_role, df, row_id)
+    return sampled.withColumnRenamed("_group", "group_key")
 
 
 def _sample(rows: DataFrame, part: Sequence[str], n: int, df: DataFrame, row_id: str) -> DataFrame:
+    # The window keeps n rows per part on each task before anything is shuffled, so a hot part sends no more.
     first = Window.partitionBy(*part).orderBy("row_id")
     few = rows.withColumn("row_no", F.row_number().over(first)).where(F.col("row_no") <= n)
     totals = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_all"))
     counted = few.join(totals, list(part)).withColumn("more_rows", F.greatest(F.col("_all") - n, F.lit(0))).drop("_all")
-    return counted.join(df, F.col("row_id") == df[row_id], "left")
+    # An inner join, so that the few sampled rows may be the broadcast side.
+    return df.join(counted, df[row_id] == counted["row_id"])
 
 
 def overview(metrics: DataFrame, df: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ DEFAULT_K = 5
 MAX_BROADCAST_QUERIES = 4096
 #: Rows of a block on either side when queries and corpus are both large.
 BLOCK_ROWS = 20_000
+#: Cells of the score matrix a task holds at a time (32 MB).
+SCORE_CELLS = 4_000_000
 #: Scores are rounded before ranking, so that equal vectors tie in any order of summation.
 SCORE_DIGITS = 9
 
@@ -31,14 +33,18 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, skip_self: bool) -> pd.DataFrame:
     """The k best items per query among these; ties at the k-th place go to the smaller id."""
-    scores = np.round(queries @ vectors.T, SCORE_DIGITS)
-    if skip_self:
-        scores[query_ids[:, None] == ids[None, :]] = -np.inf
-    kept = min(k, scores.shape[1])
-    least = np.partition(scores, scores.shape[1] - kept, axis=1)[:, scores.shape[1] - kept]
-    row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-    hits = pd.DataFrame({"query_id": query_ids[row], "item_id": ids[col], "score": scores[row, col]})
-    return _cut(hits, k)
+    kept, step = min(k, len(ids)), max(1, SCORE_CELLS // len(ids))
+    parts = []
+    for start in range(0, len(query_ids), step):
+        asked = query_ids[start : start + step]
+        scores = np.round(queries[start : start + step] @ vectors.T, SCORE_DIGITS)
+        if skip_self:
+            scores[asked[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(scores, len(ids) - kept, axis=1)[:, len(ids) - kept]
+        row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+        hits = pd.DataFrame({"query_id": asked[row], "item_id": ids[col], "score": scores[row, col]})
+        parts.append(_cut(hits, k))
+    return pd.concat(parts)
 
 
 def _cut(hits: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -112,12 +118,7 @@ def _by_blocks(queries: DataFrame, items: DataFrame, k: int, skip_self: bool) ->
     def score(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if q.empty or i.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        item_ids, item_vectors = i["item_id"].to_numpy(), _unit(i["v"])
-        parts = []
-        for start in range(0, len(q), 1000):  # keeps a score matrix to 1000 x BLOCK_ROWS
-            some = q.iloc[start : start + 1000]
-            parts.append(_best(some["query_id"].to_numpy(), _unit(some["v"]), item_ids, item_vectors, k, skip_self))
-        return pd.concat(parts)
+        return _best(q["query_id"].to_numpy(), _unit(q["v"]), i["item_id"].to_numpy(), _unit(i["v"]), k, skip_self)
 
     return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(score, HITS)
 

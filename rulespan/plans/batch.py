@@ -1,4 +1,4 @@
-"""Running a rule catalogue: one shared scan for the row rules of a table, one job for each other rule."""
+"""Running a rule catalogue: row rules of a table share a scan, aggregate rules of a key share a shuffle."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import os
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,28 +92,45 @@ def specs_from(catalogue: DataFrame) -> list[RuleSpec]:
     return [RuleSpec.from_json(r.rule_id, r.dataset, r.check) for r in wanted.toLocalIterator()]
 
 
-def shared_scans(specs: Sequence[RuleSpec]) -> list[list[RuleSpec]]:
-    """Row rules by table and row id, in portions of one scan."""
-    by_scan: dict[tuple, list[RuleSpec]] = {}
-    for spec in specs:
+def _group_rule(spec: RuleSpec) -> groups.GroupRule | None:
+    """The rule as a condition on an aggregate of its groups, if it is one."""
+    p = spec.params
+    if spec.kind == "unique_key":
+        return groups.GroupRule(spec.rule_id, "count", "agg_value = 1", None, p.get("body"))
+    if spec.kind == "aggregate_constraint" and isinstance(p.get("predicate"), str):
+        return groups.GroupRule(spec.rule_id, p["agg"], p["predicate"], p.get("value"), p.get("body"))
+    return None
+
+
+def portions(specs: Sequence[RuleSpec]) -> list[list[RuleSpec]]:
+    """Rules that share their work: row rules of one table, and aggregate rules of one table and key."""
+    shared: dict[tuple, list[RuleSpec]] = {}
+    for i, spec in enumerate(specs):
         if spec.kind in ROW_KINDS:
-            by_scan.setdefault((spec.table, tuple(as_list(spec.row_id))), []).append(spec)
+            together = ("rows", spec.table, tuple(as_list(spec.row_id)))
+        elif spec.kind in GROUP_KINDS and _group_rule(spec) is not None:
+            together = ("groups", spec.table, tuple(as_list(spec.params["key"])))
+        else:
+            together = ("alone", i)
+        shared.setdefault(together, []).append(spec)
     return [
-        some[i : i + RULES_PER_SCAN] for some in by_scan.values() for i in range(0, len(some), RULES_PER_SCAN)
+        some[i : i + RULES_PER_SCAN] for some in shared.values() for i in range(0, len(some), RULES_PER_SCAN)
     ]
 
 
 def metrics_plan(specs: Sequence[RuleSpec], tables_by_name: Mapping[str, DataFrame]) -> DataFrame:
     """Metrics of many rules as one DataFrame."""
-    plans = []
-    for portion in shared_scans(specs):
-        df = tables_by_name[portion[0].table]
-        plans.append(rows.evaluate_row_rules(df, [_row_rules(s, df) for s in portion], row_id=portion[0].row_id).metrics)
-    plans += [evaluate(s, tables_by_name).metrics for s in specs if s.kind not in ROW_KINDS]
-    result = plans[0]
-    for plan in plans[1:]:
-        result = result.unionByName(plan)
-    return result
+    return reduce(DataFrame.unionByName, [_portion_metrics(some, tables_by_name) for some in portions(specs)])
+
+
+def _portion_metrics(some: list[RuleSpec], tables_by_name: Mapping[str, DataFrame]) -> DataFrame:
+    first = some[0]
+    df = tables_by_name.get(first.table)
+    if first.kind in ROW_KINDS:
+        return rows.evaluate_row_rules(df, [_row_rules(s, df) for s in some], row_id=first.row_id).metrics
+    if len(some) > 1:
+        return groups.evaluate_group_rules(df, first.params["key"], [_group_rule(s) for s in some])
+    return evaluate(first, tables_by_name).metrics
 
 
 def run_catalogue(
@@ -125,7 +144,7 @@ def run_catalogue(
     target = os.path.join(path, "metrics")
     try:
         done = {r.rule_id for r in spark.read.parquet(target).select("rule_id").distinct().toLocalIterator()}
-    except Exception:  # nothing stored yet
+    except AnalysisException:  # nothing stored yet
         done = set()
     log: list[tuple] = []
     todo = []
@@ -138,8 +157,7 @@ def run_catalogue(
             log.append((spec.rule_id, STATUS["load_failed"], None, None, False, None))
         else:
             todo.append(spec)
-    portions = shared_scans(todo) + [[s] for s in todo if s.kind not in ROW_KINDS]
-    for portion in portions:
+    for portion in portions(todo):
         log += _run_portion(portion, tables_by_name, target)
     return spark.createDataFrame(log, LOG_SCHEMA)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rulespan.functions import text
 from rulespan.functions.prep import coerce, normalized_pair
-from rulespan.model import VIOLATION
+from rulespan.model import VIOLATION, RuleResult
 from rulespan.operators import chunks, groups, metrics, profile, ranking, report, retrieval, rows, synth
 from rulespan.plans.registry import Tables, group_sql, key_text, metrics_out, metrics_sql, query, verdict_sql
 from rulespan.plans.rule_queries import FD_ROWS, LABELLED, LINE_ID, copies, event_order, labelled, part_fd
@@ -149,7 +149,7 @@ PART_KEYS = """SELECT p_partkey, p_type, count(*) OVER (PARTITION BY p_name, p_b
     '[{"col":"p_name","val":"' || p_name || '"},{"col":"p_brand","val":"' || p_brand || '"}]' AS group_key FROM part"""
 
 
-@query("drill_down", f"""
+DRILL_DOWN = f"""
     WITH k AS ({PART_KEYS}),
       g AS (SELECT ok, group_key, count(*) AS n, row_number() OVER (PARTITION BY ok ORDER BY group_key) AS group_no,
         count(*) OVER (PARTITION BY ok) AS all_groups FROM k GROUP BY ok, group_key),
@@ -158,14 +158,28 @@ PART_KEYS = """SELECT p_partkey, p_type, count(*) OVER (PARTITION BY p_name, p_b
     SELECT {verdict_sql('ok')} AS verdict, group_key, group_no::BIGINT AS group_no, greatest(all_groups - 10, 0)::BIGINT AS more_groups,
       CASE WHEN ok THEN 'unique_record' ELSE 'duplicates' END AS role, row_no::BIGINT AS row_no,
       greatest(n - 5, 0)::BIGINT AS more_rows, p_partkey AS row_id, p_type
-    FROM r WHERE group_no <= 10 AND row_no <= 5""")
-def _(t: Tables) -> DataFrame:
-    found = groups.unique_key(t.part, ["p_name", "p_brand"], row_id="p_partkey").participants()
-    shown = report.drill_down(found, t.part, "p_partkey")
+    FROM r WHERE group_no <= 10 AND row_no <= 5"""
+
+
+def part_key(df: DataFrame) -> RuleResult:
+    return groups.unique_key(df, ["p_name", "p_brand"], row_id="p_partkey")
+
+
+def drilled(shown: DataFrame) -> DataFrame:
     longs = [F.col(c).cast("bigint").alias(c) for c in ("group_no", "more_groups", "row_no", "more_rows")]
     return shown.select("verdict", "group_key", "role", "row_id", "p_type", *longs)
 
 
+@query("drill_down", DRILL_DOWN)
+def _(t: Tables) -> DataFrame:
+    return drilled(report.drill_down(part_key, t.part, ["p_name", "p_brand"], "p_partkey"))
+
+
+@query("drill_down_stored", DRILL_DOWN)
+def _(t: Tables) -> DataFrame:
+    return drilled(report.drill_down_stored(part_key(t.part).participants(), t.part, "p_partkey"))
+
+
 @query("drill_down_rows", f"""
     WITH r AS (SELECT c_custkey, c_name, c_acctbal >= 0 AS ok FROM customer),
       n AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY c_custkey) AS row_no, count(*) OVER (PARTITION BY ok) AS c FROM r)

@@ -295,6 +295,25 @@ def _(t: Tables) -> DataFrame:
         rule_id="aggregate_constraint_distinct"))
 
 
+SHARED_GROUPS = [
+    groups.GroupRule("lines_unique", "count", "agg_value = 1"),
+    groups.GroupRule("few_lines", "count", "agg_value between 2 and 5"),
+    groups.GroupRule("small_sum", "sum", "agg_value <= 150", "l_quantity"),
+    groups.GroupRule("several_suppliers", "count_distinct", "agg_value >= 3", "l_suppkey"),
+    groups.GroupRule("returned_discount", "max", "agg_value < 0.1", "l_discount", "l_returnflag = 'R'"),
+]
+SHARED_TESTS = {
+    "lines_unique": "count(*) = 1", "few_lines": "count(*) BETWEEN 2 AND 5", "small_sum": "sum(l_quantity::DECIMAL(28,6)) <= 150",
+    "several_suppliers": "count(DISTINCT l_suppkey) >= 3", "returned_discount": "max(l_discount) < 0.1"}
+
+
+@query("group_rules_shared_shuffle", " UNION ALL ".join(
+    "(" + group_sql(r.rule_id, f"SELECT count(*) AS n, {SHARED_TESTS[r.rule_id]} AS ok FROM lineitem WHERE {r.body or 'TRUE'} GROUP BY l_orderkey", "lineitem") + ")"
+    for r in SHARED_GROUPS))
+def _(t: Tables) -> DataFrame:
+    return metrics_out(groups.evaluate_group_rules(t.lineitem, "l_orderkey", SHARED_GROUPS))
+
+
 # ---- order -----------------------------------------------------------------------------------------------
 
 PAIR_FLAGS = """
@@ -627,6 +646,8 @@ CATALOGUE = [
     RuleSpec("segment", "customer", "pattern", "c_custkey", {"col": "c_mktsegment", "pattern": "^[A-Z]+$"}),
     RuleSpec("segment_known", "customer", "not_null", "c_custkey", {"cols": ["c_mktsegment"]}),
     RuleSpec("name_key", "customer", "unique_key", "c_custkey", {"key": ["c_name"]}),
+    RuleSpec("name_balance", "customer", "aggregate_constraint", "c_custkey", {
+        "key": ["c_name"], "agg": "min", "predicate": "agg_value >= 0", "value": "c_acctbal"}),
     RuleSpec("nation_segment", "customer", "functional_dependency", "c_custkey", {"lhs": ["c_nationkey"], "rhs": ["c_mktsegment"]}),
     RuleSpec("nation_exists", "customer", "references", "c_custkey", {"fk": "c_nationkey", "pk": "n_nationkey"}, "nation"),
 ]
@@ -637,6 +658,7 @@ CATALOGUE = [
     row_sql("segment", "customer", "regexp_matches(c_mktsegment, '^[A-Z]+$')"),
     row_sql("segment_known", "customer", "c_mktsegment IS NOT NULL"),
     group_sql("name_key", "SELECT count(*) AS n, count(*) = 1 AS ok FROM customer GROUP BY c_name", "customer"),
+    group_sql("name_balance", "SELECT count(*) AS n, min(c_acctbal) >= 0 AS ok FROM customer GROUP BY c_name", "customer"),
     fd_sql("nation_segment", "customer", "c_nationkey", "c_mktsegment"),
     row_sql("nation_exists", "customer", "c_nationkey IN (SELECT n_nationkey FROM nation)"),
 ]))

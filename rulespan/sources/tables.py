@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 # Cell texts that mean "missing" in a CSV file.
 NA_TOKENS = [

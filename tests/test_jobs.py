@@ -189,3 +189,17 @@ def test_profile_counts_missing_as_one_value(spark, one_pass):
     told = {r.column_name: r for r in profile.describe_all(df, one_pass).collect()}
     assert (told["c"].top, told["c"].freq, told["c"].unique, told["c"]["count"]) == ("x", 2, 1, 2)
     assert (told["a"].q50, told["a"].mean, told["a"].max) == (1.5, 1.75, 3.0)
+
+
+def test_shared_group_rules_equal_single_ones(spark):
+    data = [(0, "a", 1.0, 1), (1, "a", None, 2), (2, "b", 5.0, 3), (3, None, 5.0, 4), (4, "c", float("nan"), 5)]
+    df = spark.createDataFrame(data, "id int, k string, v double, w int")
+    rules = [
+        groups.GroupRule("u", "count", "agg_value = 1"),
+        groups.GroupRule("s", "sum", "agg_value > 2", "v"),
+        groups.GroupRule("m", "max", "agg_value < 3", "w", "w < 5"),
+    ]
+    got = {r.rule_id: r for r in groups.evaluate_group_rules(df, "k", rules).collect()}
+    for rule in rules:
+        alone = groups.aggregate_constraint(df, "k", rule.agg, rule.predicate, rule.value, body=rule.body, row_id="id", rule_id=rule.rule_id)
+        assert got[rule.rule_id] == metrics(alone)
