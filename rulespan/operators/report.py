@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rulespan.model import SATISFACTION, VIOLATION, RuleResult, as_list, key_sql, quoted
 from rulespan.operators.metrics import ratio, verdict_rows
+from rulespan.session import BROADCAST_ROWS
 
 #: Support and confidence may differ by this much and still count as reported equal.
 METRIC_TOLERANCE = 0.01
@@ -166,11 +167,10 @@ def drill_down(
         f"explode(filter(array(if(sat, '{SATISFACTION}', null), if(viol, '{VIOLATION}', null)), v -> v is not null)) as verdict",
     )
     picked = _first_groups(sides, ["verdict"], groups)
-    # At most 2 * groups rows, fetched once so that the groups are not computed again for every use.
-    local = df.sparkSession.createDataFrame(picked.collect(), picked.schema)
-    few = df.join(F.broadcast(local.select(*key).distinct()), key, "left_semi")
+    local = _fetched(picked)
+    few = df.join(local.select(*key), key, "left_semi")
     keyed = _with_role(rule(few).participants())
-    return _drilled(keyed.join(F.broadcast(local.drop(*key)), ["verdict", "_group"]), few, row_id, per_role)
+    return _drilled(keyed.join(local.drop(*key), ["verdict", "_group"]), few, row_id, per_role)
 
 
 def drill_down_stored(
@@ -180,8 +180,19 @@ def drill_down_stored(
     side = ["rule_id", "verdict"]
     keyed = _with_role(participants)
     picked = _first_groups(keyed.select(*side, "_group").distinct(), side, groups)
-    # A handful of groups per rule and verdict, whatever the size of the table.
-    return _drilled(keyed.join(F.broadcast(picked), side + ["_group"]), df, row_id, per_role)
+    return _drilled(keyed.join(_fetched(picked), side + ["_group"]), df, row_id, per_role)
+
+
+def _fetched(picked: DataFrame) -> DataFrame:
+    """A few picked groups as a local, broadcast table, so that they are not computed again for every use.
+
+    There are ``groups`` of them per rule and verdict; a catalogue with too many rules for a broadcast gets
+    the plan itself, and Spark's own choice of join.
+    """
+    rows = picked.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return picked
+    return F.broadcast(picked.sparkSession.createDataFrame(rows, picked.schema))
 
 
 def _with_role(participants: DataFrame) -> DataFrame:

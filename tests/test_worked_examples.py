@@ -180,3 +180,22 @@ def test_nested_pages_keep_every_row(spark):
     assert participant_ids(nested).count() == 500
     one = nest(result.participants())
     assert [(len(r.representations), r.page) for r in one.collect()] == [(2, 0)]
+
+
+def test_real_column_names_with_odd_characters(spark):
+    data = [(0, "212", "NY", "x'y"), (1, "212", "NJ", "x'y"), (2, "305", "FL", "z")]
+    df = spark.createDataFrame(data, "row int, `AreaCode(String)` string, `State name` string, `it's` string")
+    result = groups.functional_dependency(df, "AreaCode(String)", "State name", row_id="row", rule_id="it's a \\ rule")
+    assert row_sets(result) == {"violation": {0, 1}, "satisfaction": {2}}
+    assert metrics(result).rule_id == "it's a \\ rule"
+    keyed = groups.unique_key(df, ["it's", "AreaCode(String)"], row_id="row")
+    assert group_roles(keyed)["violation", (("it's", "x'y"), ("AreaCode(String)", "212"))] == {"duplicates": [0, 1]}
+
+
+def test_unknown_body_leaves_a_row_out(spark):
+    df = spark.createDataFrame([(0, 1, None), (1, 1, 5), (2, 1, 50)], "row int, a int, b int")
+    assert row_sets(rows.row_rule(df, "a = 1", "b > 10", row_id="row")) == {"satisfaction": {2}}
+    result = groups.unique_key(df, "a", body="b > 1", row_id="row")
+    m = metrics(result)
+    assert (m.total_rows, m.applicable_rows, m.viol_groups) == (3, 2, 1)
+    assert row_sets(result) == {"violation": {1, 2}}
