@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rulespan.llm import licenses
+from rulespan.llm import licenses, secrets, topk
 from rulespan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,5 +18,23 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, folder, "documents")))
 
 
+def op8_bit_sliced_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents")).drop("base", "added")
+
+
+QUERIES["op8_bit_sliced_topk"] = op8_bit_sliced_topk
+QUERIES["op9_secret_scan"] = op9_secret_scan
+SQL["op8_bit_sliced_topk"] = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+        list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+    SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5"""
 QUERIES["op1_license_scan"] = op1_license_scan
 SQL["op1_license_scan"] = licenses.digest_sql()
