@@ -111,22 +111,23 @@ class Words:
     """Words of a column of texts, found on whole byte arrays.
 
     ``start`` and ``end`` are byte positions, ``of`` the text of each word, ``first`` the first word of each
-    text (one more entry at the end), ``hash`` a 64-bit hash of the lower-cased word.
+    text (one more entry at the end), ``hash`` a 64-bit hash of the (lower-cased) word. ``kind`` gives each byte a
+    class: 0 separates, and a word is a run of one class.
     """
 
-    def __init__(self, texts: pa.Array, kind: np.ndarray) -> None:
+    def __init__(self, texts: pa.Array, kind: np.ndarray, lower: bool = True) -> None:
         source = Bytes(texts)
         self.bounds = source.bounds
-        data = LOWER[source.data]
+        data = LOWER[source.data] if lower else source.data
         self.data = data
-        inside = np.zeros(len(data) + 1, bool)
+        inside = np.zeros(len(data) + 1, np.uint8)
         inside[:-1] = kind[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[self.bounds] = True
-        before = np.zeros(len(data) + 1, bool)
+        before = np.zeros(len(data) + 1, np.uint8)
         before[1:] = inside[:-1]
-        self.start = np.flatnonzero(inside & (~before | edge))
-        self.end = np.flatnonzero(before & (~inside | edge))
+        change = inside != before
+        change[self.bounds] = True
+        self.start = np.flatnonzero(change & (inside > 0))
+        self.end = np.flatnonzero(change & (before > 0))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
         back = powers(_INVERSE, len(data) + 1)

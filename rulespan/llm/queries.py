@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespan.llm import licenses, secrets, topk
+from rulespan.llm import licenses, packing, secrets, topk
 from rulespan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,13 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, folder, "documents")))
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    # The rank file holds the vocabulary of byte_bpe_50k.json; tests hold both to the same ids.
+    return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_bit_sliced_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -26,6 +33,7 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents")).drop("base", "added")
 
 
+QUERIES["op5_packing"] = op5_packing
 QUERIES["op8_bit_sliced_topk"] = op8_bit_sliced_topk
 QUERIES["op9_secret_scan"] = op9_secret_scan
 SQL["op8_bit_sliced_topk"] = """
