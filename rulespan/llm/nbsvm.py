@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulespan.llm.common import Words, bounded_sample, fold, id_text, mix, slices
+from rulespan.llm.common import bounded_sample, fold, id_text, kept_table, slices
 
 #: Labelled rows that a model is fitted on at most.
-BOUND = 6_000
+BOUND = 20_000
+#: Tasks that read the sample.
+TASKS = 8
 CHUNK = 2 << 20
 
 Features = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]
@@ -44,12 +46,15 @@ class Model:
     bias: float
     scale: float = 1.0
 
+    def __post_init__(self) -> None:
+        self.heavy = self.weights != 0
+
     def score(self, texts: pa.Array, features: Features) -> np.ndarray:
         margin = np.full(len(texts), self.bias)
         size = np.uint64(len(self.weights))
         kept = [np.zeros(0, np.uint64)]
         for rows, found in features(texts):
-            heavy = self.weights[found] != 0
+            heavy = self.heavy[found]
             kept.append(np.unique(rows[heavy].astype(np.uint64) * size + found[heavy].astype(np.uint64)))
         pairs = np.unique(np.concatenate(kept))
         np.add.at(margin, (pairs // size).astype(np.int64), self.weights[(pairs % size).astype(np.int64)])
@@ -77,29 +82,39 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray
     return weights
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, least_rows: int, least_ratio: float, cost: float = 1.0, rounds: int = 60) -> Model:
-    """A model from each row's distinct features and 0/1 labels. Features of few rows or a small ratio are left out."""
+def ratios(df: np.ndarray, positive: int, negative: int, least_rows: int, least_ratio: float) -> np.ndarray:
+    """Log-count ratios from ``df`` (class, feature). Features of few rows or a small ratio are 0, that is left out."""
+    ratio = np.log((df[1] + 1) / (positive + 2)) - np.log((df[0] + 1) / (negative + 2))
+    ratio[(df[0] + df[1] < least_rows) | (np.abs(ratio) < least_ratio)] = 0
+    return ratio
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = 1.0, rounds: int = 60) -> Model:
+    """A model from each row's distinct features (those whose ratio is not 0) and 0/1 labels."""
     positive, n = labels == 1, len(labels)
     if not n or positive.all() or not positive.any():
-        return Model(np.zeros(size), 0.0)
-    df = [np.zeros(size), np.zeros(size)]
-    for row, label in zip(rows, labels):
-        df[int(label)][row] += 1
-    ratio = np.log((df[1] + 1) / (positive.sum() + 2)) - np.log((df[0] + 1) / (n - positive.sum() + 2))
-    ratio[(df[0] + df[1] < least_rows) | (np.abs(ratio) < least_ratio)] = 0
-    rows = [row[ratio[row] != 0] for row in rows]
-    values = [ratio[row] for row in rows]
+        return Model(np.zeros(len(ratio)), 0.0)
     # Both classes weigh the same in sum.
     weight = np.where(positive, n / 2 / positive.sum(), n / 2 / (n - positive.sum()))
-    weights = descend(rows, values, np.where(positive, 1.0, -1.0), size, cost * weight, rounds)
+    weights = descend(rows, [ratio[row] for row in rows], np.where(positive, 1.0, -1.0), len(ratio), cost * weight, rounds)
     return Model((weights[:-1] * ratio).astype(np.float32).astype(np.float64), float(weights[-1]), 2.0)
 
 
-def distinct_rows(texts: pa.Array, features: Features, size: int) -> list[np.ndarray]:
-    found = [np.zeros(0, np.uint64), *(np.unique(r.astype(np.uint64) * np.uint64(size) + f.astype(np.uint64)) for r, f in features(texts))]
-    pairs = np.unique(np.concatenate(found))
-    owner, feature = (pairs // np.uint64(size)).astype(np.int64), (pairs % np.uint64(size)).astype(np.int32)
-    return np.split(feature, np.searchsorted(owner, np.arange(1, len(texts)))) if len(texts) else []
+def by_row(texts: pa.Array, features: Features) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, some of its features), in portions; a feature may come again."""
+    for rows, found in features(texts):
+        ends = np.searchsorted(rows, np.arange(len(texts) + 1))
+        for i in range(len(texts)):
+            if ends[i] < ends[i + 1]:
+                yield i, found[ends[i] : ends[i + 1]]
+
+
+def kept_features(texts: pa.Array, features: Features, wanted: np.ndarray) -> list[np.ndarray]:
+    """The distinct wanted features of each row."""
+    lists: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(len(texts))]
+    for i, found in by_row(texts, features):
+        lists[i].append(found[wanted[found]])
+    return [np.unique(np.concatenate(x)).astype(np.int32) for x in lists]
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, features: Features, size: int, bound: int = BOUND,
@@ -109,20 +124,42 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, fea
     known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("y")).where(
         F.col("doc_id").isNotNull() & y.isin(0, 1) & learn).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other"))
     chosen = bounded_sample(known.where(F.col("y") == F.col("other")).select("doc_id", "y"), F.col("doc_id"), bound)
-    # At most ``bound`` ids and labels travel to the tasks; the texts stay where they are read.
-    rows = id_text(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
+    # At most ``bound`` ids and labels travel to the tasks. The sample's texts are written, as two passes read them.
+    rows = id_text(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").limit(bound)
+    sample = kept_table(rows.repartition(TASKS))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros((2, size), np.int32), [0, 0]
+        for batch in batches:
+            for part in slices(batch, 1, CHUNK):
+                labels_of = part.column(0).to_pylist()
+                for i, found in by_row(part.column(1), features):
+                    # Portions share no feature but by chance, and a repeated index counts once here.
+                    df[labels_of[i]][found] += 1
+                for y in labels_of:
+                    n[y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n[1]], pa.int64()), pa.array([n[0]], pa.int64()), pa.array([df.tobytes()], pa.binary())],
+                                         names=["positive", "negative", "df"])
+
+    df, positive, negative = np.zeros((2, size), np.int64), 0, 0
+    for r in sample.mapInArrow(count, "positive long, negative long, df binary").toLocalIterator():
+        df += np.frombuffer(r["df"], np.int32).reshape(2, size)
+        positive, negative = positive + r["positive"], negative + r["negative"]
+    ratio = ratios(df, positive, negative, least_rows, least_ratio)
+    sent = docs.sparkSession.sparkContext.broadcast(ratio != 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, CHUNK):
-                found = distinct_rows(part.column(1), features, size)
+                found = kept_features(part.column(1), features, sent.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "f"])
 
-    # Repeated ids in docs could exceed the bound.
-    table = rows.mapInArrow(run, "y int, f array<int>").limit(bound).toArrow()
-    f = table.column("f").combine_chunks()
-    lists = [x.values.to_numpy() for x in f]
-    return fit(lists, table.column("y").to_numpy(), size, least_rows, least_ratio)
+    # In an order of its own, so that the same sample gives the same model at any partitioning.
+    table = sample.mapInArrow(run, "y int, f array<int>").toArrow()
+    lists = [np.zeros(0, np.int32) if x.values is None else x.values.to_numpy() for x in table.column("f").combine_chunks()] if table.num_rows else []
+    labels_of = table.column("y").to_numpy()
+    order = sorted(range(len(lists)), key=lambda i: (labels_of[i], lists[i].tobytes()))
+    return fit([lists[i] for i in order], labels_of[order], ratio)
 
 
 def scored(docs: DataFrame, model: Model, features: Features, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ _DIGIT = np.array([48 <= b < 58 for b in range(256)])
 
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words, and n-grams of 1 to 3 shapes: a mark is itself, a word its case, digits and rough length."""
+    """Words, n-grams of 1 to 3 shapes (a mark is itself, a word its case, digits and rough length), and returns of words."""
     words = Words(texts, KINDS, lower=False)
     if not len(words.start):
         return
@@ -34,6 +34,11 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     rough = np.minimum(length, 24) // 4
     shape = mix((case * 1000 + np.where(dig == 0, 0, np.where(dig == length, 200, 100)) + rough + 7).astype(np.uint64))
     shape = np.where(KINDS[words.data[words.start]] == 1, shape, words.hash)
+    # Words that come again: the same three in a row a few words on.
+    three = mix(mix(words.hash[:-2]) + words.hash[1:-1]) + words.hash[2:]
+    for lag in range(1, 9):
+        again = np.flatnonzero((three[lag:] == three[:-lag]) & (words.of[: len(three) - lag] == words.of[lag + 2 :]))
+        yield words.of[again], np.full(len(again), int(mix(np.array([lag + 99], np.uint64))[0] % size))
     gram = shape
     for n in range(1, 4):
         yield words.of[: len(gram)], (mix(gram + np.uint64(n)) % size).astype(np.int64)

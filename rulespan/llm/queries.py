@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespan.llm import licenses, packing, secrets, topk
+from rulespan.llm import licenses, packing, quality, secrets, topk, toxicity
 from rulespan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,14 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op10_toxicity_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_bit_sliced_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -34,6 +42,8 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op5_packing"] = op5_packing
+QUERIES["op6_quality_classifier"] = op6_quality_classifier
+QUERIES["op10_toxicity_classifier"] = op10_toxicity_classifier
 QUERIES["op8_bit_sliced_topk"] = op8_bit_sliced_topk
 QUERIES["op9_secret_scan"] = op9_secret_scan
 SQL["op8_bit_sliced_topk"] = """

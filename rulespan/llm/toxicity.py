@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rulespan.llm import nbsvm
-from rulespan.llm.common import ALNUM, Bytes, LOWER, mix
+from rulespan.llm.common import ALNUM, LOWER, Bytes, mix
 
 SIZE = 1 << 20
+BOUND = 12_000
 #: Lengths in bytes of the n-grams, over lower-case text whose runs of other characters are one blank.
-GRAMS = (4, 5, 6, 7)
+GRAMS = (4, 5, 6)
 
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -43,6 +44,6 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows[: len(packed)][same], (mix(packed[same] + np.uint64(n)) % np.uint64(SIZE)).astype(np.int64)
 
 
-def judge(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, bound: int = nbsvm.BOUND) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, bound: int = BOUND) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     return nbsvm.judged(docs, labels, "toxic", mod, held, features, SIZE, bound=bound, least_rows=8, least_ratio=1.5)
