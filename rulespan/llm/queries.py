@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespan.llm import licenses, packing, quality, secrets, topk, toxicity
+from rulespan.llm import licenses, linededup, packing, quality, secrets, topk, toxicity
 from rulespan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op10_toxicity_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = linededup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.col("row.text").alias("text"))
+
+
 def op8_bit_sliced_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -44,6 +49,7 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op5_packing"] = op5_packing
 QUERIES["op6_quality_classifier"] = op6_quality_classifier
 QUERIES["op10_toxicity_classifier"] = op10_toxicity_classifier
+QUERIES["op7_line_dedup"] = op7_line_dedup
 QUERIES["op8_bit_sliced_topk"] = op8_bit_sliced_topk
 QUERIES["op9_secret_scan"] = op9_secret_scan
 SQL["op8_bit_sliced_topk"] = """
