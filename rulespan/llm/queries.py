@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespan.llm import licenses, linededup, packing, quality, secrets, topk, toxicity
+from rulespan.llm import licenses, linededup, ngramjoin, packing, quality, secrets, topk, toxicity
 from rulespan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, folder, "documents")))
 
 
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngramjoin.join(table(spark, folder, "documents"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +50,7 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents")).drop("base", "added")
 
 
+QUERIES["op4_ngram_join"] = op4_ngram_join
 QUERIES["op5_packing"] = op5_packing
 QUERIES["op6_quality_classifier"] = op6_quality_classifier
 QUERIES["op10_toxicity_classifier"] = op10_toxicity_classifier
