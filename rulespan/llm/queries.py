@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespan.llm import licenses, linededup, ngramjoin, packing, quality, secrets, topk, toxicity
+from rulespan.llm import decontaminate, licenses, linededup, ngramjoin, packing, pii, quality, secrets, topk, toxicity
 from rulespan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,14 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, folder, "documents")))
 
 
+def op2_pii_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan(table(spark, folder, "documents")).drop("base", "added")
+
+
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngramjoin.join(table(spark, folder, "documents"))
 
@@ -50,6 +58,8 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents")).drop("base", "added")
 
 
+QUERIES["op2_pii_scan"] = op2_pii_scan
+QUERIES["op3_decontamination"] = op3_decontamination
 QUERIES["op4_ngram_join"] = op4_ngram_join
 QUERIES["op5_packing"] = op5_packing
 QUERIES["op6_quality_classifier"] = op6_quality_classifier
