@@ -56,10 +56,10 @@ def bounded_sample(rows: DataFrame, key: Column, bound: int) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, column: str, chars: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice have about ``chars`` bytes; one longer text is a slice alone."""
-    sizes = batch.column(column).cast(pa.large_binary()).buffers()[1]
     if not batch.num_rows:
         return
-    offsets = np.frombuffer(sizes, np.int64, batch.num_rows + 1) if sizes else np.zeros(batch.num_rows + 1, np.int64)
+    texts = batch.column(column).cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + batch.num_rows + 1]
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + chars, "right")) - 1)

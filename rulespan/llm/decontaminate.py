@@ -26,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 from rulespan.llm.common import ALNUM, Words, id_text, mix, slices
 
 EDITS, LEAST, BLOCK = 0.2, 5, 20_000
+CHUNK = 4 << 20
 SAMPLED, RECALL, MOST_REPEATS, PIECE = 2, 0.99, 64, 4
 _PAD = np.uint64(0x5EED)
 
@@ -226,25 +228,52 @@ def _edited(words: np.ndarray, n: int, random: np.random.Generator) -> np.ndarra
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text", edits: float = EDITS) -> DataFrame:
     """doc_id, item_id, start, end (words, end exclusive), distance, n_words: one row per document and item that it holds."""
-    wanted = id_text(items, item_col, item_text_col).withColumnRenamed("doc_id", "item_id")
-    rounds = max(1, -(-wanted.count() // BLOCK))
-    dealt = wanted.withColumn("round", F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)))
     source = id_text(docs, id_col, text_col)
-    return reduce(DataFrame.unionAll, (_round(source, dealt.where(F.col("round") == i).drop("round"), edits) for i in range(rounds)))
+    schema = T.StructType([source.schema["doc_id"], T.StructField("item_id", items.schema[item_col].dataType),
+                           *[T.StructField(n, T.LongType()) for n in ("start", "end", "distance", "n_words")]])
+    return reduce(DataFrame.unionAll, (_found(source, index, schema) for index in indexes(items, item_col, item_text_col, edits)))
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+          edits: float = EDITS) -> DataFrame:
+    """The whole rows of ``docs`` that hold no item, filtered where they are read."""
+    at = docs.columns.index(text_col)
+
+    def without(rows: DataFrame, index: Index) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, at, CHUNK):
+                    kept = np.ones(part.num_rows, bool)
+                    kept[[f[0] for f in sent.value.matches(Words(pc.fill_null(part.column(at), ""), ALNUM))]] = False
+                    yield part.filter(pa.array(kept))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return reduce(without, indexes(items, item_col, item_text_col, edits), docs)
+
+
+def indexes(items: DataFrame, item_col: str, text_col: str, edits: float) -> list[Index]:
+    """The items, in portions of about ``BLOCK``; one empty index if there are none."""
+    wanted = id_text(items, item_col, text_col)
+    rounds = max(1, -(-wanted.count() // BLOCK))
+    dealt = wanted.withColumn("round", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)))
+    out = []
+    for i in range(rounds):
+        found = dealt.where(F.col("round") == i).select("doc_id", "text").toArrow().combine_chunks()
+        texts = found.column("text").combine_chunks() if found.num_rows else pa.array([], pa.string())
+        words = Words(texts, ALNUM)
+        out.append(Index(found.column("doc_id").to_pylist(), [words.hash[words.first[i] : words.first[i + 1]] for i in range(len(texts))], edits))
+    return out
 
 
-def _round(source: DataFrame, items: DataFrame, edits: float) -> DataFrame:
-    table = items.toArrow().combine_chunks()
-    texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-    words = Words(texts, ALNUM)
-    index = Index(table.column("item_id").to_pylist(), [words.hash[words.first[i] : words.first[i + 1]] for i in range(len(texts))], edits)
+def _found(source: DataFrame, index: Index, schema: T.StructType) -> DataFrame:
     sent = source.sparkSession.sparkContext.broadcast(index)
-    item_type = items.schema["item_id"].dataType
-    schema = T.StructType([source.schema["doc_id"], T.StructField("item_id", item_type), *[T.StructField(n, T.LongType()) for n in ("start", "end", "distance", "n_words")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, CHUNK):
                 found = list(sent.value.matches(Words(part.column(1), ALNUM)))
                 if found:
                     ids = part.column(0).take(pa.array([f[0] for f in found]))

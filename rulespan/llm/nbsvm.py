@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,6 +176,20 @@ def scored(docs: DataFrame, model: Model, features: Features, id_col: str = "doc
     return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
+def passing(docs: DataFrame, model: Model, features: Features, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The whole rows that score ``least`` or more, filtered where they are read."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at, CHUNK):
+                texts = pc.fill_null(part.column(at), "")
+                yield part.filter(pa.array(sent.value.score(texts, features) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judged(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, held: int, features: Features, size: int, **how) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; labels of the held-out fold are not learnt."""
     model = train(docs, labels, label_col, fold(F.col("doc_id"), mod) != held, features, size, **how)

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rulespan.llm import nbsvm
-from rulespan.llm.common import Words, mix
+from rulespan.llm.common import Words, fold, mix
 
 SIZE = 1 << 18
 #: White space separates; letters, digits and other characters outside ASCII are one class; each other mark its own.
@@ -49,6 +50,12 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         gram = np.where(same, mix(gram[:-1]) * np.uint64(3) + shape[n:], np.uint64(0))
 
 
+def keep(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, bound: int = nbsvm.BOUND) -> DataFrame:
+    """The whole rows of ``docs`` that the classifier takes for good, by the model that ``judge`` fits to these rows."""
+    model = nbsvm.train(docs, labels, "quality", fold(F.col("doc_id"), mod) != held, features, SIZE, bound=bound, least_rows=3, least_ratio=0.5)
+    return nbsvm.passing(docs, model, features)
+
+
 def judge(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, bound: int = nbsvm.BOUND) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     return nbsvm.judged(docs, labels, "quality", mod, held, features, SIZE, bound=bound, least_rows=3, least_ratio=0.5)
