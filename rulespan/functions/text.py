@@ -44,22 +44,48 @@ def stripped(col: Column) -> Column:
     return F.btrim(col, F.lit(BLANKS))
 
 
-def _group(col: Column, pattern: str) -> Column:
-    """The first group of the first match, NULL without one."""
-    return F.when(col.rlike(pattern), F.regexp_extract(col, pattern, 1))
+FENCE = "```"
+
+
+def _fenced(col: Column, language: str) -> Column:
+    """What stands between the first two fences, without the language's name at its start; NULL without two."""
+    inside = F.get(F.split(col, FENCE, 3), F.lit(1))
+    bare = F.when(F.startswith(inside, F.lit(language)), F.substr(inside, F.lit(len(language) + 1))).otherwise(inside)
+    return F.when(F.size(F.split(col, FENCE, 3)) == 3, stripped(bare))
 
 
 def first_code_block(col: Column) -> Column:
     """The content of the first fenced block, or the text as it is when there is none."""
-    block = _group(col, r"```(?:python)?\s*([\s\S]*?)\s*```")
-    return F.coalesce(stripped(block), col)
+    return F.coalesce(_fenced(col, "python"), col)
 
 
 def json_payload(col: Column) -> Column:
     """The first fenced block, else the widest bracketed span, else the text as it is."""
-    fenced = _group(col, r"```(?:json)?\s*([\s\S]*?)```")
-    bracketed = _group(col, r"(\[[\s\S]*\]|\{[\s\S]*\})")
-    return F.coalesce(stripped(fenced), bracketed, col)
+    spans = []
+    for opening, closing in ("[]", "{}"):
+        first, last = F.instr(col, opening), F.length(col) - F.instr(F.reverse(col), closing) + 1
+        spans.append(F.when((first > 0) & (last <= F.length(col)) & (last > first), F.struct(first.alias("at"), (last - first + 1).alias("size"))))
+    widest = F.array_min(F.array_compact(F.array(*spans)))
+    return F.coalesce(_fenced(col, "json"), F.substr(col, widest["at"], widest["size"]), col)
+
+
+def _behind(col: Column, label: str) -> Column:
+    """What follows the first ``label:``, NULL without it."""
+    at = F.instr(col, f"{label}:")
+    return F.when(at > 0, F.substr(col, at + len(label) + 1))
+
+
+def _until_line(col: Column, label: str) -> Column:
+    """What comes before the first line that begins with ``label:``."""
+    return F.get(F.split(col, rf"\n\s*{label}:", 2), F.lit(0))
+
+
+def _choice(col: Column, label: str, words: list[str]) -> Column:
+    """The first of ``words`` that follows a ``label:``."""
+    parts = F.split(col, f"{label}:")
+    behind = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: F.ltrim(p, F.lit(BLANKS)))
+    found = F.transform(behind, lambda p: F.coalesce(*[F.when(F.startswith(p, F.lit(w)), F.lit(w)) for w in words]))
+    return F.get(F.array_compact(found), F.lit(0))
 
 
 def report_sections(col: Column) -> dict[str, Column]:
@@ -67,16 +93,14 @@ def report_sections(col: Column) -> dict[str, Column]:
 
     A missing part is NULL, apart from the list, which is then empty, and ``continues``, which is false.
     """
-    analysis = _group(col, rf"(?s){REPORT_ANALYSIS}:\s*(.*?)(?:\n\s*{REPORT_RECOMMENDATIONS}:|\z)")
-    listed = _group(col, rf"(?s){REPORT_RECOMMENDATIONS}:\s*(.*?)(?:\n\s*{REPORT_POTENTIAL}:|\z)")
-    items = F.transform(F.split(stripped(listed), r"\n-"), stripped)
-    items = F.transform(items, lambda i: F.when(i.startswith("-"), stripped(F.substr(i, F.lit(2)))).otherwise(i))
-    items = F.filter(items, lambda i: i != "")
-    decision = _group(col, rf"{REPORT_DECISION}:\s*({'|'.join(DECISIONS)})")
+    listed = _until_line(_behind(col, REPORT_RECOMMENDATIONS), REPORT_POTENTIAL)
+    # Every item begins on a line with a dash; a line break in front makes the first one like the others.
+    items = F.transform(F.split(F.concat(F.lit("\n"), stripped(listed)), r"\n-\s*-?"), stripped)
+    decision = _choice(col, REPORT_DECISION, DECISIONS)
     return {
-        "analysis": stripped(analysis),
-        "recommendations": F.coalesce(items, F.array().cast("array<string>")),
-        "potential": _group(col, rf"{REPORT_POTENTIAL}:\s*({'|'.join(POTENTIALS)})"),
+        "analysis": stripped(_until_line(_behind(col, REPORT_ANALYSIS), REPORT_RECOMMENDATIONS)),
+        "recommendations": F.coalesce(F.filter(items, lambda i: i != ""), F.array().cast("array<string>")),
+        "potential": _choice(col, REPORT_POTENTIAL, POTENTIALS),
         "decision": decision,
         "continues": F.coalesce(decision == CONTINUE, F.lit(False)),
     }
