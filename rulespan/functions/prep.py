@@ -35,6 +35,31 @@ def in_scope(df: DataFrame, cols: Sequence[str], body: Column | str | None) -> C
     return scope if body is None else scope & as_column(body)
 
 
+def _judges_missing(expr) -> bool:
+    return expr.nodeName().lower() in ("isnull", "isnotnull", "coalesce", "isnan", "equalnullsafe", "nvl", "ifnull", "nullif")
+
+
+def relevant_columns(df: DataFrame, *conditions: Column | str | None) -> list[str]:
+    """The top-level columns that conditions read, but for those whose missing values they ask about themselves."""
+    found: dict[str, None] = {}
+
+    def visit(expr) -> None:
+        if _judges_missing(expr):
+            return
+        if expr.getClass().getSimpleName() == "AttributeReference" and expr.name() in df.columns:
+            found[expr.name()] = None
+        children = expr.children()
+        for i in range(children.size()):
+            visit(children.apply(i))
+
+    for condition in conditions:
+        if condition is not None:
+            expressions = df.select(as_column(condition))._jdf.queryExecution().analyzed().expressions()
+            for i in range(expressions.size()):
+                visit(expressions.apply(i))
+    return list(found)
+
+
 def exclude_nulls(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.na.drop(subset=list(cols))
 

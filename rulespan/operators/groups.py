@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rulespan.functions.prep import compare, in_scope, present
 from rulespan.model import (
@@ -28,8 +30,26 @@ from rulespan.model import (
 from rulespan.operators.metrics import finish, group_counts
 from rulespan.operators.skew import find_hot, join_groups
 
-#: Sums of doubles depend on the order of addition; sums of decimals do not.
-EXACT = "decimal(28,6)"
+
+def summable(df: DataFrame, value: str, scale: int | None) -> Column:
+    """A column as its sums need it: whole numbers and decimals exactly, doubles as they are.
+
+    Sums of doubles depend on the order of addition in their last digits, so compare them with a tolerance; or give
+    ``scale`` for amounts that have so many decimal places, which are then summed exactly.
+    """
+    kind = df.schema[value].dataType
+    if scale is not None:
+        return F.col(value).cast(f"decimal(38,{scale})")
+    if isinstance(kind, T.IntegralType):
+        return F.col(value).cast("decimal(38,0)")
+    return F.col(value) if isinstance(kind, T.DecimalType) else F.col(value).cast("double")
+
+
+def threshold_like(df: DataFrame, value: str, scale: int | None, threshold: float) -> Column:
+    """A constant to compare such sums with."""
+    exact = scale is not None or isinstance(df.schema[value].dataType, (T.IntegralType, T.DecimalType))
+    return F.lit(Decimal(str(threshold))) if exact else F.lit(float(threshold))
+
 
 
 def scoped(
@@ -46,6 +66,8 @@ def scoped(
     map-side aggregation folds to a row per task; so all rows are counted in the same pass instead of in a
     second scan.
     """
+    if not key:
+        raise ValueError("a group rule needs at least one key column; group by a constant column for the whole table")
     ok = in_scope(df, relevant, body)
     return df.select(
         ok.alias("_ok"),
@@ -168,16 +190,17 @@ def sum_to_total(
     *,
     row_id: str | Sequence[str],
     tol: float = 0,
+    scale: int | None = None,
     body: Column | str | None = None,
     rule_id: str = "sum_to_total",
 ) -> RuleResult:
     """Per group, the sum over ``part`` rows compared with the sum over ``total`` rows.
 
-    A group without one of the two roles is not judged.
+    A group without one of the two roles is not judged. ``scale``: see ``summable``.
     """
     key = as_list(key)
     role = F.when(as_column(part), F.lit("sum")).when(as_column(total), F.lit("compare"))
-    rows = scoped(df, key, [*key, value], body, row_id, {"_value": F.col(value).cast(EXACT), "_role": role})
+    rows = scoped(df, key, [*key, value], body, row_id, {"_value": summable(df, value, scale), "_role": role})
     is_part, is_total = F.col("_role") == "sum", F.col("_role") == "compare"
     per_key = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("all_rows"),
@@ -207,11 +230,12 @@ def sum_to_threshold(
     row_id: str | Sequence[str],
     window: tuple[str, str] | None = None,
     tol: float = 0,
+    scale: int | None = None,
     body: Column | str | None = None,
     group_verdict: str = "each",
     rule_id: str = "sum_to_threshold",
 ) -> RuleResult:
-    """Per group, the sum of ``value`` compared with a constant.
+    """Per group, the sum of ``value`` compared with a constant. ``scale``: see ``summable``.
 
     ``window=(time column, unit)`` makes one representation per calendar unit (``quarter``, ``week`` ...),
     so a group may hold satisfied and violated representations.
@@ -219,8 +243,8 @@ def sum_to_threshold(
     key = as_list(key)
     relevant = [*key, value] + ([window[0]] if window else [])
     rep = F.date_trunc(window[1], F.col(window[0])) if window else F.lit(None).cast("timestamp")
-    rows = scoped(df, key, relevant, body, row_id, {"_value": F.col(value).cast(EXACT), "_rep": rep})
-    limit = F.lit(str(threshold)).cast(EXACT)
+    rows = scoped(df, key, relevant, body, row_id, {"_value": summable(df, value, scale), "_rep": rep})
+    limit = threshold_like(df, value, scale, threshold)
     reps = (
         rows.groupBy(*key, "_rep")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("_value").alias("sum_value"))
@@ -261,7 +285,7 @@ def mixed_groups(reps: DataFrame, key: Sequence[str]) -> DataFrame:
 GROUP_AGGREGATES = {
     "count": lambda c: F.count(F.lit(1)),
     "count_distinct": lambda c: F.count_distinct(c),
-    "sum": lambda c: F.sum(c.cast(EXACT)),
+    "sum": F.sum,
     "min": F.min,
     "max": F.max,
     "avg": F.avg,
@@ -276,16 +300,20 @@ def aggregate_constraint(
     value: str | None = None,
     *,
     row_id: str | Sequence[str],
+    scale: int | None = None,
     body: Column | str | None = None,
     rule_id: str = "aggregate_constraint",
 ) -> RuleResult:
-    """An aggregate of every group must fulfil ``predicate`` (a function, or SQL over ``agg_value``)."""
+    """An aggregate of every group must fulfil ``predicate`` (a function, or SQL over ``agg_value``).
+
+    ``scale``: for sums, see ``summable``.
+    """
     if agg not in GROUP_AGGREGATES:
         raise ValueError(f"unknown aggregate {agg!r}; use one of {sorted(GROUP_AGGREGATES)}")
     if value is None and agg != "count":
         raise ValueError(f"aggregate {agg!r} needs a value column")
     key = as_list(key)
-    keep = {"_value": F.col(value)} if value else {}
+    keep = {"_value": summable(df, value, scale) if agg == "sum" else F.col(value)} if value else {}
     rows = scoped(df, key, key + as_list(value), body, row_id, keep)
     result = GROUP_AGGREGATES[agg](F.col("_value") if value else None)
     per_key = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("all_rows"), result.alias("agg_value"))
@@ -310,6 +338,7 @@ class GroupRule:
     predicate: str
     value: str | None = None
     body: str | None = None
+    scale: int | None = None
 
 
 def evaluate_group_rules(df: DataFrame, key: str | Sequence[str], rules: Sequence[GroupRule]) -> DataFrame:
@@ -328,7 +357,8 @@ def evaluate_group_rules(df: DataFrame, key: str | Sequence[str], rules: Sequenc
         ok = in_scope(df, key + as_list(rule.value), rule.body)
         flags.append(ok.alias(f"_ok{i}"))
         if rule.value:
-            flags.append(F.when(ok, F.col(rule.value)).alias(f"_v{i}"))
+            own = summable(df, rule.value, rule.scale) if rule.agg == "sum" else F.col(rule.value)
+            flags.append(F.when(ok, own).alias(f"_v{i}"))
         folded.append(F.expr(f"count_if(_ok{i}) as _n{i}"))
         folded.append(
             GROUP_AGGREGATES[rule.agg](F.col(f"_v{i}")).alias(f"_a{i}") if rule.value else F.expr(f"count_if(_ok{i}) as _a{i}")

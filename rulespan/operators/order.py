@@ -12,6 +12,7 @@ from rulespan.operators.groups import scoped
 from rulespan.operators.metrics import finish, group_counts
 from rulespan.operators.skew import find_hot, join_groups, running, stored_if_large
 
+#: Names of the two roles, unless a rule gives its own.
 HIGHER = "row with higher position"
 LOWER = "row with lower position"
 
@@ -25,10 +26,13 @@ def monotonic(
     row_id: str | Sequence[str],
     body: Column | str | None = None,
     group_verdict: str = "each",
+    roles: tuple[str, str] = (HIGHER, LOWER),
     rule_id: str = "monotonic",
 ) -> RuleResult:
     """Within a group, a strictly higher ``rank`` must come with a strictly higher ``value``.
 
+    ``roles`` names the row of higher and of lower rank.
+
     The rule is about pairs, but no pair is formed: a row violates in the lower role when some row of
     higher rank has no larger value, which the smallest value above it tells; the other three cases are
     alike. Rows are first folded to (key, rank, value) and (key, rank), so the ordered pass is as long as
@@ -80,8 +84,8 @@ def monotonic(
                 *[
                     F.when(F.col(flag) & F.lit(v in verdicts), F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("role")))
                     for flag, v, r in (
-                        ("sat_lower", SATISFACTION, LOWER), ("sat_higher", SATISFACTION, HIGHER),
-                        ("viol_lower", VIOLATION, LOWER), ("viol_higher", VIOLATION, HIGHER),
+                        ("sat_lower", SATISFACTION, roles[1]), ("sat_higher", SATISFACTION, roles[0]),
+                        ("viol_lower", VIOLATION, roles[1]), ("viol_higher", VIOLATION, roles[0]),
                     )
                 ]
             )

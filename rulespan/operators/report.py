@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulespan.model import SATISFACTION, VIOLATION, RuleResult, as_list, key_sql, quoted
+from rulespan.model import SATISFACTION, VIOLATION, RuleResult, as_list, key_sql, quoted, row_id_column
 from rulespan.operators.metrics import ratio, verdict_rows
 from rulespan.session import BROADCAST_ROWS
 
@@ -137,7 +137,7 @@ def fastest_variant(log: DataFrame, variant: str, seconds: str = "seconds", by:
     )
 
 
-def drill_down_rows(participants: DataFrame, df: DataFrame, row_id: str, rows: int = 20) -> DataFrame:
+def drill_down_rows(participants: DataFrame, df: DataFrame, row_id: str | Sequence[str], rows: int = 20) -> DataFrame:
     """For row rules: the first ``rows`` participants per rule and verdict with their data, and how many more."""
     part = ["rule_id", "verdict"]
     return _sample(participants.select(*part, "row_id").distinct(), part, rows, df, row_id)
@@ -147,7 +147,7 @@ def drill_down(
     rule: Callable[[DataFrame], RuleResult],
     df: DataFrame,
     key: str | Sequence[str],
-    row_id: str,
+    row_id: str | Sequence[str],
     groups: int = 10,
     per_role: int = 5,
 ) -> DataFrame:
@@ -174,7 +174,7 @@ def drill_down(
 
 
 def drill_down_stored(
-    participants: DataFrame, df: DataFrame, row_id: str, groups: int = 10, per_role: int = 5
+    participants: DataFrame, df: DataFrame, row_id: str | Sequence[str], groups: int = 10, per_role: int = 5
 ) -> DataFrame:
     """The same from stored participants of one or several group rules."""
     side = ["rule_id", "verdict"]
@@ -210,20 +210,20 @@ def _first_groups(listed: DataFrame, side: Sequence[str], groups: int) -> DataFr
     return first.join(totals, list(side))
 
 
-def _drilled(kept: DataFrame, df: DataFrame, row_id: str, per_role: int) -> DataFrame:
+def _drilled(kept: DataFrame, df: DataFrame, row_id: str | Sequence[str], per_role: int) -> DataFrame:
     part = ["rule_id", "verdict", "_group", "group_no", "more_groups", "rep_id", "role"]
     sampled = _sample(kept.select(*part, "row_id"), part, per_role, df, row_id)
     return sampled.withColumnRenamed("_group", "group_key")
 
 
-def _sample(rows: DataFrame, part: Sequence[str], n: int, df: DataFrame, row_id: str) -> DataFrame:
+def _sample(rows: DataFrame, part: Sequence[str], n: int, df: DataFrame, row_id: str | Sequence[str]) -> DataFrame:
     # The window keeps n rows per part on each task before anything is shuffled, so a hot part sends no more.
     first = Window.partitionBy(*part).orderBy("row_id")
     few = rows.withColumn("row_no", F.row_number().over(first)).where(F.col("row_no") <= n)
     totals = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_all"))
     counted = few.join(totals, list(part)).withColumn("more_rows", F.greatest(F.col("_all") - n, F.lit(0))).drop("_all")
     # An inner join, so that the few sampled rows may be the broadcast side.
-    return df.join(counted, df[row_id] == counted["row_id"])
+    return df.withColumn("_own_id", row_id_column(row_id)).join(counted, F.col("_own_id") == counted["row_id"]).drop("_own_id")
 
 
 def overview(metrics: DataFrame, df: DataFrame) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.functions.prep import in_scope, matches, present
+from rulespan.functions.prep import in_scope, matches, present, relevant_columns
 from rulespan.model import (
     SATISFACTION,
     VIOLATION,
@@ -26,13 +26,18 @@ from rulespan.operators.metrics import finish, row_counts
 class RowRule:
     """If ``body`` then ``head``; without a body the head must hold on every row.
 
-    ``cols`` are the columns whose missing values take a row out of the rule.
+    ``cols`` are the columns whose missing values take a row out of the rule; left out, they are the columns that head
+    and body read, but for those whose missing values the conditions ask about themselves.
     """
 
     rule_id: str
     head: Column | str
     body: Column | str | None = None
-    cols: Sequence[str] = field(default_factory=tuple)
+    cols: Sequence[str] | None = None
+
+    def scope(self, df: DataFrame) -> Column:
+        cols = relevant_columns(df, self.head, self.body) if self.cols is None else self.cols
+        return in_scope(df, cols, self.body)
 
     def verdict(self) -> Column:
         return F.when(as_column(self.head), F.lit(SATISFACTION)).otherwise(F.lit(VIOLATION))
@@ -44,12 +49,12 @@ def row_rule(
     body: Column | str | None = None,
     *,
     row_id: str | Sequence[str],
-    cols: str | Sequence[str] = (),
+    cols: str | Sequence[str] | None = None,
     rule_id: str = "row_rule",
     support_mode: str = "applicable",
 ) -> RuleResult:
-    rule = RowRule(rule_id, head, body, as_list(cols))
-    scope = in_scope(df, rule.cols, body)
+    rule = RowRule(rule_id, head, body, None if cols is None else as_list(cols))
+    scope = rule.scope(df)
     metrics = finish(row_counts(df, scope, as_column(head)), rule_id, "row", support_mode)
 
     def find(verdicts: Sequence[str]) -> DataFrame:
@@ -67,7 +72,7 @@ def not_null_rule(
     rule_id: str = "not_null",
 ) -> RuleResult:
     """A rule about missing values, so rows with missing values are judged and not excluded."""
-    return row_rule(df, present(df, as_list(cols)), row_id=row_id, rule_id=rule_id)
+    return row_rule(df, present(df, as_list(cols)), row_id=row_id, cols=(), rule_id=rule_id)
 
 
 def pattern_rule(
@@ -94,7 +99,7 @@ def evaluate_row_rules(
     df: DataFrame, rules: Sequence[RowRule], *, row_id: str | Sequence[str], support_mode: str = "applicable"
 ) -> SharedScan:
     """Evaluate many row rules of one table in a single scan, for metrics and for participants."""
-    scopes = {r.rule_id: in_scope(df, r.cols, r.body) for r in rules}
+    scopes = {r.rule_id: r.scope(df) for r in rules}
     if len(scopes) != len(rules):
         raise ValueError("rule ids must be distinct")
     flags, counters = [], []

@@ -17,6 +17,7 @@ from rulespan.model import (
     as_list,
     literal,
     participant_rows,
+    quoted,
     row_id_column,
 )
 from rulespan.operators.metrics import finish
@@ -119,6 +120,12 @@ def cross_table_rule(
     looked = secondary.select(*[c.alias(n) for n, c in right.items()], *secondary_cols).where(_all_present(names))
     if aggs is not None:
         looked = looked.groupBy(*names).agg(*[c.alias(n) for n, c in aggs.items()])
+    else:
+        # The join deals by the key anyway; a key with several rows would multiply primary rows.
+        several = F.raise_error(F.lit(f"{rule_id}: the secondary table has several rows for a key; give aggs or use a quantified rule"))
+        folded = looked.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*secondary_cols)).alias("_found"))
+        found = F.when(F.col("_n") > 1, several).otherwise(F.col("_found"))
+        looked = folded.select(*names, found.alias("_found")).select(*names, *[F.col(f"_found.{quoted(c)}").alias(c) for c in secondary_cols])
     looked = looked.withColumn("_matched", F.lit(True))
     # Rows without a key are out of scope either way; left in the join they would all meet in one task.
     upper = primary.count()

@@ -48,9 +48,9 @@ class RuleSpec:
 def _row_rules(spec: RuleSpec, df: DataFrame) -> rows.RowRule:
     p = spec.params
     if spec.kind == "row":
-        return rows.RowRule(spec.rule_id, p["head"], p.get("body"), as_list(p.get("cols")))
+        return rows.RowRule(spec.rule_id, p["head"], p.get("body"), as_list(p["cols"]) if "cols" in p else None)
     if spec.kind == "not_null":
-        return rows.RowRule(spec.rule_id, present(df, as_list(p["cols"])))
+        return rows.RowRule(spec.rule_id, present(df, as_list(p["cols"])), cols=())
     return rows.RowRule(spec.rule_id, matches(p["col"], p["pattern"]), p.get("body"), [p["col"]])
 
 
@@ -87,9 +87,19 @@ def evaluate(spec: RuleSpec, tables_by_name: Mapping[str, DataFrame]) -> RuleRes
 
 
 def specs_from(catalogue: DataFrame) -> list[RuleSpec]:
-    """The executable rules of a catalogue (rule_id, dataset, check). Rules are settings, not data."""
-    wanted = catalogue.where(F.col("check").isNotNull()).select("rule_id", "dataset", "check")
-    return [RuleSpec.from_json(r.rule_id, r.dataset, r.check) for r in wanted.toLocalIterator()]
+    """The executable rules of a catalogue (rule_id, dataset, check). Rules are settings, not data.
+
+    Where the catalogue has ``relevant_columns``, missing values in them take a row out of a row rule that names no
+    columns of its own.
+    """
+    relevant = ["relevant_columns"] if "relevant_columns" in catalogue.columns else []
+    specs = []
+    for r in catalogue.where(F.col("check").isNotNull()).select("rule_id", "dataset", "check", *relevant).toLocalIterator():
+        spec = RuleSpec.from_json(r.rule_id, r.dataset, r.check)
+        if relevant and r.relevant_columns and spec.kind == "row":
+            spec.params.setdefault("cols", list(r.relevant_columns))
+        specs.append(spec)
+    return specs
 
 
 def _group_rule(spec: RuleSpec) -> groups.GroupRule | None:
@@ -98,7 +108,7 @@ def _group_rule(spec: RuleSpec) -> groups.GroupRule | None:
     if spec.kind == "unique_key":
         return groups.GroupRule(spec.rule_id, "count", "agg_value = 1", None, p.get("body"))
     if spec.kind == "aggregate_constraint" and isinstance(p.get("predicate"), str):
-        return groups.GroupRule(spec.rule_id, p["agg"], p["predicate"], p.get("value"), p.get("body"))
+        return groups.GroupRule(spec.rule_id, p["agg"], p["predicate"], p.get("value"), p.get("body"), p.get("scale"))
     return None
 
 

@@ -21,6 +21,8 @@ from rulespan.plans.registry import (
     verdict_sql,
 )
 
+#: Amounts in checks of sums are exact to six places on both sides.
+MONEY = "decimal(28,6)"
 LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LINE_COLUMNS = ", ".join(LINE_ID)
 
@@ -226,7 +228,7 @@ EVENT_SUMS = """
 def event_totals(t: Tables) -> RuleResult:
     return groups.sum_to_total(
         t.events, "user_id", "value", "event_type in ('click','view')", "event_type in ('purchase','signup')", "<=",
-        row_id="event_id", rule_id="sum_to_total")
+        row_id="event_id", scale=6, rule_id="sum_to_total")
 
 
 @query("sum_to_total", group_sql("sum_to_total", f"SELECT n, part <= total AS ok FROM ({EVENT_SUMS})", "events"))
@@ -250,7 +252,7 @@ WEEKS = """
 
 def weekly(t: Tables) -> RuleResult:
     return groups.sum_to_threshold(
-        t.events, "user_id", "value", "<=", 500, window=("ts", "week"), row_id="event_id", rule_id="sum_to_threshold")
+        t.events, "user_id", "value", "<=", 500, window=("ts", "week"), row_id="event_id", scale=6, rule_id="sum_to_threshold")
 
 
 @query("sum_to_threshold", metrics_sql(
@@ -515,9 +517,9 @@ def _(t: Tables) -> DataFrame:
         ON l_orderkey = o_orderkey"""))
 def _(t: Tables) -> DataFrame:
     return metrics_out(tables.cross_table_rule(
-        t.orders, t.lineitem, [("o_orderkey", "l_orderkey")], f"line_total <= cast(o_totalprice as {groups.EXACT})",
+        t.orders, t.lineitem, [("o_orderkey", "l_orderkey")], f"line_total <= cast(o_totalprice as {MONEY})",
         row_id="o_orderkey", cols="o_totalprice", secondary_cols="l_extendedprice",
-        aggs={"line_total": F.sum(F.col("l_extendedprice").cast(groups.EXACT))}, rule_id="cross_table_sum"))
+        aggs={"line_total": F.sum(F.col("l_extendedprice").cast(MONEY))}, rule_id="cross_table_sum"))
 
 
 @query("cross_table_all_later", metrics_sql(

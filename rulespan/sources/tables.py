@@ -24,16 +24,25 @@ def load_table(
     fmt: str = "csv",
     na_values: Sequence[str] = NA_TOKENS,
     schema: str | T.StructType | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A table by name; the file is the lower-cased name with the format as suffix.
 
+    A quoted CSV cell may hold line breaks. That keeps a file in one task; ``multi_line=False`` splits large files
+    whose cells are known to hold none.
+
     CSV cells among ``na_values`` are NULL. Column types come from ``schema``; without one they are
     inferred in a pass of their own, after the NA texts are gone, so they do not turn numbers into text.
     """
-    path = os.path.join(folder, f"{name.lower()}.{fmt}")
+    return _read(spark, os.path.join(folder, f"{name.lower()}.{fmt}"), fmt, na_values, schema, multi_line)
+
+
+def _read(
+    spark: SparkSession, path: str, fmt: str, na_values: Sequence[str], schema: str | T.StructType | None, multi_line: bool
+) -> DataFrame:
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
-    options = {"header": True, "multiLine": False, "escape": '"'}
+    options = {"header": True, "multiLine": multi_line, "escape": '"'}
     text = spark.read.options(**options).csv(path)
     text = text.select([F.when(~F.col(f"`{c}`").isin(*na_values), F.col(f"`{c}`")).alias(c) for c in text.columns])
     target = schema if schema is not None else _inferred(text)
@@ -43,12 +52,16 @@ def load_table(
 
 
 def _inferred(text: DataFrame) -> T.StructType:
-    """The narrowest of bigint, double, boolean, timestamp that every present cell of a column fits."""
+    """The narrowest of bigint, double, boolean, timestamp that every present cell of a column fits.
+
+    Only the words true and false make a boolean: Y, N, t or f stay the texts they are.
+    """
     kinds = ["bigint", "double", "boolean", "timestamp"]
     bad = []
     for i, c in enumerate(text.columns):
         col = F.col(f"`{c}`")
-        bad += [F.count_if(col.isNotNull() & col.try_cast(k).isNull()).alias(f"{i}_{k}") for k in kinds]
+        fits = {k: col.try_cast(k).isNotNull() for k in kinds} | {"boolean": F.lower(col).isin("true", "false")}
+        bad += [F.count_if(col.isNotNull() & ~fits[k]).alias(f"{i}_{k}") for k in kinds]
     row = text.agg(*bad).first()
     fields = []
     for i, c in enumerate(text.columns):
@@ -58,7 +71,8 @@ def _inferred(text: DataFrame) -> T.StructType:
 
 
 def load_tables(
-    spark: SparkSession, folder: str, names: Sequence[str], fmt: str = "csv", **options
+    spark: SparkSession, folder: str, names: Sequence[str], fmt: str = "csv", na_values: Sequence[str] = NA_TOKENS,
+    schema: str | T.StructType | None = None, multi_line: bool = True,
 ) -> dict[str, DataFrame]:
     """A table set; each table is read once, as ``<name>.<fmt>`` or else as ``<name>``.
 
@@ -67,10 +81,10 @@ def load_tables(
     tables: dict[str, DataFrame] = {}
     for name in dict.fromkeys(names):
         try:
-            tables[name] = load_table(spark, folder, name, fmt, **options)
+            tables[name] = load_table(spark, folder, name, fmt, na_values, schema, multi_line)
         except AnalysisException:
             try:
-                tables[name] = spark.read.format(fmt).options(header=True, inferSchema=True).load(os.path.join(folder, name))
+                tables[name] = _read(spark, os.path.join(folder, name), fmt, na_values, schema, multi_line)
             except AnalysisException:
                 continue
     return tables
