@@ -5,18 +5,21 @@ set). All tokens have one order: frequency level first (0: rare), then hash. Of
 least o = ceil(0.75 n), so two linked sets of different texts share at least K = 2 of their first n - o + K tokens in
 that order (the extended prefix). Either a rare token is among them: rare tokens of the prefix are indexed alone. Or all
 are frequent: then they share a pair of frequent tokens, and pairs are indexed. A set with more than ``PAIRS`` frequent
-tokens in its prefix indexes them alone in a channel of its own, in which all other sets with frequent tokens are listed
-too; so no link is lost whatever the levels are. They come from counts over all texts and decide speed, not results.
+tokens in its prefix (a "wide" one) indexes them alone, and meets all other sets with frequent tokens in those lists,
+which serve no pair of sets that aren't wide. So no link is lost whatever the levels are. They come from counts over
+all texts and decide speed, not results.
 
-A list of the index (the vertices of one signature) isn't expanded into pairs. First each vertex is verified against
+A list of the index (the vertices of one signature) isn't expanded into pairs. First each vertex is compared with
 the first one of similar size in its list. The components of what holds leave the lists with several components; only
-pairs across components that share a list are verified then, which decides every link that could still join two.
+pairs across components that share a list are looked at then, which decides every link that could still join two. A
+pair is verified only if its prefixes share as many tokens as a linked pair's must: two sets that share c tokens of their
+prefixes share at most c and the larger rest of the two.
 
 Verification reads the texts themselves and compares whole sets. Nothing is cut off: lists have no longest length.
 
 Defined cases: a null text is an empty text; texts without words have the empty set and link with nothing; rows of
-the same id are one vertex each for their sets, and the id stands for all of them; a null id is linked like others and
-gives way to any id, so its component is null only if it has no other id; other columns are ignored; an empty table
+the same id are one vertex each for their sets, and the id stands for all of them; a row with a null id belongs to the
+component of the set it shares with a row that has an id, and links with nothing else (its component is null); other columns are ignored; an empty table
 gives an empty table.
 """
 
@@ -132,40 +135,41 @@ def levels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], found.column("level").to_numpy()[order].astype(np.uint8)
 
 
-def signatures(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The index entries of a set: rare tokens of its extended prefix, and pairs of the frequent ones."""
+#: Kinds of signatures, in their two lowest bits.
+RARE, PAIR, WIDE = 0, 1, 2
+
+
+def signatures(tokens: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The index entries of a set (rare tokens of its extended prefix, pairs of the frequent ones, and these for wide
+    sets), and whether it is wide."""
     n = len(tokens)
     prefix = min(n, n - -(-3 * n // 4) + K)
     order = np.lexsort((tokens, level))[:prefix] if level.any() else np.arange(prefix)
     chosen, frequent = tokens[order], level[order] > 0
     common = np.sort(chosen[frequent])
-    out = [chosen[~frequent]]
-    if len(common):
-        out.append(mix(common + np.uint64(0xB16)))
-        if len(common) <= PAIRS:
-            i, j = np.triu_indices(len(common), 1)
-            # pairs carry bit 0, the channel of single frequent tokens doesn't
-            out[-1] &= ~np.uint64(1)
-            out.append(mix(common[i] * np.uint64(31) + common[j]) | np.uint64(1))
-        else:
-            out[-1] &= ~np.uint64(1)
-    return np.concatenate(out)
+    out = [(chosen[~frequent], RARE), (mix(common + np.uint64(0xB16)), WIDE)]
+    wide = len(common) > PAIRS
+    if not wide:
+        i, j = np.triu_indices(len(common), 1)
+        out.append((mix(common[i] * np.uint64(31) + common[j]), PAIR))
+    return np.concatenate([x & ~np.uint64(3) | np.uint64(kind) for x, kind in out]), wide
 
 
 def lists(docs: DataFrame, levels_of: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """sig, v, n, hub, hub_n: the members of every list of two or more vertices and the first one of similar size."""
+    """sig, v, n, wide, hub, hub_n, hub_wide: the members of every list of two or more vertices and the first one of similar size."""
     sent = docs.sparkSession.sparkContext.broadcast(levels_of)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, level_of = sent.value
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, int, int, bool]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             lengths = [len(h[0]) for h in held]
             return pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([h[0] for h in held]).view(np.int64)), pa.array(np.repeat(np.array([h[1] for h in held], np.int64), lengths)),
-                pa.array(np.repeat(np.array([h[2] for h in held], np.int32), lengths))], names=["sig", "v", "n"])
+                pa.array(np.repeat(np.array([h[2] for h in held], np.int32), lengths)), pa.array(np.repeat(np.array([h[3] for h in held], bool), lengths))],
+                names=["sig", "v", "n", "wide"])
 
         for v, tokens in _distinct(batches):
             level = np.zeros(len(tokens), np.uint8)
@@ -173,7 +177,8 @@ def lists(docs: DataFrame, levels_of: tuple[np.ndarray, np.ndarray]) -> DataFram
                 at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
                 hit = frequent[at] == tokens
                 level[hit] = level_of[at[hit]]
-            held.append((signatures(tokens, level), v, len(tokens)))
+            found, wide = signatures(tokens, level)
+            held.append((found, v, len(tokens), wide))
             size += len(held[-1][0])
             if size >= 100_000:
                 yield out()
@@ -183,7 +188,7 @@ def lists(docs: DataFrame, levels_of: tuple[np.ndarray, np.ndarray]) -> DataFram
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by sig, n, v; the rows of a list may reach over batches, so its first row waits for the next.
-        sig = hub = hub_n = v_before = None
+        sig = hub = before = None
         alone = False
         for batch in batches:
             rows = []
@@ -195,24 +200,36 @@ def lists(docs: DataFrame, levels_of: tuple[np.ndarray, np.ndarray]) -> DataFram
             near[:-1] |= s[1:] == s[:-1]
             if len(s):
                 near[0] = near[-1] = True
-            for x, v, n in zip(*(c[near].tolist() for c in columns)):
+            for x, *member in zip(*(c[near].tolist() for c in columns)):
                 if x != sig:
-                    sig, hub, hub_n, alone = x, v, n, True
-                elif v != v_before:
+                    sig, hub, alone = x, member, True
+                elif member[0] != before[0]:
                     if alone:
-                        rows.append((sig, v_before, hub_n, hub, hub_n))
+                        rows.append((sig, *before, *hub))
                         alone = False
-                    if 4 * hub_n < 3 * n:
-                        hub, hub_n = v, n
-                    rows.append((sig, v, n, hub, hub_n))
-                v_before = v
+                    if 4 * hub[1] < 3 * member[1]:
+                        hub = member
+                    rows.append((sig, *member, *hub))
+                before = member
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))],
-                    names=["sig", "v", "n", "hub", "hub_n"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                                                 names=["sig", "v", "n", "wide", "hub", "hub_n", "hub_wide"])
+
+    entries = docs.mapInArrow(index, "sig long, v long, n int, wide boolean")
+    return entries.repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(runs, "sig long, v long, n int, wide boolean, hub long, hub_n int, hub_wide boolean")
 
-    entries = docs.mapInArrow(index, "sig long, v long, n int")
-    return entries.repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(runs, "sig long, v long, n int, hub long, hub_n int")
+
+def promising(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share enough signatures. ``met``: sig, a, a_n, a_wide, b, b_n, b_wide, a row per shared one."""
+    kind, wide = F.col("sig").bitwiseAND(F.lit(3)), F.col("a_wide") | F.col("b_wide")
+    counted = met.where((kind != WIDE) | wide).groupBy("a", "b").agg(
+        F.any_value("a_n").alias("x"), F.any_value("b_n").alias("y"), F.any_value(wide).alias("wide"),
+        F.count_if(kind == RARE).alias("rare"), F.count_if(kind == PAIR).alias("pairs"), F.count_if(kind == WIDE).alias("alone"))
+    # c tokens make c (c - 1) / 2 pairs; without a pair there may be one token
+    frequent = F.when(F.col("wide"), F.col("alone")).otherwise(F.floor((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2))
+    rest = F.greatest(F.ceil(3 * F.col("x") / 4), F.ceil(3 * F.col("y") / 4)) - K
+    return counted.where(F.col("rare") + frequent + rest >= F.ceil(3 * (F.col("x") + F.col("y")) / 7)).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -263,25 +280,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     source = id_text(docs, id_col, text_col)
     rows = kept_table(described(source))
     found = kept_table(lists(source, levels(source)))
-    # One text per vertex that shares a list. Ids go to all tasks if they are few enough, else the texts are shuffled.
     first = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("doc_id"))
-    wanted = kept_table(found.select("v").distinct().join(first, "v").where(F.col("doc_id").isNotNull()))
-    chosen = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
-    texts = kept_table(_one_text(source.join(chosen, "doc_id")))
-    tried = found.where("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
-    near = kept_table(verified(tried, texts))
+    tried = kept_table(promising(found.where("v <> hub").selectExpr(
+        "sig", "hub AS a", "hub_n AS a_n", "hub_wide AS a_wide", "v AS b", "n AS b_n", "wide AS b_wide")))
+    near = kept_table(verified(tried, _texts_of(tried, first, source)))
     labels = components(near)
     # Lists that still hold several components: each pair across them that hasn't been tried.
-    marked = found.join(labels, "v", "left").select("sig", "v", "n", F.coalesce("label", "v").alias("label"))
+    marked = found.join(labels, "v", "left").select("sig", "v", "n", "wide", F.coalesce("label", "v").alias("label"))
     mixed = marked.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
     open_ = kept_table(marked.join(mixed, "sig"))
     x, y = open_.alias("x"), open_.alias("y")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label"))
-                    & (4 * F.col("x.n") >= 3 * F.col("y.n")) & (4 * F.col("y.n") >= 3 * F.col("x.n")))
-    # Only pairs that the list's channel is for: single frequent tokens aren't told apart here, more pairs do no harm.
-    pairs = across.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
+                    & (4 * F.col("x.n") >= 3 * F.col("y.n")) & (4 * F.col("y.n") >= 3 * F.col("x.n"))
+                    & ((F.col("x.sig").bitwiseAND(F.lit(3)) != WIDE) | F.col("x.wide") | F.col("y.wide")))
+    pairs = promising(across.selectExpr("x.sig AS sig", "x.v AS a", "x.n AS a_n", "x.wide AS a_wide", "y.v AS b", "y.n AS b_n", "y.wide AS b_wide"))
     pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    final = components(near.unionAll(verified(pairs, texts)))
+    pairs = kept_table(pairs)
+    final = components(near.unionAll(verified(pairs, _texts_of(pairs, first, source))))
     named = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("low")).join(final, "v", "left").select(
         "v", "low", F.coalesce("label", "v").alias("label"))
     smallest = named.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -289,6 +304,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.join(of, "v", "left").select("doc_id", "n_shingles", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _texts_of(pairs: DataFrame, first: DataFrame, source: DataFrame) -> DataFrame:
+    """v and text of every vertex of ``pairs``. Ids go to all tasks if they are few enough, else the texts are shuffled."""
+    vertices = pairs.select(F.col("a").alias("v")).unionAll(pairs.select("b")).distinct()
+    wanted = kept_table(vertices.join(first, "v").where(F.col("doc_id").isNotNull()))
+    return _one_text(source.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, "doc_id"))
+
+
 def _one_text(candidates: DataFrame) -> DataFrame:
     """v and text: rows of an id that stands for a vertex, those whose own set is that vertex, once each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
