@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,8 @@ from pyspark.sql import functions as F
 from rulespan.functions.text import url_host, url_path
 
 DEFAULT_K = 5
-#: Queries up to this number are sent to every task; more are met block by block.
+#: Queries of a round, which are sent to every task.
 MAX_BROADCAST_QUERIES = 4096
-#: Rows of a block on either side when queries and corpus are both large.
-BLOCK_ROWS = 20_000
 #: Cells of the score matrix a task holds at a time (32 MB).
 SCORE_CELLS = 4_000_000
 #: Scores are rounded before ranking, so that equal vectors tie in any order of summation.
@@ -74,11 +73,11 @@ def top_k(
         corpus = corpus.where(F.col(source).isin(*sources))
     items = corpus.select(F.col(item_id).cast("long").alias("item_id"), F.col(vector).alias("v")).na.drop()
     wanted = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("v")).na.drop()
-    few = wanted.limit(max_queries + 1).toPandas()
-    if len(few) <= max_queries:
-        hits = _against_all(few, items, k, skip_self)
-    else:
-        hits = _by_blocks(wanted, items, k, skip_self)
+    # Queries go in rounds of a fixed size, dealt by a hash, so what a task is sent doesn't grow with them.
+    rounds = max(1, -(-wanted.count() // max_queries))
+    dealt = wanted.withColumn("_round", F.pmod(F.xxhash64("query_id"), F.lit(rounds)))
+    hits = reduce(DataFrame.unionAll, (
+        _against_all(dealt.where(F.col("_round") == i).drop("_round").toPandas(), items, k, skip_self) for i in range(rounds)))
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
@@ -102,27 +101,6 @@ def _against_all(asked: pd.DataFrame, items: DataFrame, k: int, skip_self: bool)
     return items.mapInPandas(score, HITS)
 
 
-def _by_blocks(queries: DataFrame, items: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """Cut both sides into blocks by a hash of the id and let every pair of blocks meet in one task."""
-    query_blocks, item_blocks = (max(1, -(-side.count() // BLOCK_ROWS)) for side in (queries, items))
-
-    def block(col: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = queries.withColumn("qb", block("query_id", query_blocks)).withColumn("ib", every(item_blocks))
-    right = items.withColumn("ib", block("item_id", item_blocks)).withColumn("qb", every(query_blocks))
-
-    def score(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or i.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        return _best(q["query_id"].to_numpy(), _unit(q["v"]), i["item_id"].to_numpy(), _unit(i["v"]), k, skip_self)
-
-    return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(score, HITS)
-
-
 # The points of a url, and the words that earn them.
 TRUSTED_POINTS = 10
 DOC_HOST_POINTS = 5

@@ -245,11 +245,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("dataset_summary", """
-    SELECT 'c_custkey: bigint, c_name: string, c_nationkey: int, c_mktsegment: string' AS columns,
-      to_json({c_custkey: c_custkey, c_name: c_name, c_nationkey: c_nationkey, c_mktsegment: c_mktsegment})::VARCHAR AS record
+    SELECT 'c_custkey: bigint, c_name: string, c_nationkey: int, c_acctbal: double, c_mktsegment: string' AS columns,
+      to_json({c_custkey: c_custkey, c_name: c_name, c_nationkey: c_nationkey, c_acctbal: c_acctbal, c_mktsegment: c_mktsegment})::VARCHAR AS record
     FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 5""")
 def _(t: Tables) -> DataFrame:
-    return profile.dataset_summary(t.customer.drop("c_acctbal"), 5, "c_custkey")
+    return profile.dataset_summary(t.customer, 5, "c_custkey")
 
 
 def profile_sql(table: str, columns: dict[str, str]) -> str:
@@ -439,7 +439,7 @@ def _(t: Tables) -> DataFrame:
 @query("top_k_each_blocks", top_k_sql(EACH, "embeddings", "query_id <> vec_id"))
 def _(t: Tables) -> DataFrame:
     return found(retrieval.top_k(
-        t.embeddings, t.embeddings, query_id="vec_id", item_id="vec_id", skip_self=True, max_queries=0))
+        t.embeddings, t.embeddings, query_id="vec_id", item_id="vec_id", skip_self=True, max_queries=150))
 
 
 SCORED_URLS = r"""(SELECT page_id, url, host,
@@ -603,6 +603,7 @@ def _(t: Tables) -> DataFrame:
         ELSE coalesce(trim(replace(list_last(list_filter(string_split(text, chr(10))[1:5],
         lambda l: starts_with(l, '# ') AND NOT contains(l, 'Tags:') AND NOT contains(l, 'Metrics:'))), '#', '')), 'Generated code snippet') END AS description,
       CASE WHEN doc_id % 2 = 0 THEN lang || ', ' || source ELSE '' END AS tags,
+      NULL::DOUBLE AS execution_time, NULL::DOUBLE AS memory_usage, epoch(TIMESTAMP '2024-02-15 00:00:00')::BIGINT AS last_used,
       0::BIGINT AS usage_count, 0.0::DOUBLE AS success_rate, 50.0::DOUBLE AS quality_score
     FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def _(t: Tables) -> DataFrame:
@@ -616,7 +617,7 @@ def _(t: Tables) -> DataFrame:
     )
     known = t.labels.select(F.concat(F.lit("doc"), F.col("doc_id")).alias("snippet_id"))
     new = ranking.register_new(files, known, F.expr(AS_OF))
-    return new.drop("execution_time", "memory_usage", "last_used")
+    return new.withColumn("last_used", F.unix_seconds("last_used"))
 
 
 @query("violating_copies", """

@@ -94,9 +94,8 @@ def test_sources_are_enabled_unless_switched_off(spark):
     assert [r.s for r in enabled(df).collect()] == ["a", "c"]
 
 
-@pytest.mark.parametrize("max_queries", [100, 0])
-def test_top_k_equals_brute_force(spark, max_queries, monkeypatch):
-    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 30)
+@pytest.mark.parametrize("max_queries", [100, 7])
+def test_top_k_equals_brute_force(spark, max_queries):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(100, 6))
     vectors[7] = vectors[3]  # a tie
