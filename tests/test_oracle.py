@@ -5,6 +5,8 @@ import pytest
 from conftest import DATA
 from oracle import connect, duck_table, spark_table
 
+from rulespan.plans.registry import QUERIES, SQL
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -19,9 +21,9 @@ def same(got, want):
         assert a == pytest.approx(b, abs=1e-6) if all(isinstance(x, (int, float)) for x in (*a, *b)) else a == b
 
 
-@pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, con, name):
-    same(spark_table(registered.queries()[name](spark, DATA)), duck_table(con, registered.oracle_sql()[name]))
+    same(spark_table(QUERIES[name](spark, DATA)), duck_table(con, SQL[name]))
 
 
 GROUPED = [
@@ -34,7 +36,7 @@ GROUPED = [
 
 @pytest.mark.parametrize("name", GROUPED)
 def test_query_with_hot_groups(spark, con, hot, name):
-    same(spark_table(registered.queries()[name](spark, DATA)), duck_table(con, registered.oracle_sql()[name]))
+    same(spark_table(QUERIES[name](spark, DATA)), duck_table(con, SQL[name]))
 
 
 def test_entry(spark):
@@ -42,4 +44,5 @@ def test_entry(spark):
 
 
 def test_queries_without_sql_are_those_sql_cannot_express():
-    assert set(registered.queries()) - set(registered.oracle_sql()) == {"chunk_separators", "chunk_separators_doc"}
+    assert set(QUERIES) - set(SQL) == {"chunk_separators", "chunk_separators_doc"}
+    assert set(QUERIES) <= set(registered.queries()) and set(SQL) <= set(registered.oracle_sql())
