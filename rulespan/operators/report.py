@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rulespan.model import SATISFACTION, VIOLATION, RuleResult, as_list, key_sql, quoted, row_id_column
 from rulespan.operators.metrics import ratio, verdict_rows
-from rulespan.session import BROADCAST_ROWS
+from rulespan.session import checkpointed
 
 #: Support and confidence may differ by this much and still count as reported equal.
 METRIC_TOLERANCE = 0.01
@@ -154,8 +154,7 @@ def drill_down(
     """For group rules: the first groups of each verdict, ``per_role`` rows of each role, and how many more.
 
     Groups are picked from the per-group table. Since a group is judged by its own rows, the rule is then
-    run again on the rows of the picked groups alone, which a broadcast of at most ``2 * groups`` keys finds
-    without a shuffle of the table.
+    run again on the rows of the picked groups alone, at most ``2 * groups`` of them.
     """
     key = as_list(key)
     per_group = rule(df).groups
@@ -167,7 +166,8 @@ def drill_down(
         f"explode(filter(array(if(sat, '{SATISFACTION}', null), if(viol, '{VIOLATION}', null)), v -> v is not null)) as verdict",
     )
     picked = _first_groups(sides, ["verdict"], groups)
-    local = _fetched(picked)
+    # Written once, as the picked groups are read twice; Spark sees their size and broadcasts them if they are few.
+    local = checkpointed(picked)
     few = df.join(local.select(*key), key, "left_semi")
     keyed = _with_role(rule(few).participants())
     return _drilled(keyed.join(local.drop(*key), ["verdict", "_group"]), few, row_id, per_role)
@@ -180,19 +180,7 @@ def drill_down_stored(
     side = ["rule_id", "verdict"]
     keyed = _with_role(participants)
     picked = _first_groups(keyed.select(*side, "_group").distinct(), side, groups)
-    return _drilled(keyed.join(_fetched(picked), side + ["_group"]), df, row_id, per_role)
-
-
-def _fetched(picked: DataFrame) -> DataFrame:
-    """A few picked groups as a local, broadcast table, so that they are not computed again for every use.
-
-    There are ``groups`` of them per rule and verdict; a catalogue with too many rules for a broadcast gets
-    the plan itself, and Spark's own choice of join.
-    """
-    rows = picked.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        return picked
-    return F.broadcast(picked.sparkSession.createDataFrame(rows, picked.schema))
+    return _drilled(keyed.join(checkpointed(picked), side + ["_group"]), df, row_id, per_role)
 
 
 def _with_role(participants: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def _run_portion(portion: list[RuleSpec], tables_by_name: Mapping[str, DataFrame
     except Exception as error:
         if len(portion) > 1:  # find the rule at fault
             return [entry for spec in portion for entry in _run_portion([spec], tables_by_name, target)]
-        return [(portion[0].rule_id, STATUS["error"], time.monotonic() - started, str(error)[:1000], False, None)]
+        return [(portion[0].rule_id, STATUS["error"], time.monotonic() - started, str(error), False, None)]
     seconds = (time.monotonic() - started) / len(portion)
     return [(spec.rule_id, STATUS["ok"], seconds, None, False, None) for spec in portion]
 
@@ -238,7 +238,7 @@ def _run_injection_test(spark: SparkSession, test: InjectionTest, tables_by_name
         rate = result.metrics.first().violation_rate
         found = _any_found(spark, spec, test.instructions, own[spec.table], result) if injected else None
     except Exception as error:
-        return entry("error", time.monotonic() - started, str(error)[:1000])
+        return entry("error", time.monotonic() - started, str(error))
     return entry("ok", time.monotonic() - started, found=found, rate=rate)
 
 
