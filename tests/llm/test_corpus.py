@@ -153,6 +153,40 @@ def test_line_dedup_odd_rows(spark):
     assert linededup.clean(whole.limit(0)).count() == 0
 
 
+def test_line_dedup_leaves_no_repeated_passage(spark):
+    """A plain search for 50 words in a row that several documents hold, with passages at any place and inside lines."""
+    random = np.random.default_rng(5)
+    word = lambda: "".join(random.choice(list("abcdefghij"), 5))
+
+    def prose(n):
+        return " ".join(word() + str(random.choice(["", "", "", "", "", ",", ".", ".\n"], p=[0.15] * 5 + [0.1, 0.1, 0.05])) for _ in range(n)).replace("\n ", "\n")
+
+    passages = [prose(int(random.integers(51, 81))) for _ in range(60)]
+    rows = [(i, f"{prose(int(random.integers(3, 60)))} {passages[i % 60]} {prose(int(random.integers(3, 60)))}") for i in range(180)]
+
+    def held(rows):
+        found = defaultdict(set)
+        for i, text in rows:
+            w = text.split()
+            for k in range(len(w) - 49):
+                found[tuple(w[k : k + 50])].add(i)
+        return {i for ids in found.values() if len(ids) > 1 for i in ids}
+
+    got = [(r.doc_id, r.text) for r in linededup.clean(frame(spark, rows)).collect()]
+    assert len(held(rows)) == 180 and len(got) == 180 and not held(got)
+    assert all(dict(got)[i] == t for i, t in rows[:60])  # the first holders lose nothing
+
+
+def test_line_dedup_of_pieces_in_odd_rows(spark):
+    shared = "".join(f"line {i} of the passage\n" for i in range(12))
+    rows = [(1, f"own start\n{shared}own end\n"), (2, f"other text\nmore\n{shared}"), (3, shared + shared), (4, ""), (5, "x\x1fy. z\n" + shared),
+            (6, "l\n" * 3000), (8, None), (None, shared), (2, f"other text\nmore\n{shared}"), (2, "another text of this id\n")]
+    got = sorted(((r.doc_id, r.text) for r in linededup.clean(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([rows[0], (2, "other text\nmore\n"), (2, "other text\nmore\n"), (2, "another text of this id\n"), (3, ""), (4, ""),
+                          (5, "x\x1fy. z\n"), (6, "l\n" * 2), (8, None), (None, "")], key=str)
+    assert linededup.dedup(frame(spark, rows).limit(0)).count() == 0
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = QUERIES["op7_line_dedup"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
