@@ -187,6 +187,14 @@ def test_line_dedup_of_pieces_in_odd_rows(spark):
     assert linededup.dedup(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_a_row_per_text_of_one_id(spark):
+    texts = ["".join(f"line {i} of passage number {k}\n" for i in range(5)) for k in range(40)]
+    rows = [(1, "".join(texts)), *[(i, t) for i in (2, None) for t in texts]]
+    assert {len(r.lost) for r in linededup.losses(frame(spark, rows)).collect()} == {4}
+    got = [r.text for r in linededup.clean(frame(spark, rows)).collect() if r.doc_id != 1]
+    assert got == [""] * 80
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = QUERIES["op7_line_dedup"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
