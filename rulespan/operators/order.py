@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,6 +99,76 @@ def monotonic(
     return RuleResult(rule_id, "group", metrics, find, groups.where("sat or viol"))
 
 
+@dataclass(frozen=True)
+class PairList:
+    """Pairs of a monotonic rule, without forming them.
+
+    ``members``: group_key, block, place, row_id: the rows of each block in an order. ``links``: group_key, row_id (the row of
+    lower rank), block, first, last: it makes a pair with every member of the block at the places ``first`` to ``last``.
+    """
+
+    links: DataFrame
+    members: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """group_key, lower, higher: all pairs, expanded; as many rows as there are pairs."""
+        on = ["group_key", "block"]
+        found = self.links.withColumnRenamed("row_id", "lower").join(self.members.withColumnRenamed("row_id", "higher"), on)
+        return found.where("place BETWEEN first AND last").select("group_key", "lower", "higher")
+
+    def count(self) -> DataFrame:
+        """One row: how many pairs there are, from the links alone."""
+        return self.links.agg(F.coalesce(F.sum((F.col("last") - F.col("first") + 1).cast("decimal(38,0)")), F.lit(0)).alias("pairs"))
+
+
+def monotonic_pairs(
+    df: DataFrame,
+    key: str | Sequence[str],
+    rank: str,
+    value: str,
+    verdict: str = VIOLATION,
+    *,
+    row_id: str | Sequence[str],
+    body: Column | str | None = None,
+    levels: int = 40,
+) -> PairList:
+    """Which pairs of a monotonic rule satisfy or violate it, as links from rows to parts of blocks.
+
+    The ranks of a group are numbered and dealt to blocks of 1, 2, 4, ... neighbours. Above a row's rank lie at most one
+    block of each width, its sibling; in a block rows are ordered by value, so those the row makes a pair with are the
+    first ones (violations) or the last ones. n rows give at most n log n memberships and links, however many pairs they stand
+    for; only links with a pair are kept. ``levels`` bounds log2 of a group's ranks.
+    """
+    key = as_list(key)
+    rows = scoped(df, key, [*key, rank, value], body, row_id, {"_rank": F.col(rank), "_value": F.col(value)}).where("_ok").drop("_ok")
+    ranks = rows.groupBy(*key, "_rank").agg(F.lit(1).alias("_one"))
+    numbered = running(ranks, key, ["_rank"], {"_at": ("sum", "_one")}, find_hot(ranks, key)).select(*key, "_rank", F.col("_at").cast("long").alias("_at"))
+    most = numbered.groupBy(*key).agg(F.ceil(F.log2(F.max("_at") + 1)).cast("int").alias("_top"))
+    placed = join_groups(rows, numbered.join(most, key), [*key, "_rank"], find_hot(rows, [*key, "_rank"]), F.col("_row"))
+    # Blocks at level w are ranks with the same number >> w. A row is a member of its own block at every level below the
+    # top, and asks the sibling above where its own block is the lower one of two.
+    each = placed.withColumn("_level", F.explode(F.sequence(F.lit(0), F.least(F.greatest("_top", F.lit(1)), F.lit(levels)) - 1)))
+    own = F.expr("shiftright(_at, _level)")
+    member = each.select(*key, "_level", own.alias("_block"), "_value", F.lit(0).alias("_asks"), "_row", F.lit(1).alias("_n"))
+    asks = each.where(own % 2 == 0).select(*key, "_level", (own + 1).alias("_block"), "_value", F.lit(1).alias("_asks"), "_row", F.lit(0).alias("_n"))
+    events = member.unionByName(asks)
+    block = [*key, "_level", "_block"]
+    # Members of an equal value come before the question: they are not strictly larger.
+    counted = running(events, block, ["_value", "_asks", "_row"], {"_before": ("sum", "_n")}, find_hot(events, block))
+    name = F.struct("_level", "_block").alias("block")
+    group = F.expr(key_sql(key)).alias("group_key")
+    place = F.col("_before").cast("long")
+    members = counted.where("_asks = 0").select(group, name, place.alias("place"), F.col("_row").alias("row_id"))
+    asked = counted.where("_asks = 1")
+    if verdict == VIOLATION:
+        links = asked.where("_before > 0").select(group, F.col("_row").alias("row_id"), name, F.lit(0).cast("long").alias("first"), (place - 1).alias("last"))
+    else:
+        sizes = member.groupBy(*block).agg(F.count(F.lit(1)).alias("_size"))
+        sized = join_groups(asked, sizes, block, find_hot(asked, block), F.col("_row"))
+        links = sized.where("_before < _size").select(group, F.col("_row").alias("row_id"), name, place.alias("first"), (F.col("_size") - 1).alias("last"))
+    return PairList(links, members)
+
+
 def sequence_rule(
     df: DataFrame,
     partition: str | Sequence[str],

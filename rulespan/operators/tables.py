@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rulespan.functions.prep import in_scope, normalized_pair, present
+from rulespan.functions.prep import FLOATS, in_scope, normalized_pair, present
 from rulespan.model import (
     SATISFACTION,
     VIOLATION,
@@ -21,8 +23,9 @@ from rulespan.model import (
     row_id_column,
 )
 from rulespan.operators.metrics import finish
+from rulespan.operators.pairs import Compare
 from rulespan.operators.report import beside
-from rulespan.operators.skew import find_hot, join_groups
+from rulespan.operators.skew import find_hot, join_groups, running
 
 UNMATCHED = ("exclude", "judge")
 
@@ -152,31 +155,189 @@ def cross_table_rule(
     return RuleResult(rule_id, "row", finish(counts, rule_id, "row"), find)
 
 
+@dataclass(frozen=True)
+class Between:
+    """A condition on a row of each table: ``value`` of the primary one lies in ``low`` to ``high`` of the secondary one."""
+
+    value: str
+    low: str
+    high: str
+
+
+QUANTIFIERS = ("any", "all")
+
+
 def quantified_rule(
     primary: DataFrame,
     secondary: DataFrame,
     on: Sequence[tuple[str, str]],
-    predicate: Column | str,
+    predicate: Column | str | Compare | Between,
     quantifier: str,
     *,
     row_id: str | Sequence[str],
-    secondary_cols: str | Sequence[str],
+    secondary_cols: str | Sequence[str] = (),
+    primary_cols: str | Sequence[str] = (),
     rule_id: str = "quantified_rule",
 ) -> RuleResult:
     """Any, or all, secondary rows of a primary row fulfil ``predicate``.
 
-    Without secondary rows "any" is violated and "all" holds. The predicate is over secondary columns;
-    compare a primary column with all of them through ``cross_table_rule(aggs={"lo": min, "hi": max})``.
+    Without secondary rows "any" is violated and "all" holds; a predicate that is unknown for a secondary row isn't
+    fulfilled by it. What the predicate reads decides how it is evaluated, each time without forming pairs:
+
+    * columns of the secondary table: folded to a flag per key;
+    * ``Compare`` of a primary with a secondary column, or ``Between``: folded to extremes per key, or looked up among the
+      key's intervals in sorted order (see ``_in_some_interval``); costs n log n for a key of any size;
+    * anything over columns of both (named in ``primary_cols`` and ``secondary_cols``): a semi or anti join on the key
+      with the predicate as a further condition, which stops at a row's first hit. Keys with very many rows in both
+      tables are better served by the forms above.
+
+    ``Compare`` and ``Between`` may be given as mappings of their fields.
     """
-    if quantifier not in ("any", "all"):
-        raise ValueError("quantifier must be 'any' or 'all'")
+    if quantifier not in QUANTIFIERS:
+        raise ValueError(f"quantifier must be one of {QUANTIFIERS}")
+    if isinstance(predicate, Mapping):
+        predicate = (Between if "value" in predicate else Compare)(**predicate)
+    common = {"row_id": row_id, "rule_id": rule_id}
+    if isinstance(predicate, Compare):
+        return _compared(primary, secondary, on, predicate, quantifier, **common)
+    if isinstance(predicate, Between):
+        return _between(primary, secondary, on, predicate, quantifier, **common)
+    if as_list(primary_cols):
+        return _with_residual(primary, secondary, on, predicate, quantifier, as_list(primary_cols), as_list(secondary_cols), **common)
     test = F.coalesce(as_column(predicate), F.lit(False))
     folded = F.bool_or(test) if quantifier == "any" else F.bool_and(test)
     return cross_table_rule(
         primary, secondary, on, F.coalesce(F.col("_quantified"), F.lit(quantifier == "all")),
-        row_id=row_id, secondary_cols=secondary_cols, aggs={"_quantified": folded},
-        unmatched="judge", rule_id=rule_id,
-    )
+        secondary_cols=secondary_cols, aggs={"_quantified": folded}, unmatched="judge", **common)
+
+
+def _compared(primary, secondary, on, head: Compare, quantifier: str, *, row_id, rule_id) -> RuleResult:
+    """``primary.left op secondary.right`` for any or all secondary rows, by the smallest and largest value per key."""
+    other = head.right or head.left
+    looked = secondary.select(*[F.col(b) for _, b in on], F.col(other).alias("_value"))
+    if head.op in ("=", "!=") and (head.op == "=") == (quantifier == "any"):
+        return _equal(primary, looked, on, head.left, quantifier == "any", row_id=row_id, rule_id=rule_id)
+    if head.op == "within" and quantifier == "any":
+        near = looked.select(*[b for _, b in on], (F.col("_value") - F.lit(head.tol)).alias("_low"), (F.col("_value") + F.lit(head.tol)).alias("_high"))
+        return _between(primary, near, on, Between(head.left, "_low", "_high"), "any", row_id=row_id, rule_id=rule_id)
+    own, low, high = F.col(head.left), F.col("_smallest"), F.col("_largest")
+    tests = {
+        ("<", "any"): own < high, ("<", "all"): own < low, ("<=", "any"): own <= high, ("<=", "all"): own <= low,
+        (">", "any"): own > low, (">", "all"): own > high, (">=", "any"): own >= low, (">=", "all"): own >= high,
+        ("=", "all"): (own == low) & (own == high), ("!=", "any"): (own != low) | (own != high),
+        ("within", "all"): (own >= high - F.lit(head.tol)) & (own <= low + F.lit(head.tol)),
+    }
+    known = F.col("_value").isNotNull()
+    holds = F.coalesce(tests[head.op, quantifier], F.lit(False))
+    if quantifier == "all":
+        holds = F.when(F.col("_matched").isNull(), F.lit(True)).otherwise((F.col("_unknown") == 0) & holds)
+    aggs = {"_smallest": F.min("_value"), "_largest": F.max("_value"), "_unknown": F.count_if(~known)}
+    return cross_table_rule(
+        primary, looked, on, holds, row_id=row_id, cols=head.left, secondary_cols="_value", aggs=aggs, unmatched="judge", rule_id=rule_id)
+
+
+def _equal(primary, looked, on, own: str, wanted: bool, *, row_id, rule_id) -> RuleResult:
+    """Whether the value is among the key's values: a lookup of (key, value). An unknown value never differs."""
+    value = "_own_value"
+    left, right = [*[a for a, _ in on], value], [*[b for _, b in on], "_value"]
+    found = references(primary.withColumn(value, F.col(own)), left, looked, right, row_id=row_id, rule_id=rule_id)
+    if wanted:
+        return found
+    unknown = looked.where(F.col("_value").isNull()).select(*[b for _, b in on]).distinct()
+    return _either_violates(primary, found, unknown, on, own, row_id=row_id, rule_id=rule_id)
+
+
+def _either_violates(primary, found: RuleResult, unknown: DataFrame, on, own: str, *, row_id, rule_id) -> RuleResult:
+    """All values differ from the row's own: violated where one is equal (``found`` satisfied) or unknown."""
+    keys = references(primary.withColumn("_own_value", F.col(own)), [a for a, _ in on], unknown, [b for _, b in on], row_id=row_id,
+                      body=F.col("_own_value").isNotNull(), rule_id=rule_id)
+    hits = found.satisfactions().unionAll(keys.satisfactions()).select("row_id").distinct()
+    scope = in_scope(primary, [*[a for a, _ in on], own], None)
+    rows = primary.select(row_id_column(row_id).alias("_row"), scope.alias("_ok"))
+    judged = rows.join(hits.select(F.col("row_id").alias("_row"), F.lit(True).alias("_hit")), "_row", "left")
+    return _row_result(judged, "_hit IS NULL", rule_id)
+
+
+def _row_result(judged: DataFrame, holds: str, rule_id: str) -> RuleResult:
+    """A row rule from one row per primary row: ``_row``, ``_ok`` (in scope) and a test."""
+    counts = judged.selectExpr(
+        "count(1) as total_rows", "count_if(_ok) as applicable_rows", f"count_if(_ok and {holds}) as sat_rows",
+        f"count_if(_ok and not ({holds})) as viol_rows", "0 as sat_groups", "0 as viol_groups")
+
+    def find(verdicts: Sequence[str]) -> DataFrame:
+        verdict = f"if({holds}, '{SATISFACTION}', '{VIOLATION}')"
+        return participant_rows(judged.where("_ok"), literal(rule_id), verdict=verdict).where(F.col("verdict").isin(*verdicts))
+
+    return RuleResult(rule_id, "row", finish(counts, rule_id, "row"), find)
+
+
+def _between(primary, secondary, on, head: Between, quantifier: str, *, row_id, rule_id) -> RuleResult:
+    """The value in any or all intervals of its key; an interval with an unknown end holds nothing."""
+    looked = secondary.select(*[F.col(b) for _, b in on], F.col(head.low).alias("_low"), F.col(head.high).alias("_high"))
+    if quantifier == "all":
+        whole = F.col("_low").isNotNull() & F.col("_high").isNotNull()
+        aggs = {"_from": F.max("_low"), "_to": F.min("_high"), "_unknown": F.count_if(~whole)}
+        own = F.col(head.value)
+        holds = F.when(F.col("_matched").isNull(), F.lit(True)).otherwise((F.col("_unknown") == 0) & (own >= F.col("_from")) & (own <= F.col("_to")))
+        return cross_table_rule(
+            primary, looked, on, holds, row_id=row_id, cols=head.value, secondary_cols=["_low", "_high"], aggs=aggs, unmatched="judge", rule_id=rule_id)
+    return _row_result(_in_some_interval(primary, looked, on, head.value, row_id), "_in", rule_id)
+
+
+def _in_some_interval(primary, looked, on, value: str, row_id) -> DataFrame:
+    """``_row``, ``_ok`` and ``_in``: whether some interval of the row's key holds its value.
+
+    Values and intervals of a key go in one order, intervals by their low end. The largest high end so far then tells:
+    an interval that began and reaches the value holds it.
+    """
+    left, right, names = _join_keys(primary, [a for a, _ in on], looked, [b for _, b in on])
+    scope = in_scope(primary, [*[a for a, _ in on], value], None)
+    rows = primary.select(
+        row_id_column(row_id).alias("_row"), *[F.when(scope, c).alias(n) for n, c in left.items()], F.when(scope, F.col(value)).alias("_at"), scope.alias("_ok"))
+    rows = rows.withColumn("_ok", F.coalesce("_ok", F.lit(False)) & _all_present(names))
+    kind = looked.schema["_low"].dataType
+    own = rows.where("_ok").select(*names, F.col("_at").alias("_at"), F.lit(1).alias("_kind"), "_row", F.lit(None).cast(looked.schema["_high"].dataType).alias("_high"))
+    reach = looked.select(*[c.alias(n) for n, c in right.items()], "_low", "_high").where(_all_present(names) & F.col("_low").isNotNull())
+    # one interval for each low end
+    reach = reach.groupBy(*names, "_low").agg(F.max("_high").alias("_high")).select(
+        *names, F.col("_low").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_high")
+    if rows.schema["_at"].dataType != kind:
+        both = T.DoubleType() if isinstance(kind, FLOATS) or isinstance(rows.schema["_at"].dataType, FLOATS) else T.DecimalType(38, 6)
+        own, reach = (x.withColumn("_at", F.col("_at").cast(both)) for x in (own, reach))
+        own, reach = (x.withColumn("_high", F.col("_high").cast(both)) for x in (own, reach))
+    events = own.unionByName(reach)
+    far = running(events, names, ["_at", "_kind", "_row"], {"_far": ("max", "_high")}, find_hot(events, names))
+    inside = far.where("_kind = 1").select("_row", F.lit(True).alias("_ok"), F.coalesce(F.col("_far") >= F.col("_at"), F.lit(False)).alias("_in"))
+    outside = rows.where("NOT _ok").select("_row", F.lit(False).alias("_ok"), F.lit(False).alias("_in"))
+    return inside.unionAll(outside)
+
+
+def _with_residual(primary, secondary, on, predicate, quantifier: str, primary_cols, secondary_cols, *, row_id, rule_id) -> RuleResult:
+    """A predicate over columns of both tables: semi and anti join on the key, the predicate as a further condition."""
+    clash = set(primary_cols) & set(secondary_cols)
+    if clash:
+        raise ValueError(f"columns of both tables have the same name: {sorted(clash)}; rename one side")
+    left, right, names = _join_keys(primary, [a for a, _ in on], secondary, [b for _, b in on])
+    scope = in_scope(primary, [*[a for a, _ in on], *primary_cols], None)
+    rows = primary.select(row_id_column(row_id).alias("_row"), *[c.alias(n) for n, c in left.items()], *primary_cols, scope.alias("_ok"))
+    judged = rows.where(F.col("_ok") & _all_present(names)).drop("_ok")
+    looked = secondary.select(*[c.alias(f"{n}_of") for n, c in right.items()], *secondary_cols)
+    test = F.coalesce(as_column(predicate), F.lit(False))
+    condition = reduce(lambda a, b: a & b, [F.col(n) == F.col(f"{n}_of") for n in names]) & (test if quantifier == "any" else ~test)
+    hit, missed = (judged.join(looked, condition, how).select("_row") for how in ("left_semi", "left_anti"))
+    satisfied, violated = (hit, missed) if quantifier == "any" else (missed, hit)
+    sides = {SATISFACTION: satisfied, VIOLATION: violated}
+    counts = rows.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("_ok") & _all_present(names)).alias("applicable_rows"))
+    counts = counts.withColumn("_hits", hit.agg(F.count(F.lit(1))).scalar())
+    found = "sat_rows" if quantifier == "any" else "viol_rows"
+    other = "viol_rows" if quantifier == "any" else "sat_rows"
+    counts = counts.selectExpr("*", f"_hits as {found}", f"applicable_rows - _hits as {other}", "0 as sat_groups", "0 as viol_groups")
+
+    def find(verdicts: Sequence[str]) -> DataFrame:
+        parts = [participant_rows(sides[v], literal(rule_id), verdict=literal(v)) for v in verdicts]
+        return reduce(DataFrame.unionAll, parts)
+
+    return RuleResult(rule_id, "row", finish(counts, rule_id, "row"), find)
 
 
 def inject(

@@ -347,6 +347,23 @@ def _(t: Tables) -> DataFrame:
     return by_size(t).participants().select("row_id", "verdict", "role")
 
 
+def size_pairs(t: Tables, verdict: str) -> order.PairList:
+    return order.monotonic_pairs(t.part, "p_brand", "p_size", "p_retailprice", verdict, row_id="p_partkey")
+
+
+@query("monotonic_pairs", f"SELECT {key_sql('p_brand')} AS group_key, lo AS lower, hi AS higher FROM ({PAIR_FLAGS}) WHERE NOT ok")
+def _(t: Tables) -> DataFrame:
+    return size_pairs(t, VIOLATION).pairs().withColumn("group_key", key_text())
+
+
+@query("monotonic_pair_counts", f"""
+    SELECT 'violation' AS verdict, count(*) FILTER (WHERE NOT ok) AS pairs FROM ({PAIR_FLAGS})
+    UNION ALL SELECT 'satisfaction', count(*) FILTER (WHERE ok) FROM ({PAIR_FLAGS})""")
+def _(t: Tables) -> DataFrame:
+    one, two = (size_pairs(t, v).count().select(F.lit(v).alias("verdict"), F.col("pairs").cast("long").alias("pairs")) for v in (VIOLATION, SATISFACTION))
+    return one.unionAll(two)
+
+
 NEIGHBOURS = """
     SELECT event_id, lag(event_id) OVER w AS prev, event_type <> lag(event_type) OVER w AS ok
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
@@ -459,6 +476,45 @@ def _(t: Tables) -> DataFrame:
     return copies(t).participants().select("row_id", "verdict", key_text("role_key").alias("block"))
 
 
+def compared_sql(table: str, row_id: str, on: str, head: str) -> str:
+    """Pairs of an earlier row a and a later row b."""
+    return f"SELECT a.{row_id} AS x, b.{row_id} AS y, {head} AS ok FROM {table} a JOIN {table} b ON {on} AND a.{row_id} < b.{row_id}"
+
+
+def pairs_sql(rule_id: str, table: str, pairs: str) -> str:
+    return metrics_sql(
+        rule_id, "pair",
+        f"""SELECT (SELECT count(*) FROM {table}) AS total_rows, (SELECT count(DISTINCT k) FROM m) AS applicable_rows,
+          (SELECT count(DISTINCT k) FROM m WHERE ok) AS sat_rows, (SELECT count(DISTINCT k) FROM m WHERE NOT ok) AS viol_rows,
+          (SELECT count(*) FROM p WHERE ok) AS sat_groups, (SELECT count(*) FROM p WHERE NOT ok) AS viol_groups""",
+        f"p AS ({pairs}), m AS (SELECT DISTINCT x AS k, ok FROM p UNION SELECT DISTINCT y, ok FROM p)")
+
+
+def pair_rows_sql(pairs: str) -> str:
+    return f"""WITH p AS ({pairs})
+    SELECT DISTINCT x AS row_id, 'earlier' AS role, {verdict_sql('ok')} AS verdict FROM p
+    UNION ALL SELECT DISTINCT y, 'later', {verdict_sql('ok')} FROM p"""
+
+
+#: Rules on pairs of rows: rule id, table, row id, columns that match, condition, and the condition in SQL.
+COMPARED = [
+    ("pair_rule_ordered", "part", "p_partkey", ["p_brand"], pairs.Compare("p_size", "<="), "a.p_size <= b.p_size"),
+    ("pair_rule_columns", "customer", "c_custkey", ["c_mktsegment", "c_nationkey"], pairs.Compare("c_acctbal", ">", "c_nationkey"),
+     "a.c_acctbal > b.c_nationkey"),
+    ("pair_rule_different", "customer", "c_custkey", ["c_mktsegment"], pairs.Compare("c_nationkey", "!="), "a.c_nationkey <> b.c_nationkey"),
+    ("pair_rule_within", "part", "p_partkey", ["p_brand"], pairs.Compare("p_retailprice", "within", tol=100),
+     "a.p_retailprice >= b.p_retailprice - 100 AND a.p_retailprice <= b.p_retailprice + 100"),
+]
+for rule_id, table, row_id, match, head, test in COMPARED:
+    pairs_of = compared_sql(table, row_id, " AND ".join(f"a.{c} = b.{c}" for c in match), test)
+
+    def compared(t: Tables, rule_id=rule_id, table=table, row_id=row_id, match=match, head=head) -> RuleResult:
+        return pairs.pair_rule(getattr(t, table), match, head=head, row_id=row_id, rule_id=rule_id)
+
+    query(rule_id, pairs_sql(rule_id, table, pairs_of))(lambda t, rule=compared: metrics_out(rule(t)))
+    query(f"{rule_id}_rows", pair_rows_sql(pairs_of))(lambda t, rule=compared: rule(t).participants().select("row_id", "role", "verdict"))
+
+
 # ---- two tables ------------------------------------------------------------------------------------------
 
 REFERENCE = "user_id IN (SELECT s_suppkey FROM supplier)"
@@ -560,6 +616,29 @@ def _(t: Tables) -> DataFrame:
     return big_orders(t, "any").participants().select("row_id", "verdict")
 
 
+#: Conditions on a row of each table: rule id, quantifier, predicate, further arguments, and the condition in SQL.
+MIXED = [
+    ("cross_any_later", "any", "o_orderdate < l_shipdate AND l_quantity > 45", {"primary_cols": "o_orderdate", "secondary_cols": ["l_shipdate", "l_quantity"]},
+     "o_orderdate < l_shipdate AND l_quantity > 45"),
+    ("cross_all_later", "all", "o_orderdate < l_shipdate OR l_returnflag = 'R'", {"primary_cols": "o_orderdate", "secondary_cols": ["l_shipdate", "l_returnflag"]},
+     "o_orderdate < l_shipdate OR l_returnflag = 'R'"),
+    ("cross_any_compare", "any", pairs.Compare("o_orderdate", ">", "l_shipdate"), {}, "o_orderdate > l_shipdate"),
+    ("cross_all_compare", "all", pairs.Compare("o_totalprice", ">=", "l_extendedprice"), {}, "o_totalprice >= l_extendedprice"),
+    ("cross_any_within", "any", pairs.Compare("o_totalprice", "within", "l_extendedprice", 20_000), {},
+     "o_totalprice >= l_extendedprice - 20000 AND o_totalprice <= l_extendedprice + 20000"),
+]
+for rule_id, quantifier, predicate, more, test in MIXED:
+    held = f"EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND ({test}))" if quantifier == "any" else (
+        f"NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND NOT ({test}))")
+
+    def mixed(t: Tables, rule_id=rule_id, quantifier=quantifier, predicate=predicate, more=more) -> RuleResult:
+        return tables.quantified_rule(t.orders, t.lineitem, [("o_orderkey", "l_orderkey")], predicate, quantifier, row_id="o_orderkey", rule_id=rule_id, **more)
+
+    query(rule_id, row_sql(rule_id, "orders", held))(lambda t, rule=mixed: metrics_out(rule(t)))
+    query(f"{rule_id}_rows", f"SELECT o_orderkey AS row_id, {verdict_sql(held)} AS verdict FROM orders")(
+        lambda t, rule=mixed: rule(t).participants().select("row_id", "verdict"))
+
+
 def bad_orders(t: Tables) -> tuple[RuleResult, DataFrame]:
     """Orders with two appended records whose customer does not exist, checked against the customers."""
     steps = [
