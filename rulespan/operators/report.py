@@ -214,8 +214,21 @@ def _sample(rows: DataFrame, part: Sequence[str], n: int, df: DataFrame, row_id:
     return df.withColumn("_own_id", row_id_column(row_id)).join(counted, F.col("_own_id") == counted["row_id"]).drop("_own_id")
 
 
-def overview(metrics: DataFrame, df: DataFrame) -> DataFrame:
-    """One row per rule for a reader: shape of the table, rows and groups per side, ratios."""
+def overview(metrics: DataFrame, df: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """One row per rule for a reader: shape of the table, rows and groups per side, ratios.
+
+    With the ``log`` of the run (rule_id, seconds, status) also the seconds the rule took and its outcome; rules that the
+    log lacks have none.
+    """
+    run = []
+    if log is not None:
+        # A union folded by rule id: the rule id of a metrics table is a constant (see ``beside``).
+        sides = metrics.withColumn("_shown", F.lit(True)).unionByName(log.select("rule_id", "seconds", "status"), allowMissingColumns=True)
+        kept = [c for c in metrics.columns if c != "rule_id"]
+        latest = F.max(F.struct("seconds", "status"))
+        folded = sides.groupBy("rule_id").agg(*[F.max(c).alias(c) for c in kept], latest.alias("_run"), F.bool_or("_shown").alias("_shown"))
+        metrics = folded.where("_shown")
+        run = [F.col("_run.seconds").alias("seconds"), F.col("_run.status").alias("status")]
     return metrics.select(
         "rule_id",
         "rule_class",
@@ -227,4 +240,5 @@ def overview(metrics: DataFrame, df: DataFrame) -> DataFrame:
         F.col("sat_groups").alias("satisfying_groups"),
         "support",
         "confidence",
+        *run,
     )

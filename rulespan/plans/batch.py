@@ -1,26 +1,33 @@
-"""Running a rule catalogue: row rules of a table share a scan, aggregate rules of a key share a shuffle."""
+"""Running a rule catalogue: row rules of a table share a scan, aggregate rules of a key share a shuffle.
+
+Rules that share no work run side by side, each under a job tag of its own, by which a rule that takes longer than its
+time limit is cancelled while the others go on. Results go to a ``sources.store.ResultStore``.
+"""
 
 from __future__ import annotations
 
 import json
-import os
+import threading
 import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespan.functions.prep import matches, present
-from rulespan.model import RuleResult, as_list, row_id_column
-from rulespan.operators import groups, order, outliers, pairs, rows, tables
+from rulespan.model import VERDICTS, RuleResult, as_list, row_id_column
+from rulespan.operators import custom, groups, order, outliers, pairs, rows, tables
 from rulespan.operators.report import STATUS
-from rulespan.sources.results import no_nan
+from rulespan.sources.store import ResultStore
 
 #: Row rules a table may have in one scan; more are evaluated in several scans.
 RULES_PER_SCAN = 100
+#: Seconds a rule may take, and rules that run side by side.
+TIME_LIMIT, SIDE_BY_SIDE = 300.0, 3
 LOG_SCHEMA = "rule_id string, status string, seconds double, error string, injected boolean, injected_found boolean"
 
 
@@ -28,6 +35,8 @@ LOG_SCHEMA = "rule_id string, status string, seconds double, error string, injec
 class RuleSpec:
     """A rule as data: what kind of check, on which table, with which parameters.
 
+    Kind ``custom`` names a user function in ``params["function"]``; a run is given the functions.
+
     ``params`` are the keyword arguments of the operator of that kind, conditions being SQL text. Rules
     over two tables name the second one in ``table2``.
     """
@@ -143,23 +152,75 @@ def _portion_metrics(some: list[RuleSpec], tables_by_name: Mapping[str, DataFram
     return evaluate(first, tables_by_name).metrics
 
 
+class TimedOut(Exception):
+    """A rule took longer than its limit; its jobs were cancelled."""
+
+
+class BadOutput(Exception):
+    """A user rule returned no participant table."""
+
+
+def timed(spark: SparkSession, work: Callable[[], object], limit: float | None, pool: str | None = None) -> object:
+    """Do ``work`` in this thread; all Spark jobs it starts are cancelled once ``limit`` seconds are over.
+
+    Jobs carry a tag of their own, and the name of a scheduler pool if one is given. Work that starts jobs after its limit gets
+    them cancelled as well, until it ends.
+    """
+    sc = spark.sparkContext
+    tag, over, ended = f"rulespan-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if ended.wait(limit):
+            return
+        over.set()
+        while not ended.wait(0.2):
+            sc.cancelJobsWithTag(tag)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    sc.addJobTag(tag)
+    sc.setLocalProperty("spark.scheduler.pool", pool)
+    if limit is not None:
+        watcher.start()
+    try:
+        found = work()
+    except Exception as error:
+        if over.is_set():
+            raise TimedOut(f"longer than {limit} seconds") from error
+        raise
+    finally:
+        ended.set()
+        sc.removeJobTag(tag)
+        sc.setLocalProperty("spark.scheduler.pool", None)
+    if over.is_set():
+        raise TimedOut(f"longer than {limit} seconds")
+    return found
+
+
 def run_catalogue(
-    spark: SparkSession, specs: Sequence[RuleSpec], tables_by_name: Mapping[str, DataFrame], path: str
+    spark: SparkSession,
+    specs: Sequence[RuleSpec],
+    tables_by_name: Mapping[str, DataFrame],
+    path: str,
+    *,
+    verdicts: Sequence[str] = VERDICTS,
+    time_limit: float | None = TIME_LIMIT,
+    side_by_side: int = SIDE_BY_SIDE,
+    functions: Mapping[str, Callable] | None = None,
 ) -> DataFrame:
-    """Evaluate rules and append their metrics below ``path``; returns the run log.
+    """Evaluate rules and store their metrics and participants (of ``verdicts``) below ``path``; returns the run log.
 
-    Rules that already have metrics there are skipped. A rule whose tables are missing, or that fails, is
-    logged and does not stop the others.
+    Rules that already have a result there are skipped. A rule whose tables are missing, that fails, takes longer than
+    ``time_limit`` seconds or (a user function, named among ``functions``) returns no participants is logged and does not
+    stop the others. Rules that share a scan or a shuffle share their time; if they miss the limit together they run again
+    one by one.
     """
-    target = os.path.join(path, "metrics")
-    try:
-        done = {r.rule_id for r in spark.read.parquet(target).select("rule_id").distinct().toLocalIterator()}
-    except AnalysisException:  # nothing stored yet
-        done = set()
+    store = ResultStore(spark, path)
+    named = spark.createDataFrame([(s.rule_id,) for s in specs], "rule_id string")
+    todo_ids = {r.rule_id for r in store.pending(named).collect()}
     log: list[tuple] = []
     todo = []
     for spec in specs:
-        if spec.rule_id in done:
+        if spec.rule_id not in todo_ids:
             continue
         if not spec.kind or not spec.table:
             log.append((spec.rule_id, STATUS["missing_info"], None, None, False, None))
@@ -167,19 +228,49 @@ def run_catalogue(
             log.append((spec.rule_id, STATUS["load_failed"], None, None, False, None))
         else:
             todo.append(spec)
-    for portion in portions(todo):
-        log += _run_portion(portion, tables_by_name, target)
+
+    def run(numbered: tuple[int, list[RuleSpec]]) -> list[tuple]:
+        return _run_portion(numbered[1], tables_by_name, store, verdicts, time_limit, f"rules-{numbered[0] % side_by_side}", functions or {})
+
+    # Each thread only starts jobs; the work is Spark's.
+    with ThreadPoolExecutor(max_workers=max(1, side_by_side)) as threads:
+        for entries in threads.map(run, enumerate(portions(todo))):
+            log += entries
     return spark.createDataFrame(log, LOG_SCHEMA)
 
 
-def _run_portion(portion: list[RuleSpec], tables_by_name: Mapping[str, DataFrame], target: str) -> list[tuple]:
+def _portion_results(portion: list[RuleSpec], tables_by_name, verdicts, functions) -> tuple[DataFrame, list[DataFrame]]:
+    """Metrics of rules that share their work, and their participants."""
+    first = portion[0]
+    df = tables_by_name.get(first.table)
+    if first.kind == "custom":
+        try:
+            result = custom.custom_rule(functions[first.params["function"]], df, rule_id=first.rule_id)
+        except (ValueError, TypeError, AttributeError) as error:
+            raise BadOutput(str(error)) from error
+        return result.metrics, [result.participants(verdicts)]
+    if first.kind in ROW_KINDS:
+        result = rows.evaluate_row_rules(df, [_row_rules(s, df) for s in portion], row_id=first.row_id)
+        return result.metrics, [result.participants.where(F.col("verdict").isin(*verdicts))]
+    results = [evaluate(s, tables_by_name) for s in portion]
+    metrics = _portion_metrics(portion, tables_by_name) if len(portion) > 1 else results[0].metrics
+    return metrics, [r.participants(verdicts) for r in results]
+
+
+def _run_portion(portion, tables_by_name, store: ResultStore, verdicts, limit, pool, functions) -> list[tuple]:
     started = time.monotonic()
+
+    def work() -> str:
+        return store.stage(*_portion_results(portion, tables_by_name, verdicts, functions))
+
     try:
-        no_nan(metrics_plan(portion, tables_by_name)).write.mode("append").parquet(target)
+        run = timed(store.spark, work, limit, pool)
+        store.commit([s.rule_id for s in portion], run)
     except Exception as error:
         if len(portion) > 1:  # find the rule at fault
-            return [entry for spec in portion for entry in _run_portion([spec], tables_by_name, target)]
-        return [(portion[0].rule_id, STATUS["error"], time.monotonic() - started, str(error), False, None)]
+            return [e for spec in portion for e in _run_portion([spec], tables_by_name, store, verdicts, limit, pool, functions)]
+        kind = "timeout" if isinstance(error, TimedOut) else "bad_output" if isinstance(error, BadOutput) else "error"
+        return [(portion[0].rule_id, STATUS[kind], time.monotonic() - started, str(error), False, None)]
     seconds = (time.monotonic() - started) / len(portion)
     return [(spec.rule_id, STATUS["ok"], seconds, None, False, None) for spec in portion]
 
@@ -206,16 +297,24 @@ def injection_tests(catalogue: DataFrame) -> list[InjectionTest]:
 
 
 def run_injection_tests(
-    spark: SparkSession, tests: Sequence[InjectionTest], tables_by_name: Mapping[str, DataFrame], tol: float = 1e-6
+    spark: SparkSession, tests: Sequence[InjectionTest], tables_by_name: Mapping[str, DataFrame], tol: float = 1e-6,
+    *, time_limit: float | None = TIME_LIMIT, side_by_side: int = SIDE_BY_SIDE,
 ) -> DataFrame:
     """Append each rule's records, evaluate it, and log whether they were found and the rate is as expected.
 
-    The log is what ``report.run_summary`` sums up. Each rule brings one row of metrics and one of hits back.
+    The log is what ``report.run_summary`` sums up. Each rule brings one row of metrics and one of hits back. Rules run side
+    by side, each for ``time_limit`` seconds at most.
     """
-    return spark.createDataFrame([_run_injection_test(spark, t, tables_by_name, tol) for t in tests], MULTI_LOG_SCHEMA)
+    def run(numbered: tuple[int, InjectionTest]) -> tuple:
+        return _run_injection_test(spark, numbered[1], tables_by_name, tol, time_limit, f"rules-{numbered[0] % side_by_side}")
+
+    with ThreadPoolExecutor(max_workers=max(1, side_by_side)) as threads:
+        return spark.createDataFrame(list(threads.map(run, enumerate(tests))), MULTI_LOG_SCHEMA)
 
 
-def _run_injection_test(spark: SparkSession, test: InjectionTest, tables_by_name: Mapping[str, DataFrame], tol: float) -> tuple:
+def _run_injection_test(
+    spark: SparkSession, test: InjectionTest, tables_by_name: Mapping[str, DataFrame], tol: float, limit: float | None, pool: str
+) -> tuple:
     spec, expected = test.spec, test.expected_rate
     injected = bool(test.instructions)
 
@@ -231,14 +330,18 @@ def _run_injection_test(spark: SparkSession, test: InjectionTest, tables_by_name
     if spec.table not in tables_by_name or spec.table2 not in tables_by_name:
         return entry("load_failed")
     started = time.monotonic()
-    try:
+
+    def work() -> tuple:
         own = {name: tables_by_name[name] for name in (spec.table, spec.table2)}
         changed, _ = tables.inject(spark, own, test.instructions)
         result = evaluate(spec, changed)
         rate = result.metrics.first().violation_rate
-        found = _any_found(spark, spec, test.instructions, own[spec.table], result) if injected else None
+        return rate, _any_found(spark, spec, test.instructions, own[spec.table], result) if injected else None
+
+    try:
+        rate, found = timed(spark, work, limit, pool)
     except Exception as error:
-        return entry("error", time.monotonic() - started, str(error))
+        return entry("timeout" if isinstance(error, TimedOut) else "error", time.monotonic() - started, str(error))
     return entry("ok", time.monotonic() - started, found=found, rate=rate)
 
 

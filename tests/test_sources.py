@@ -1,14 +1,15 @@
 """Readers and writers, by round trips."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from rulespan.operators import groups
-from rulespan.operators.report import STATUS, run_summary
+from rulespan.operators.report import STATUS, overview, run_summary
 from rulespan.plans import batch
-from rulespan.sources import catalogue, corpus, results, tables
+from rulespan.sources import catalogue, corpus, results, store, tables
 
 
 @pytest.fixture
@@ -182,3 +183,82 @@ def test_corpus_grows_by_new_texts_only(spark, tmp_path):
     stored = spark.read.parquet(path).orderBy("source").collect()
     assert [r.source for r in stored] == ["s0", "s1"]
     assert stored[0].chunk == "# Sum\n# Tags: a, b\n# Metrics: Time=1.5s, Memory=N/AMB\n\nx = 1"
+
+
+def endless(spark):
+    """Far more rows than any time limit allows."""
+    return spark.range(0, 10**13, 1, 2).selectExpr("cast(pmod(hash(id), 1000) as int) as id", "cast(pmod(hash(id, 1), 7) as int) as k")
+
+
+def slow(df):
+    """A user rule that never ends in time."""
+    return endless(df.sparkSession).groupBy("id").agg(F.max("k").alias("k")).select(F.lit("violation").alias("verdict"), F.col("id").alias("row_id"))
+
+
+def verdictless(df):
+    return df.select("id")
+
+
+def doubled(df):
+    return df.where("v > 1").select(F.lit("violation").alias("verdict"), F.col("id").alias("row_id"))
+
+
+def test_all_outcomes_of_a_run(spark, tmp_path):
+    """A slow rule is cancelled at its limit and logged; the others finish beside it."""
+    df = spark.createDataFrame([(0, 1), (1, 2), (2, 2)], "id int, v int")
+    out = str(tmp_path / "run")
+    custom = lambda rule_id: batch.RuleSpec(rule_id, "t", "custom", "id", {"function": rule_id})
+    specs = [
+        custom("slow"), custom("verdictless"), custom("doubled"), batch.RuleSpec("fine", "t", "unique_key", "id", {"key": "v"}),
+        batch.RuleSpec("pairs", "t", "pair_rule", "id", {"match": "v", "head": {"left": "id", "op": "<"}}),
+        batch.RuleSpec("broken", "t", "row", "id", {"head": "nothing > 1"}), batch.RuleSpec("lost", "u", "row", "id", {"head": "v > 1"}),
+        batch.RuleSpec("none", "", "row", "id"),
+    ]
+    started = time.monotonic()
+    functions = {"slow": slow, "verdictless": verdictless, "doubled": doubled}
+    log = {r.rule_id: r for r in batch.run_catalogue(spark, specs, {"t": df}, out, time_limit=15, functions=functions).collect()}
+    assert {k: r.status for k, r in log.items()} == {
+        "slow": STATUS["timeout"], "verdictless": STATUS["bad_output"], "doubled": STATUS["ok"], "fine": STATUS["ok"],
+        "pairs": STATUS["ok"], "broken": STATUS["error"], "lost": STATUS["load_failed"], "none": STATUS["missing_info"]}
+    assert log["slow"].seconds >= 15 and time.monotonic() - started < 55
+    assert len({r.status for r in log.values()}) == len(STATUS)
+    stored = store.ResultStore(spark, out)
+    assert {r.rule_id for r in stored.metrics().collect()} == {"doubled", "fine", "pairs"}
+    violations = {(r.rule_id, r.row_id) for r in stored.participants().where("verdict = 'violation'").collect()}
+    assert violations == {("doubled", "1"), ("doubled", "2"), ("fine", "1"), ("fine", "2")}
+
+
+def test_injection_tests_have_a_time_limit(spark):
+    base = {"a": endless(spark), "b": spark.createDataFrame([(1,)], "k2 int")}
+    spec = batch.RuleSpec("r", "a", "references", "id", {"fk": "k", "pk": "k2"}, "b")
+    log = batch.run_injection_tests(spark, [batch.InjectionTest(spec)], base, time_limit=3).collect()
+    assert [r.status for r in log] == [STATUS["timeout"]]
+
+
+def test_results_appear_whole_or_not_at_all(spark, tmp_path):
+    """A run killed between its data and its commit leaves nothing to read; its rules stay pending; repeats add nothing."""
+    df = spark.createDataFrame([(0, "a", 1), (1, "a", 2), (2, "b", 1)], "id int, k string, v int")
+    rule = lambda rule_id, row_id="id": groups.functional_dependency(df, "k", "v", row_id=row_id, rule_id=rule_id)
+    place = store.ResultStore(spark, str(tmp_path / "store"))
+    assert place.metrics() is None and place.participants().count() == 0 and place.commits().count() == 0
+    place.stage(rule("killed").metrics, [rule("killed").participants()])
+    assert place.metrics().count() == 0 and place.participants().count() == 0
+    names = spark.createDataFrame([("killed",), ("two",)], "rule_id string")
+    assert {r.rule_id for r in place.pending(names).collect()} == {"killed", "two"}
+    first = place.add(["two", "one"], rule("one").metrics.unionAll(rule("two").metrics), [rule("one").participants(), rule("two", ["k", "id"]).participants()])
+    place.add(["two"], rule("two").metrics, [rule("two", ["k", "id"]).participants()])
+    assert {r.rule_id: r.run for r in place.commits().collect()} == {"one": first, "two": first}
+    assert sorted(r.rule_id for r in place.metrics().collect()) == ["one", "two"]
+    rows = sorted((r.rule_id, r.verdict, r.row_id) for r in place.participants().collect())
+    assert rows[:3] == [("one", "satisfaction", "2"), ("one", "violation", "0"), ("one", "violation", "1")]
+    assert rows[3:] == [("two", "satisfaction", '{"k":"b","id":2}'), ("two", "violation", '{"k":"a","id":0}'), ("two", "violation", '{"k":"a","id":1}')]
+    assert {r.rule_id for r in place.pending(names).collect()} == {"killed"}
+
+
+def test_overview_with_run_times(spark):
+    df = spark.createDataFrame([(0, "a", 1), (1, "a", 2)], "id int, k string, v int")
+    result = groups.functional_dependency(df, "k", "v", row_id="id", rule_id="r")
+    log = spark.createDataFrame([("r", 1.5, "x"), ("other", 9.0, "y")], "rule_id string, seconds double, status string")
+    shown = overview(result.metrics, df, log).collect()
+    assert [(r.rule_id, r.violating_rows, r.seconds, r.status) for r in shown] == [("r", 2, 1.5, "x")]
+    assert [r.seconds for r in overview(result.metrics, df, log.limit(0)).collect()] == [None]
