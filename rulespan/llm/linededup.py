@@ -1,23 +1,25 @@
-"""Line dedup by content-defined pieces of lines, in DataFrame functions alone.
+"""Line dedup by content-defined chunks of lines, in DataFrame functions alone.
 
 A line ends at a line break or at a full stop and a space, and keeps that end, so that the lines of a text joined are
-the text; a piece ends there too, and at a comma and a space. So the bytes before a place decide it alone, and a passage
-copied into another document is cut alike inside, wherever it begins. Candidates are all pieces of ``LONG`` bytes, and
-all two pieces in a row, of which one at least is shorter, that have ``LONG`` bytes together or are two whole lines.
-Candidates overlap, so a run of pieces that documents share is covered whole, with no chance in it.
-Of a candidate's places the first in the smallest id stays, and each text loses the pieces of its other places. A piece
-stays at its first place in the smallest id that has it, since no candidate that holds it has an earlier place.
+the text. A rolling hash goes over the hashes of two lines in a row. Its local extremes choose the boundaries, once with
+a boundary before each line that is no local maximum and once before each that is no local minimum; so a chunk has one line or
+two, and where it begins depends on its own lines and their neighbours, not on what a text has before them: a passage copied
+into another document is cut alike inside. Chunks of two lines are candidates (from ``SHORT`` bytes), and long lines (from
+``LONG`` bytes) by themselves, since a passage may have few lines.
+Of a candidate's places the first in the smallest id stays, and each text loses the lines of its other places. No line is
+cut. A line stays in the smallest id that has it in a repeated candidate, as nothing that holds it has an earlier place.
 
-Only 64-bit hashes of candidates and their places leave a document's task; what repeats is joined to them by hash, so a
-candidate that a third of all documents hold is spread by Spark's skew join. Texts that differ are taken as equal when
-their hashes are, one chance in 2**64 for two of them.
+Candidates are grouped by their bytes, and a text compares the bytes of what it is to lose with its own before it loses
+them: hashes only bring rows together. What repeats is joined to its places by hash, so a candidate that a third of all
+documents hold is spread by Spark's skew join.
 
-What stays: a repeat that holds no candidate, as a passage inside one sentence without commas, cut at both edges; and
-what a passage has outside its whole pieces.
+What stays: lines of a repeat at its edges, short lines at which no chunk of two ends, repeats of one short line, and repeats
+with no whole line in them.
 
 Defined cases: a null text stays null (an empty one empty) and has no lines; rows of the same id share their repeats, so
-equal rows stay equal; a null id comes after all others; ties cannot matter, as equal pieces are equal bytes. The
-result has the input's columns, whatever their names; an empty table gives an empty table.
+equal rows stay equal; a null id comes after all others, and null ids alone lose nothing to each other; ties cannot matter,
+as equal candidates are equal bytes. The result has the input's columns, whatever their names; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -25,99 +27,96 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a piece, or of two in a row, that make a candidate.
-LONG = 40
+#: Bytes of a line that is a candidate by itself, and of two lines that are one.
+LONG, SHORT = 64, 40
+ENDS = ("\n", ". ")
 
 
-def _cut(text: Column, ends: tuple[str, ...]) -> Column:
+def lines(text: Column) -> Column:
     # A mark after each end and a split at it is quicker than a split by a pattern, which texts with that mark take.
     marked = text
-    for end in ends:
+    for end in ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(end + "\x1f"))
-    pattern = "|".join(f"(?<={end.replace('.', '[.]')})" for end in ends)
-    found = F.when(F.contains(text, F.lit("\x1f")), F.split(text, pattern, -1)).otherwise(F.split(marked, "\x1f", -1))
+    found = F.when(F.contains(text, F.lit("\x1f")), F.split(text, r"(?<=\n)|(?<=[.] )", -1)).otherwise(F.split(marked, "\x1f", -1))
     return F.filter(found, lambda x: x != "")
 
 
-def lines(text: Column) -> Column:
-    return _cut(text, ("\n", ". "))
-
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The whole row as ``row``, so that no name can clash, its id, its text (null: empty) and a hash of the text."""
+    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("id"))
+    return whole.select("*", text.alias("text")).withColumn("part", F.hash("text"))
 
-def _pair(pieces: Column, at: Column) -> Column:
-    """The hash of the pieces ``at`` (from 0) and behind it."""
-    return F.xxhash64(F.get(pieces, at)["hash"], F.get(pieces, at + 1)["hash"])
 
+def _chunk(start: Column, two: Column) -> Column:
+    """The bytes of one or two of ``cut`` from ``start`` on."""
+    return F.when(two, F.concat(F.get("cut", start), F.get("cut", start + 1))).otherwise(F.get("cut", start))
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The whole row as ``row``, so that no name can clash, and its id."""
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("id"))
 
-
-def _candidates(rows: DataFrame, text_col: str) -> DataFrame:
-    """``rows`` with texts, pieces, their hashes and ``found``: the hash of each candidate and its place, twice the number
-    of its first piece, and one more for two pieces. Each step is a column of its own: inside a lambda it would be
-    computed per element."""
-    text = rows.withColumn("text", F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")))
-    cut = text.withColumn("cut", _cut(F.col("text"), ("\n", ". ", ", ")))
-    pieces = cut.withColumn("pieces", F.transform("cut", lambda x: F.struct(
-        F.xxhash64(x).alias("hash"), F.octet_length(x).alias("size"), (F.endswith(x, F.lit("\n")) | F.endswith(x, F.lit(". "))).alias("ends"))))
+def _candidates(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, text, part) with ``cut`` (lines) and ``found``: hash, place (twice the number of the first line, one more for
+    two lines), sorted. Each step is a column of its own: inside a lambda it would be computed per element."""
+    cut = rows.withColumn("cut", lines(F.col("text")))
+    hashed = cut.withColumn("hashes", F.transform("cut", lambda x: F.xxhash64(x)))
+    rolled = hashed.withColumn("rolled", F.transform("hashes", lambda h, i: F.xxhash64(F.get("hashes", i - 1), h)))
 
     def at(x: Column, i: Column) -> Column:
-        behind = F.get("pieces", i + 1)
-        lone = F.when(x["size"] >= LONG, F.struct(x["hash"].alias("hash"), (2 * i).alias("place")))
-        whole = x["ends"] & behind["ends"] & ((i == 0) | F.get("pieces", i - 1)["ends"])
-        two = F.when((F.least(x["size"], behind["size"]) < LONG) & behind["size"].isNotNull() & ((x["size"] + behind["size"] >= LONG) | whole),
-                     F.struct(F.xxhash64(x["hash"], behind["hash"]).alias("hash"), (2 * i + 1).alias("place")))
+        size, own = F.octet_length(x), F.get("rolled", i)
+        lone = F.when(size >= LONG, F.struct(F.get("hashes", i).alias("hash"), (2 * i).alias("place")))
+        before, behind = F.get("rolled", i - 1), F.get("rolled", i + 1)
+        extreme = (i > 0) & (((own > before) & (own >= behind)) | ((own < before) & (own <= behind)))
+        two = F.when(extreme & (size + F.octet_length(F.get("cut", i - 1)) >= SHORT), F.struct(own.alias("hash"), (2 * i - 1).alias("place")))
         return F.array(lone, two)
 
-    return pieces.withColumn("found", F.filter(F.flatten(F.transform("pieces", at)), lambda c: c.isNotNull()))
-
+    return rolled.withColumn("found", F.sort_array(F.filter(F.flatten(F.transform("cut", at)), lambda c: c.isNotNull()))).drop("hashes", "rolled")
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, part, hash, place): the candidates that each document loses to a document of a smaller id; ``part`` hashes its text."""
-    # For a plain inline() the optimizer adds a filter that makes the candidates once more, for each piece.
-    each = _candidates(_rows(docs, id_col, text_col), text_col).select("id", F.hash("text").alias("part"), F.inline_outer("found")).where(F.col("hash").isNotNull())
-    groups = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") > 1)
-    # Hashed again the groups go through an exchange of their own, without which Spark splits no skewed partition.
-    shared = groups.select("hash", "first", F.xxhash64("hash").alias("key"))
-    return each.withColumn("key", F.xxhash64("hash")).join(shared, ["key", "hash"]).where(
-        F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))).select("id", "part", "hash", "place")
 
+def _again(x: Column, k: Column) -> Column:
+    """Whether the text has the k-th of its sorted candidates at an earlier place too, byte for byte."""
+    before = F.get("found", k - 1)
+    same = before["hash"] == x["hash"]
+    bytes_of = lambda c: _chunk(F.shiftright(c["place"], 1), c["place"] % 2 == 1)
+    return F.coalesce(F.when(same, bytes_of(before) == bytes_of(x)), F.lit(False))
 
-def _again(found: Column) -> Column:
-    """Of the sorted candidates those that a text has at an earlier place, which they don't overlap."""
-    def later(x: Column, k: Column) -> Column:
-        one, two = F.get(found, k - 1), F.get(found, k - 2)
-        apart = x["place"] - one["place"] >= 2 + 2 * (x["place"] % 2)
-        return F.coalesce((one["hash"] == x["hash"]) & apart, F.lit(False)) | F.coalesce(two["hash"] == x["hash"], F.lit(False))
 
-    return F.filter(found, later)
+def shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(hash, chunk, first): the candidates with several places, their bytes and the smallest id that has them."""
+    rows = _candidates(_rows(docs, id_col, text_col).select("id", "text", "part"))
+    chunks = rows.select("id", F.transform("found", lambda c: F.struct(
+        c["hash"].alias("hash"), _chunk(F.shiftright(c["place"], 1), c["place"] % 2 == 1).alias("chunk"))).alias("chunks"))
+    # For a plain inline() the optimizer adds a filter that makes the candidates once more, for each of them.
+    each = chunks.select("id", F.inline_outer("chunks")).where(F.col("hash").isNotNull())
+    return each.groupBy("hash", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
 
 
 def losses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, part, lost): what ``repeats`` has, in one row per text, so that many texts of one id, or of none, share no row."""
-    return repeats(docs, id_col, text_col).groupBy("id", "part").agg(F.collect_set(F.struct("hash", "place")).alias("lost"))
+    """(id, part, lost): places and bytes that a text loses, in one row per text; ``part`` hashes it, so that many texts of one
+    id, or of none, share no row."""
+    rows = _candidates(_rows(docs, id_col, text_col).select("id", "text", "part"))
+    places = rows.select("id", "part", F.transform("found", lambda c, k: F.struct(
+        c["hash"].alias("hash"), c["place"].alias("place"), _again(c, k).alias("again"))).alias("places"))
+    each = places.select("id", "part", F.inline_outer("places")).where(F.col("hash").isNotNull())
+    # Hashed again the groups go through an exchange of their own, without which Spark splits no skewed partition.
+    met = each.withColumn("key", F.xxhash64("hash")).join(shared(docs, id_col, text_col).withColumn("key", F.xxhash64("hash")), ["key", "hash"])
+    lost = met.where(F.col("again") | F.col("id").isNull() | (F.col("id") > F.col("first")))
+    return lost.groupBy("id", "part").agg(F.collect_set(F.struct("place", "chunk")).alias("lost"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeats removed from their texts, as ``row``; and n_lines, n_removed (lines)."""
-    lost = losses(docs, id_col, text_col)
-    # The rows travel as they are; pieces and candidates are made again behind the join.
-    rows = _rows(docs, id_col, text_col).withColumn("part", F.hash(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))))
-    met = rows.alias("a").join(lost.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.part") == F.col("b.part")), "left").select("row", "lost")
-    whole = _candidates(met, text_col).withColumn("found", F.sort_array("found"))
-    # Another text of the id may have the same ``part`` and other pieces at these places.
-    own = F.filter(F.coalesce("lost", F.array().cast("array<struct<hash:bigint,place:int>>")), lambda c: F.when(
-        c["place"] % 2 == 0, F.get("pieces", F.shiftright(c["place"], 1))["hash"]).otherwise(_pair(F.col("pieces"), F.shiftright(c["place"], 1))) == c["hash"])
-    gone = whole.withColumn("gone", F.flatten(F.transform(F.concat(own, _again(F.col("found"))), lambda c: F.sequence(
-        F.shiftright(c["place"], 1), F.shiftright(c["place"], 1) + c["place"] % 2))))
+    rows, lost = _rows(docs, id_col, text_col), losses(docs, id_col, text_col)
+    met = rows.alias("a").join(lost.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.part") == F.col("b.part")), "left").select("row", "text", "lost")
+    cut = met.withColumn("cut", lines(F.col("text")))
+    # The bytes decide; another text of the id may have the same ``part``.
+    own = F.filter("lost", lambda c: _chunk(F.shiftright(c["place"], 1), c["place"] % 2 == 1) == c["chunk"])
+    gone = cut.withColumn("gone", F.when(F.col("lost").isNotNull(), F.flatten(F.transform(own, lambda c: F.sequence(
+        F.shiftright(c["place"], 1), F.shiftright(c["place"], 1) + c["place"] % 2)))))
     n = F.size("cut")
     kept = gone.withColumn("kept", F.when((n > 0) & (F.size("gone") > 0), F.array_except(F.sequence(F.lit(0), n - 1), "gone")))
     text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get("cut", i)), ""))
-    return kept.select("row", "text", text.alias("clean")).select(
-        F.col("row").withField(f"`{text_col}`", F.when(F.col(f"row.`{text_col}`").isNotNull(), F.col("clean"))).alias("row"),
-        F.size(lines(F.col("text"))).cast("long").alias("n_lines"),
-        (F.size(lines(F.col("text"))) - F.size(lines(F.col("clean")))).cast("long").alias("n_removed"))
+    return kept.select(
+        F.col("row").withField(f"`{text_col}`", F.when(F.col(f"row.`{text_col}`").isNotNull(), text)).alias("row"),
+        n.cast("long").alias("n_lines"), F.coalesce(n - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,61 +100,70 @@ def test_ngram_join_odd_rows(spark):
 
 
 def cleaned(rows):
-    mask = (1 << 64) - 1
-
-    def cut(text):
-        lines = [x for x in re.split(r"(?<=\n)|(?<=\. )", text or "") if x]
-        hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in lines]
-        out, now = [], []
-        for i, x in enumerate(lines):
-            now.append(x)
-            rolled = hashes[i] ^ (((hashes[i - 1] << 7) | (hashes[i - 1] >> 57)) & mask if i else 0)
-            if i == len(lines) - 1 or (rolled >> 8) % linededup.ONE_IN == 0:
-                out.append(now)
-                now = []
-        return out
-
-    cuts, owner = [(i, cut(t)) for i, t in rows], defaultdict(set)
-    for i, chunks in cuts:
-        for c in chunks:
-            if len(c) > 1:
-                owner["".join(c)].add(i)
+    """The chunk rule text by text: (id, text) in any order, ids may repeat; a text per row."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    le = lambda h: h.to_bytes(8, "little")
+
+    def chunks(text):
+        cut = [x for x in re.split(r"(?<=\n)|(?<=\. )", text or "") if x]
+        hashes = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in cut]
+        rolled = [signed(xxhash.xxh64_intdigest(le(h), seed=xxhash.xxh64_intdigest(le(hashes[i - 1]), seed=42) if i else 42)) for i, h in enumerate(hashes)]
+        found = [(i, i) for i, x in enumerate(cut) if len(x.encode()) >= 64]
+        found += [(i - 1, i) for i in range(1, len(cut) - 1) if (rolled[i - 1] < rolled[i] >= rolled[i + 1] or rolled[i - 1] > rolled[i] <= rolled[i + 1]) and len((cut[i - 1] + cut[i]).encode()) >= 40]
+        return cut, [("".join(cut[i : j + 1]), j > i, i, j) for i, j in sorted(found)]
+
+    made, places = [(i, *chunks(t)) for i, t in rows], defaultdict(list)
+    for i, _, found in made:
+        for text, two, *_ in found:
+            places[text, two].append(i)
     out = []
-    for i, chunks in cuts:
-        seen, kept = set(), []
-        for c in chunks:
-            text = "".join(c)
-            if len(c) > 1 and (text in seen or min(owner[text]) < i):
-                continue
-            seen.add(text if len(c) > 1 else None)
-            kept.append(text)
-        out.append("".join(kept))
+    for own, cut, found in made:
+        gone, seen = set(), set()
+        for text, two, i, j in found:
+            ids = [x for x in places[text, two] if x is not None]
+            if len(places[text, two]) > 1 and ids and ((text, two) in seen or own is None or min(ids) < own):
+                gone |= {i, j}
+            seen.add((text, two))
+        out.append("".join(x for k, x in enumerate(cut) if k not in gone))
     return out
 
 
 def test_line_dedup_on_the_tables(spark):
     rows = documents(spark)
-    got = {r.doc_id: r.text for r in QUERIES["op7_line_dedup"](spark, DATA).collect()}
-    assert got == dict(zip([i for i, _ in rows], cleaned(rows)))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in QUERIES["op7_line_dedup"](spark, DATA).collect()}
+    count = lambda t: len([x for x in re.split(r"(?<=\n)|(?<=\. )", t or "") if x])
+    want = dict(zip([i for i, _ in rows], cleaned(rows)))
+    assert {i: g[0] for i, g in got.items()} == want
+    assert all(g[1] == count(t) and 0 <= g[2] <= g[1] for (i, t), g in zip(rows, (got[i] for i, _ in rows)))
+    assert sum(g[2] for g in got.values()) > 100
 
 
 def test_line_dedup_odd_rows(spark):
-    shared = "".join(f"line {i} of the passage\n" for i in range(12))
-    rows = [(1, f"own start\n{shared}own end\n"), (2, f"other text\nmore\n{shared}"), (3, shared + shared), (4, ""), (5, "x\x1fy. z\n" + shared), (6, "l\n" * 3000)]
-    whole = frame(spark, [*rows, (8, None), (None, shared), (2, rows[1][1])])
+    shared = "".join(f"line {i} of a passage that is long enough to have many lines\n" for i in range(12))
+    long = "one line of more than sixty-four bytes that stands in several texts of the table\n"
+    rows = [(1, f"own start\n{shared}own end\n"), (2, f"other text\nmore\n{shared}"), (3, shared + shared), (4, ""), (5, "x\x1fy. z\n" + shared), (6, "l\n" * 3000),
+            (8, None), (None, shared), (2, f"other text\nmore\n{shared}"), (2, "another text of this id\n" + long), (None, "only here. " * 30 + long),
+            (9, f"{long}a. b. c. {long}{long}"), (10, "é É. " * 4 + "x" * 200_000), (11, "x" * 200_000)]
+    whole = frame(spark, rows)
     out = linededup.clean(whole)
-    assert out.columns == whole.columns and out.count() == 9
-    got = [(r.doc_id, r.text) for r in out.collect()]
-    want = cleaned(rows)
-    assert all((i, t) in got for (i, _), t in zip(rows, want))
-    assert got.count((2, want[1])) == 2 and (8, None) in got
-    assert len(next(t for i, t in got if i is None)) < len(shared)  # a null id comes last
-    assert len(want[2]) < len(shared) and want[0] == rows[0][1]
+    assert out.columns == whole.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = [(i, None if t is None else c) for (i, t), c in zip(rows, cleaned(rows))]
+    assert got == sorted(want, key=str)
+    assert want[0] == rows[0] and want[1] == want[8] and len(want[7][1]) < len(shared) and want[11][1] == "a. b. c. "
     assert linededup.clean(whole.limit(0)).count() == 0
 
 
+def test_line_dedup_cuts_no_line(spark):
+    """A clause that another document holds stays where it is inside a line."""
+    rows = [(1, "According to the latest yearly report of the agency, rain fell in Oslo. Nobody saw it, they say.\n"),
+            (2, "In May, according to nobody. According to the latest yearly report of the agency, prices fell in Rome.\n")]
+    assert sorted((r.doc_id, r.text) for r in linededup.clean(frame(spark, rows)).collect()) == rows
+
+
 def test_line_dedup_leaves_no_repeated_passage(spark):
-    """A plain search for 50 words in a row that several documents hold, with passages at any place and inside lines."""
+    """A plain search for 50 words in a row that several documents hold. Passages of whole lines all go. Of those that begin and
+    end inside lines nearly all do: some have hardly a whole line, and no line is cut."""
     random = np.random.default_rng(5)
     word = lambda: "".join(random.choice(list("abcdefghij"), 5))
 
@@ -163,6 +172,7 @@ def test_line_dedup_leaves_no_repeated_passage(spark):
 
     passages = [prose(int(random.integers(51, 81))) for _ in range(60)]
     rows = [(i, f"{prose(int(random.integers(3, 60)))} {passages[i % 60]} {prose(int(random.integers(3, 60)))}") for i in range(180)]
+    whole = [(i, f"{prose(int(random.integers(3, 60)))}. {passages[i % 60]}.\n{prose(int(random.integers(3, 60)))}") for i in range(180)]
 
     def held(rows):
         found = defaultdict(set)
@@ -173,24 +183,16 @@ def test_line_dedup_leaves_no_repeated_passage(spark):
         return {i for ids in found.values() if len(ids) > 1 for i in ids}
 
     got = [(r.doc_id, r.text) for r in linededup.clean(frame(spark, rows)).collect()]
-    assert len(held(rows)) == 180 and len(got) == 180 and not held(got)
+    assert len(held(rows)) == 180 and len(got) == 180 and len({i % 60 for i in held(got)}) <= 2
     assert all(dict(got)[i] == t for i, t in rows[:60])  # the first holders lose nothing
-
-
-def test_line_dedup_of_pieces_in_odd_rows(spark):
-    shared = "".join(f"line {i} of the passage\n" for i in range(12))
-    rows = [(1, f"own start\n{shared}own end\n"), (2, f"other text\nmore\n{shared}"), (3, shared + shared), (4, ""), (5, "x\x1fy. z\n" + shared),
-            (6, "l\n" * 3000), (8, None), (None, shared), (2, f"other text\nmore\n{shared}"), (2, "another text of this id\n")]
-    got = sorted(((r.doc_id, r.text) for r in linededup.clean(frame(spark, rows)).collect()), key=str)
-    assert got == sorted([rows[0], (2, "other text\nmore\n"), (2, "other text\nmore\n"), (2, "another text of this id\n"), (3, ""), (4, ""),
-                          (5, "x\x1fy. z\n"), (6, "l\n" * 2), (8, None), (None, "")], key=str)
-    assert linededup.dedup(frame(spark, rows).limit(0)).count() == 0
+    got = [(r.doc_id, r.text) for r in linededup.clean(frame(spark, whole)).collect()]
+    assert len(held(whole)) == 180 and not held(got) and all(dict(got)[i] == t for i, t in whole[:60])
 
 
 def test_line_dedup_keeps_a_row_per_text_of_one_id(spark):
-    texts = ["".join(f"line {i} of passage number {k}\n" for i in range(5)) for k in range(40)]
+    texts = ["".join(f"line {i} of passage number {k}, which many texts of one id have in common\n" for i in range(5)) for k in range(40)]
     rows = [(1, "".join(texts)), *[(i, t) for i in (2, None) for t in texts]]
-    assert {len(r.lost) for r in linededup.losses(frame(spark, rows)).collect()} == {4}
+    assert max(len(r.lost) for r in linededup.losses(frame(spark, rows)).collect()) <= 9
     got = [r.text for r in linededup.clean(frame(spark, rows)).collect() if r.doc_id != 1]
     assert got == [""] * 80
 
@@ -378,7 +380,8 @@ def test_pipeline_equals_brute_force(spark):
     rows = [(i, t) for i, t in rows if i in judged]
     assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == judged
     lines = stages["line_dedup"](spark, good, DATA).cache()
-    rows = list(zip([i for i, _ in rows], cleaned(rows)))
+    before, rows = rows, list(zip([i for i, _ in rows], cleaned(rows)))
+    rows = [(i, t) for (i, t), (_, old) in zip(rows, before) if t.strip() or not old.strip()]
     assert {(r.doc_id, r.text, r.n_chars) for r in lines.collect()} == {(i, t, len(t)) for i, t in rows}
     single = stages["ngram_jaccard_join"](spark, lines, DATA).cache()
     keep = {i for i, (_, c) in components(rows).items() if i == c}
