@@ -20,8 +20,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go from the texts; the documents stay, and n_chars follows."""
-    cleaned = linededup.clean(docs)
+    """Repeated chunks of lines go from the texts, and n_chars follows. A document of which nothing is left goes; one that had no
+    words before stays."""
+    found = linededup.dedup(docs)
+    emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace(F.coalesce(F.col("row.text").cast("string"), F.lit("")), r"\s+", " ")) == "")
+    cleaned = found.where(~emptied).select("row.*")
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
@@ -54,7 +57,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL cannot express the trained classifier, the xxhash boundaries of line chunks nor the packing.
+#: SQL cannot express the trained classifier, the rolling hashes of line chunks nor the packing.
 ORACLE_SQL = None
 
 
