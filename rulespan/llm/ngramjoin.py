@@ -9,11 +9,14 @@ tokens in its prefix (a "wide" one) indexes them alone, and meets all other sets
 which serve no pair of sets that aren't wide. So no link is lost whatever the levels are. They come from counts over
 all texts and decide speed, not results.
 
-A list of the index (the vertices of one signature) isn't expanded into pairs. First each vertex is compared with
-the first one of similar size in its list. The components of what holds leave the lists with several components; only
-pairs across components that share a list are looked at then, which decides every link that could still join two. A
-pair is verified only if its prefixes share as many tokens as a linked pair's must: two sets that share c tokens of their
-prefixes share at most c and the larger rest of the two.
+A list of the index (the vertices of one signature) isn't expanded into pairs. First each vertex is compared with a
+hub of its list: of those of similar size the one with the fewest rare tokens, which in a group of copies is the text they
+were made from. The components of what holds leave the lists with several components open. Only their vertices may still
+link, and only with each other: so a token that just one of them holds is in no link, and a set with m other tokens shares at
+most m with anyone. Of the pairs across components in an open list only those are made that could link by this bound; a
+copy with many changes of its own drops out with all its pairs, however long the list is. A pair is verified only if its
+prefixes share as many tokens as a linked pair's must: two sets that share c tokens of their prefixes share at most c and
+the larger rest of the two.
 
 Verification reads the texts themselves and compares whole sets. Nothing is cut off: lists have no longest length.
 
@@ -71,7 +74,7 @@ def vertex(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for part in slices(batch, batch.num_columns - 1, CHUNK):
             yield part, sets(part.column(batch.num_columns - 1))
@@ -80,7 +83,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and v (null without shingles) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _texts(batches):
+        for part, found in _sets_of(batches):
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([vertex(s) if len(s) else None for s in found], pa.int64())],
                 names=["doc_id", "n_shingles", "v"])
@@ -91,7 +94,7 @@ def described(docs: DataFrame) -> DataFrame:
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
     """The vertices of a task with their sets, once each."""
     seen: set[int] = set()
-    for _, found in _texts(batches):
+    for _, found in _sets_of(batches):
         for tokens in found:
             if len(tokens) and (v := vertex(tokens)) not in seen:
                 seen.add(v)
@@ -156,20 +159,20 @@ def signatures(tokens: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, bool]
 
 
 def lists(docs: DataFrame, levels_of: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """sig, v, n, wide, hub, hub_n, hub_wide: the members of every list of two or more vertices and the first one of similar size."""
+    """sig, v, n, wide, hub, hub_n, hub_wide: the members of every list of two or more vertices and their hubs."""
     sent = docs.sparkSession.sparkContext.broadcast(levels_of)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, level_of = sent.value
-        held: list[tuple[np.ndarray, int, int, bool]] = []
+        held: list[tuple[np.ndarray, int, int, bool, int]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             lengths = [len(h[0]) for h in held]
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([h[0] for h in held]).view(np.int64)), pa.array(np.repeat(np.array([h[1] for h in held], np.int64), lengths)),
-                pa.array(np.repeat(np.array([h[2] for h in held], np.int32), lengths)), pa.array(np.repeat(np.array([h[3] for h in held], bool), lengths))],
-                names=["sig", "v", "n", "wide"])
+            column = lambda i, kind: pa.array(np.repeat(np.array([h[i] for h in held], kind), lengths))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([h[0] for h in held]).view(np.int64)), column(1, np.int64), column(2, np.int32), column(3, bool), column(4, np.int32)],
+                names=["sig", "v", "n", "wide", "rare"])
 
         for v, tokens in _distinct(batches):
             level = np.zeros(len(tokens), np.uint8)
@@ -178,7 +181,7 @@ def lists(docs: DataFrame, levels_of: tuple[np.ndarray, np.ndarray]) -> DataFram
                 hit = frequent[at] == tokens
                 level[hit] = level_of[at[hit]]
             found, wide = signatures(tokens, level)
-            held.append((found, v, len(tokens), wide))
+            held.append((found, v, len(tokens), wide, len(tokens) - int((level > 0).sum())))
             size += len(held[-1][0])
             if size >= 100_000:
                 yield out()
@@ -187,12 +190,13 @@ def lists(docs: DataFrame, levels_of: tuple[np.ndarray, np.ndarray]) -> DataFram
             yield out()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by sig, n, v; the rows of a list may reach over batches, so its first row waits for the next.
-        sig = hub = before = None
+        # Rows come sorted by sig, rare, n, v; the rows of a list may reach over batches, so its first row waits for the next.
+        sig = before = None
         alone = False
+        hubs: list[list] = []  # of sizes that aren't similar to each other
         for batch in batches:
             rows = []
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             s = columns[0]
             # most signatures are alone: only rows whose neighbour has the same one are looked at
             near = np.zeros(len(s), bool)
@@ -202,13 +206,15 @@ def lists(docs: DataFrame, levels_of: tuple[np.ndarray, np.ndarray]) -> DataFram
                 near[0] = near[-1] = True
             for x, *member in zip(*(c[near].tolist() for c in columns)):
                 if x != sig:
-                    sig, hub, alone = x, member, True
+                    sig, hubs, alone = x, [member], True
                 elif member[0] != before[0]:
                     if alone:
-                        rows.append((sig, *before, *hub))
+                        rows.append((sig, *before, *before))
                         alone = False
-                    if 4 * hub[1] < 3 * member[1]:
+                    hub = next((h for h in hubs if 4 * h[1] >= 3 * member[1] and 4 * member[1] >= 3 * h[1]), None)
+                    if hub is None:
                         hub = member
+                        hubs.append(member)
                     rows.append((sig, *member, *hub))
                 before = member
             if rows:
@@ -216,8 +222,120 @@ def lists(docs: DataFrame, levels_of: tuple[np.ndarray, np.ndarray]) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
                                                  names=["sig", "v", "n", "wide", "hub", "hub_n", "hub_wide"])
 
-    entries = docs.mapInArrow(index, "sig long, v long, n int, wide boolean")
-    return entries.repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(runs, "sig long, v long, n int, wide boolean, hub long, hub_n int, hub_wide boolean")
+    entries = docs.mapInArrow(index, "sig long, v long, n int, wide boolean, rare int")
+    return entries.repartition("sig").sortWithinPartitions("sig", "rare", "n", "v").mapInArrow(
+        runs, "sig long, v long, n int, wide boolean, hub long, hub_n int, hub_wide boolean")
+
+
+def shared_tokens(texts: DataFrame) -> DataFrame:
+    """v and m: how many tokens of each vertex of ``texts`` (v, text; once each) another one of them holds too."""
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _sets_of(batches):
+            lengths = [len(s) for s in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), lengths))], names=["token", "v"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by token. The last row of a batch waits: its token may go on.
+        held: list[np.ndarray] = []
+        size = 0
+        token, v, again = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+        def out() -> pa.RecordBatch:
+            ids, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["v", "m"])
+
+        for batch in batches:
+            token = np.concatenate((token, batch.column(0).to_numpy()))
+            v = np.concatenate((v, batch.column(1).to_numpy()))
+            if len(token) < 2:
+                continue
+            same = np.zeros(len(token), bool)
+            same[1:] = token[1:] == token[:-1]
+            same[0] = again
+            same[:-1] |= token[1:] == token[:-1]
+            held.append(v[:-1][same[:-1]])
+            size += len(held[-1])
+            again = bool(token[-1] == token[-2])
+            token, v = token[-1:], v[-1:]
+            if size >= 1_000_000:
+                yield out()
+                held, size = [], 0
+        if len(token) and again:
+            held.append(v)
+        if held:
+            yield out()
+
+    spread = texts.select("v", "text").mapInArrow(tokens, "token long, v long").repartition("token").sortWithinPartitions("token")
+    return spread.mapInArrow(counted, "v long, m long").groupBy("v").agg(F.sum("m").alias("m"))
+
+
+#: Members of a list up to which pairs of neighbours at each distance are made for all lists together.
+FEW = 16
+
+
+def across(members: DataFrame) -> DataFrame:
+    """The pairs of an open list, from different components, that could link: sig, a, a_n, a_wide, b, b_n, b_wide.
+
+    ``members``: sig, v, n, wide, label, m. Two sets share at most the smaller m; so 100 times it must reach 75 times the union.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["sig", "a", "a_n", "a_wide", "b", "b_n", "b_wide"]
+
+        def made(c: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
+            sig, v, n, wide, label, m = c
+            least = np.minimum(m[i], m[j])
+            ok = (label[i] != label[j]) & (7 * least >= 3 * (n[i] + n[j])) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
+            ok &= ((sig[i] & 3) != WIDE) | wide[i] | wide[j]
+            i, j = i[ok], j[ok]
+            i, j = np.where(label[i] < label[j], i, j), np.where(label[i] < label[j], j, i)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[i], v[i], n[i], wide[i], v[j], n[j], wide[j])], names=names) if len(i) else None
+
+        def pairs(c: list[np.ndarray]) -> Iterator[pa.RecordBatch | None]:
+            """All pairs of whole lists, sorted by size."""
+            # a member whose bound fails with the smallest set it could link with has no pair
+            start = np.concatenate(([0], np.flatnonzero(c[0][1:] != c[0][:-1]) + 1, [len(c[0])]))
+            smallest = np.empty(len(c[0]), np.int64)
+            for low, high in zip(start[:-1].tolist(), start[1:].tolist()):
+                n = c[2][low:high]
+                smallest[low:high] = n[np.searchsorted(n, -(-3 * n // 4))] if high - low > FEW else n[0]
+            possible = 7 * c[5] >= 3 * (c[2] + smallest)
+            c = [x[possible] for x in c]
+            start = np.concatenate(([0], np.flatnonzero(c[0][1:] != c[0][:-1]) + 1, [len(c[0])])) if len(c[0]) else np.zeros(1, np.int64)
+            sizes = np.diff(start)
+            few = np.repeat(sizes <= FEW, sizes)
+            small = [x[few] for x in c]
+            for lag in range(1, FEW):
+                i = np.flatnonzero(small[0][lag:] == small[0][:-lag])
+                if not len(i):
+                    break
+                yield made(small, i, i + lag)
+            for g in np.flatnonzero(sizes > FEW).tolist():
+                low, high = int(start[g]), int(start[g + 1])
+                label, n = c[4][low:high], c[2][low:high]
+                if (label == label[0]).all():
+                    continue
+                reach = np.searchsorted(n, 4 * n // 3, "right")
+                for i in range(high - low - 1):
+                    j = np.arange(low + i + 1, low + int(reach[i]))
+                    yield made(c, np.full(len(j), low + i), j)
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield from (x for x in pairs([x[:cut] for x in held]) if x is not None)
+                held = [x[cut:] for x in held]
+        if held is not None:
+            yield from (x for x in pairs(held) if x is not None)
+
+    rows = members.select("sig", "v", F.col("n").cast("long").alias("n"), "wide", "label", "m")
+    return rows.repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(
+        run, "sig long, a long, a_n long, a_wide boolean, b long, b_n long, b_wide boolean")
 
 
 def promising(met: DataFrame) -> DataFrame:
@@ -285,18 +403,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "sig", "hub AS a", "hub_n AS a_n", "hub_wide AS a_wide", "v AS b", "n AS b_n", "wide AS b_wide")))
     near = kept_table(verified(tried, _texts_of(tried, first, source)))
     labels = components(near)
-    # Lists that still hold several components: each pair across them that hasn't been tried.
+    # Lists that still hold several components: pairs across them that could link and haven't been tried.
     marked = found.join(labels, "v", "left").select("sig", "v", "n", "wide", F.coalesce("label", "v").alias("label"))
     mixed = marked.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
     open_ = kept_table(marked.join(mixed, "sig"))
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label"))
-                    & (4 * F.col("x.n") >= 3 * F.col("y.n")) & (4 * F.col("y.n") >= 3 * F.col("x.n"))
-                    & ((F.col("x.sig").bitwiseAND(F.lit(3)) != WIDE) | F.col("x.wide") | F.col("y.wide")))
-    pairs = promising(across.selectExpr("x.sig AS sig", "x.v AS a", "x.n AS a_n", "x.wide AS a_wide", "y.v AS b", "y.n AS b_n", "y.wide AS b_wide"))
+    texts = kept_table(_texts(open_.select("v").distinct(), first, source))
+    bounded = open_.join(shared_tokens(texts), "v", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    pairs = promising(across(bounded))
     pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     pairs = kept_table(pairs)
-    final = components(near.unionAll(verified(pairs, _texts_of(pairs, first, source))))
+    final = components(near.unionAll(verified(pairs, texts)))
     named = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("low")).join(final, "v", "left").select(
         "v", "low", F.coalesce("label", "v").alias("label"))
     smallest = named.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -305,8 +421,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _texts_of(pairs: DataFrame, first: DataFrame, source: DataFrame) -> DataFrame:
-    """v and text of every vertex of ``pairs``. Ids go to all tasks if they are few enough, else the texts are shuffled."""
-    vertices = pairs.select(F.col("a").alias("v")).unionAll(pairs.select("b")).distinct()
+    """v and text of every vertex of ``pairs``."""
+    return _texts(pairs.select(F.col("a").alias("v")).unionAll(pairs.select("b")).distinct(), first, source)
+
+
+def _texts(vertices: DataFrame, first: DataFrame, source: DataFrame) -> DataFrame:
+    """v and text of every vertex. Ids go to all tasks if they are few enough, else the texts are shuffled."""
     wanted = kept_table(vertices.join(first, "v").where(F.col("doc_id").isNotNull()))
     return _one_text(source.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, "doc_id"))
 
@@ -314,7 +434,7 @@ def _texts_of(pairs: DataFrame, first: DataFrame, source: DataFrame) -> DataFram
 def _one_text(candidates: DataFrame) -> DataFrame:
     """v and text: rows of an id that stands for a vertex, those whose own set is that vertex, once each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _texts(batches):
+        for part, found in _sets_of(batches):
             own = [i for i, (v, s) in enumerate(zip(part.column(0).to_pylist(), found)) if len(s) and vertex(s) == v]
             if own:
                 yield part.take(pa.array(own))
