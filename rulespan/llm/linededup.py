@@ -2,16 +2,17 @@
 
 A line ends at a line break or at a full stop and a space, and keeps that end, so that the lines of a text joined are
 the text. A rolling hash goes over the hashes of two lines in a row. Its local extremes choose the boundaries, once with
-a boundary before each line that is no local maximum and once before each that is no local minimum; so a chunk has one line or
-two, and where it begins depends on its own lines and their neighbours, not on what a text has before them: a passage copied
-into another document is cut alike inside. Chunks of two lines are candidates (from ``SHORT`` bytes), and long lines (from
-``LONG`` bytes) by themselves, since a passage may have few lines.
+one before each line that is no local maximum and once before each that is no local minimum; so a chunk has one line or two,
+and where it begins depends on its own lines and their neighbours, not on what a text has before them: a passage copied into
+another document is cut alike inside. Chunks of two lines are candidates (from ``SHORT`` bytes), and long lines (from ``LONG``
+bytes) by themselves, since a passage may have few lines.
 Of a candidate's places the first in the smallest id stays, and each text loses the lines of its other places. No line is
 cut. A line stays in the smallest id that has it in a repeated candidate, as nothing that holds it has an earlier place.
 
-Candidates are grouped by their bytes, and a text compares the bytes of what it is to lose with its own before it loses
-them: hashes only bring rows together. What repeats is joined to its places by hash, so a candidate that a third of all
-documents hold is spread by Spark's skew join.
+Hashes only bring places together: of a repeated candidate the text that keeps it sends its bytes to the texts that are to
+lose it, and these compare them with their own before they lose anything. Candidates travel as hashes; only what repeats
+travels as bytes. Places meet what repeats in a join, so a candidate that a third of all documents hold is spread by Spark's
+skew join.
 
 What stays: lines of a repeat at its edges, short lines at which no chunk of two ends, repeats of one short line, and repeats
 with no whole line in them.
@@ -27,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulespan.llm.common import kept_table
+
 #: Bytes of a line that is a candidate by itself, and of two lines that are one.
 LONG, SHORT = 64, 40
 ENDS = ("\n", ". ")
@@ -42,10 +45,13 @@ def lines(text: Column) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The whole row as ``row``, so that no name can clash, its id, its text (null: empty) and a hash of the text."""
-    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    """The whole row as ``row``, so that no name can clash, its id and a hash of its text."""
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("id"))
-    return whole.select("*", text.alias("text")).withColumn("part", F.hash("text"))
+    return whole.withColumn("part", F.hash(_text(text_col)))
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
 
 
 def _chunk(start: Column, two: Column) -> Column:
@@ -79,34 +85,49 @@ def _again(x: Column, k: Column) -> Column:
     return F.coalesce(F.when(same, bytes_of(before) == bytes_of(x)), F.lit(False))
 
 
-def shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(hash, chunk, first): the candidates with several places, their bytes and the smallest id that has them."""
-    rows = _candidates(_rows(docs, id_col, text_col).select("id", "text", "part"))
-    chunks = rows.select("id", F.transform("found", lambda c: F.struct(
-        c["hash"].alias("hash"), _chunk(F.shiftright(c["place"], 1), c["place"] % 2 == 1).alias("chunk"))).alias("chunks"))
+def _places(texts: DataFrame) -> DataFrame:
+    """key, id, part, place, again: every place of a candidate; ``key`` is a hash of its hash."""
+    places = _candidates(texts).select("id", "part", F.transform("found", lambda c, k: F.struct(
+        c["hash"].alias("hash"), c["place"].alias("place"), _again(c, k).alias("again"))).alias("places"))
     # For a plain inline() the optimizer adds a filter that makes the candidates once more, for each of them.
-    each = chunks.select("id", F.inline_outer("chunks")).where(F.col("hash").isNotNull())
-    return each.groupBy("hash", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
+    return places.select("id", "part", F.inline_outer("places")).where(F.col("hash").isNotNull())
+
+
+def repeats(texts: DataFrame) -> DataFrame:
+    """key, first, id, part, place, again: the places of all candidates with several, and the smallest id that has them.
+
+    ``texts`` has id, part and text.
+    """
+    each = _places(texts)
+    groups = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where((F.col("n") > 1) & F.col("first").isNotNull())
+    # Hashed again both sides go through an exchange of their own, without which Spark splits no skewed partition.
+    return each.withColumn("key", F.xxhash64("hash")).drop("hash").join(groups.select(F.xxhash64("hash").alias("key"), "first"), "key")
+
+
+def _own_bytes(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """key and chunk: the bytes at ``places`` (key, id, part, place), each once."""
+    wanted = places.groupBy("id", "part").agg(F.collect_set(F.struct("key", "place")).alias("wanted"))
+    met = texts.join(wanted, ["id", "part"]).withColumn("cut", lines(F.col("text")))
+    found = met.select(F.inline(F.transform("wanted", lambda c: F.struct(
+        c["key"].alias("key"), _chunk(F.shiftright(c["place"], 1), c["place"] % 2 == 1).alias("chunk")))))
+    return found.where(F.col("chunk").isNotNull()).distinct()
 
 
 def losses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, part, lost): places and bytes that a text loses, in one row per text; ``part`` hashes it, so that many texts of one
-    id, or of none, share no row."""
-    rows = _candidates(_rows(docs, id_col, text_col).select("id", "text", "part"))
-    places = rows.select("id", "part", F.transform("found", lambda c, k: F.struct(
-        c["hash"].alias("hash"), c["place"].alias("place"), _again(c, k).alias("again"))).alias("places"))
-    each = places.select("id", "part", F.inline_outer("places")).where(F.col("hash").isNotNull())
-    # Hashed again the groups go through an exchange of their own, without which Spark splits no skewed partition.
-    met = each.withColumn("key", F.xxhash64("hash")).join(shared(docs, id_col, text_col).withColumn("key", F.xxhash64("hash")), ["key", "hash"])
-    lost = met.where(F.col("again") | F.col("id").isNull() | (F.col("id") > F.col("first")))
-    return lost.groupBy("id", "part").agg(F.collect_set(F.struct("place", "chunk")).alias("lost"))
+    """(id, part, lost): places and bytes that a text is to lose, in one row per text; ``part`` hashes it, so that many texts of
+    one id, or of none, share no row."""
+    texts = _rows(docs, id_col, text_col).select("id", "part", _text(text_col).alias("text"))
+    found = kept_table(repeats(texts))
+    own = _own_bytes(texts, found.where((F.col("id") == F.col("first")) & ~F.col("again")))
+    lost = found.where(F.col("again") | F.col("id").isNull() | (F.col("id") > F.col("first")))
+    return lost.join(own, "key").groupBy("id", "part").agg(F.collect_set(F.struct("place", "chunk")).alias("lost"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeats removed from their texts, as ``row``; and n_lines, n_removed (lines)."""
     rows, lost = _rows(docs, id_col, text_col), losses(docs, id_col, text_col)
-    met = rows.alias("a").join(lost.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.part") == F.col("b.part")), "left").select("row", "text", "lost")
-    cut = met.withColumn("cut", lines(F.col("text")))
+    met = rows.alias("a").join(lost.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.part") == F.col("b.part")), "left").select("row", "lost")
+    cut = met.withColumn("text", _text(text_col)).withColumn("cut", lines(F.col("text")))
     # The bytes decide; another text of the id may have the same ``part``.
     own = F.filter("lost", lambda c: _chunk(F.shiftright(c["place"], 1), c["place"] % 2 == 1) == c["chunk"])
     gone = cut.withColumn("gone", F.when(F.col("lost").isNotNull(), F.flatten(F.transform(own, lambda c: F.sequence(
