@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from rulespan.llm.common import id_text, kept_table, slices
 
 CAPACITY = 2048
+# Fixed value: the special token of the vocabulary.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Words a task remembers with their ids, and the longest such word.
 CACHE, CACHE_WORD = 400_000, 64
 #: Pieces that one bucket of a length should hold.
@@ -39,12 +41,13 @@ _ODD_SPACE = re.compile(r"\s \s?| \s|[^\S ]\Z")
 class Encoder:
     """Token ids as bytes (little-endian unsigned 32 bit). Splits at single spaces, where no token spans, and remembers words."""
 
-    def __init__(self, ranks: str, pattern: str) -> None:
+    def __init__(self, ranks: str, pattern: str, special: Mapping[str, int]) -> None:
         import tiktoken
 
         with open(ranks, "rb") as file:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self._bpe = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self._bpe = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens=dict(special))
+        self._special = tuple(special)
         self._known: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
@@ -59,6 +62,8 @@ class Encoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self._special):
+            return np.array(self._bpe.encode(text, allowed_special="all"), "<u4").tobytes()
         if _ODD_SPACE.search(text):
             return self._plain(text)
         head, *words = text.split(" ")
@@ -66,15 +71,20 @@ class Encoder:
         return self._plain(head) + b"".join([known(w) or word(w) for w in words])
 
 
-def pieces(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and ids (token ids as bytes) of each piece."""
+def pieces(
+    docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+    special: Mapping[str, int] = SPECIAL,
+) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and ids (token ids as bytes) of each piece.
+
+    ``special`` names the strings of the vocabulary that are one id wherever they stand in a text.
+    """
     source = id_text(docs, id_col, text_col)
     schema = T.StructType([source.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
                            T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType())])
-    kind = pa.string() if isinstance(source.schema["doc_id"].dataType, T.StringType) else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(ranks, pattern)
+        encode = Encoder(ranks, pattern, special)
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
                 out: list[tuple] = []
@@ -89,7 +99,7 @@ def pieces(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                         out.append((doc_id, -(-start // capacity), start, end - start, zlib.crc32(cut), cut))
                         start, end = end, end + capacity
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (kind, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                    [pa.array(c, t) for c, t in zip(zip(*out), (part.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
                     names=schema.names)
 
     return source.mapInArrow(run, schema)

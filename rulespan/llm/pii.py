@@ -4,8 +4,8 @@ Nodes are the tokens (runs without white space) that hold a digit or an at sign;
 they cut the chain and only lend context. Labels are none, email, ip, card, phone. Potentials: features of a token and
 its context; neighbouring nodes; and skip edges that join a node to the next one with the same token and to the next one
 of a similar token (the same shape with digits folded), however far away. A group of k equal tokens has k - 1 edges.
-Loopy sum-product message passing over all nodes of some texts at once gives each node's marginals; a node that is
-sure of a label gives a span unless a base span touches it.
+Loopy sum-product message passing over all nodes of some texts at once, until messages settle, gives each node's
+marginals, so the occurrences of a token agree however many there are; a node that is sure of a label gives a span unless a base span touches it.
 
 Weights are learnt by pseudo-likelihood from what the base patterns mark in a sample of at most ``BOUND`` texts: the
 labels of a node's neighbours are features of the node, so that all potentials come from one softmax regression.
@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespan.llm.common import bounded_sample, id_text, slices
-from rulespan.llm.spans import Span, overlaps, scan_spans
+from rulespan.llm.spans import Span, clear, scan_spans, taken
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
-BOUND, SURE, ROUNDS = 3_000, 0.9, 8
+BOUND, SURE = 3_000, 0.9
+#: Messages run until none changes by more than this (log scale); fields that never settle end after so many rounds.
+SETTLED, MOST_ROUNDS = 1e-7, 2_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -53,6 +55,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _at_most_255(digits: str) -> bool:
+    """However many zeros it begins with."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[Span]:
     """Around each at sign: the run of name characters before it, not before the last match's end, and the domain."""
     done, at = 0, text.find("@")
@@ -72,7 +80,7 @@ def base_spans(text: str) -> list[Span]:
     if not _CANDIDATE.search(text):
         return []
     found: list[Span] = list(_emails(text))
-    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(_at_most_255(p) for p in m.groups())]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -102,7 +110,7 @@ def _number(name: str) -> int:
 
 def shape(token: str) -> str:
     """Digits as 0, letters as a or A, repeats of a letter class once; digit runs keep their length."""
-    token = re.sub("[^\\W\\d_]+", lambda m: "A" if m[0].isupper() else "a", token[:64])
+    token = re.sub("[^\\W\\d_]+", lambda m: "A" if m[0].isupper() else "a", token)
     return re.sub("[0-9]", "0", token)
 
 
@@ -121,7 +129,7 @@ def nodes(texts: list[str]) -> Nodes:
             token, i = text[start:end], len(out.text)
             bare = token.strip(".,;:!?\"'|#%&*$<>[]{}=")
             kind = shape(bare)
-            near = [text[slice(*tokens[j])][:24] if 0 <= j < len(tokens) else "" for j in (k - 1, k + 1)]
+            near = [text[slice(*tokens[j])] if 0 <= j < len(tokens) else "" for j in (k - 1, k + 1)]
             digits = sum("0" <= c <= "9" for c in bare)
             out.text.append(of)
             out.span.append((start, end))
@@ -193,8 +201,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def marginals(field: Field, found: Nodes, rounds: int = ROUNDS) -> np.ndarray:
-    """Each node's label probabilities after ``rounds`` of damped sum-product messages along all edges at once."""
+def marginals(field: Field, found: Nodes, most: int = MOST_ROUNDS, settled: float = SETTLED) -> np.ndarray:
+    """Each node's label probabilities after damped sum-product messages along all edges, until they settle.
+
+    An edge whose messages and those it depends on have settled is left out of the next rounds, so a long chain of equal tokens
+    in one text doesn't hold up the others.
+    """
     unary = field.unary[np.array(found.features).reshape(-1, PER_NODE)].sum(axis=1)
     ends = [np.array(e, np.int64).reshape(-1, 2) for e in found.edges]
     pair = np.concatenate([np.repeat(field.pair[k][None], len(e), axis=0) for k, e in enumerate(ends)])
@@ -203,13 +215,24 @@ def marginals(field: Field, found: Nodes, rounds: int = ROUNDS) -> np.ndarray:
     pair = np.concatenate((pair, pair.transpose(0, 2, 1)))
     back = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
     message = np.zeros((len(source), LABELS))
-    for _ in range(rounds):
-        belief = unary.copy()
-        np.add.at(belief, target, message)
-        inner = (belief[source] - message[back])[:, :, None] + pair
+    belief = unary.copy()
+    active = np.arange(len(source))
+    for _ in range(most):
+        if not len(active):
+            break
+        inner = (belief[source[active]] - message[back[active]])[:, :, None] + pair[active]
         high = inner.max(axis=1, keepdims=True)
         new = (high + np.log(np.exp(inner - high).sum(axis=1, keepdims=True)))[:, 0]
-        message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+        step = 0.5 * (new - new.max(axis=1, keepdims=True) - message[active])
+        message[active] += step
+        np.add.at(belief, target[active], step)
+        # a changed message concerns what its target sends on, and itself, since steps are halves
+        moved = active[np.abs(step).max(axis=1, initial=0) > settled]
+        touched = np.zeros(len(unary), bool)
+        touched[target[moved]] = True
+        again = touched[source]
+        again[moved] = True
+        active = np.flatnonzero(again)
     belief = unary.copy()
     np.add.at(belief, target, message)
     return _softmax(belief)
@@ -238,7 +261,8 @@ def added_spans(field: Field, texts: list[str], base: list[list[Span]], sure: fl
         else:
             out[t].append((kind, start, end))
         last = t, kind
-    return [[s for s in spans if s[1] < s[2] and not overlaps(s, base[t])] for t, spans in enumerate(out)]
+    covered = [taken(b) for b in base]
+    return [[s for s in spans if s[1] < s[2] and clear(s, covered[t])] for t, spans in enumerate(out)]
 
 
 def learn(docs: DataFrame, bound: int = BOUND) -> Field | None:

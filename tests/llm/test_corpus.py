@@ -206,7 +206,6 @@ def test_line_dedup_runs_no_python(spark):
 
 def packed_right(rows, pieces):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     own, sequences = defaultdict(list), defaultdict(list)
     for p in pieces:
         own[p.doc_id].append(p)
@@ -238,11 +237,14 @@ def test_packing_on_the_tables(spark):
 
 def test_packing_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET", 3)
-    rows = list(enumerate(["", None, " ", "a  b   c", "x \n y\n\n z", "tab\t t", "<|endoftext|> it's", "é" * 3000, "word " * 9000, "nbsp  x  y", "end\n", " lead", "trail "] + ["same text"] * 20))
+    rows = list(enumerate(["", None, " ", "a  b   c", "x \n y\n\n z", "tab\t t", "<|endoftext|> it's", "a<|endoftext|><|endoftext|>  b <|endoftext|> c", "é" * 3000, "word " * 9000, "nbsp  x  y", "end\n", " lead", "trail "] + ["same text"] * 20))
     sequences, total = packed_right(rows, packing.packed(frame(spark, rows), *PACK).collect())
     assert sequences <= -(-total // 2048) + 1
     assert packing.packed(frame(spark, rows).limit(0), *PACK).count() == 0
     assert packing.packed(frame(spark, [(None, "a"), (1, "b"), (1, "b")]), *PACK).count() == 3
+    for kind in ("int", "string", "smallint"):
+        typed = packing.packed(frame(spark, [(1, "a"), (2, None)]).withColumn("doc_id", F.col("doc_id").cast(kind)), *PACK)
+        assert dict(typed.dtypes)["doc_id"] == kind and sorted(str(r.doc_id) for r in typed.collect()) == ["1", "2"]
 
 
 def test_fullest_combination():

@@ -110,6 +110,34 @@ def test_pii_long_runs_take_linear_time():
     assert pii.base_spans("7" * 200_000 + "a" * 200_000 + "@") == []
 
 
+def test_pii_zeros_of_any_number():
+    assert pii.base_spans("1.2.3." + "0" * 5_000) == [("ip", 0, 5_006)]
+    assert pii.base_spans("1.2.3." + "0" * 5_000 + "256") == []
+    assert pii.base_spans("1." * 60_000) == plain_pii("1." * 60_000)
+
+
+def test_pii_messages_reach_all_repeats_of_a_token():
+    """A hundred occurrences of a token take the label that the context of one is sure of, wherever it stands."""
+    import numpy as np
+
+    text = "pay 123456 then" + " many plain words and at last x 123456" * 100
+    found = pii.nodes([text, "other 77 text"])
+    assert len(found.edges[1]) == 100
+    field = pii.Field(np.zeros((pii.HASHED, pii.LABELS)), np.zeros((3, pii.LABELS, pii.LABELS)))
+    only_first = next(f for f in found.features[0] if f not in found.features[1])
+    field.unary[only_first, 3] = 12
+    field.pair[1] = 8 * np.eye(pii.LABELS)
+    p = pii.marginals(field, found)
+    # on a chain the marginals are exact: each edge keeps the label by this factor
+    keep = (math.exp(8) - 1) / (math.exp(8) + 4)
+    assert np.allclose(p[:101, 3], 0.2 + (p[0, 3] - 0.2) * keep ** np.arange(101), atol=1e-4) and p[100, 3] > 0.8
+    assert p[101, 3] == pytest.approx(0.2, abs=0.01)
+
+
+def test_pii_shapes_read_whole_tokens():
+    assert pii.shape("1" * 70 + "a") != pii.shape("1" * 70 + ".")
+
+
 def test_pii_skip_edges_carry_labels():
     """A token that its context leaves open gets the label that an equal, distant one is sure of."""
     import numpy as np
@@ -183,3 +211,36 @@ def test_entropy_spans_and_allow_list():
     assert secrets.entropy_spans(f"key {strong} end") == [("entropy", 4, 4 + len(strong))]
     for harmless in ("averyveryverylongordinaryword", "1234567890123456789012345", "123e4567-e89b-12d3-a456-426614174000", "ab1" * 20, "some-name-with-parts-12-and-more"):
         assert secrets.entropy_spans(harmless) == []
+
+
+def test_short_and_lettered_secrets():
+    import random
+
+    letters = random.Random(4)
+    key = "".join(letters.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40))
+    found = secrets.entropy_spans(f"see {key} there")
+    assert found and found[0][1] >= 4 and found[-1][2] <= 44 and sum(e - s for _, s, e in found) >= 20
+    assert secrets.entropy_spans("see k9Qz7Lx2Vb4Nm8Pw1 there") == [("entropy", 4, 21)]
+    for harmless in ("abc123def456", "Thisisaverylongwordofletters", "order20231105", "A1b2A1b2A1b2A1", "-" * 5_000 + "1", "under_score-and/path/of/words", "Geschwindigkeitsbegrenzungen"):
+        assert secrets.entropy_spans(harmless) == [], harmless
+
+
+def test_entropy_spans_stay_beside_base_spans(spark):
+    strong, other = "xK9mQ2vT7bR4nW8zL3pF6hJ1", "Zq8Wn3Xe5Rt7Yb1Uv9Ip"
+    hexes = "0123456789abcdef01234567"
+    rows = [(1, f"{strong}+{hexes}+{other}"), (2, strong), (3, "plain words"), (4, f"token={strong}")]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_hex == 1 and got[1].n_entropy == 2 and [s.kind for s in got[1].added] == ["entropy"] * 2
+    assert all(s.end <= 25 or s.start >= 49 for s in got[1].added)
+    assert (got[2].n_entropy, got[2].spans) == (1, "entropy:0:24")
+    assert (got[3].n_entropy, got[3].spans) == (0, "") and (got[4].n_assign, got[4].n_entropy) == (1, 0)
+
+
+def test_ranges_outside_spans():
+    from rulespan.llm.spans import clear, outside, taken
+
+    ranges = taken([("a", 5, 8), ("b", 7, 12), ("c", 20, 22), ("d", 12, 13)])
+    assert ranges == [(5, 13), (20, 22)]
+    assert list(outside(("x", 0, 30), ranges)) == [("x", 0, 5), ("x", 13, 20), ("x", 22, 30)]
+    assert list(outside(("x", 0, 30), ranges, 8)) == [("x", 22, 30)] and list(outside(("x", 6, 11), ranges)) == []
+    assert clear(("x", 13, 20), ranges) and not clear(("x", 12, 20), ranges) and clear(("x", 0, 1), [])
