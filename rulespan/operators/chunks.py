@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
+import re
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -59,46 +60,59 @@ def chunk_fixed(
     return numbered.withColumn("chunk", F.substr(text, F.col("chunk_no") * stride + 1, size))
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """Cut before every separator, so that it opens the next piece; the empty one cuts into characters."""
-    if not separator:
-        return list(text)
-    first, *rest = text.split(separator)
-    return [p for p in (first, *(separator + r for r in rest)) if p]
-
-
-def _packed(pieces: Sequence[str], size: int, overlap: int) -> Iterator[str]:
-    """Fill chunks with pieces; each new chunk opens with pieces of the last one, up to ``overlap``."""
-    held: deque[str] = deque()
-    length = 0
-    for piece in pieces:
-        if held and length + len(piece) > size:
-            yield "".join(held)
-            while held and (length > overlap or length + len(piece) > size):
-                length -= len(held.popleft())
-        held.append(piece)
-        length += len(piece)
-    if held:
-        yield "".join(held)
-
-
-def split_text(text: str, profile: Profile, level: int = 0) -> Iterator[str]:
-    """Chunks of one text: cut at the best separator that occurs, and pieces still too long at the next."""
-    separators = profile.separators
-    while level < len(separators) - 1 and separators[level] not in text:
+def _bounds(text: str, separator: str, start: int, end: int) -> array:
+    """Where the pieces of a part of a text begin, and its end: each separator opens a piece."""
+    bounds = array("q", [start])
+    bounds.extend(m.start() for m in re.compile(re.escape(separator)).finditer(text, start, end) if m.start() > start)
+    bounds.append(end)
+    return bounds
+
+
+def _packed(bounds: Sequence[int], first: int, last: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Fill chunks with the pieces ``first`` to ``last``; each new chunk opens with pieces of the last one, up to ``overlap``."""
+    low = first
+    for i in range(first, last):
+        if i > low and bounds[i + 1] - bounds[low] > size:
+            yield bounds[low], bounds[i]
+            while low < i and (bounds[i] - bounds[low] > overlap or bounds[i + 1] - bounds[low] > size):
+                low += 1
+    if last > low:
+        yield bounds[low], bounds[last]
+
+
+def split_spans(text: str, profile: Profile, start: int = 0, end: int | None = None, level: int = 0) -> Iterator[tuple[int, int]]:
+    """(start, end) of the chunks of a text: cut at the best separator that occurs, and pieces still too long at the next.
+
+    Pieces are places in the text, eight bytes each; the empty separator, which cuts between any two characters, needs none.
+    """
+    separators, size = profile.separators, profile.size
+    end = len(text) if end is None else end
+    while level < len(separators) - 1 and text.find(separators[level], start, end) < 0:
         level += 1
-    short: list[str] = []
-    for piece in _pieces(text, separators[level]):
-        if len(piece) < profile.size:
-            short.append(piece)
+    if not separators[level]:
+        while end - start > size:
+            yield start, start + size
+            start += size - profile.overlap
+        if end > start:
+            yield start, end
+        return
+    bounds = _bounds(text, separators[level], start, end)
+    first = 0
+    for i in range(len(bounds) - 1):
+        if bounds[i + 1] - bounds[i] < size:
             continue
-        yield from _packed(short, profile.size, profile.overlap)
-        short = []
+        yield from _packed(bounds, first, i, size, profile.overlap)
+        first = i + 1
         if level + 1 < len(separators):
-            yield from split_text(piece, profile, level + 1)
+            yield from split_spans(text, profile, bounds[i], bounds[i + 1], level + 1)
         else:
-            yield piece
-    yield from _packed(short, profile.size, profile.overlap)
+            yield bounds[i], bounds[i + 1]
+    yield from _packed(bounds, first, len(bounds) - 1, size, profile.overlap)
+
+
+def split_text(text: str, profile: Profile) -> Iterator[str]:
+    """The chunks of one text."""
+    return (text[a:b] for a, b in split_spans(text, profile))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -9,6 +9,7 @@ from rulespan.functions import text
 from rulespan.functions.prep import coerce, normalized_pair
 from rulespan.model import VIOLATION, RuleResult
 from rulespan.operators import chunks, groups, metrics, profile, ranking, report, retrieval, rows, synth
+from rulespan.plans.chunk_sql import chunks_sql
 from rulespan.plans.registry import Tables, group_sql, key_text, metrics_out, metrics_sql, query, verdict_sql
 from rulespan.plans.rule_queries import FD_ROWS, LABELLED, LINE_ID, copies, event_order, labelled, part_fd
 from rulespan.sources.corpus import snippet_text
@@ -340,12 +341,12 @@ def _(t: Tables) -> DataFrame:
     return chunks.chunk_fixed(t.documents, "text").select("doc_id", "chunk_no", "chunk")
 
 
-@query("chunk_separators")
+@query("chunk_separators", chunks_sql(chunks.CODE_PROFILE))
 def _(t: Tables) -> DataFrame:
     return chunks.chunk_separators(t.documents.select("doc_id", "text"), "text").select("doc_id", "chunk_no", "chunk")
 
 
-@query("chunk_separators_doc")
+@query("chunk_separators_doc", chunks_sql(chunks.DOC_PROFILE))
 def _(t: Tables) -> DataFrame:
     return chunks.chunk_separators(t.documents.select("doc_id", "text"), "text", "doc").select("doc_id", "chunk_no", "chunk")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,16 @@ def hot_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("rulespan.hotGroupRows", str(HOT_GROUP_ROWS)))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that ``spark.checkpoint.dir`` names, which all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="rulespan-shared-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and return the written copy.
 

@@ -15,13 +15,13 @@ MULTI_TABLE_SCHEMA = (
 )
 
 
-def load_rules(spark: SparkSession, root: str) -> DataFrame:
-    """All ``rule.json`` below ``root``; the dataset is the first folder below it."""
+def load_rules(spark: SparkSession, root: str, file: str = "rule.json") -> DataFrame:
+    """All files named ``file`` (a glob) below ``root``, a rule each; the dataset is the first folder below it."""
     files = (
         spark.read.schema(RULE_SCHEMA)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "rule.json")
+        .option("pathGlobFilter", file)
         .json(root)
     )
     below = F.substring_index(F.col("_metadata.file_path"), f"{root.rstrip('/')}/", -1)

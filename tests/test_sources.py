@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulespan.operators import groups
+from rulespan.operators.ranking import register_new
 from rulespan.operators.report import STATUS, overview, run_summary
 from rulespan.plans import batch
-from rulespan.sources import catalogue, corpus, results, store, tables
+from rulespan.sources import catalogue, corpus, loader, results, store, tables
 
 
 @pytest.fixture
@@ -262,3 +263,48 @@ def test_overview_with_run_times(spark):
     shown = overview(result.metrics, df, log).collect()
     assert [(r.rule_id, r.violating_rows, r.seconds, r.status) for r in shown] == [("r", 2, 1.5, "x")]
     assert [r.seconds for r in overview(result.metrics, df, log.limit(0)).collect()] == [None]
+
+
+def test_a_failing_source_is_listed_and_the_others_load(spark, tmp_path):
+    docs = tmp_path / "docs" / "deep"
+    docs.mkdir(parents=True)
+    (docs / "a.md").write_text("# Alpha\n\ntext of alpha")
+    (docs.parent / "b.txt").write_text("beta é")
+    (docs.parent / "c.bin").write_text("no document")
+    (docs.parent / "bad.py").write_bytes(b"\xff\xfe\x00broken")
+    (tmp_path / "one.py").write_text("# Sum\n# Tags: a, b\nx = 1\n")
+    spark.createDataFrame([("http://x/y", "<p>Hello <b>page</b></p>")], "url string, html string").write.parquet(str(tmp_path / "pages"))
+    spark.range(3).write.parquet(str(tmp_path / "odd"))
+    settings = spark.createDataFrame([
+        ("docs", "documentation", str(tmp_path / "docs"), None, True), ("code", "code_snippet", str(tmp_path / "one.py"), "snippets", None),
+        ("site", "web", str(tmp_path / "pages"), "API documentation", True), ("gone", "documentation", str(tmp_path / "nowhere"), "", True),
+        ("odd", "web", str(tmp_path / "odd"), "", True), ("kind", "video", str(tmp_path), "", True), ("off", "documentation", str(tmp_path / "docs"), "", False),
+    ], "name string, type string, path string, description string, enabled boolean")
+    found = loader.load_sources(spark, loader.sources_from(settings))
+    assert sorted((r.source, r.text) for r in found.texts.collect()) == [
+        ("code", "# Sum\n# Tags: a, b\nx = 1\n"), ("docs", "# Alpha\n\ntext of alpha"), ("docs", "beta é"), ("site", "Hello page")]
+    failures = {(r.source, (r.path or "").rsplit("/", 1)[-1]) for r in found.failures.collect()}
+    assert failures == {("docs", "bad.py"), ("gone", ""), ("odd", ""), ("kind", "")}
+    chunks = {(r.source, r.chunk_no, r.chunk) for r in found.chunks().collect()}
+    assert ("site", 0, "Hello page") in chunks and len(chunks) == 4
+    nothing = loader.load_sources(spark, [loader.Source("gone", "documentation", str(tmp_path / "nowhere"))])
+    assert nothing.texts.count() == 0 and nothing.failures.count() == 1
+    # files that are not known yet become entries with what their header says
+    files = found.texts.where("source = 'code'").selectExpr("path AS snippet_id", "path AS filepath", "text")
+    entries = register_new(files, spark.createDataFrame([("other",)], "snippet_id string"), F.current_timestamp()).collect()
+    assert [(r.description, r.tags, r.usage_count) for r in entries] == [("Sum", "a, b", 0)]
+
+
+def test_appending_the_same_texts_again_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    rows = [("s", "web", "the documentation", "long text " * 400), ("s", "web", "the documentation", "long text " * 400), ("t", "web", "other", "long text " * 400),
+            (None, "code_snippet", None, "x = 1"), ("u", "documentation", "", None), ("u", "documentation", "", "")]
+    new = spark.createDataFrame(rows, "source string, source_type string, description string, text string")
+    corpus.append_corpus(new, path)
+    first = sorted(map(tuple, spark.read.parquet(path).select("source", "chunk_no", "chunk").collect()), key=str)
+    # sources are cut by their own profiles
+    assert {(s, len(c)) for s, n, c in first if n == 0} == {("s", 1499), ("t", 999), (None, 5)}
+    corpus.append_corpus(new, path)
+    corpus.append_corpus(new.where("source = 's'").unionAll(new.where("source = 't'").withColumn("text", F.lit("more"))), path)
+    again = sorted(map(tuple, spark.read.parquet(path).select("source", "chunk_no", "chunk").collect()), key=str)
+    assert again == sorted([*first, ("t", 0, "more")], key=str)
