@@ -4,8 +4,8 @@ A line ends at a line break or at a full stop and a space, and keeps that end, s
 the text. A rolling hash goes over the hashes of two lines in a row. Its local extremes choose the boundaries, once with
 one before each line that is no local maximum and once before each that is no local minimum; so a chunk has one line or two,
 and where it begins depends on its own lines and their neighbours, not on what a text has before them: a passage copied into
-another document is cut alike inside. Chunks of two lines are candidates (from ``SHORT`` bytes), and long lines (from ``LONG``
-bytes) by themselves, since a passage may have few lines.
+another document is cut alike inside. Candidates are long lines (from ``LONG`` bytes) by themselves, since a passage may have
+few lines, and chunks of two lines that aren't long (from ``SHORT`` bytes together).
 Of a candidate's places the first in the smallest id stays, and each text loses the lines of its other places. No line is
 cut. A line stays in the smallest id that has it in a repeated candidate, as nothing that holds it has an earlier place.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from rulespan.llm.common import kept_table
 
 #: Bytes of a line that is a candidate by itself, and of two lines that are one.
-LONG, SHORT = 64, 40
+LONG, SHORT = 40, 32
 ENDS = ("\n", ". ")
 
 
@@ -71,7 +71,8 @@ def _candidates(rows: DataFrame) -> DataFrame:
         lone = F.when(size >= LONG, F.struct(F.get("hashes", i).alias("hash"), (2 * i).alias("place")))
         before, behind = F.get("rolled", i - 1), F.get("rolled", i + 1)
         extreme = (i > 0) & (((own > before) & (own >= behind)) | ((own < before) & (own <= behind)))
-        two = F.when(extreme & (size + F.octet_length(F.get("cut", i - 1)) >= SHORT), F.struct(own.alias("hash"), (2 * i - 1).alias("place")))
+        other = F.octet_length(F.get("cut", i - 1))
+        two = F.when(extreme & (F.greatest(size, other) < LONG) & (size + other >= SHORT), F.struct(own.alias("hash"), (2 * i - 1).alias("place")))
         return F.array(lone, two)
 
     return rolled.withColumn("found", F.sort_array(F.filter(F.flatten(F.transform("cut", at)), lambda c: c.isNotNull()))).drop("hashes", "rolled")

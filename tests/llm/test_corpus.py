@@ -108,8 +108,9 @@ def cleaned(rows):
         cut = [x for x in re.split(r"(?<=\n)|(?<=\. )", text or "") if x]
         hashes = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in cut]
         rolled = [signed(xxhash.xxh64_intdigest(le(h), seed=xxhash.xxh64_intdigest(le(hashes[i - 1]), seed=42) if i else 42)) for i, h in enumerate(hashes)]
-        found = [(i, i) for i, x in enumerate(cut) if len(x.encode()) >= 64]
-        found += [(i - 1, i) for i in range(1, len(cut) - 1) if (rolled[i - 1] < rolled[i] >= rolled[i + 1] or rolled[i - 1] > rolled[i] <= rolled[i + 1]) and len((cut[i - 1] + cut[i]).encode()) >= 40]
+        found = [(i, i) for i, x in enumerate(cut) if len(x.encode()) >= 40]
+        found += [(i - 1, i) for i in range(1, len(cut) - 1) if (rolled[i - 1] < rolled[i] >= rolled[i + 1] or rolled[i - 1] > rolled[i] <= rolled[i + 1]) 
+                  and max(len(x.encode()) for x in cut[i - 1 : i + 1]) < 40 and len((cut[i - 1] + cut[i]).encode()) >= 32]
         return cut, [("".join(cut[i : j + 1]), j > i, i, j) for i, j in sorted(found)]
 
     made, places = [(i, *chunks(t)) for i, t in rows], defaultdict(list)
