@@ -40,14 +40,20 @@ def _judges_missing(expr) -> bool:
 
 
 def relevant_columns(df: DataFrame, *conditions: Column | str | None) -> list[str]:
-    """The top-level columns that conditions read, but for those whose missing values they ask about themselves."""
+    """The top-level columns that conditions read, but for those whose missing values they ask about themselves.
+
+    Columns are known by what a condition resolves to, however it writes them (``A`` for ``a``, ``df.a``). This asks the
+    analysed plan, which a Spark Connect session doesn't hand out: name the columns of a rule there.
+    """
     found: dict[str, None] = {}
+    output = df._jdf.queryExecution().analyzed().output()
+    own = {output.apply(i).exprId().id(): name for i, name in enumerate(df.columns)}
 
     def visit(expr) -> None:
         if _judges_missing(expr):
             return
-        if expr.getClass().getSimpleName() == "AttributeReference" and expr.name() in df.columns:
-            found[expr.name()] = None
+        if expr.getClass().getSimpleName() == "AttributeReference" and expr.exprId().id() in own:
+            found[own[expr.exprId().id()]] = None
         children = expr.children()
         for i in range(children.size()):
             visit(children.apply(i))

@@ -640,10 +640,11 @@ for rule_id, quantifier, predicate, more, test in MIXED:
 
 
 def bad_orders(t: Tables) -> tuple[RuleResult, DataFrame]:
-    """Orders with two appended records whose customer does not exist, checked against the customers."""
+    """Orders with three appended records, two of them with a customer that does not exist, checked against the customers."""
     steps = [
         {"table_to_modify": "orders", "record_to_add": {"_id": -1, "o_orderkey": -1, "o_custkey": -7, "o_totalprice": 1.0}},
         {"table_to_modify": "orders", "record_to_add": {"_id": -2, "o_orderkey": -2, "o_custkey": -8}},
+        {"table_to_modify": "orders", "record_to_add": {"_id": -4, "o_orderkey": -4, "o_custkey": 1}},
         {"table_to_modify": "nowhere", "record_to_add": {"_id": -3, "o_orderkey": -3}},
     ]
     changed, ids = tables.inject(t.spark, {"orders": t.orders, "customer": t.customer}, steps)
@@ -652,7 +653,8 @@ def bad_orders(t: Tables) -> tuple[RuleResult, DataFrame]:
     return result, t.spark.createDataFrame([(i,) for i in ids], "row_id bigint")
 
 
-INJECTED = "(SELECT o_custkey FROM orders UNION ALL SELECT -7 UNION ALL SELECT -8) x"
+ADDED = "(VALUES (-1, -7), (-2, -8), (-4, 1)) i(o_orderkey, o_custkey)"
+INJECTED = f"(SELECT o_custkey FROM orders UNION ALL SELECT o_custkey FROM {ADDED}) x"
 
 
 @query("injection", row_sql("injection", INJECTED, "o_custkey IN (SELECT c_custkey FROM customer)"))
@@ -660,7 +662,11 @@ def _(t: Tables) -> DataFrame:
     return metrics_out(bad_orders(t)[0])
 
 
-@query("injected_found", "SELECT 2::BIGINT AS injected, 2::BIGINT AS found, TRUE AS any_found, max(o_orderkey) AS last_order FROM orders")
+@query("injected_found", f"""
+    WITH v AS (SELECT o_orderkey FROM (SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT o_orderkey, o_custkey FROM {ADDED})
+      WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))
+    SELECT count(*) AS injected, count(*) FILTER (WHERE o_orderkey IN (SELECT o_orderkey FROM v)) AS found,
+      bool_or(o_orderkey IN (SELECT o_orderkey FROM v)) AS any_found, (SELECT max(o_orderkey) FROM orders) AS last_order FROM {ADDED}""")
 def _(t: Tables) -> DataFrame:
     result, ids = bad_orders(t)
     found = tables.injected_found(result.violations(), ids)

@@ -2,6 +2,7 @@
 
 import pytest
 from helpers import metrics, row_sets
+from pyspark.sql import functions as F
 
 from rulespan.operators import groups, order, report, rows, tables
 from rulespan.sources.tables import load_table, load_tables
@@ -83,3 +84,14 @@ def test_csv_with_line_breaks_flags_and_a_bare_name(spark, tmp_path):
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "Y", "two\nlines", True), (2, "N", 'say "hi"', False), (3, None, "plain", True)]
     bare = load_tables(spark, str(tmp_path), ["Bare", "gone"])
     assert list(bare) == ["Bare"] and [tuple(r) for r in bare["Bare"].orderBy("id").collect()] == [(1, None), (2, 7)]
+
+
+def test_missing_values_however_a_column_is_written(spark):
+    """A condition may write a column in another case, quoted or through the table: its missing values take rows out all the same."""
+    df = spark.createDataFrame([(1, 5, 1.0), (2, None, 1.0), (3, 50, None), (4, 7, float("nan"))], "id int, a int, `B b` double")
+    for head in ("a < 10", "A < 10", "`A` < 10", df.a < 10, F.col("A") < 10):
+        m = rows.row_rule(df, head, row_id="id").metrics.first()
+        assert (m.total_rows, m.applicable_rows, m.sat_rows, m.viol_rows) == (4, 3, 2, 1), head
+    shared = rows.evaluate_row_rules(df, [rows.RowRule("x", "A < 10", "`b b` > 0")], row_id="id").metrics.first()
+    assert (shared.applicable_rows, shared.sat_rows) == (1, 1)
+    assert rows.row_rule(df, "A is null", row_id="id").metrics.first().sat_rows == 1
