@@ -10,7 +10,7 @@ loss is minimised by dual coordinate descent: one row after the other, its multi
 and C and the weights follow.
 
 Defined cases: null texts are empty and score by the bias alone; labels that are null, neither 0 nor 1, without an id or
-contradictory for an id are not learnt; without labels of both classes every score is 0.5; repeated rows are scored
+contradictory for an id are not learnt; of several texts of an id one is learnt, the same at any partitioning; without labels of both classes every score is 0.5; repeated rows are scored
 each; null ids are scored and are in no fold (``held_out`` false); extra columns are ignored; an empty table gives an
 empty table.
 """
@@ -125,9 +125,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, fea
     known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("y")).where(
         F.col("doc_id").isNotNull() & y.isin(0, 1) & learn).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other"))
     chosen = bounded_sample(known.where(F.col("y") == F.col("other")).select("doc_id", "y"), F.col("doc_id"), bound)
-    # At most ``bound`` ids and labels travel to the tasks. The sample's texts are written, as two passes read them.
-    rows = id_text(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").limit(bound)
-    sample = kept_table(rows.repartition(TASKS))
+    # At most ``bound`` ids and labels travel to the tasks. Of several texts of an id the one with the smallest hash is learnt,
+    # whatever the partitioning. The sample's texts are written, as two passes read them.
+    rows = id_text(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    single = rows.groupBy("doc_id").agg(F.min_by(F.struct("y", "text"), F.xxhash64("text")).alias("row")).select("row.*")
+    sample = kept_table(single.repartition(TASKS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros((2, size), np.int32), [0, 0]

@@ -374,6 +374,32 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert all(primal(w) <= primal(w + d) + 1e-3 for d in random.normal(scale=0.05, size=(300, 4)))
 
 
+def test_toxicity_features_are_grams_of_characters():
+    """Every 4, 5 and 6 characters of the folded text, non-ASCII letters counting as one."""
+    texts = ["Größe MÜ!!x", "", "ab", "\u6f22\u5b57 \U0001F600\U0001F601 z", "aaaa aaaa"]
+    folded = [" " + re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), t)).strip(" ") + " " if t else "" for t in texts]
+    want = [{t[i : i + n] for n in (4, 5, 6) for i in range(len(t) - n + 1)} for t in folded]
+    got = [set() for _ in texts]
+    for rows, found in toxicity.features(pa.array(texts)):
+        for r, f in zip(rows.tolist(), found.tolist()):
+            got[r].add(f)
+    assert [len(g) for g in got] == [len(w) for w in want]
+    same = [set() for _ in folded]
+    for rows, found in toxicity.features(pa.array([t.strip(" ") for t in folded])):
+        for r, f in zip(rows.tolist(), found.tolist()):
+            same[r].add(f)
+    assert same == got
+
+
+def test_a_model_of_repeated_ids_is_repeatable(spark):
+    """Ids with several texts: the same model at any partitioning, and that of a table with one of the texts."""
+    rows = [(i, f"{'good' if i % 2 else 'awful'} words number {i} {k}") for i in range(40) for k in range(3)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [nbsvm.train(d, labels, "quality", F.lit(True), quality.features, quality.SIZE, bound=25) for d in (docs.repartition(1), docs.repartition(7), docs.orderBy(F.desc("text")))]
+    assert all((models[0].weights == m.weights).all() and models[0].bias == m.bias for m in models) and models[0].weights.any()
+
+
 def test_pipeline_equals_brute_force(spark):
     docs, rows = spark.read.parquet(f"{DATA}/documents.parquet"), documents(spark)
     stages = dict(corpus_pipeline.STAGES)
