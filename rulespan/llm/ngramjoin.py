@@ -12,11 +12,16 @@ all texts and decide speed, not results.
 A list of the index (the vertices of one signature) isn't expanded into pairs. First each vertex is compared with a
 hub of its list: of those of similar size the one with the fewest rare tokens, which in a group of copies is the text they
 were made from. The components of what holds leave the lists with several components open. Only their vertices may still
-link, and only with each other: so a token that just one of them holds is in no link, and a set with m other tokens shares at
-most m with anyone. Of the pairs across components in an open list only those are made that could link by this bound; a
-copy with many changes of its own drops out with all its pairs, however long the list is. A pair is verified only if its
-prefixes share as many tokens as a linked pair's must: two sets that share c tokens of their prefixes share at most c and
-the larger rest of the two.
+link, and only with each other, and pairs across components are made where that is possible:
+
+* A token that just one open vertex holds is in no link, so a set with m other tokens shares at most m with anyone.
+* Most open vertices were compared with a hub of many (their anchor), so it is known that x has c(x) tokens of it. Two sets of
+  one anchor share at most the smaller c, and beyond it only tokens that the anchor lacks. Those are few and rare, even
+  where thousands of texts share all others: they get lists of their own, and a pair that meets in s of these lists shares at
+  most s more. Without such a token the smaller c alone decides, so a text that missed its hub drops out with all its pairs.
+
+A pair from the other lists is verified only if its prefixes share as many tokens as a linked pair's must: two sets that share
+c tokens of their prefixes share at most c and the larger rest of the two.
 
 Verification reads the texts themselves and compares whole sets. Nothing is cut off: lists have no longest length.
 
@@ -274,68 +279,106 @@ def shared_tokens(texts: DataFrame) -> DataFrame:
 FEW = 16
 
 
-def across(members: DataFrame) -> DataFrame:
-    """The pairs of an open list, from different components, that could link: sig, a, a_n, a_wide, b, b_n, b_wide.
+def across(members: DataFrame, extras: bool) -> DataFrame:
+    """The pairs of a list, from different components, that could link: sig, a, a_n, a_wide, b, b_n, b_wide and least (c).
 
-    ``members``: sig, v, n, wide, label, m. Two sets share at most the smaller m; so 100 times it must reach 75 times the union.
+    ``members``: sig, v, n, wide, label, m, anchor (null: none), c and e (the tokens in and outside the anchor). In lists of
+    ``extras``, tokens that the anchor lacks, two sets share at most the smaller c and the smaller e. In other lists two
+    sets of one anchor count as sharing none of those, two others share at most the smaller m.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "a", "a_n", "a_wide", "b", "b_n", "b_wide"]
-
-        def made(c: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
-            sig, v, n, wide, label, m = c
-            least = np.minimum(m[i], m[j])
-            ok = (label[i] != label[j]) & (7 * least >= 3 * (n[i] + n[j])) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
-            ok &= ((sig[i] & 3) != WIDE) | wide[i] | wide[j]
-            i, j = i[ok], j[ok]
-            i, j = np.where(label[i] < label[j], i, j), np.where(label[i] < label[j], j, i)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[i], v[i], n[i], wide[i], v[j], n[j], wide[j])], names=names) if len(i) else None
-
-        def pairs(c: list[np.ndarray]) -> Iterator[pa.RecordBatch | None]:
-            """All pairs of whole lists, sorted by size."""
-            # a member whose bound fails with the smallest set it could link with has no pair
-            start = np.concatenate(([0], np.flatnonzero(c[0][1:] != c[0][:-1]) + 1, [len(c[0])]))
-            smallest = np.empty(len(c[0]), np.int64)
-            for low, high in zip(start[:-1].tolist(), start[1:].tolist()):
-                n = c[2][low:high]
-                smallest[low:high] = n[np.searchsorted(n, -(-3 * n // 4))] if high - low > FEW else n[0]
-            possible = 7 * c[5] >= 3 * (c[2] + smallest)
-            c = [x[possible] for x in c]
-            start = np.concatenate(([0], np.flatnonzero(c[0][1:] != c[0][:-1]) + 1, [len(c[0])])) if len(c[0]) else np.zeros(1, np.int64)
+        names = ["sig", "a", "a_n", "a_wide", "b", "b_n", "b_wide", "least"]
+
+        def made(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            sig, v, n, wide, label, m, anchor, c, e = x
+            least = np.minimum(c[i], c[j])
+            if extras:
+                bound = least + np.minimum(e[i], e[j])
+            else:
+                bound = np.where((anchor[i] == anchor[j]) & (anchor[i] != 0), least, np.minimum(m[i], m[j]))
+            ok = (label[i] != label[j]) & (7 * bound >= 3 * (n[i] + n[j])) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
+            if not extras:
+                ok &= ((sig[i] & 3) != WIDE) | wide[i] | wide[j]
+            i, j, least = i[ok], j[ok], least[ok]
+            if len(i):
+                i, j = np.where(label[i] < label[j], i, j), np.where(label[i] < label[j], j, i)
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in (sig[i], v[i], n[i], wide[i], v[j], n[j], wide[j], least)], names=names)
+
+        def long_list(x: list[np.ndarray], low: int, high: int) -> Iterator[pa.RecordBatch]:
+            """A list sorted by size: those of its commonest anchor with each other, and the others with all."""
+            n, label, m, anchor, c, e = (x[k][low:high] for k in (2, 4, 5, 6, 7, 8))
+            kinds, counts = np.unique(anchor, return_counts=True)
+            common = (anchor == kinds[counts.argmax()]) & (anchor != 0)
+            smallest = n[np.searchsorted(n, -(-3 * n // 4))]
+            own = c + e if extras else c
+            strong = np.flatnonzero(common & (7 * own >= 3 * (n + smallest)))
+            # the longest sets that a set may link with come last in the order of sizes
+            if len(strong) > 1 and (label[strong] != label[strong[0]]).any():
+                reach = np.searchsorted(n[strong], 4 * n[strong] // 3, "right")
+                for k in range(len(strong) - 1):
+                    j = strong[k + 1 : reach[k]]
+                    yield from made(x, np.full(len(j), low + strong[k]), low + j)
+            others = np.flatnonzero(~common & (7 * m >= 3 * (n + smallest)))
+            for k, i in enumerate(others.tolist()):
+                first, last = np.searchsorted(n, [-(-3 * n[i] // 4), 4 * n[i] // 3 + 1])
+                j = np.arange(first, last)
+                later = others[k + 1 :]
+                j = np.concatenate((j[common[j]], later[(later >= first) & (later < last)]))
+                yield from made(x, np.full(len(j), low + i), low + j)
+
+        def pairs(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """All pairs of whole lists, each sorted by size."""
+            start = np.concatenate(([0], np.flatnonzero(x[0][1:] != x[0][:-1]) + 1, [len(x[0])]))
             sizes = np.diff(start)
             few = np.repeat(sizes <= FEW, sizes)
-            small = [x[few] for x in c]
+            small = [y[few] for y in x]
             for lag in range(1, FEW):
                 i = np.flatnonzero(small[0][lag:] == small[0][:-lag])
                 if not len(i):
                     break
-                yield made(small, i, i + lag)
+                yield from made(small, i, i + lag)
             for g in np.flatnonzero(sizes > FEW).tolist():
-                low, high = int(start[g]), int(start[g + 1])
-                label, n = c[4][low:high], c[2][low:high]
-                if (label == label[0]).all():
-                    continue
-                reach = np.searchsorted(n, 4 * n // 3, "right")
-                for i in range(high - low - 1):
-                    j = np.arange(low + i + 1, low + int(reach[i]))
-                    yield made(c, np.full(len(j), low + i), j)
+                yield from long_list(x, int(start[g]), int(start[g + 1]))
 
         held: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)]
+            held = now if held is None else [np.concatenate(y) for y in zip(held, now)]
             cut = int(np.searchsorted(held[0], held[0][-1]))
             if cut:
-                yield from (x for x in pairs([x[:cut] for x in held]) if x is not None)
-                held = [x[cut:] for x in held]
+                yield from pairs([y[:cut] for y in held])
+                held = [y[cut:] for y in held]
         if held is not None:
-            yield from (x for x in pairs(held) if x is not None)
+            yield from pairs(held)
 
-    rows = members.select("sig", "v", F.col("n").cast("long").alias("n"), "wide", "label", "m")
+    rows = members.select("sig", "v", F.col("n").cast("long").alias("n"), "wide", "label", "m", F.coalesce("anchor", F.lit(0)).alias("anchor"),
+                          F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("e", F.lit(0)).alias("e"))
     return rows.repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(
-        run, "sig long, a long, a_n long, a_wide boolean, b long, b_n long, b_wide boolean")
+        run, "sig long, a long, a_n long, a_wide boolean, b long, b_n long, b_wide boolean, least long")
+
+
+def anchors(compared_: DataFrame) -> DataFrame:
+    """v, anchor and c: of the hubs that each vertex shares half its tokens with, the one that most were compared with."""
+    many = compared_.groupBy("a").agg(F.count(F.lit(1)).alias("many"))
+    hubs = compared_.where("2 * common >= b_n").select("a", F.col("b").alias("v"), F.col("common").alias("c"))
+    own = compared_.groupBy("a").agg(F.max("a_n").alias("c")).select("a", F.col("a").alias("v"), "c")
+    best = hubs.unionAll(own).join(many, "a").groupBy("v").agg(F.max(F.struct("many", "a", "c")).alias("h"))
+    # 0 stands for no anchor in the tasks
+    return best.select("v", F.col("h.a").alias("anchor"), F.col("h.c").alias("c")).where("anchor <> 0")
+
+
+def extra_tokens(anchored: DataFrame, texts: DataFrame) -> DataFrame:
+    """sig and v: a row for each token of a vertex that its anchor lacks; ``sig`` stands for the anchor and the token."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (hub, v), own, other in _both(batches):
+            more = np.setdiff1d(other, own, assume_unique=True)
+            if len(more):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mix(more + mix(np.array([hub], np.int64).view(np.uint64))).view(np.int64)), pa.array(np.full(len(more), v))], names=["sig", "v"])
+
+    return _met(anchored.select(F.col("anchor").alias("a"), F.col("v").alias("b")).where("a <> b"), texts).mapInArrow(run, "sig long, v long")
 
 
 def promising(met: DataFrame) -> DataFrame:
@@ -350,25 +393,54 @@ def promising(met: DataFrame) -> DataFrame:
     return counted.where(F.col("rare") + frequent + rest >= F.ceil(3 * (F.col("x") + F.col("y")) / 7)).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b); ``texts`` has v and text once each."""
+#: Vertices that have more than this share of all pairs are dealt over as many parts; there are fewer of them than that.
+PARTS = 64
+
+
+def _met(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b and their texts for every pair; ``texts`` has v and text once each. The pairs of a popular ``a`` are spread."""
     a, b = (texts.select(F.col("v").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    total = max(1, pairs.count())
+    popular = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * PARTS > total).select(
+        "a", F.ceil(F.col("n") * PARTS / total).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(F.broadcast(popular), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    repeated = a.join(F.broadcast(popular), "a", "left").select("a", "text_a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(b, "b").join(repeated, ["a", "part"]).select("a", "b", "text_a", "text_b")
+
+
+def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray]]:
+    """(a, b) and their sets, from rows a, b, text_a, text_b."""
+    last, own = None, None
+    for batch in batches:
+        for part in slices(batch, 2, CHUNK):
+            for x, y, text, other in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), sets(part.column(3))):
+                if x != last:
+                    last, own = x, sets(pa.array([text.as_py()]))[0]
+                yield (x, y), own, other
+
 
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, common, a_n and b_n: the whole sets of every pair (a, b) compared; ``texts`` has v and text once each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for batch in batches:
-            for part in slices(batch, 2, CHUNK):
-                kept = []
-                for i, (x, text, other) in enumerate(zip(part.column(0).to_pylist(), part.column(2), sets(part.column(3)))):
-                    if x != last:
-                        last, own = x, sets(pa.array([text.as_py()]))[0]
-                    common = len(np.intersect1d(own, other, assume_unique=True))
-                    if linked(common, len(own), len(other)):
-                        kept.append(i)
-                if kept:
-                    yield part.take(pa.array(kept)).select(["a", "b"])
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b", "common", "a_n", "b_n"])
+
+        for (x, y), own, other in _both(batches):
+            rows.append((x, y, len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)))
+            if len(rows) == 10_000:
+                yield out()
+                rows = []
+        if rows:
+            yield out()
+
+    return _met(pairs, texts).mapInArrow(run, "a long, b long, common long, a_n long, b_n long")
+
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+def links(compared_: DataFrame) -> DataFrame:
+    return compared_.where(100 * F.col("common") >= 75 * (F.col("a_n") + F.col("b_n") - F.col("common"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -401,18 +473,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     first = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("doc_id"))
     tried = kept_table(promising(found.where("v <> hub").selectExpr(
         "sig", "hub AS a", "hub_n AS a_n", "hub_wide AS a_wide", "v AS b", "n AS b_n", "wide AS b_wide")))
-    near = kept_table(verified(tried, _texts_of(tried, first, source)))
+    hubs = kept_table(compared(tried, _texts_of(tried, first, source)))
+    near = links(hubs)
     labels = components(near)
     # Lists that still hold several components: pairs across them that could link and haven't been tried.
     marked = found.join(labels, "v", "left").select("sig", "v", "n", "wide", F.coalesce("label", "v").alias("label"))
     mixed = marked.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
     open_ = kept_table(marked.join(mixed, "sig"))
-    texts = kept_table(_texts(open_.select("v").distinct(), first, source))
-    bounded = open_.join(shared_tokens(texts), "v", "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    pairs = promising(across(bounded))
+    vertices = open_.groupBy("v").agg(F.any_value("n").cast("long").alias("n"), F.any_value("wide").alias("wide"), F.any_value("label").alias("label"))
+    bounded = vertices.join(anchors(hubs), "v", "left").withColumn("e", F.col("n") - F.col("c"))
+    wanted = bounded.select("v").unionAll(bounded.where("anchor IS NOT NULL").select("anchor")).distinct()
+    texts = kept_table(_texts(wanted, first, source))
+    own_texts = texts.join(vertices.select("v"), "v", "left_semi")
+    bounded = kept_table(bounded.join(shared_tokens(own_texts), "v", "left").withColumn("m", F.coalesce("m", F.lit(0))))
+    whole = promising(across(open_.select("sig", "v").join(bounded, "v"), False))
+    more = extra_tokens(bounded.where("anchor IS NOT NULL").select("v", "anchor"), texts)
+    met = across(more.join(bounded, "v"), True).groupBy("a", "b").agg(
+        F.any_value("a_n").alias("x"), F.any_value("b_n").alias("y"), F.any_value("least").alias("least"), F.count(F.lit(1)).alias("s"))
+    pairs = whole.unionAll(met.where(7 * (F.col("least") + F.col("s")) >= 3 * (F.col("x") + F.col("y"))).select("a", "b")).distinct()
     pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     pairs = kept_table(pairs)
-    final = components(near.unionAll(verified(pairs, texts)))
+    final = components(near.unionAll(links(compared(pairs, texts))))
     named = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("low")).join(final, "v", "left").select(
         "v", "low", F.coalesce("label", "v").alias("label"))
     smallest = named.groupBy("label").agg(F.min("low").alias("component_id"))

@@ -92,6 +92,35 @@ def test_ngram_join_of_hot_groups(spark, monkeypatch):
     assert got == components(rows)
 
 
+@pytest.mark.parametrize("few", [2, 16])
+def test_ngram_join_of_copies_at_all_distances(spark, monkeypatch, few):
+    """Families whose copies lie on both sides of the similarity, from their centre and from each other, with edits that several
+    copies share; so that many links join copies that miss the centre."""
+    monkeypatch.setattr(ngramjoin, "FEW", few)
+    random = np.random.default_rng(few)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = []
+    for family in range(3):
+        base = list(random.choice(vocabulary, 70 + 10 * family))
+        centres = [base]
+        for _ in range(2):
+            other = list(base)
+            for at in sorted(random.choice(len(base) - 8, 2 + family, replace=False).tolist(), reverse=True):
+                other[at : at + 3] = list(random.choice(vocabulary, 3))
+            centres.append(other)
+        for _ in range(90):
+            t = list(centres[int(random.integers(3))])
+            for _ in range(int(random.integers(0, 6))):
+                at = int(random.integers(len(t) // 5)) * 5
+                kind = int(random.integers(3))
+                t[at : at + (kind != 1)] = [] if kind == 0 else [f"x{int(random.integers(3))}"]
+            rows.append((len(rows), " ".join(t)))
+    want = components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join(frame(spark, rows).repartition(3)).collect()}
+    assert got == want
+    assert 3 < len({c for _, c in want.values()}) < 200
+
+
 def test_ngram_join_odd_rows(spark):
     rows = [(None, "a b c d e f g"), (7, "a b c d e f g"), (7, "a b c d e f g"), (None, None), (9, "z")]
     got = sorted(map(tuple, ngramjoin.join(frame(spark, rows)).collect()), key=str)
