@@ -6,8 +6,9 @@ replaced words. A document is contaminated by an item of L words if some stretch
 Edit distance becomes Hamming distance by a CGK walk: at every step the word under the pointer is written down, and a
 random bit of (step, word) says whether the pointer moves on. Two near windows soon walk in step, so few of their
 places differ. Bit-sampling LSH keeps ``SAMPLED`` places of a walk as a signature, again and again with new walks; how
-often is found by trial for each class of item lengths (a power of two), until items with as many edits as allowed are
-found with the target recall. Windows begin where a piece of an item occurs and a few words around: of floor(0.2 L) + 1
+often is found by trial for each class of item lengths (a power of two), until items with as many edits as allowed, of
+each kind alone and of all kinds, are found with the target recall. A class that misses it within ``MOST_REPEATS`` walks (long
+items of which words are only deleted) is verified exactly at every piece that occurs, without walks. Windows begin where a piece of an item occurs and a few words around: of floor(0.2 L) + 1
 disjoint pieces an item has, one survives that many edits, so no true window is passed over, and all others, nearly all,
 need no walk. What collides is verified by the exact distance (bit-parallel dynamic programming).
 
@@ -36,6 +37,8 @@ from rulespan.llm.common import ALNUM, Words, id_text, mix, slices
 EDITS, LEAST, BLOCK = 0.2, 5, 20_000
 CHUNK = 4 << 20
 SAMPLED, RECALL, MOST_REPEATS, PIECE = 2, 0.99, 64, 4
+#: Items must be found after edits of each of these kinds.
+EDIT_KINDS = (("insert",), ("delete",), ("replace",), ("insert", "delete", "replace"))
 _PAD = np.uint64(0x5EED)
 
 
@@ -93,23 +96,27 @@ class Index:
         self.ids, self.words = [ids[i] for i in kept], [words[i] for i in kept]
         self.masks = [masks(w.tolist()) for w in self.words]
         self.slack = [allowed(len(w), edits) for w in self.words]
-        pieces: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        pieces: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
         classes: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(self.words):
             n = self.slack[i] + 1
             for j in range(n):
                 first, last = j * len(w) // n, (j + 1) * len(w) // n
                 size = min(PIECE, last - first)
-                pieces[size].append((int(grams(w[first : first + size], size)[0]), first, self.slack[i]))
+                pieces[size].append((int(grams(w[first : first + size], size)[0]), first, self.slack[i], i))
             classes[len(w).bit_length() - 1].append(i)
-        # piece hashes of each size, sorted, with the place in the item and the item's slack
+        # piece hashes of each size, sorted, with the place in the item, the item's slack and its number
         self.pieces = {}
         for size, found in pieces.items():
             found.sort()
-            self.pieces[size] = tuple(np.array(c, t) for c, t in zip(zip(*found), (np.uint64, np.int64, np.int64)))
+            self.pieces[size] = tuple(np.array(c, t) for c, t in zip(zip(*found), (np.uint64, np.int64, np.int64, np.int64)))
         self.tables = []
+        self.exact = np.zeros(len(self.words), bool)
         for k, members in sorted(classes.items()):
             steps = self._steps(k, members)
+            if steps is None:
+                self.exact[members] = True
+                continue
             text = np.concatenate([self.words[i] for i in members])
             end = np.cumsum([len(self.words[i]) for i in members])
             start = np.concatenate(([0], end[:-1]))
@@ -119,28 +126,31 @@ class Index:
                 signed.append((s[order], np.array(members)[order]))
             self.tables.append((k, steps, signed))
 
-    def _steps(self, k: int, members: list[int]) -> list[np.ndarray]:
-        """Sampled places, with as many repeats as edited items need to be found."""
+    def _steps(self, k: int, members: list[int]) -> list[np.ndarray] | None:
+        """Sampled places, with as many repeats as edited items of each kind need to be found; None if that is too many."""
         random = np.random.default_rng(k)
         length = max(1, 3 * (1 << k) // 2)
         steps = [np.sort(random.integers(0, length, SAMPLED)) for _ in range(MOST_REPEATS)]
         pick = [members[i] for i in random.integers(0, len(members), 200)]
-        edited = [_edited(self.words[i], self.slack[i], random) for i in pick]
-        sides = []
-        for texts in ([self.words[i] for i in pick], edited):
-            end = np.cumsum([len(t) for t in texts])
-            sides.append([s for _, s in walk(np.concatenate(texts), np.concatenate(([0], end[:-1])), end, steps, k)])
-        found = np.zeros(len(pick), bool)
+        found = []
+        plain = self._signatures([self.words[i] for i in pick], steps, k)
+        for kinds in EDIT_KINDS:
+            edited = self._signatures([_edited(self.words[i], self.slack[i], random, kinds) for i in pick], steps, k)
+            found.append(np.stack([a == b for a, b in zip(plain, edited)]))
         for r in range(MOST_REPEATS):
-            found |= sides[0][r] == sides[1][r]
-            if found.mean() >= RECALL:
+            if all(f[: r + 1].any(axis=0).mean() >= RECALL for f in found):
                 return steps[: r + 1]
-        return steps
+        return None
+
+    @staticmethod
+    def _signatures(texts: list[np.ndarray], steps: list[np.ndarray], k: int) -> list[np.ndarray]:
+        end = np.cumsum([len(t) for t in texts])
+        return [s for _, s in walk(np.concatenate(texts), np.concatenate(([0], end[:-1])), end, steps, k)]
 
     def candidates(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window start, item) pairs whose signatures collide."""
+        """(window start, item) pairs whose signatures collide, and those of a piece and its item where walks don't do."""
         starts = [np.zeros(0, np.int64)]
-        for size, (hashes, offset, slack) in self.pieces.items():
+        for size, (hashes, offset, slack, item) in self.pieces.items():
             if len(words.hash) < size:
                 continue
             own = grams(words.hash, size)
@@ -150,10 +160,17 @@ class Index:
             low, high = np.searchsorted(hashes, own[hit]), np.searchsorted(hashes, own[hit], "right")
             n = high - low
             piece = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            place = np.repeat(hit, n) - offset[piece]
+            at = np.repeat(hit, n)
+            place = at - offset[piece]
+            exact = self.exact[item[piece]]
+            if exact.any():
+                yield np.maximum(place, words.first[words.of[at]])[exact], item[piece][exact]
+                at, piece, place = at[~exact], piece[~exact], place[~exact]
+                if not len(at):
+                    continue
             widths = 2 * slack[piece] + 1
             shift = np.arange(widths.sum()) - np.repeat(np.concatenate(([0], np.cumsum(widths)[:-1])), widths)
-            text = words.of[np.repeat(np.repeat(hit, n), widths)]
+            text = words.of[np.repeat(at, widths)]
             start = np.repeat(place - slack[piece], widths) + shift
             starts.append(np.maximum(start, words.first[text]))
         start = np.unique(np.concatenate(starts))
@@ -214,14 +231,16 @@ def _member(sorted_hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _edited(words: np.ndarray, n: int, random: np.random.Generator) -> np.ndarray:
+def _edited(words: np.ndarray, n: int, random: np.random.Generator, kinds: tuple[str, ...]) -> np.ndarray:
+    """The words after ``n`` edits of the given kinds, at random places."""
     out = words.tolist()
     for _ in range(n):
-        at, kind = int(random.integers(0, len(out) + 1)), int(random.integers(0, 3))
-        if kind == 0:
+        at, kind = int(random.integers(0, len(out) + 1)), kinds[int(random.integers(0, len(kinds)))]
+        if kind == "insert":
             out.insert(at, int(random.integers(1, 1 << 62)))
-        elif at < len(out):
-            out[at : at + 1] = [] if kind == 1 and len(out) > 1 else [int(random.integers(1, 1 << 62))]
+        elif len(out) > 1:
+            at = min(at, len(out) - 1)
+            out[at : at + 1] = [] if kind == "delete" else [int(random.integers(1, 1 << 62))]
     return np.array(out, np.uint64)
 
 

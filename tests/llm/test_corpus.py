@@ -346,6 +346,24 @@ def test_decontamination_on_the_tables(spark):
                 assert (doc_id, item_id) not in got
 
 
+@pytest.mark.parametrize("kinds", decontaminate.EDIT_KINDS, ids="-".join)
+def test_decontamination_recall_by_length_and_kind_of_edit(kinds):
+    """Items of 5 to 400 words with as many edits as allowed, inside other words, are found nearly always."""
+    random = np.random.default_rng(len(kinds[0]))
+    word = lambda n: random.integers(1, 1 << 62, n).astype(np.uint64)
+    for length in (5, 9, 15, 31, 63, 64, 90, 120, 200, 300, 400):
+        items = [word(length) for _ in range(60)]
+        index = decontaminate.Index(list(range(60)), items)
+        texts = [np.concatenate((word(30), decontaminate._edited(w, decontaminate.allowed(length), random, kinds), word(30))) for w in items]
+        words = Words.__new__(Words)
+        words.hash = np.concatenate(texts)
+        words.first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        words.of = np.repeat(np.arange(60), np.diff(words.first))
+        found = {(of, item) for of, item, *_ in index.matches(words)}
+        assert all(of == item for of, item in found)
+        assert len(found) >= 0.97 * 60, (length, kinds, len(found))
+
+
 def test_decontamination_recall_of_edited_items(spark):
     random = np.random.default_rng(6)
     vocabulary = [f"v{i}" for i in range(500)]

@@ -79,13 +79,13 @@ def test_near_duplicates_odd_rows(spark):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("portion", [4, 16, 4096])
+@pytest.mark.parametrize("portion", [6, 4096])
 def test_links_of_crowded_lists(spark, portion):
     """Points crowded round a few centres, more than a portion holds, so that lists are split and get further lists."""
     random = np.random.default_rng(portion)
     values = {0, 1, (1 << 64) - 1}
     for centre in random.integers(0, 1 << 63, 3).tolist():
-        for _ in range(150):
+        for _ in range(60):
             flips = random.choice(64, int(random.integers(0, 9)), replace=False)
             values.add(centre ^ sum(1 << int(b) for b in flips))
     values = sorted(values)
