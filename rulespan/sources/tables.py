@@ -25,26 +25,32 @@ def load_table(
     na_values: Sequence[str] = NA_TOKENS,
     schema: str | T.StructType | None = None,
     multi_line: bool = True,
+    store: str | None = None,
 ) -> DataFrame:
     """A table by name; the file is the lower-cased name with the format as suffix.
 
     A quoted CSV cell may hold line breaks. That keeps a file in one task; ``multi_line=False`` splits large files
-    whose cells are known to hold none.
+    whose cells are known to hold none. With ``store``, a new folder, the files are parsed once: their cells are written there
+    as Parquet, dealt over tasks, and types are inferred and rules run from that. Deliver large tables as many files.
 
     CSV cells among ``na_values`` are NULL. Column types come from ``schema``; without one they are
     inferred in a pass of their own, after the NA texts are gone, so they do not turn numbers into text.
     """
-    return _read(spark, os.path.join(folder, f"{name.lower()}.{fmt}"), fmt, na_values, schema, multi_line)
+    return _read(spark, os.path.join(folder, f"{name.lower()}.{fmt}"), fmt, na_values, schema, multi_line, store)
 
 
 def _read(
-    spark: SparkSession, path: str, fmt: str, na_values: Sequence[str], schema: str | T.StructType | None, multi_line: bool
+    spark: SparkSession, path: str, fmt: str, na_values: Sequence[str], schema: str | T.StructType | None, multi_line: bool,
+    store: str | None = None,
 ) -> DataFrame:
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
     options = {"header": True, "multiLine": multi_line, "escape": '"'}
     text = spark.read.options(**options).csv(path)
     text = text.select([F.when(~F.col(f"`{c}`").isin(*na_values), F.col(f"`{c}`")).alias(c) for c in text.columns])
+    if store is not None:
+        text.repartition(spark.sparkContext.defaultParallelism).write.parquet(store)
+        text = spark.read.parquet(store)
     target = schema if schema is not None else _inferred(text)
     if isinstance(target, str):
         target = T._parse_datatype_string(target)

@@ -28,6 +28,13 @@ def test_csv_with_missing_cells(spark, folder):
     assert rows[2].day is None
 
 
+def test_csv_parsed_once(spark, folder, tmp_path):
+    stored = tables.load_table(spark, folder, "People", store=str(tmp_path / "parsed"))
+    plain = tables.load_table(spark, folder, "People")
+    assert stored.schema == plain.schema and sorted(map(tuple, stored.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert all("parsed" in f for f in stored.inputFiles())
+
+
 def test_csv_with_a_schema(spark, folder):
     df = tables.load_table(spark, folder, "people", schema="id int, name string, score string, day date")
     assert [t for _, t in df.dtypes] == ["int", "string", "string", "date"]
