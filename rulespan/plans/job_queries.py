@@ -311,7 +311,7 @@ def _(t: Tables) -> DataFrame:
         for x in r.top_values:
             tops = tops & (F.abs(F.count_if(F.col(c).cast("string") == x["value"]) - x["count"]) <= sketches.top_error() * n)
         checks.append(F.struct(
-            F.lit(c).alias("column_name"), n.alias("rows"), F.lit(r.n).alias("n"), F.lit(r.missing).alias("missing"), exact.alias("distinct_values"),
+            F.lit(c).alias("column_name"), n.alias("rows"), F.lit(r.n).cast("long").alias("n"), F.lit(r.missing).cast("long").alias("missing"), exact.alias("distinct_values"),
             close.alias("distinct_close"), ranks.alias("quartiles_close"), tops.alias("top_close")))
     return table.agg(F.array(*checks).alias("c")).select(F.inline("c")).drop("rows")
 
