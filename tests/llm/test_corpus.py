@@ -469,6 +469,14 @@ def test_pipeline_equals_brute_force(spark):
     packed_right(rows, stages["best_fit_packing"](spark, free, DATA).collect())
 
 
+def test_pipeline_makes_each_cleaned_text_once(spark):
+    """No filter of the plan holds a lambda: it would split a text once more for each of its lines."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plan = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if re.match(r"\W*Filter ", x)]
+    assert any("n_removed" in x for x in filters) and not any("lambdafunction" in x for x in filters)
+
+
 def test_pipeline_odd_rows(spark, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
