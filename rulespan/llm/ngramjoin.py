@@ -12,11 +12,10 @@ all texts and decide speed, not results.
 A list of the index (the vertices of one signature) isn't expanded into pairs. First each vertex is compared with a
 hub of its list: of those of similar size the one with the fewest rare tokens, which in a group of copies is the text they
 were made from. The components of what holds leave the lists with several components open. Only their vertices may still
-link, and only with each other: so a token that just one of them holds is in no link, and a set with m other tokens shares at
-most m with anyone. Of the pairs across components in an open list only those are made that could link by this bound; a
-copy with many changes of its own drops out with all its pairs, however long the list is. A pair is verified only if its
-prefixes share as many tokens as a linked pair's must: two sets that share c tokens of their prefixes share at most c and
-the larger rest of the two.
+link, and only with each other. Two sets that share c tokens of their prefixes share at most c and the larger rest of the two,
+which says how many a linked pair's prefixes must share; so a vertex in fewer open lists than that drops out with all its
+pairs. Of what is left the lists that decide are expanded (see ``deciding``), and of a long one only those pairs are made whose
+prefixes, compared inside the task, share enough. Only these are verified.
 
 Verification reads the texts themselves and compares whole sets. Nothing is cut off: lists have no longest length.
 
@@ -33,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,8 +137,10 @@ def levels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], found.column("level").to_numpy()[order].astype(np.uint8)
 
 
-#: Kinds of signatures, in their two lowest bits.
+#: Kinds of signatures, in their two lowest bits. Those of pairs have the pair's depth in the bits above: how many of their
+#: lowest bits the two tokens have in common, at most ``DEPTH``.
 RARE, PAIR, WIDE = 0, 1, 2
+DEPTH = 7
 
 
 def signatures(tokens: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -154,7 +155,8 @@ def signatures(tokens: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, bool]
     wide = len(common) > PAIRS
     if not wide:
         i, j = np.triu_indices(len(common), 1)
-        out.append((mix(common[i] * np.uint64(31) + common[j]), PAIR))
+        depth = sum(((common[i] ^ common[j]) & np.uint64((1 << k) - 1) == 0).astype(np.uint64) for k in range(1, DEPTH + 1))
+        out.append((mix(common[i] * np.uint64(31) + common[j]) & ~np.uint64(31) | depth << np.uint64(2), PAIR))
     return np.concatenate([x & ~np.uint64(3) | np.uint64(kind) for x, kind in out]), wide
 
 
@@ -227,81 +229,153 @@ def lists(docs: DataFrame, levels_of: tuple[np.ndarray, np.ndarray]) -> DataFram
         runs, "sig long, v long, n int, wide boolean, hub long, hub_n int, hub_wide boolean")
 
 
-def shared_tokens(texts: DataFrame) -> DataFrame:
-    """v and m: how many tokens of each vertex of ``texts`` (v, text; once each) another one of them holds too."""
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _sets_of(batches):
-            lengths = [len(s) for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), lengths))], names=["token", "v"])
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by token. The last row of a batch waits: its token may go on.
-        held: list[np.ndarray] = []
-        size = 0
-        token, v, again = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-
-        def out() -> pa.RecordBatch:
-            ids, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["v", "m"])
-
-        for batch in batches:
-            token = np.concatenate((token, batch.column(0).to_numpy()))
-            v = np.concatenate((v, batch.column(1).to_numpy()))
-            if len(token) < 2:
-                continue
-            same = np.zeros(len(token), bool)
-            same[1:] = token[1:] == token[:-1]
-            same[0] = again
-            same[:-1] |= token[1:] == token[:-1]
-            held.append(v[:-1][same[:-1]])
-            size += len(held[-1])
-            again = bool(token[-1] == token[-2])
-            token, v = token[-1:], v[-1:]
-            if size >= 1_000_000:
-                yield out()
-                held, size = [], 0
-        if len(token) and again:
-            held.append(v)
-        if held:
-            yield out()
-
-    spread = texts.select("v", "text").mapInArrow(tokens, "token long, v long").repartition("token").sortWithinPartitions("token")
-    return spread.mapInArrow(counted, "v long, m long").groupBy("v").agg(F.sum("m").alias("m"))
-
-
 #: Members of a list up to which pairs of neighbours at each distance are made for all lists together.
 FEW = 16
 
 
-def across(members: DataFrame) -> DataFrame:
-    """The pairs of an open list, from different components, that could link: sig, a, a_n, a_wide, b, b_n, b_wide.
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of whole lists (rows come sorted by their first column) and where each list begins, with the end behind."""
+    held: list[np.ndarray] | None = None
 
-    ``members``: sig, v, n, wide, label, m. Two sets share at most the smaller m; so 100 times it must reach 75 times the union.
+    def out(c: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        return c, np.concatenate(([0], np.flatnonzero(c[0][1:] != c[0][:-1]) + 1, [len(c[0])]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        cut = int(np.searchsorted(held[0], held[0][-1]))
+        if cut:
+            yield out([x[:cut] for x in held])
+            held = [x[cut:] for x in held]
+    if held is not None:
+        yield out(held)
+
+
+def least_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many tokens of their extended prefixes two linked sets of x and y tokens share at least."""
+    return -(-3 * (x + y) // 7) - np.maximum(-(-3 * x // 4), -(-3 * y // 4)) + K
+
+
+def _could_link(c: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which members i and j (sig, v, n, wide, label, met) lie in different components and share enough by size and ``met``."""
+    sig, _, n, wide, label, met = c[:6]
+    ok = (label[i] != label[j]) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i]) & (((sig[i] & 3) != WIDE) | wide[i] | wide[j])
+    return ok & (least_shared(n[i], n[j]) <= np.minimum(met[i], met[j]))
+
+
+def meeting(members: DataFrame) -> DataFrame:
+    """Of ``members`` (sig, v, n, wide, label) those that could link with a member of their list from another component;
+    ``need``: how many tokens of its prefix a member shares at least with one it links with; and ``met``: how many a vertex
+    shares at most with any one from another component; ``size`` is that of the list.
+
+    A linked pair shares ``least_shared`` tokens of its prefixes, and all of their lists hold two components. So a vertex that
+    is in fewer such lists than any partner's size asks for goes; then others meet fewer, until that changes little (less than
+    a quarter of the members go).
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, start in _whole(batches):
+            n, wide, met = c[2], c[3], c[5]
+            need = np.full(len(n), np.iinfo(np.int64).max)
+            sizes = np.diff(start)
+            few = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+            for lag in range(1, FEW):
+                at = np.flatnonzero(c[0][few[lag:]] == c[0][few[: len(few) - lag]])
+                if not len(at):
+                    break
+                i, j = few[at], few[at + lag]
+                ok = _could_link(c, i, j)
+                i, j = i[ok], j[ok]
+                shared = least_shared(n[i], n[j])
+                np.minimum.at(need, i, shared)
+                np.minimum.at(need, j, shared)
+            for g in np.flatnonzero(sizes > FEW).tolist():
+                low, high = int(start[g]), int(start[g + 1])
+                if (c[4][low:high] == c[4][low]).all() or (c[0][low] & 3 == WIDE and not wide[low:high].any()):
+                    continue
+                # the less alike two sizes are, the fewer tokens are asked for (among larger ones up to one, by rounding)
+                x = n[low:high]
+                a, b = np.searchsorted(x, -(-3 * x // 4)), np.searchsorted(x, 4 * x // 3, "right") - 1
+                need[low:high] = np.where(b > a, np.minimum(least_shared(x, x[a]), least_shared(x, x[b]) - 1), need[low:high])
+            ok = need <= met
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (*c[:5], need, np.repeat(sizes, sizes))], names=["sig", "v", "n", "wide", "label", "need", "size"])
+
+    now, before, kind = members.withColumn("met", F.col("n")), None, _kind(F.col("sig"))
+    while True:
+        rows = now.select("sig", "v", F.col("n").cast("long").alias("n"), "wide", "label", F.col("met").cast("long").alias("met"))
+        left = kept_table(rows.repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(
+            run, "sig long, v long, n long, wide boolean, label long, need long, size long"))
+        met = left.groupBy("v").agg((F.count_if(kind == RARE) + F.greatest(_of_pairs(F.count_if(kind == PAIR)), F.count_if(kind == WIDE))).alias("met"))
+        now = left.join(met, "v").where("need <= met")
+        total = left.count()
+        if before is not None and 4 * total >= 3 * before:
+            return now
+        before = total
+
+
+def deciding(members: DataFrame) -> DataFrame:
+    """Of ``members`` (sig, v, need, size, others) those whose lists have to be expanded.
+
+    Two linked sets share a rare token, or as many frequent ones as the larger ``least`` of the two (a vertex's smallest need). Of
+    so many tokens two agree in their lowest bits, if these have fewer values: so pairs of less depth are left out. Of single
+    tokens in one order of lists, the shortest first, the last ones are left out, fewer than ``least``.
+    """
+    kind = _kind(F.col("sig"))
+    last = Window.partitionBy("v", kind).orderBy(F.desc("size"), F.desc("sig")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = members.withColumns({"least": F.min("need").over(Window.partitionBy("v")), "last": F.count("*").over(last)})
+    depth = F.shiftright("sig", 2).bitwiseAND(F.lit(7))
+    bits = F.least(F.floor(F.log2(F.greatest(F.col("least") - 1, F.lit(1)))), F.lit(DEPTH))
+    return found.where(F.when(kind == RARE, True).when(kind == PAIR, depth >= bits).otherwise(F.col("last") >= F.col("least"))).drop("least", "last")
+
+
+def _in_common(sigs: np.ndarray, kind: int, rows: slice) -> np.ndarray:
+    """How many signatures of a kind the given ``rows`` of ``sigs`` (an array each) share with each of all."""
+    flat, owner = np.concatenate(sigs), np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
+    owner, (_, column, n) = owner[flat & 3 == kind], np.unique(flat[flat & 3 == kind], return_inverse=True, return_counts=True)
+    again = n[column] > 1
+    owner, column = owner[again], (np.cumsum(n > 1) - 1)[column[again]]
+    total, step = np.zeros((len(range(*rows.indices(len(sigs)))), len(sigs)), np.float32), max(1, (8 << 20) // len(sigs))
+    for first in range(0, int((n > 1).sum()), step):
+        here = (column >= first) & (column < first + step)
+        has = np.zeros((len(sigs), min(step, int((n > 1).sum()) - first)), np.float32)
+        has[owner[here], column[here] - first] = 1
+        total += has[rows] @ has.T
+    return total.astype(np.int64)
+
+
+def across(members: DataFrame, all_members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lists of ``members`` (sig, v, n, wide, label, met, size), from different components, that could link.
+
+    In lists of more than ``FEW`` the signatures that two share in ``all_members`` are counted before a pair is made.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "a", "a_n", "a_wide", "b", "b_n", "b_wide"]
-
-        def made(c: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
-            sig, v, n, wide, label, m = c
-            least = np.minimum(m[i], m[j])
-            ok = (label[i] != label[j]) & (7 * least >= 3 * (n[i] + n[j])) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
-            ok &= ((sig[i] & 3) != WIDE) | wide[i] | wide[j]
-            i, j = i[ok], j[ok]
+        def made(c: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            v, label = c[1], c[4]
             i, j = np.where(label[i] < label[j], i, j), np.where(label[i] < label[j], j, i)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[i], v[i], n[i], wide[i], v[j], n[j], wide[j])], names=names) if len(i) else None
-
-        def pairs(c: list[np.ndarray]) -> Iterator[pa.RecordBatch | None]:
-            """All pairs of whole lists, sorted by size."""
-            # a member whose bound fails with the smallest set it could link with has no pair
-            start = np.concatenate(([0], np.flatnonzero(c[0][1:] != c[0][:-1]) + 1, [len(c[0])]))
-            smallest = np.empty(len(c[0]), np.int64)
-            for low, high in zip(start[:-1].tolist(), start[1:].tolist()):
-                n = c[2][low:high]
-                smallest[low:high] = n[np.searchsorted(n, -(-3 * n // 4))] if high - low > FEW else n[0]
-            possible = 7 * c[5] >= 3 * (c[2] + smallest)
-            c = [x[possible] for x in c]
-            start = np.concatenate(([0], np.flatnonzero(c[0][1:] != c[0][:-1]) + 1, [len(c[0])])) if len(c[0]) else np.zeros(1, np.int64)
+            return np.stack((v[i], v[j]))
+
+        def of_long(c: list[np.ndarray]) -> Iterator[np.ndarray]:
+            """A list's pairs that share enough signatures."""
+            n, wide, sigs = c[2], c[3], c[6]
+            if (c[4] == c[4][0]).all():
+                return
+            for low in range(0, len(n), 512):
+                rows = slice(low, low + 512)
+                i, j = np.nonzero(np.arange(len(n)) > np.arange(len(n))[rows, None])
+                at = i + low
+                ok = _could_link(c, at, j)
+                if not ok.any():
+                    continue
+                i, j, at = i[ok], j[ok], at[ok]
+                rare, pairs, alone = (_in_common(sigs, kind, rows)[i, j] for kind in (RARE, PAIR, WIDE))
+                frequent = np.where(wide[at] | wide[j], alone, np.floor((1 + np.sqrt(1 + 8 * pairs)) / 2))
+                ok = rare + frequent >= least_shared(n[at], n[j])
+                yield made(c, at[ok], j[ok])
+
+        def pairs(c: list[np.ndarray], start: np.ndarray) -> Iterator[np.ndarray]:
+            """Pairs of whole lists, sorted by size."""
             sizes = np.diff(start)
             few = np.repeat(sizes <= FEW, sizes)
             small = [x[few] for x in c]
@@ -309,45 +383,66 @@ def across(members: DataFrame) -> DataFrame:
                 i = np.flatnonzero(small[0][lag:] == small[0][:-lag])
                 if not len(i):
                     break
+                i = i[_could_link(small, i, i + lag)]
                 yield made(small, i, i + lag)
             for g in np.flatnonzero(sizes > FEW).tolist():
-                low, high = int(start[g]), int(start[g + 1])
-                label, n = c[4][low:high], c[2][low:high]
-                if (label == label[0]).all():
-                    continue
-                reach = np.searchsorted(n, 4 * n // 3, "right")
-                for i in range(high - low - 1):
-                    j = np.arange(low + i + 1, low + int(reach[i]))
-                    yield made(c, np.full(len(j), low + i), j)
-
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            if cut:
-                yield from (x for x in pairs([x[:cut] for x in held]) if x is not None)
-                held = [x[cut:] for x in held]
-        if held is not None:
-            yield from (x for x in pairs(held) if x is not None)
-
-    rows = members.select("sig", "v", F.col("n").cast("long").alias("n"), "wide", "label", "m")
-    return rows.repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(
-        run, "sig long, a long, a_n long, a_wide boolean, b long, b_n long, b_wide boolean")
+                yield from of_long([x[start[g] : start[g + 1]] for x in c])
+
+        held, size = [np.zeros((2, 0), np.int64)], 0
+        for c, start in _whole(batches):
+            for x in pairs(c, start):
+                held.append(x)
+                size += x.shape[1]
+                if size >= 1_000_000:  # a pair comes from many lists
+                    whole = np.unique(np.concatenate(held, axis=1), axis=1)
+                    held, size = [whole], 0
+                    if whole.shape[1] >= 500_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(y) for y in whole], names=["a", "b"])
+                        held = [whole[:, :0]]
+        yield pa.RecordBatch.from_arrays([pa.array(y) for y in np.unique(np.concatenate(held, axis=1), axis=1)], names=["a", "b"])
+
+    columns = ["sig", "v", "n", "wide", "label", "met"]
+    sigs = all_members.groupBy("v").agg(F.collect_list("sig").alias("sigs"))
+    long_ = members.where(F.col("size") > FEW).select(*columns).join(sigs, "v").select(*columns, "sigs")
+    short = members.where(F.col("size") <= FEW).select(*columns, F.lit(None).cast("array<long>").alias("sigs"))
+    return short.unionAll(long_).repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(run, "a long, b long").distinct()
+
+
+def sharing(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that share enough of all their signatures in ``members`` (sig, v, n, wide)."""
+    own = members.groupBy("v").agg(F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.collect_list("sig").alias("sigs"))
+    a, b = (own.select(F.col("v").alias(x), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide"), F.col("sigs").alias(f"{x}_sigs")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.array_intersect("a_sigs", "b_sigs"))
+    count = lambda kind: F.size(F.filter("shared", lambda sig: _kind(sig) == kind))
+    counted = both.select(
+        "a", "b", F.col("a_n").alias("x"), F.col("b_n").alias("y"), (F.col("a_wide") | F.col("b_wide")).alias("wide"),
+        count(RARE).alias("rare"), count(PAIR).alias("pairs"), count(WIDE).alias("alone"))
+    return counted.where(_enough()).select("a", "b")
 
 
 def promising(met: DataFrame) -> DataFrame:
     """Pairs (a, b) that share enough signatures. ``met``: sig, a, a_n, a_wide, b, b_n, b_wide, a row per shared one."""
-    kind, wide = F.col("sig").bitwiseAND(F.lit(3)), F.col("a_wide") | F.col("b_wide")
+    kind, wide = _kind(F.col("sig")), F.col("a_wide") | F.col("b_wide")
     counted = met.where((kind != WIDE) | wide).groupBy("a", "b").agg(
         F.any_value("a_n").alias("x"), F.any_value("b_n").alias("y"), F.any_value(wide).alias("wide"),
         F.count_if(kind == RARE).alias("rare"), F.count_if(kind == PAIR).alias("pairs"), F.count_if(kind == WIDE).alias("alone"))
-    # c tokens make c (c - 1) / 2 pairs; without a pair there may be one token
-    frequent = F.when(F.col("wide"), F.col("alone")).otherwise(F.floor((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2))
+    return counted.where(_enough()).select("a", "b")
+
+
+def _kind(sig: Column) -> Column:
+    return sig.bitwiseAND(F.lit(3))
+
+
+def _of_pairs(pairs: Column) -> Column:
+    """c tokens make c (c - 1) / 2 pairs; without a pair there may be one token."""
+    return F.floor((1 + F.sqrt(1 + 8 * pairs)) / 2)
+
+
+def _enough() -> Column:
+    """Whether sets of x and y tokens, wide or not, could link, that share so many signatures of each kind."""
+    frequent = F.when(F.col("wide"), F.col("alone")).otherwise(_of_pairs(F.col("pairs")))
     rest = F.greatest(F.ceil(3 * F.col("x") / 4), F.ceil(3 * F.col("y") / 4)) - K
-    return counted.where(F.col("rare") + frequent + rest >= F.ceil(3 * (F.col("x") + F.col("y")) / 7)).select("a", "b")
+    return F.col("rare") + frequent + rest >= F.ceil(3 * (F.col("x") + F.col("y")) / 7)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -405,14 +500,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     labels = components(near)
     # Lists that still hold several components: pairs across them that could link and haven't been tried.
     marked = found.join(labels, "v", "left").select("sig", "v", "n", "wide", F.coalesce("label", "v").alias("label"))
-    mixed = marked.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-    open_ = kept_table(marked.join(mixed, "sig"))
-    texts = kept_table(_texts(open_.select("v").distinct(), first, source))
-    bounded = open_.join(shared_tokens(texts), "v", "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    pairs = promising(across(bounded))
+    open_ = kept_table(meeting(marked))
+    pairs = across(deciding(open_), open_)
     pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    pairs = kept_table(pairs)
-    final = components(near.unionAll(verified(pairs, texts)))
+    pairs = kept_table(sharing(pairs, open_))
+    final = components(near.unionAll(verified(pairs, _texts_of(pairs, first, source))))
     named = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("low")).join(final, "v", "left").select(
         "v", "low", F.coalesce("label", "v").alias("label"))
     smallest = named.groupBy("label").agg(F.min("low").alias("component_id"))

@@ -121,6 +121,34 @@ def test_ngram_join_of_copies_at_all_distances(spark, monkeypatch, few):
     assert 3 < len({c for _, c in want.values()}) < 200
 
 
+def test_ngram_join_reads_no_texts_that_only_share_a_passage(spark, monkeypatch):
+    """Texts that share a few shingles, in pairs or all of them, stay in open lists but can't link."""
+    read, texts = [], ngramjoin._texts
+    monkeypatch.setattr(ngramjoin, "_texts", lambda vertices, *rest: read.append(vertices.count()) or texts(vertices, *rest))
+    rows = []
+    for i in range(60):
+        own = [f"w{i}x{j}" for j in range(100)]
+        rows.append((i, " ".join(own + [f"p{i // 2}x{j}" for j in range(7)] + [f"all{j}" for j in range(8)])))
+    got = {r.doc_id: r.component_id for r in ngramjoin.join(frame(spark, rows)).collect()}
+    assert got == {i: i for i in range(60)} and sum(read) == 0
+
+
+def test_ngram_join_makes_only_pairs_that_share_enough(spark, monkeypatch):
+    """Near copies below the similarity: of their lists, that all of them share, no pair leaves the task."""
+    made, across = [], ngramjoin.across
+    monkeypatch.setattr(ngramjoin, "across", lambda *given: made.append(across(*given).count()) or across(*given))
+    random = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(60):
+        t = list(base)
+        for at in sorted(random.choice(24, 6, replace=False).tolist()):
+            t[at * 5] = f"e{at}x{i % 7}"
+        rows.append((i, " ".join(t)))
+    want = components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join(frame(spark, rows)).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 30 and sum(made) < 60 * 59 / 2 / 5
+
+
 def test_ngram_join_odd_rows(spark):
     rows = [(None, "a b c d e f g"), (7, "a b c d e f g"), (7, "a b c d e f g"), (None, None), (9, "z")]
     got = sorted(map(tuple, ngramjoin.join(frame(spark, rows)).collect()), key=str)
