@@ -330,18 +330,18 @@ def deciding(members: DataFrame) -> DataFrame:
     return found.where(F.when(kind == RARE, True).when(kind == PAIR, depth >= bits).otherwise(F.col("last") >= F.col("least"))).drop("least", "last")
 
 
-def _in_common(sigs: np.ndarray, kind: int, rows: slice) -> np.ndarray:
-    """How many signatures of a kind the given ``rows`` of ``sigs`` (an array each) share with each of all."""
-    flat, owner = np.concatenate(sigs), np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
-    owner, (_, column, n) = owner[flat & 3 == kind], np.unique(flat[flat & 3 == kind], return_inverse=True, return_counts=True)
-    again = n[column] > 1
-    owner, column = owner[again], (np.cumsum(n > 1) - 1)[column[again]]
-    total, step = np.zeros((len(range(*rows.indices(len(sigs)))), len(sigs)), np.float32), max(1, (8 << 20) // len(sigs))
-    for first in range(0, int((n > 1).sum()), step):
-        here = (column >= first) & (column < first + step)
-        has = np.zeros((len(sigs), min(step, int((n > 1).sum()) - first)), np.float32)
-        has[owner[here], column[here] - first] = 1
-        total += has[rows] @ has.T
+def _in_common(owner: np.ndarray, column: np.ndarray, low: int, high: int, members: int) -> np.ndarray:
+    """How many columns the members from ``low`` to ``high`` share with each of all. ``owner``, ``column``: what each member has."""
+    mine = np.unique(column[(owner >= low) & (owner < high)])
+    total = np.zeros((high - low, members), np.float32)
+    step = max(1, (8 << 20) // members)
+    for first in range(0, len(mine), step):
+        some = mine[first : first + step]
+        at = np.minimum(np.searchsorted(some, column), len(some) - 1)
+        here = some[at] == column
+        has = np.zeros((members, len(some)), np.float32)
+        has[owner[here], at[here]] = 1
+        total += has[low:high] @ has.T
     return total.astype(np.int64)
 
 
@@ -361,15 +361,18 @@ def across(members: DataFrame, all_members: DataFrame) -> DataFrame:
             n, wide, sigs = c[2], c[3], c[6]
             if (c[4] == c[4][0]).all():
                 return
-            for low in range(0, len(n), 512):
-                rows = slice(low, low + 512)
-                i, j = np.nonzero(np.arange(len(n)) > np.arange(len(n))[rows, None])
+            flat, owner = np.concatenate(sigs), np.repeat(np.arange(len(n)), [len(x) for x in sigs])
+            held_by = [(owner[flat & 3 == kind], flat[flat & 3 == kind]) for kind in (RARE, PAIR, WIDE)]
+            block = min(512, max(1, (4 << 20) // len(n)))
+            for low in range(0, len(n), block):
+                high = min(low + block, len(n))
+                i, j = np.nonzero(np.arange(len(n)) > np.arange(low, high)[:, None])
                 at = i + low
                 ok = _could_link(c, at, j)
                 if not ok.any():
                     continue
                 i, j, at = i[ok], j[ok], at[ok]
-                rare, pairs, alone = (_in_common(sigs, kind, rows)[i, j] for kind in (RARE, PAIR, WIDE))
+                rare, pairs, alone = (_in_common(*held, low, high, len(n))[i, j] for held in held_by)
                 frequent = np.where(wide[at] | wide[j], alone, np.floor((1 + np.sqrt(1 + 8 * pairs)) / 2))
                 ok = rare + frequent >= least_shared(n[at], n[j])
                 yield made(c, at[ok], j[ok])

@@ -149,6 +149,14 @@ def test_ngram_join_makes_only_pairs_that_share_enough(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) > 30 and sum(made) < 60 * 59 / 2 / 5
 
 
+def test_shared_signatures_are_counted_in_blocks_of_rows():
+    random = np.random.default_rng(1)
+    sigs = [np.unique(random.integers(0, 50, int(k))) for k in random.integers(0, 30, 40)]
+    owner, column = np.repeat(np.arange(40), [len(x) for x in sigs]), np.concatenate(sigs)
+    got = np.concatenate([ngramjoin._in_common(owner, column, low, min(low + 7, 40), 40) for low in range(0, 40, 7)])
+    assert got.tolist() == [[len(set(a) & set(b)) for b in sigs] for a in sigs]
+
+
 def test_ngram_join_odd_rows(spark):
     rows = [(None, "a b c d e f g"), (7, "a b c d e f g"), (7, "a b c d e f g"), (None, None), (9, "z")]
     got = sorted(map(tuple, ngramjoin.join(frame(spark, rows)).collect()), key=str)
