@@ -14,8 +14,8 @@ hub of its list: of those of similar size the one with the fewest rare tokens, w
 were made from. The components of what holds leave the lists with several components open. Only their vertices may still
 link, and only with each other. Two sets that share c tokens of their prefixes share at most c and the larger rest of the two,
 which says how many a linked pair's prefixes must share; so a vertex in fewer open lists than that drops out with all its
-pairs. Of what is left the lists that decide are expanded (see ``deciding``), and of a long one only those pairs are made whose
-prefixes, compared inside the task, share enough. Only these are verified.
+pairs. Of what is left the lists that decide are expanded (see ``deciding``), and only those pairs are made whose prefixes,
+compared inside the task, share enough, each in one of its lists. Only these are verified.
 
 Verification reads the texts themselves and compares whole sets. Nothing is cut off: lists have no longest length.
 
@@ -28,7 +28,7 @@ gives an empty table.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -316,7 +316,7 @@ def meeting(members: DataFrame) -> DataFrame:
 
 
 def deciding(members: DataFrame) -> DataFrame:
-    """Of ``members`` (sig, v, need, size, others) those whose lists have to be expanded.
+    """Of ``members`` (sig, v, need, size, others) those whose lists have to be expanded: ``decides``.
 
     Two linked sets share a rare token, or as many frequent ones as the larger ``least`` of the two (a vertex's smallest need). Of
     so many tokens two agree in their lowest bits, if these have fewer values: so pairs of less depth are left out. Of single
@@ -327,7 +327,8 @@ def deciding(members: DataFrame) -> DataFrame:
     found = members.withColumns({"least": F.min("need").over(Window.partitionBy("v")), "last": F.count("*").over(last)})
     depth = F.shiftright("sig", 2).bitwiseAND(F.lit(7))
     bits = F.least(F.floor(F.log2(F.greatest(F.col("least") - 1, F.lit(1)))), F.lit(DEPTH))
-    return found.where(F.when(kind == RARE, True).when(kind == PAIR, depth >= bits).otherwise(F.col("last") >= F.col("least"))).drop("least", "last")
+    decides = F.when(kind == RARE, True).when(kind == PAIR, depth >= bits).otherwise(F.col("last") >= F.col("least"))
+    return found.withColumn("decides", decides).drop("least", "last")
 
 
 def _in_common(owner: np.ndarray, column: np.ndarray, low: int, high: int, members: int) -> np.ndarray:
@@ -345,20 +346,83 @@ def _in_common(owner: np.ndarray, column: np.ndarray, low: int, high: int, membe
     return total.astype(np.int64)
 
 
-def across(members: DataFrame, all_members: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lists of ``members`` (sig, v, n, wide, label, met, size), from different components, that could link.
-
-    In lists of more than ``FEW`` the signatures that two share in ``all_members`` are counted before a pair is made.
+def _shared(sigs: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The signatures that members i and j share: which pair, and the signature; about a million are looked up at a time."""
+    whole = np.concatenate(sigs)
+    values, flat = np.unique(whole, return_inverse=True)
+    lengths = np.array([len(x) for x in sigs])
+    first, many = np.cumsum(lengths) - lengths, len(values)
+    keys = np.sort(np.repeat(np.arange(len(sigs)), lengths) * many + flat)
+    ends = np.cumsum(lengths[i])
+    low = 0
+    while low < len(i):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - lengths[i[low]] + (1 << 20), "right")))
+        own = lengths[i[low:high]]
+        pair = np.repeat(np.arange(low, high), own)
+        at = np.arange(len(pair)) + np.repeat(first[i[low:high]] - (np.cumsum(own) - own), own)
+        asked = j[pair] * many + flat[at]
+        hit = keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked
+        yield pair[hit], whole[at[hit]]
+        low = high
+
+
+def _in_common_of(sigs: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many signatures of each kind (rows) members i and j share, pair by pair."""
+    total = np.zeros((3, len(i)), np.int64)
+    for pair, sig in _shared(sigs, i, j):
+        np.add.at(total, (sig & 3, pair), 1)
+    return total
+
+
+def across(members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lists of ``members`` (sig, v, n, wide, label, met, decides) that have to be expanded, from different
+    components, that could link.
+
+    The signatures that two share in all lists are counted before a pair is made. Near copies meet in many lists, dealt over
+    many tasks: a pair is made in that of the smallest signature alone.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(c: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        def enough(c: list[np.ndarray], i: np.ndarray, j: np.ndarray, counts: Iterable[np.ndarray]) -> np.ndarray:
+            """Which pairs share enough signatures."""
+            n, wide = c[2:4]
+            rare, pairs, alone = counts
+            frequent = np.where(wide[i] | wide[j], alone, np.floor((1 + np.sqrt(1 + 8 * pairs)) / 2))
+            return rare + frequent >= least_shared(n[i], n[j])
+
+        def here(c: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Which pairs meet in no expanded list of a smaller signature."""
+            sig, wide = c[0], c[3]
+            least = np.full(len(i), np.iinfo(np.int64).max)
+            for pair, both in _shared([x[:own] for own, x in zip(c[6], c[7])], i, j):
+                serves = ((both & 3) != WIDE) | wide[i[pair]] | wide[j[pair]]
+                np.minimum.at(least, pair[serves], both[serves])
+            return least == sig[i]
+
+        def made(c: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
             v, label = c[1], c[4]
             i, j = np.where(label[i] < label[j], i, j), np.where(label[i] < label[j], j, i)
-            return np.stack((v[i], v[j]))
+            return pa.RecordBatch.from_arrays([pa.array(v[i]), pa.array(v[j])], names=["a", "b"])
 
-        def of_long(c: list[np.ndarray]) -> Iterator[np.ndarray]:
-            """A list's pairs that share enough signatures."""
-            n, wide, sigs = c[2], c[3], c[6]
+        def of_short(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Pairs of neighbours at each distance, of all lists of a few members."""
+            found = [np.zeros((2, 0), np.int64)]
+            for lag in range(1, FEW):
+                i = np.flatnonzero(c[0][lag:] == c[0][:-lag])
+                if not len(i):
+                    break
+                i = i[_could_link(c, i, i + lag)]
+                found.append(np.stack((i, i + lag)))
+            i, j = np.concatenate(found, axis=1)
+            for choose in (here, lambda c, i, j: enough(c, i, j, _in_common_of(c[7], i, j))):
+                if len(i):
+                    ok = choose(c, i, j)
+                    i, j = i[ok], j[ok]
+            if len(i):
+                yield made(c, i, j)
+
+        def of_long(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """A list's pairs, in blocks."""
+            n, sigs = c[2], c[7]
             if (c[4] == c[4][0]).all():
                 return
             flat, owner = np.concatenate(sigs), np.repeat(np.arange(len(n)), [len(x) for x in sigs])
@@ -372,55 +436,24 @@ def across(members: DataFrame, all_members: DataFrame) -> DataFrame:
                 if not ok.any():
                     continue
                 i, j, at = i[ok], j[ok], at[ok]
-                rare, pairs, alone = (_in_common(*held, low, high, len(n))[i, j] for held in held_by)
-                frequent = np.where(wide[at] | wide[j], alone, np.floor((1 + np.sqrt(1 + 8 * pairs)) / 2))
-                ok = rare + frequent >= least_shared(n[at], n[j])
-                yield made(c, at[ok], j[ok])
+                ok = enough(c, at, j, [_in_common(*held, low, high, len(n))[i, j] for held in held_by])
+                j, at = j[ok], at[ok]
+                if len(at) and (ok := here(c, at, j)).any():
+                    yield made(c, at[ok], j[ok])
 
-        def pairs(c: list[np.ndarray], start: np.ndarray) -> Iterator[np.ndarray]:
-            """Pairs of whole lists, sorted by size."""
+        for c, start in _whole(batches):
             sizes = np.diff(start)
             few = np.repeat(sizes <= FEW, sizes)
-            small = [x[few] for x in c]
-            for lag in range(1, FEW):
-                i = np.flatnonzero(small[0][lag:] == small[0][:-lag])
-                if not len(i):
-                    break
-                i = i[_could_link(small, i, i + lag)]
-                yield made(small, i, i + lag)
+            yield from of_short([x[few] for x in c])
             for g in np.flatnonzero(sizes > FEW).tolist():
                 yield from of_long([x[start[g] : start[g + 1]] for x in c])
 
-        held, size = [np.zeros((2, 0), np.int64)], 0
-        for c, start in _whole(batches):
-            for x in pairs(c, start):
-                held.append(x)
-                size += x.shape[1]
-                if size >= 1_000_000:  # a pair comes from many lists
-                    whole = np.unique(np.concatenate(held, axis=1), axis=1)
-                    held, size = [whole], 0
-                    if whole.shape[1] >= 500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(y) for y in whole], names=["a", "b"])
-                        held = [whole[:, :0]]
-        yield pa.RecordBatch.from_arrays([pa.array(y) for y in np.unique(np.concatenate(held, axis=1), axis=1)], names=["a", "b"])
-
-    columns = ["sig", "v", "n", "wide", "label", "met"]
-    sigs = all_members.groupBy("v").agg(F.collect_list("sig").alias("sigs"))
-    long_ = members.where(F.col("size") > FEW).select(*columns).join(sigs, "v").select(*columns, "sigs")
-    short = members.where(F.col("size") <= FEW).select(*columns, F.lit(None).cast("array<long>").alias("sigs"))
-    return short.unionAll(long_).repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(run, "a long, b long").distinct()
-
-
-def sharing(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that share enough of all their signatures in ``members`` (sig, v, n, wide)."""
-    own = members.groupBy("v").agg(F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.collect_list("sig").alias("sigs"))
-    a, b = (own.select(F.col("v").alias(x), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide"), F.col("sigs").alias(f"{x}_sigs")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.array_intersect("a_sigs", "b_sigs"))
-    count = lambda kind: F.size(F.filter("shared", lambda sig: _kind(sig) == kind))
-    counted = both.select(
-        "a", "b", F.col("a_n").alias("x"), F.col("b_n").alias("y"), (F.col("a_wide") | F.col("b_wide")).alias("wide"),
-        count(RARE).alias("rare"), count(PAIR).alias("pairs"), count(WIDE).alias("alone"))
-    return counted.where(_enough()).select("a", "b")
+    of = Window.partitionBy("v")
+    signed = lambda which: F.collect_list(F.when(which, F.col("sig"))).over(of)
+    held = members.select("sig", "v", "n", "wide", "label", "met", "decides", F.count_if("decides").over(of).alias("own"),
+                          F.concat(signed(F.col("decides")), signed(~F.col("decides"))).alias("sigs")).where("decides").drop("decides")
+    # Two tokens of a set may have one signature, so a vertex may be twice in a list.
+    return held.repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(run, "a long, b long").distinct()
 
 
 def promising(met: DataFrame) -> DataFrame:
@@ -504,9 +537,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # Lists that still hold several components: pairs across them that could link and haven't been tried.
     marked = found.join(labels, "v", "left").select("sig", "v", "n", "wide", F.coalesce("label", "v").alias("label"))
     open_ = kept_table(meeting(marked))
-    pairs = across(deciding(open_), open_)
-    pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    pairs = kept_table(sharing(pairs, open_))
+    pairs = across(deciding(open_))
+    pairs = kept_table(pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
     final = components(near.unionAll(verified(pairs, _texts_of(pairs, first, source))))
     named = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("low")).join(final, "v", "left").select(
         "v", "low", F.coalesce("label", "v").alias("label"))

@@ -149,6 +149,53 @@ def test_ngram_join_makes_only_pairs_that_share_enough(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) > 30 and sum(made) < 60 * 59 / 2 / 5
 
 
+def test_ngram_join_makes_no_pairs_of_many_short_lists_that_share_too_little(spark, monkeypatch):
+    """49 texts as the points of a plane, each of its 56 lines a passage of seven texts: all texts meet, each two in one passage."""
+    made, across = [], ngramjoin.across
+    monkeypatch.setattr(ngramjoin, "across", lambda *given: made.append(across(*given).count()) or across(*given))
+    rows = []
+    for x in range(7):
+        for y in range(7):
+            lines = [f"m{m}c{(y - m * x) % 7}" for m in range(7)] + [f"x{x}"]
+            rows.append((7 * x + y, " ".join(f"{line}w{k}" for line in lines for k in range(20))))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join(frame(spark, rows)).collect()}
+    assert got == components(rows) == {i: (156, i) for i in range(49)} and sum(made) < 49
+
+
+def test_ngram_join_makes_a_pair_in_one_list_only(spark, monkeypatch):
+    """Two texts meet in many lists, dealt over many tasks: no pair leaves two of them."""
+    made, across = [], ngramjoin.across
+
+    def counted(*given):
+        kind = type(given[0])
+        distinct = kind.distinct
+        with monkeypatch.context() as patch:
+            patch.setattr(kind, "distinct", lambda df: made.append((df.count(), distinct(df).count())) or distinct(df))
+            return across(*given)
+
+    monkeypatch.setattr(ngramjoin, "across", counted)
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for i in range(5):
+            t = list(base)
+            for at in (10 * i, 10 * i + 5):
+                t[at] = f"own{family}x{i}x{at}"
+            rows.append((len(rows), " ".join(t)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join(frame(spark, rows).repartition(3)).collect()}
+    assert got == components(rows)
+    assert [n for n, _ in made] == [n for _, n in made] and made[0][0] > 20
+
+
+def test_shared_signatures_are_counted_pair_by_pair():
+    random = np.random.default_rng(2)
+    sigs = [np.unique(random.integers(-30, 30, int(k))) & ~3 | 4 * (k % 2) | int(k) % 3 for k in random.integers(1, 30, 40)]
+    sigs = [np.unique(np.concatenate((x, random.integers(0, 20, 5) * 4 + random.integers(0, 3, 5)))) for x in sigs]
+    i, j = np.triu_indices(40, 1)
+    got = ngramjoin._in_common_of(sigs, i, j)
+    assert got.tolist() == [[len({s for s in set(sigs[a]) & set(sigs[b]) if s & 3 == kind}) for a, b in zip(i, j)] for kind in range(3)]
+
+
 def test_shared_signatures_are_counted_in_blocks_of_rows():
     random = np.random.default_rng(1)
     sigs = [np.unique(random.integers(0, 50, int(k))) for k in random.integers(0, 30, 40)]
