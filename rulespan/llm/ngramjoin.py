@@ -14,8 +14,9 @@ hub of its list: of those of similar size the one with the fewest rare tokens, w
 were made from. The components of what holds leave the lists with several components open. Only their vertices may still
 link, and only with each other. Two sets that share c tokens of their prefixes share at most c and the larger rest of the two,
 which says how many a linked pair's prefixes must share; so a vertex in fewer open lists than that drops out with all its
-pairs. Of what is left the lists that decide are expanded (see ``deciding``), and only those pairs are made whose prefixes,
-compared inside the task, share enough, each in one of its lists. Only these are verified.
+pairs. Lists of a few members count the meetings of each pair. Of longer ones those that decide are expanded (see ``deciding``),
+and only those pairs are made whose prefixes, compared inside the task, share enough, each in one of its lists. A pair that meets
+in both kinds is counted in both. Only pairs that share enough are verified.
 
 Verification reads the texts themselves and compares whole sets. Nothing is cut off: lists have no longest length.
 
@@ -374,12 +375,70 @@ def _in_common_of(sigs: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return total
 
 
+def meetings(members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lists of a few ``members`` (sig, v, n, wide, label, met, more_rare, more_pairs, more_alone) from different
+    components that could link, once each: their sizes x and y, whether one is wide, how many signatures of each kind they share
+    in these lists, and at most in others (``more_``).
+
+    A row of a meeting doesn't grow with the two sets, however many lists they meet in.
+    """
+    more = ["more_rare", "more_pairs", "more_alone"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, _ in _whole(batches):
+            found = [np.zeros((2, 0), np.int64)]
+            for lag in range(1, FEW):
+                i = np.flatnonzero(c[0][lag:] == c[0][:-lag])
+                if not len(i):
+                    break
+                i = i[_could_link(c, i, i + lag)]
+                found.append(np.stack((i, i + lag)))
+            i, j = np.concatenate(found, axis=1)
+            if not len(i):
+                continue
+            _, v, n, wide, label = c[:5]
+            i, j = np.where(label[i] < label[j], i, j), np.where(label[i] < label[j], j, i)
+            order = np.lexsort((v[j], v[i]))
+            i, j = i[order], j[order]
+            first = np.flatnonzero(np.concatenate(([True], (v[i][1:] != v[i][:-1]) | (v[j][1:] != v[j][:-1]))))
+            shared = [np.add.reduceat((c[0][i] & 3 == kind).astype(np.int64), first) for kind in (RARE, PAIR, WIDE)]
+            i, j = i[first], j[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (v[i], v[j], n[i], n[j], wide[i] | wide[j], *shared, *(np.minimum(x[i], x[j]) for x in c[6:]))],
+                names=["a", "b", "x", "y", "wide", "rare", "pairs", "alone", *more])
+
+    rows = members.select("sig", "v", "n", "wide", "label", "met", *more).repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(
+        run, "a long, b long, x long, y long, wide boolean, rare long, pairs long, alone long, more_rare long, more_pairs long, more_alone long")
+    return rows.groupBy("a", "b").agg(*[F.any_value(c).alias(c) for c in ("x", "y", "wide", *more)], *[F.sum(c).alias(c) for c in ("rare", "pairs", "alone")])
+
+
 def across(members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``members`` (sig, v, n, wide, label, need, met, size, decides) from different components that could link.
+
+    Two that meet in a list of a few members are counted by their meetings there, and if that leaves them open by what they share
+    in long lists, read once for the pair. Others meet in long lists only (see ``of_long_lists``).
+    """
+    kind, of, long_ = _kind(F.col("sig")), Window.partitionBy("v"), F.col("size") > FEW
+    marked = members.withColumns({f"more_{name}": F.count_if(long_ & (kind == k)).over(of) for name, k in (("rare", RARE), ("pairs", PAIR), ("alone", WIDE))})
+    rest = marked.where(long_)
+    # Written, so that what is joined to the pairs later isn't joined to the meetings of each task.
+    met = kept_table(meetings(marked.where(~long_)))
+    sure = _enough()
+    others = met.where(~sure & _enough("more_")).drop("more_rare", "more_pairs", "more_alone")
+    a, b = (rest.groupBy(F.col("v").alias(x)).agg(F.collect_set("sig").alias(f"sigs_{x}")) for x in "ab")
+    both = others.join(a, "a").join(b, "b").withColumn("both", F.array_intersect("sigs_a", "sigs_b")).drop("sigs_a", "sigs_b")
+    also = lambda k: F.size(F.filter("both", lambda sig: _kind(sig) == k))
+    both = both.withColumns({"rare": F.col("rare") + also(RARE), "pairs": F.col("pairs") + also(PAIR), "alone": F.col("alone") + also(WIDE)})
+    in_long = rest.withColumn("met", F.col("more_rare") + F.greatest(_of_pairs(F.col("more_pairs")), F.col("more_alone"))).where("need <= met")
+    return met.where(sure).select("a", "b").unionAll(both.where(_enough()).select("a", "b")).unionAll(of_long_lists(in_long)).distinct()
+
+
+def of_long_lists(members: DataFrame) -> DataFrame:
     """The pairs (a, b) of lists of ``members`` (sig, v, n, wide, label, met, decides) that have to be expanded, from different
-    components, that could link.
+    components, that share enough in these lists alone.
 
-    The signatures that two share in all lists are counted before a pair is made. Near copies meet in many lists, dealt over
-    many tasks: a pair is made in that of the smallest signature alone.
+    The signatures that two share are counted before a pair is made. Near copies meet in many lists, dealt over many tasks: a
+    pair is made in that of the smallest signature alone.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def enough(c: list[np.ndarray], i: np.ndarray, j: np.ndarray, counts: Iterable[np.ndarray]) -> np.ndarray:
@@ -452,8 +511,7 @@ def across(members: DataFrame) -> DataFrame:
     signed = lambda which: F.collect_list(F.when(which, F.col("sig"))).over(of)
     held = members.select("sig", "v", "n", "wide", "label", "met", "decides", F.count_if("decides").over(of).alias("own"),
                           F.concat(signed(F.col("decides")), signed(~F.col("decides"))).alias("sigs")).where("decides").drop("decides")
-    # Two tokens of a set may have one signature, so a vertex may be twice in a list.
-    return held.repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(run, "a long, b long").distinct()
+    return held.repartition("sig").sortWithinPartitions("sig", "n", "v").mapInArrow(run, "a long, b long")
 
 
 def promising(met: DataFrame) -> DataFrame:
@@ -474,11 +532,13 @@ def _of_pairs(pairs: Column) -> Column:
     return F.floor((1 + F.sqrt(1 + 8 * pairs)) / 2)
 
 
-def _enough() -> Column:
-    """Whether sets of x and y tokens, wide or not, could link, that share so many signatures of each kind."""
-    frequent = F.when(F.col("wide"), F.col("alone")).otherwise(_of_pairs(F.col("pairs")))
+def _enough(more: str | None = None) -> Column:
+    """Whether sets of x and y tokens, wide or not, could link, that share so many signatures of each kind, and of columns that
+    begin with ``more`` as many again."""
+    rare, pairs, alone = (F.col(c) + F.col(f"{more}{c}") if more else F.col(c) for c in ("rare", "pairs", "alone"))
+    frequent = F.when(F.col("wide"), alone).otherwise(_of_pairs(pairs))
     rest = F.greatest(F.ceil(3 * F.col("x") / 4), F.ceil(3 * F.col("y") / 4)) - K
-    return F.col("rare") + frequent + rest >= F.ceil(3 * (F.col("x") + F.col("y")) / 7)
+    return rare + frequent + rest >= F.ceil(3 * (F.col("x") + F.col("y")) / 7)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

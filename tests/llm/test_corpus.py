@@ -192,6 +192,73 @@ def test_ngram_join_makes_a_pair_in_one_list_only(spark, monkeypatch):
     assert [n for n, _ in made] == [n for _, n in made] and made[0][0] > 20
 
 
+def test_ngram_join_sends_no_more_than_the_texts_grow(spark, monkeypatch):
+    """Pairs below the similarity meet in as many lists as their texts have prefix tokens: what the lists send on grows with them,
+    not with their square."""
+    across = ngramjoin.across
+
+    def sent(n):
+        values = []
+
+        def counted(*given):
+            kind = type(given[0])
+            repartition = kind.repartition
+
+            def noted(df, *by):
+                total = sum((F.size(c) if t.startswith("array") else F.lit(1) for c, t in df.dtypes), F.lit(0))
+                values.append(df.agg(F.sum(total)).first()[0] or 0)
+                return repartition(df, *by)
+
+            with monkeypatch.context() as patch:
+                patch.setattr(kind, "repartition", noted)
+                return across(*given)
+
+        monkeypatch.setattr(ngramjoin, "across", counted)
+        rows = []
+        for family in range(6):
+            base = [f"f{family}w{i}" for i in range(n)]
+            rows.append((2 * family, " ".join(base)))
+            rows.append((2 * family + 1, " ".join(f"own{family}x{i}" if i % 18 == 9 else w for i, w in enumerate(base))))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join(frame(spark, rows)).collect()}
+        assert got == components(rows) == {i: (n - 4, i) for i in range(12)}
+        return sum(values)
+
+    few, many = sent(300), sent(1200)
+    assert 100 < few and many < 6 * few
+
+
+def test_pairs_across_components_equal_a_plain_count(spark, monkeypatch):
+    """Members of short and long lists of all kinds: pairs that share enough in short lists, in long ones, or only in both."""
+    monkeypatch.setattr(ngramjoin, "FEW", 5)
+    random = np.random.default_rng(7)
+    many, having = 60, defaultdict(list)
+    n, wide, label = random.integers(40, 60, many), random.random(many) < 0.4, random.integers(0, 30, many)
+    for k in range(120):
+        kind = int(random.integers(3))
+        group = random.choice(12) * 5 + np.arange(5)
+        some = random.choice(group, int(random.integers(2, 6)), replace=False) if k % 6 else random.choice(many, 25, replace=False)
+        having[4 * k + kind] = [v for v in some.tolist() if kind != ngramjoin.PAIR or not wide[v]]
+    rows = [(sig, v, int(n[v]), bool(wide[v]), int(label[v]), 0, 1000, len(vs), True) for sig, vs in having.items() for v in vs]
+    members = spark.createDataFrame(rows, "sig long, v long, n long, wide boolean, label long, need long, met long, size long, decides boolean")
+    got = sorted(map(tuple, ngramjoin.across(members).collect()))
+    want, by = [], set()
+    for a in range(many):
+        for b in range(many):
+            both = [(sig, len(vs)) for sig, vs in having.items() if a in vs and b in vs]
+
+            def enough(sigs):
+                rare, pairs, alone = (sum(sig & 3 == kind for sig, _ in sigs) for kind in range(3))
+                frequent = alone if wide[a] or wide[b] else int((1 + (1 + 8 * pairs) ** 0.5) / 2)
+                return rare + frequent >= ngramjoin.least_shared(n[a], n[b])
+
+            serving = [x for x in both if x[0] & 3 != ngramjoin.WIDE or wide[a] or wide[b]]
+            if label[a] < label[b] and 4 * n[a] >= 3 * n[b] and 4 * n[b] >= 3 * n[a] and serving and enough(both):
+                want.append((a, b))
+                by.add((enough([x for x in both if x[1] <= 5]), enough([x for x in both if x[1] > 5]), any(x[1] <= 5 for x in serving)))
+    assert got == want
+    assert {(True, False, True), (False, False, True), (False, True, False)} <= by
+
+
 def test_shared_signatures_are_counted_pair_by_pair():
     random = np.random.default_rng(2)
     sigs = [np.unique(random.integers(-30, 30, int(k))) & ~3 | 4 * (k % 2) | int(k) % 3 for k in random.integers(1, 30, 40)]
