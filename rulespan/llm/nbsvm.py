@@ -17,8 +17,9 @@ empty table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * margin, -30, 30)))
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, size: int, cost: np.ndarray, rounds: int, seed: int = 7) -> np.ndarray:
+class Looked(Sequence):
+    """The values of each row's features, looked up when asked for: the whole sample's would take twice the room of its features."""
+
+    def __init__(self, of: np.ndarray, rows: Sequence[np.ndarray]) -> None:
+        self.of, self.rows = of, rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.of[self.rows[i]]
+
+
+def descend(rows: Sequence[np.ndarray], values: Sequence[np.ndarray], labels: np.ndarray, size: int, cost: np.ndarray, rounds: int, seed: int = 7) -> np.ndarray:
     """Weights (the last one is the bias) of the hinge-loss model by dual coordinate descent."""
     weights, alpha = np.zeros(size + 1), np.zeros(len(rows))
     square = np.array([(v * v).sum() + 1.0 for v in values])
@@ -70,11 +84,12 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray
     for _ in range(rounds):
         largest = 0.0
         for i in random.permutation(len(rows)):
-            gradient = labels[i] * (weights[rows[i]] @ values[i] + weights[-1]) - 1
+            own = values[i]
+            gradient = labels[i] * (weights[rows[i]] @ own + weights[-1]) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
             step = (new - alpha[i]) * labels[i]
             if step:
-                weights[rows[i]] += step * values[i]
+                weights[rows[i]] += step * own
                 weights[-1] += step
                 largest = max(largest, abs(step) * square[i])
                 alpha[i] = new
@@ -90,14 +105,14 @@ def ratios(df: np.ndarray, positive: int, negative: int, least_rows: int, least_
     return ratio
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = 1.0, rounds: int = 60) -> Model:
+def fit(rows: Sequence[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = 1.0, rounds: int = 60) -> Model:
     """A model from each row's distinct features (those whose ratio is not 0) and 0/1 labels."""
     positive, n = labels == 1, len(labels)
     if not n or positive.all() or not positive.any():
         return Model(np.zeros(len(ratio)), 0.0)
     # Both classes weigh the same in sum.
     weight = np.where(positive, n / 2 / positive.sum(), n / 2 / (n - positive.sum()))
-    weights = descend(rows, [ratio[row] for row in rows], np.where(positive, 1.0, -1.0), len(ratio), cost * weight, rounds)
+    weights = descend(rows, Looked(ratio, rows), np.where(positive, 1.0, -1.0), len(ratio), cost * weight, rounds)
     return Model((weights[:-1] * ratio).astype(np.float32).astype(np.float64), float(weights[-1]), 2.0)
 
 
@@ -159,12 +174,27 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, fea
 
     # In an order of its own, so that the same sample gives the same model at any partitioning.
     table = sample.mapInArrow(run, "y int, f array<int>").toArrow()
-    lists = [np.zeros(0, np.int32) if x.values is None else x.values.to_numpy() for x in table.column("f").combine_chunks()] if table.num_rows else []
-    labels_of = table.column("y").to_numpy()
-    order = sorted(range(len(lists)), key=lambda i: (labels_of[i], lists[i].tobytes()))
+    labels_of, lists = table.column("y").to_numpy(), lists_of(table.column("f"))
+    order = ordered(labels_of, lists)
     return fit([lists[i] for i in order], labels_of[order], ratio)
 
 
+def lists_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column, as parts of its own memory."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        flat, at = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    return out
+
+
+def ordered(labels: np.ndarray, lists: list[np.ndarray]) -> list[int]:
+    """Places by label and bytes of the list. Only where the first bytes are the same all of them are taken."""
+    first = lambda i: (labels[i], lists[i][:16].tobytes())
+    same = groupby(sorted(range(len(lists)), key=first), first)
+    return [i for _, group in same for i in sorted(group, key=lambda i: lists[i].tobytes())]
+
+
 def scored(docs: DataFrame, model: Model, features: Features, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row."""
     source = id_text(docs, id_col, text_col)

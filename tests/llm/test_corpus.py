@@ -1,6 +1,7 @@
 """Joins, dedup, packing, search, classifiers and the pipeline against brute force, and their defined edge cases."""
 
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -602,6 +603,44 @@ def test_a_model_of_repeated_ids_is_repeatable(spark):
     assert all((models[0].weights == m.weights).all() and models[0].bias == m.bias for m in models) and models[0].weights.any()
 
 
+def test_a_fit_takes_less_room_than_its_sample():
+    """16 MB of features: ordering and fitting them takes no 8-byte value for each, nor a copy of all lists; the weights are those of
+    values laid out beforehand, to the bit."""
+    random = np.random.default_rng(5)
+    size, n = 1 << 16, 4000
+    column = pa.chunked_array([pa.array(np.sort(random.integers(0, size, (n // 2, 1000)).astype(np.int32), axis=1).tolist(), pa.list_(pa.int32())) for _ in range(2)])
+    labels, ratio = random.integers(0, 2, n), random.normal(size=size)
+    tracemalloc.start()
+    lists = nbsvm.lists_of(column)
+    order = nbsvm.ordered(labels, lists)
+    model = nbsvm.fit([lists[i] for i in order], labels[order], ratio, rounds=1)
+    room = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert room < 8 << 20
+    plain = [np.array(x, np.int32) for x in column.to_pylist()]
+    assert order == sorted(range(n), key=lambda i: (labels[i], plain[i].tobytes()))
+    weight = np.where(labels == 1, n / 2 / (labels == 1).sum(), n / 2 / (labels == 0).sum())[order]
+    rows = [plain[i] for i in order]
+    weights = nbsvm.descend(rows, [ratio[r] for r in rows], np.where(labels[order] == 1, 1.0, -1.0), size, weight, 1)
+    assert (model.weights == (weights[:-1] * ratio).astype(np.float32)).all() and model.bias == weights[-1] and model.weights.any()
+
+
+def test_lists_with_the_same_beginning_are_ordered_by_the_rest():
+    rows = [[*range(16), 9], [*range(16), 5, 7], [*range(16), 5], [], [*range(16)], [300], [3], [*range(16), 5]]
+    lists, labels = [np.array(x, np.int32) for x in rows], np.array([0, 0, 0, 1, 0, 0, 0, 1])
+    assert nbsvm.ordered(labels, lists) == sorted(range(8), key=lambda i: (labels[i], lists[i].tobytes()))
+    column = pa.chunked_array([pa.array(rows, pa.list_(pa.int32())).slice(2, 4), pa.array([], pa.list_(pa.int32()))])
+    assert [x.tolist() for x in nbsvm.lists_of(column)] == rows[2:6]
+    assert nbsvm.lists_of(pa.chunked_array([], pa.list_(pa.int32()))) == []
+
+
+def test_pipeline_plans_the_join_once(spark):
+    """What the n-gram join stage returns reads documents and written copies alone, for rows with and without an id."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plan = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, DATA)._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() <= 4
+
+
 def test_pipeline_equals_brute_force(spark):
     docs, rows = spark.read.parquet(f"{DATA}/documents.parquet"), documents(spark)
     stages = dict(corpus_pipeline.STAGES)
