@@ -112,6 +112,64 @@ def test_top_k_equals_brute_force(spark, max_queries):
         assert [found[q, n] for n in (1, 2, 3)] == best
 
 
+def test_top_k_in_tiles_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 40)
+    monkeypatch.setattr(retrieval, "LEAST_QUERIES", 20)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(150, 5)).astype(np.float32)
+    vectors[20:60] = vectors[20]  # one vector many times
+    vectors[70:90] = vectors[70] * np.float32(2) ** rng.integers(-3, 4, (20, 1))
+    vectors[95] = 0
+    ids = [int(i) for i in rng.permutation(150)]
+    ids[5], ids[21] = ids[4], ids[20]  # repeated ids, with other vectors and with the same one
+    rows = [(i, v.tolist()) for i, v in zip(ids, vectors)] + [(ids[0], vectors[0].tolist())] * 2
+    odd = [(None, [1.0] * 5), (1001, None), (1002, [1.0, None, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows + odd, "id long, v array<float>").repartition(3)
+    unit = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    norms = np.linalg.norm(unit, axis=1, keepdims=True)
+    unit /= np.where(norms == 0, 1, norms)
+    score, own = np.round(unit @ unit.T, 9), np.array([i for i, _ in rows])
+    want = {}
+    for q in set(own.tolist()):
+        pairs = [(-score[a, b], own[b]) for a in np.flatnonzero(own == q) for b in range(len(own)) if own[b] != q]
+        want[q] = [item for _, item in sorted(pairs)[:4]]
+    for at_a_time in (1, 7, 64):
+        got = {}
+        for r in retrieval.top_k(df, df, 4, query_id="id", item_id="id", vector="v", skip_self=True, max_queries=at_a_time).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append(r.item_id)
+        assert got == want
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("shape", ["spread", "close", "rising"])
+def test_best_items_equal_a_full_sort(monkeypatch, ascending, shape):
+    for name, value in {"FIRST_ITEMS": 20, "SCORE_CELLS": 400, "EXACT_PAIRS": 30}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(600, 8))
+    if shape == "close":  # what single precision cannot tell apart, and ties
+        vectors[:400] = vectors[0] + rng.normal(size=(400, 8)) * 1e-8
+        vectors[100:300] = vectors[100]
+    elif shape == "rising":
+        vectors[:] = vectors[0] + vectors * np.linspace(3, 0.01, 600)[:, None]
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    ids = np.arange(600) if ascending else rng.permutation(600)
+    best = retrieval._Best(ids[:40], vectors[:40], 5, True)
+    for at in range(0, 600, 150):
+        best.add(ids[at : at + 150], vectors[at : at + 150], vectors[at : at + 150].astype(np.float32))
+    score = np.round(np.einsum("qd,id->qi", vectors[:40], vectors), 9)
+    for q in range(40):
+        order = [i for i in np.lexsort((ids, -score[q])) if ids[i] != ids[q]][:5]
+        assert best.items[q].tolist() == ids[order].tolist()
+
+
+def test_top_k_plan_does_not_grow_with_the_queries(spark):
+    df = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("v"))
+    got = retrieval.top_k(df, df, 2, query_id="id", item_id="id", vector="v", skip_self=True, max_queries=3)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert got.count() == 600
+
+
 def test_url_ranking_is_stable(spark):
     urls = ["http://x.org/a", "ftp://docs.org", "https://docs.python.org/guide", "http://x.org/pandas", "http://y.org/b"]
     df = spark.createDataFrame(list(enumerate(urls)), "pos int, url string")
