@@ -478,17 +478,20 @@ def _(t: Tables) -> DataFrame:
     return found(retrieval.top_k(label_centroids(t), t.embeddings, item_id="vec_id", source="label", sources=[0, 1, 2]))
 
 
-#: Every row whose id is divisible by 50 is a query, against all other rows.
-ASKED = "vec_id % 50 = 0"
-EACH = f"q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {ASKED})"
+EACH = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
 @query("top_k_each", top_k_sql(EACH, "embeddings", "query_id <> vec_id"))
 def _(t: Tables) -> DataFrame:
-    return found(retrieval.top_k(t.embeddings.where(ASKED), t.embeddings, query_id="vec_id", item_id="vec_id", skip_self=True))
+    return found(retrieval.top_k(t.embeddings, t.embeddings, query_id="vec_id", item_id="vec_id", skip_self=True))
+
+
+#: Every row whose id is divisible by 50 is a query, against all other rows.
+ASKED = "vec_id % 50 = 0"
+SOME = f"q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {ASKED})"
 
 
-@query("top_k_each_blocks", top_k_sql(EACH, "embeddings", "query_id <> vec_id"))
+@query("top_k_each_blocks", top_k_sql(SOME, "embeddings", "query_id <> vec_id"))
 def _(t: Tables) -> DataFrame:
     return found(retrieval.top_k(
         t.embeddings.where(ASKED), t.embeddings, query_id="vec_id", item_id="vec_id", skip_self=True, max_queries=7))

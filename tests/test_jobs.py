@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from rulespan.functions.prep import coerce, compare
 from rulespan.operators import custom, groups, order, profile, ranking, report, retrieval, rows, synth, tables
 from rulespan.operators.chunks import enabled
+from rulespan.plans import job_queries  # noqa: F401  (registers the queries)
+from rulespan.plans.registry import QUERIES
 
 
 @pytest.mark.parametrize("rate", [0.0, 0.1, 0.5])
@@ -163,6 +165,14 @@ def test_best_items_equal_a_full_sort(monkeypatch, ascending, shape):
         assert best.items[q].tolist() == ids[order].tolist()
 
 
+@pytest.mark.parametrize("name", ["top_k_each"])
+def test_every_embedding_is_a_query(spark, tmp_path, name):
+    rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=4)], i % 3) for i in range(130)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = QUERIES[name](spark, str(tmp_path)).groupBy("query_id").count().collect()
+    assert sorted(tuple(r) for r in asked) == [(i, 5) for i in range(130)]
+
+
 def test_top_k_plan_does_not_grow_with_the_queries(spark):
     df = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("v"))
     got = retrieval.top_k(df, df, 2, query_id="id", item_id="id", vector="v", skip_self=True, max_queries=3)
