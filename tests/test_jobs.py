@@ -165,7 +165,7 @@ def test_best_items_equal_a_full_sort(monkeypatch, ascending, shape):
         assert best.items[q].tolist() == ids[order].tolist()
 
 
-@pytest.mark.parametrize("name", ["top_k_each"])
+@pytest.mark.parametrize("name", ["top_k_each", "top_k_each_blocks"])
 def test_every_embedding_is_a_query(spark, tmp_path, name):
     rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=4)], i % 3) for i in range(130)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
