@@ -99,22 +99,52 @@ def monotonic(
     return RuleResult(rule_id, "group", metrics, find, groups.where("sat or viol"))
 
 
+#: Links of a bundle, and members of a piece: a bundle and a piece that meet make at most 524,288 pairs.
+BUNDLE = 128
+PIECE = 4096
+
+
 @dataclass(frozen=True)
 class PairList:
     """Pairs of a monotonic rule, without forming them.
 
     ``members``: group_key, block, place, row_id: the rows of each block in an order. ``links``: group_key, row_id (the row of
-    lower rank), block, first, last: it makes a pair with every member of the block at the places ``first`` to ``last``.
+    lower rank), block, first, last: it makes a pair with every member of the block at the places ``first`` to ``last``;
+    number: the links of a block in the order of these places.
     """
 
     links: DataFrame
     members: DataFrame
 
-    def pairs(self) -> DataFrame:
-        """group_key, lower, higher: all pairs, expanded; as many rows as there are pairs."""
+    def pairs(self, key: Column | str = "group_key") -> DataFrame:
+        """group_key, lower, higher: all pairs, expanded; as many rows as there are pairs.
+
+        ``key`` is what to show as group_key. It is evaluated for a bundle of links, not for each pair.
+        Bundles of links meet pieces of their block, each an array of a bounded length, and only the places that a link
+        names are read off the piece, so nothing is made and thrown away. What meets is dealt out evenly: a hot group is
+        no one task's.
+        """
         on = ["group_key", "block"]
-        found = self.links.withColumnRenamed("row_id", "lower").join(self.members.withColumnRenamed("row_id", "higher"), on)
-        return found.where("place BETWEEN first AND last").select("group_key", "lower", "higher")
+        pieces = self.members.groupBy(*on, F.expr(f"place div {PIECE}").alias("piece")).agg(
+            F.sort_array(F.collect_list(F.struct("place", "row_id"))).alias("_found")
+        ).select(*on, "piece", F.col("_found.row_id").alias("_ids"))
+        bundles = self.links.groupBy(*on, F.expr(f"number div {BUNDLE}").alias("bundle")).agg(
+            F.collect_list(F.struct("row_id", "first", "last")).alias("_links"),
+            F.min(F.expr(f"first div {PIECE}")).alias("_from"), F.max(F.expr(f"last div {PIECE}")).alias("_to"),
+        )
+        meeting = bundles.withColumn("piece", F.explode(F.sequence("_from", "_to"))).join(pieces, [*on, "piece"])
+        spark = self.links.sparkSession
+        # A number, as what a task makes of its rows can't be seen from their size.
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        base = F.col("piece") * PIECE
+        shown = F.expr(key) if isinstance(key, str) else key
+        dealt = meeting.select(shown.alias("group_key"), base.alias("_base"), "_links", "_ids").repartition(tasks)
+        low, high = F.greatest(F.col("_link.first") - F.col("_base"), F.lit(0)), F.least(F.col("_link.last") - F.col("_base"), F.lit(PIECE - 1))
+        each = dealt.select("group_key", "_base", "_ids", F.explode("_links").alias("_link")).where(low <= high).select(
+            "group_key", F.col("_link.row_id").alias("lower"), F.slice("_ids", low.cast("int") + 1, (high - low).cast("int") + 1).alias("_some"))
+        # Compiled as one, both explodes would keep all pairs of a bundle in memory before the first is passed on; as many
+        # partitions as before is a step that is not compiled, so a link's pairs are passed on before the next link's are made.
+        return each.coalesce(tasks).select("group_key", "lower", F.explode("_some").alias("higher"))
 
     def count(self) -> DataFrame:
         """One row: how many pairs there are, from the links alone."""
@@ -154,18 +184,18 @@ def monotonic_pairs(
     events = member.unionByName(asks)
     block = [*key, "_level", "_block"]
     # Members of an equal value come before the question: they are not strictly larger.
-    counted = running(events, block, ["_value", "_asks", "_row"], {"_before": ("sum", "_n")}, find_hot(events, block))
+    counted = running(events, block, ["_value", "_asks", "_row"], {"_before": ("sum", "_n"), "_number": ("sum", "_asks")}, find_hot(events, block))
     name = F.struct("_level", "_block").alias("block")
     group = F.expr(key_sql(key)).alias("group_key")
-    place = F.col("_before").cast("long")
+    place, number = F.col("_before").cast("long"), F.col("_number").cast("long").alias("number")
     members = counted.where("_asks = 0").select(group, name, place.alias("place"), F.col("_row").alias("row_id"))
     asked = counted.where("_asks = 1")
     if verdict == VIOLATION:
-        links = asked.where("_before > 0").select(group, F.col("_row").alias("row_id"), name, F.lit(0).cast("long").alias("first"), (place - 1).alias("last"))
+        links = asked.where("_before > 0").select(group, F.col("_row").alias("row_id"), name, F.lit(0).cast("long").alias("first"), (place - 1).alias("last"), number)
     else:
         sizes = member.groupBy(*block).agg(F.count(F.lit(1)).alias("_size"))
         sized = join_groups(asked, sizes, block, find_hot(asked, block), F.col("_row"))
-        links = sized.where("_before < _size").select(group, F.col("_row").alias("row_id"), name, place.alias("first"), (F.col("_size") - 1).alias("last"))
+        links = sized.where("_before < _size").select(group, F.col("_row").alias("row_id"), name, place.alias("first"), (F.col("_size") - 1).alias("last"), number)
     return PairList(links, members)
 
 

@@ -353,7 +353,7 @@ def size_pairs(t: Tables, verdict: str) -> order.PairList:
 
 @query("monotonic_pairs", f"SELECT {key_sql('p_brand')} AS group_key, lo AS lower, hi AS higher FROM ({PAIR_FLAGS}) WHERE NOT ok")
 def _(t: Tables) -> DataFrame:
-    return size_pairs(t, VIOLATION).pairs().withColumn("group_key", key_text())
+    return size_pairs(t, VIOLATION).pairs(key_text())
 
 
 @query("monotonic_pair_counts", f"""

@@ -138,3 +138,19 @@ def test_monotonic_links_grow_with_the_rows_not_the_pairs(spark):
     assert int(found.count().first().pairs) == 2000 * 1999 // 2
     assert found.links.count() <= 2000 * 11 and found.members.count() <= 2000 * 11
     assert order.monotonic_pairs(df.limit(0), "k", "id", "t", row_id="row_id").pairs().count() == 0
+
+
+def test_monotonic_pairs_are_made_in_bounded_portions(spark, monkeypatch):
+    monkeypatch.setattr(order, "BUNDLE", 4)
+    monkeypatch.setattr(order, "PIECE", 8)
+    df = spark.range(90).select(
+        F.col("id").alias("row_id"), F.lit("one").alias("k"), (F.col("id") % 30).alias("v"), F.pmod(F.col("id") * 37, F.lit(17)).alias("t"))
+    rows = [tuple(r) for r in df.collect()]
+    for verdict in ("violation", "satisfaction"):
+        found = order.monotonic_pairs(df, "k", "v", "t", verdict, row_id="row_id").pairs(F.col("group_key")[0]["val"])
+        want = sorted(("one", a[0], b[0]) for a, b in itertools.permutations(rows, 2) if a[2] < b[2] and (b[3] <= a[3]) == (verdict == "violation"))
+        assert sorted(tuple(r) for r in found.collect()) == want
+        # Nothing is matched and thrown away: what meets are arrays of 4 links and 8 rows, and the last step only reads them off.
+        plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert plan[0].startswith("Generate explode") and plan[1].strip().startswith("+- Repartition")
+        assert not [x for x in plan if "Join" in x and "place" in x]
